@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids that may be broadcast (8 bytes each); above it the join is shuffled.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 #: Words of the contract: runs of anything but ASCII white space. ``bytes.split()``
 #: cuts at exactly these six bytes.
