@@ -36,8 +36,6 @@ MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
-#: Words of a batch that are counted at once.
-CHUNK = 1 << 20
 
 RESULT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -144,32 +142,48 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.rint(np.log(share[0] / share[1]) * UNIT).astype(np.int64)
 
 
+def verdict(text: str | None, table: np.ndarray, least: int) -> tuple:
+    """A text's row of RESULT, without its id."""
+    text = text or ""
+    words = text.encode().split()
+    ids, seen = word_ids(words)
+    counts = base_counts(text, words, ids, len(seen))
+    failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
+    total, n = 0, 0
+    if words:
+        at = buckets(ids, seen)
+        total, n = int(table[at].sum(dtype=np.int64)), len(at)
+    return (*counts, failed, not failed and total >= least * n, total / (n * UNIT) if n else 0.0, n)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, threshold: float):
+    """The broadcast log ratios (BUCKETS integers) and the least integer mean that is kept."""
+    weights = docs.sparkSession.sparkContext.broadcast(log_ratios(bucket_counts(docs, labels)).astype(np.int32))
+    return weights, int(np.floor(threshold * UNIT))
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Counts, score and verdict of every document; see RESULT."""
-    weights = docs.sparkSession.sparkContext.broadcast(log_ratios(bucket_counts(docs, labels)).astype(np.int32))
-    least = int(np.floor(threshold * UNIT))
+    weights, least = fitted(docs, labels, threshold)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = weights.value
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                words = text.encode().split()
-                ids, seen = word_ids(words)
-                counts = base_counts(text, words, ids, len(seen))
-                failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
-                total, n = 0, 0
-                if words:
-                    at = buckets(ids, seen)
-                    total, n = int(table[at].sum(dtype=np.int64)), len(at)
-                kept = not failed and total >= least * n
-                rows.append((*counts, failed, kept, total / (n * UNIT) if n else 0.0, n))
-            columns = list(zip(*rows)) or [[]] * 9
+            rows = [verdict(t, weights.value, least) for t in batch.column("text").to_pylist()]
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *(pa.array(c, type=k) for c, k in zip(columns, kinds))],
+                [batch.column("doc_id").cast(pa.int64()), *(pa.array(c, type=k) for c, k in zip(list(zip(*rows)) or [[]] * 9, kinds))],
                 names=[x.split()[0] for x in RESULT.split(", ")],
             )
 
     return docs.select("doc_id", "text").mapInArrow(score, RESULT)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    weights, least = fitted(docs, labels, threshold)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([verdict(t, weights.value, least)[6] for t in batch.column("text").to_pylist()], type=pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, quality_rules, simhash, suffix_dedup
+from docloom.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
 from docloom.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
 
@@ -40,5 +44,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_quality_rules, op8_bpe, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_quality_rules, op7_mixing, op8_bpe, op9_simhash)}
 ORACLES: dict[str, str] = {}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import components, written
+from docloom.llm.common import BROADCAST_IDS, components, written
 
 SHINGLE = 3
 SEED = 42
@@ -148,3 +148,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "classes"
     )
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates: that of the least doc_id.
+
+    Rows with equal ids count as one document, of which the least row stays.
+    """
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = written(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
+    once, more = keep.where("_n = 1"), keep.where("_n > 1")
+    if keep.count() <= BROADCAST_IDS:
+        once, more = F.broadcast(once), F.broadcast(more)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    row = F.min(F.struct(*docs.columns)).alias("_row")
+    single = docs.join(more, same, "left_semi").groupBy("doc_id").agg(row).select("_row.*")
+    return docs.join(once, same, "left_semi").unionByName(single)

@@ -371,14 +371,14 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A null text stays null. Other columns are kept as they are.
     """
 
-    @F.pandas_udf("string")
-    def left(text: "pd.Series", spans: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
-        out = [
-            t if s is None or t is None else cut(t.encode(), [{"a": x["a"], "b": x["b"]} for x in s])[0].decode("utf-8", "ignore")
-            for t, s in zip(text, spans)
-        ]
-        return pd.Series(out, dtype=object)
-
-    return _joined(docs, length).withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("text", "spans"))).select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                t if s is None or t is None else cut(t.encode(), s)[0].decode("utf-8", "ignore")
+                for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
+            ]
+            columns = [pa.array(texts, type=pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = docs.columns
+    return _joined(docs, length).select(*names, "spans").mapInArrow(run, docs.schema)
