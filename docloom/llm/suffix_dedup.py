@@ -42,7 +42,7 @@ LENGTH = 400
 #: Bytes of an anchor.
 GRAM = 160
 #: Bytes of strings in one Burrows-Wheeler transform.
-LIMIT = 1_500_000
+LIMIT = 400_000
 #: Windows that are hashed at a time.
 CHUNK = 1 << 20
 _ODD = 0x9E3779B97F4A7C15 | 1
