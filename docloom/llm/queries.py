@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
+from docloom.llm import bpe, kneser_ney, mixing, quality_rules, simhash, suffix_dedup
 from docloom.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(documents(spark, sf_dir))
 
@@ -44,5 +48,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_quality_rules, op7_mixing, op8_bpe, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op3_suffix_dedup, op4_quality_rules, op7_mixing, op8_bpe, op9_simhash)}
 ORACLES: dict[str, str] = {}
