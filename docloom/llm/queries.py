@@ -6,18 +6,18 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, kneser_ney, mixing, quality_rules, simhash, suffix_dedup
+from docloom.llm import bpe, kneser_ney, media, mixing, packing, quality_rules, simhash, suffix_dedup
 from docloom.llm.common import documents
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file: DOCLOOM_TOKENIZER, or the public byte-level file installed here."""
-    own = os.environ.get("DOCLOOM_TOKENIZER")
-    if own:
-        return own
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file: in the folder DOCLOOM_TOKENIZERS, or as installed here."""
+    folder = os.environ.get("DOCLOOM_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(documents(spark, sf_dir))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(documents(spark, sf_dir))
 
@@ -36,6 +40,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.packed(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -48,5 +56,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op3_suffix_dedup, op4_quality_rules, op7_mixing, op8_bpe, op9_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_kneser_ney, op2_media, op3_suffix_dedup, op4_quality_rules, op5_packing,
+        op7_mixing, op8_bpe, op9_simhash,
+    )
+}
 ORACLES: dict[str, str] = {}
