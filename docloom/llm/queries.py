@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, kneser_ney, media, mixing, packing, quality_rules, simhash, suffix_dedup
+from docloom.llm import bpe, kneser_ney, license_scan, media, mixing, packing, quality_rules, simhash, suffix_dedup, url_filter
 from docloom.llm.common import documents
 
 
@@ -44,6 +44,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.packed(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken")))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, url_filter.rules_table(spark))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -56,11 +61,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_kneser_ney, op2_media, op3_suffix_dedup, op4_quality_rules, op5_packing,
-        op7_mixing, op8_bpe, op9_simhash,
+        op6_url_filter, op7_mixing, op8_bpe, op9_simhash, op10_license_scan,
     )
 }
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {"op6_url_filter": url_filter.ORACLE, "op10_license_scan": license_scan.oracle()}
