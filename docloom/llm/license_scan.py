@@ -169,7 +169,7 @@ h AS (
   SELECT doc_id, name, m, s.sh,
          unnest(range(greatest(0, CAST(ceil((pos - m - greatest(1, m // 4) + 2) / greatest(1, m // 4)) AS BIGINT)), pos // greatest(1, m // 4) + 1)) AS win
   FROM s JOIN tpl ON s.sh = tpl.sh),
-c AS (SELECT doc_id, name, m, win, count(DISTINCT sh) / m AS share FROM h GROUP BY ALL HAVING count(DISTINCT sh) / m >= {CONTAINED}),
+c AS (SELECT doc_id, name, m, win, count(DISTINCT sh) / m AS share FROM h GROUP BY doc_id, name, m, win HAVING count(DISTINCT sh) / m >= {CONTAINED}),
 f AS (SELECT doc_id, list_sort(list(DISTINCT name)) AS names, max(share) AS containment FROM c GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(names), 0) AS BIGINT) AS n_licenses, coalesce(array_to_string(names, ';'), '') AS licenses,
        coalesce(containment, 0.0) AS containment
