@@ -159,14 +159,14 @@ def discount(c: Column) -> Column:
 
 
 def discounts(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts of each language: (lang, d1, d2, d3)."""
+    """Modified Kneser-Ney discounts of each language and order: (lang, n_order, d1, d2, d3)."""
     n = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
     d = [
         F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1.0)))).alias(f"d{k}")
         for k in (1, 2, 3)
     ]
-    return counts.groupBy("lang").agg(*n).select("lang", *d)
+    return counts.groupBy("lang", "n_order").agg(*n).select("lang", "n_order", *d)
 
 
 def same(*pairs: tuple[str, str]) -> Column:
@@ -177,37 +177,54 @@ def same(*pairs: tuple[str, str]) -> Column:
     return out
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join in which a null language equals itself; ``on`` once in the result."""
+    other = right.withColumnsRenamed({c: f"_{c}" for c in on})
+    return left.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on], how).drop(*[f"_{c}" for c in on])
+
+
 def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     """(lang, key, logp) of every asked n-gram; languages without counts have no rows.
 
-    ``counts`` is (lang, key, n) at the highest order, ``asked`` distinct (lang, key).
+    ``counts`` is (lang, key, n) at the highest order, ``asked`` distinct (lang, key). For
+    each order the asked keys are joined to the discounted shares and the back-off weights
+    of their contexts; the orders of one n-gram are then put together.
     """
-    tables = {ORDER: counts}
-    for order in range(ORDER - 1, 0, -1):
-        upper = tables[order + 1]
-        tables[order] = written(upper.groupBy("lang", low(F.col("key"), order).alias("key")).agg(F.count("*").alias("n")), f"kn{order}")
-    letters = tables[1].groupBy(F.col("lang").alias("_l")).agg((1.0 / (F.count("*") + 1)).alias("p"))
-    below = None
-    for order in range(1, ORDER + 1):
-        table = tables[order].join(discounts(tables[order]).withColumnRenamed("lang", "_l"), same(("lang", "_l"))).drop("_l")
-        context = F.shiftrightunsigned("key", 16) if order > 1 else F.lit(0).cast("long")
-        table = table.withColumn("context", context)
-        contexts = table.groupBy(F.col("lang").alias("_cl"), F.col("context").alias("_ck")).agg(
-            F.sum("n").alias("total"), F.sum(discount(F.col("n"))).alias("freed")
+    table, tables = counts.select("lang", F.lit(ORDER).alias("n_order"), "key", "n"), []
+    for order in range(ORDER, 0, -1):
+        if order < ORDER:  # below the highest order: how many letters come before
+            table = table.groupBy("lang", F.lit(order).alias("n_order"), low(F.col("key"), order).alias("key")).agg(F.count("*").alias("n"))
+        tables.append(table.select("*", (F.shiftrightunsigned("key", 16) if order > 1 else F.lit(0).cast("long")).alias("context")))
+    every = tables[0]
+    for table in tables[1:]:
+        every = every.unionByName(table)
+    every = written(every, "orders")
+    cut = null_safe(every, F.broadcast(discounts(every)), ["lang", "n_order"]).withColumn("cut", discount(F.col("n")))
+    own = cut.select("lang", "n_order", "key", (F.col("n") - F.col("cut")).alias("own"))
+    contexts = cut.groupBy("lang", "n_order", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
+    letters = every.where("n_order = 1").groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("p0"))
+    orders = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(k).alias("n_order"), low(F.col("key"), k).alias("low"), (F.shiftrightunsigned(low(F.col("key"), k), 16) if k > 1 else F.lit(0).cast("long")).alias("context"))
+                for k in range(1, ORDER + 1)
+            ]
         )
-        seen = table.select(F.col("lang").alias("_l"), F.col("key").alias("_k"), (F.col("n") - discount(F.col("n"))).alias("own"))
-        want = asked.select("lang", low(F.col("key"), order).alias("key")).distinct()
-        want = want.withColumn("context", context).withColumn("_low", low(F.col("key"), order - 1) if order > 1 else F.lit(0).cast("long"))
-        joined = want.join(seen, same(("lang", "_l")) & (F.col("key") == F.col("_k")), "left").join(
-            contexts, same(("lang", "_cl")) & (F.col("context") == F.col("_ck")), "left"
-        ).drop("_l", "_k", "_cl", "_ck")
-        if below is None:
-            joined = joined.join(letters, same(("lang", "_l")))
-        else:
-            joined = joined.join(below, same(("lang", "_l")) & (F.col("_low") == F.col("_k")))
-        p = F.coalesce((F.coalesce("own", F.lit(0.0)) + F.col("freed") * F.col("p")) / F.col("total"), F.col("p"))
-        below = written(joined.select(F.col("lang").alias("_l"), F.col("key").alias("_k"), p.alias("p")), f"p{order}")
-    return below.select(F.col("_l").alias("lang"), F.col("_k").alias("key"), F.round(F.log("p") * UNIT).cast("int").alias("logp"))
+    )
+    spread = asked.select("lang", "key", orders.alias("o")).select("lang", "key", "o.*")
+    want = spread.select("lang", "n_order", F.col("low").alias("key"), "context").distinct()
+    met = null_safe(null_safe(want, own, ["lang", "n_order", "key"], "left"), contexts, ["lang", "n_order", "context"], "left")
+    parts = written(
+        met.select("lang", "n_order", F.col("key").alias("low"), F.coalesce(F.col("own") / F.col("total"), F.lit(0.0)).alias("own"), F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0)).alias("back")),
+        "parts",
+    )
+    gathered = null_safe(spread.drop("context"), parts, ["lang", "n_order", "low"]).groupBy("lang", "key").agg(
+        *[F.max(F.when(F.col("n_order") == k, F.col(c))).alias(f"{c}{k}") for k in range(1, ORDER + 1) for c in ("own", "back")]
+    )
+    p = F.col("p0")
+    for k in range(1, ORDER + 1):
+        p = F.col(f"own{k}") + F.col(f"back{k}") * p
+    return null_safe(gathered, F.broadcast(letters), ["lang"]).select("lang", "key", F.round(F.log(p) * UNIT).cast("int").alias("logp"))
 
 
 def totals(texts: list[str], keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -236,12 +253,12 @@ def scored(batch: pa.RecordBatch | pd.DataFrame, tables: dict) -> tuple[list, li
 def sums(docs: DataFrame, values: DataFrame) -> DataFrame:
     """RESULT by broadcast values."""
     tables: dict = {}
-    frame = values.toPandas()  # at most BROADCAST_GRAMS rows
-    for lang in frame["lang"].unique():
-        own = frame[frame["lang"].isna() if lang is None else frame["lang"] == lang]
-        keys = own["key"].to_numpy(np.int64).view(np.uint64)
+    for (lang,) in values.select("lang").distinct().collect():
+        own = values.where(F.col("lang").eqNullSafe(F.lit(lang))).select("key", "logp").toArrow()  # in all at most BROADCAST_GRAMS rows
+        keys = own["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        tables[lang] = keys[order], own["logp"].to_numpy(np.int32)[order]
+        tables[lang] = keys[order], own["logp"].to_numpy()[order]
+        del own
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
