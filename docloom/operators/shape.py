@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,8 +48,6 @@ def compat_hash(records: DataFrame, name: str = "integrity_hash") -> DataFrame:
 
     Needs byte parity with ``json.dumps``, which no built-in has: Arrow batches, never row by row.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(rows: pd.DataFrame) -> pd.Series:
         import hashlib
