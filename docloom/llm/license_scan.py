@@ -12,8 +12,8 @@ counted exactly, text by text.
 
 Documents that hold none of a set of words are passed over first. The set is such that
 without any of its words more than 20 % of a template's shingles are missing, so nothing is
-lost by that. Windows of long documents are rows of their own, so no task holds more than
-a text, and no key gathers more than a window.
+lost by that. Texts are dealt by document once and the windows made and hashed in place,
+so what is shuffled is the texts that are left, never their windows.
 
 Edge cases: a null text is an empty text; texts under five words have no match; repeated
 rows are scanned alike; an empty table gives an empty result; templates need five words;
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import written
@@ -34,6 +34,8 @@ CONTAINED = 0.8
 #: Least similarity of a window that holds CONTAINED of a template: .8 m / (m + .25 m + .2 m).
 JACCARD = 0.55
 BANDS = 12
+#: Texts that are worked on together.
+PART_DOCS = 256
 #: Notices of public licenses (fixed values).
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -65,7 +67,7 @@ def needed_words(text: str) -> list[str]:
     chosen: list[str] = []
     for word in sorted(set(template_words(text)), key=lambda w: (-len(w), w)):
         missing = sum(any(c in s.split() for c in chosen) for s in shingles)
-        if missing > (1 - CONTAINED) * len(shingles):
+        if len(shingles) - missing < CONTAINED * len(shingles) - 1e-9:
             break
         chosen.append(word)
     return chosen
@@ -77,8 +79,8 @@ def words(text: Column) -> Column:
 
 
 def shingles(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, pos, sh) of documents, t a digest of the text."""
-    w = docs.select("doc_id", F.xxhash64("text").alias("t"), words(F.col("text")).alias("w")).where(F.size("w") >= SIZE)
+    """(doc_id, t, pos, sh) of texts dealt by document, which is how the rows stay dealt."""
+    w = docs.select("doc_id", "t", words(F.col("text")).alias("w")).where(F.size("w") >= SIZE)
     parts = [F.col("w")[F.col("pos") + k] for k in range(SIZE)]
     return (
         w.select("doc_id", "t", "w", F.explode(F.sequence(F.lit(0), F.size("w") - SIZE)).alias("pos"))
@@ -90,8 +92,9 @@ def stride(m: int) -> int:
     return max(1, m // 4)
 
 
-def minhash(sh: Column, k: int) -> Column:
-    return F.xxhash64(sh, F.lit(k))
+def minhash(k: int) -> Column:
+    """The k-th hash of a shingle, from its digest ``d``."""
+    return F.min(F.xxhash64("d", F.lit(k)))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -107,29 +110,45 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     table = spark.createDataFrame(rows, "name string, m int, sh string")  # the templates' shingles: bounded by the parameter
 
     # The least hash of each band, for templates and for windows.
-    mins = [F.min(minhash(F.col("sh"), k)).alias(f"h{k}") for k in range(BANDS)]
+    mins = [minhash(k).alias(f"h{k}") for k in range(BANDS)]
     bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"h{k}").alias("h")) for k in range(BANDS)]))
+    table = table.withColumn("d", F.xxhash64("sh"))
     wanted = table.groupBy("name", "m").agg(*mins).select("name", "m", bands.alias("b")).select("name", "m", "b.*")
 
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     some = None
     for word in sorted({w for t in templates.values() for w in needed_words(t)}):
         some = text.contains(word) if some is None else some | text.contains(word)
-    near = docs.select("doc_id", "text").where(some)
-    base = written(shingles(near), "shingles")
+    # Only these texts are dealt out, once; all of a document's windows are then made where it is.
+    near = written(docs.select("doc_id", F.xxhash64("text").alias("t"), "text").where(some), "near")
+    near = near.repartition(max(1, near.count() // PART_DOCS), "doc_id", "t")
+    base = shingles(near).withColumn("d", F.xxhash64("sh"))
+    # A window agrees in a band only if it holds the shingle that is least there in a template,
+    # so only shingles within a window's length of such a one are hashed.
+    least = table.groupBy("name", "m").agg(*[F.min_by("d", F.xxhash64("d", F.lit(k))).alias(f"d{k}") for k in range(BANDS)])
+    least = least.select(F.explode(F.array(*[f"d{k}" for k in range(BANDS)])).alias("d")).distinct().withColumn("hit", F.lit(True))
+    reach = max(n + stride(n) - 1 for n in sizes)
+    in_text = Window.partitionBy("doc_id", "t").orderBy("pos")
+    at = F.when(F.col("hit"), F.col("pos"))
+    before = F.last(at, True).over(in_text.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(at, True).over(in_text.rowsBetween(0, Window.unboundedFollowing))
+    close = (
+        base.select("doc_id", "t", "pos", "d").join(F.broadcast(least), "d", "left").withColumns({"before": before, "after": after})
+        .where((F.col("pos") - F.col("before") < reach) | (F.col("after") - F.col("pos") < reach))
+    )
     m, s, pos = F.col("m"), F.col("s"), F.col("pos")
     every = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.lit(stride(n)).alias("s")) for n in sizes]))
     first = F.greatest(F.lit(0), F.ceil((pos - m - s + 2) / s).cast("int"))
     spread = (
-        base.select("*", every.alias("e"))
-        .select("doc_id", "t", "pos", "sh", "e.*")
-        .select("doc_id", "t", "sh", "m", F.explode(F.sequence(first, F.floor(pos / s).cast("int"))).alias("win"))
+        close.select("doc_id", "t", "pos", "d", every.alias("e"))
+        .select("doc_id", "t", "pos", "d", "e.*")
+        .select("doc_id", "t", "d", "m", F.explode(F.sequence(first, F.floor(pos / s).cast("int"))).alias("win"))
     )
     windows = spread.groupBy("doc_id", "t", "m", "win").agg(*mins).select("doc_id", "t", "m", "win", bands.alias("b")).select("doc_id", "t", "m", "win", "b.*")
     retrieved = written(windows.join(F.broadcast(wanted), ["m", "band", "h"]).select("doc_id", "t", "name", "win").distinct(), "retrieved")
 
     # Exact containment: distinct shingles of the template at positions of the window.
-    hits = base.join(F.broadcast(table), "sh").withColumn("s", F.greatest(F.lit(1), F.floor(m / 4).cast("int")))
+    hits = base.join(F.broadcast(table.drop("d")), "sh").withColumn("s", F.greatest(F.lit(1), F.floor(m / 4).cast("int")))
     held = hits.select("doc_id", "t", "name", "m", "sh", F.explode(F.sequence(first, F.floor(pos / s).cast("int"))).alias("win"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "t", "name", "win")]
     shares = (
