@@ -6,7 +6,7 @@ counts below the highest order. Counts and contexts are tables keyed by (languag
 and stay distributed: the distinct n-grams that the corpus asks for are joined to them,
 order by order, which gives the log probability of each. Documents then add up the
 values of their n-grams. A document is kept if its mean stays within the quantile
-that trusted texts of its language keep to.
+that trusted texts of its language keep to which were not trained on.
 
 Only distinct n-grams travel, never a row for each position. The values come to the tasks
 by broadcast while there are at most BROADCAST_GRAMS; beyond that texts are dealt to blocks
@@ -39,7 +39,14 @@ UNIT = 1 << 20
 #: Noncharacters that stand before and after a text.
 BEGIN, END = 0xFFFF, 0xFFFE
 QUANTILE = 0.98
+#: One trusted document in so many is not trained on; thresholds are measured on these.
+HELD_OUT = 5
+#: Nats by which a threshold is raised where it rests on ENOUGH documents or fewer; less on more.
+SLACK = 0.1
+ENOUGH = 50
 PRIOR = 60
+#: Least discount, so that unseen n-grams keep a share where counts of counts give none.
+LEAST = 0.1
 #: Values that are broadcast (12 bytes each) at most.
 BROADCAST_GRAMS = 2_000_000
 #: Documents of a block where values aren't broadcast.
@@ -163,7 +170,7 @@ def discounts(counts: DataFrame) -> DataFrame:
     n = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
     d = [
-        F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1.0)))).alias(f"d{k}")
+        F.greatest(F.lit(LEAST), F.least(F.lit(float(k)), k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1.0)))).alias(f"d{k}")
         for k in (1, 2, 3)
     ]
     return counts.groupBy("lang", "n_order").agg(*n).select("lang", "n_order", *d)
@@ -288,11 +295,15 @@ def block_sums(dealt: DataFrame, values: DataFrame) -> DataFrame:
     return dealt.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(run, RESULT)
 
 
+def held_out() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+
+
 def perplexities(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
     """RESULT and ``trusted`` of every document. ``nll`` is in units of 2**-20 nats."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     trusted = trusted_ids(labels)
-    train = with_flag(docs, trusted, "trusted").where("trusted")
+    train = with_flag(docs, trusted.where(~held_out()), "trusted").where("trusted")
     counts = written(counted(train).groupBy("lang", "key").agg(F.sum("n").alias("n")), "kn4")
     asked = written(counted(docs).groupBy("lang", "key").agg(F.lit(1)).select("lang", "key"), "asked")
     values = written(probabilities(counts, asked), "values")
@@ -307,11 +318,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
     """(doc_id, lang, n_units, perplexity, threshold, trusted, kept) of every document.
 
-    ``threshold`` is a perplexity: what the given share of the language's trusted
-    documents stay within, in steps of a thousandth of a nat.
+    ``threshold`` is a perplexity: what the given share of the language's held-out trusted
+    documents stay within, in steps of a thousandth of a nat; without any, all are kept.
     """
     found = written(perplexities(docs, labels, broadcast), "scores")
-    known = found.where("trusted and nll is not null")
+    known = found.where(F.col("trusted") & F.col("nll").isNotNull() & held_out())
     means = known.groupBy(F.col("lang").alias("_l")).agg((F.sum("nll") / F.sum("n_units") / UNIT).alias("_mean"))
 
     def drawn(df: DataFrame) -> DataFrame:
@@ -323,7 +334,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bro
     limits = (
         steps.withColumn("_up", F.sum("_n").over(w.orderBy("_step"))).withColumn("_all", F.sum("_n").over(w))
         .where(F.col("_up") >= F.col("_all") * quantile)
-        .groupBy(F.col("lang").alias("_ll")).agg(F.min("_step").alias("_limit"))
+        .groupBy(F.col("lang").alias("_ll"))
+        .agg((F.min("_step") + F.ceil(1000 * SLACK * F.least(F.lit(1.0), ENOUGH / F.first("_all")))).alias("_limit"))
     )
     judged = drawn(found).join(F.broadcast(limits), same(("lang", "_ll")), "left")
     return judged.select(
