@@ -2,13 +2,14 @@
 
 Two multinomials over hashed word unigrams and bigrams are counted, one over trusted
 target texts and one over the whole raw corpus. A document's score is the sum of
-log(target share / raw share) over its n-grams, divided by their number. The log ratios
-are integers (units of 2**-16), so sums are exact and the verdict on every document is
-the same in every run and on every partitioning.
+log(target share / raw share) over its n-grams, divided by their number; the document's own
+n-grams are left out of the counts, so a rare n-gram says nothing about the text that
+brought it. The log ratios are integers (units of 2**-16), so sums are exact and the
+verdict on every document is the same in every run and on every partitioning.
 
 Edge cases: a null text is an empty text; a document without words has score 0 and fails
 the base rules; repeated rows are judged alike; an empty table gives an empty result; of
-further columns of ``docs`` only ``doc_id`` and ``text`` are read.
+further columns of ``docs`` only ``doc_id``, ``text`` and, if there, ``lang`` are read.
 """
 
 from __future__ import annotations
@@ -18,19 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import trusted_ids, with_flag
+from docloom.llm.common import trusted_ids, with_flag, written
 
 #: Hash buckets of n-grams. The counts are a table of at most BUCKETS rows, whatever the input.
 BUCKETS = 1 << 16
 #: Units of a log ratio.
 UNIT = 1 << 16
-#: A document goes if its mean log ratio is below this.
-THRESHOLD = -0.03
-#: Added to every bucket's count, as a share of the mean count of a bucket.
-SMOOTHING = 0.05
+#: A document goes if its mean log ratio is below what all but QUANTILE of its language's
+#: trusted documents reach, and below THRESHOLD. Languages with fewer than ENOUGH trusted
+#: documents take the quantile of all.
+THRESHOLD = -0.02
+QUANTILE = 0.01
+ENOUGH = 50
+#: Added to the target count of every bucket, and to what the raw share lets expect of it:
+#: a bucket with few n-grams says little either way.
+PSEUDO = 4.0
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
@@ -125,65 +131,112 @@ def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
-    """Integer log ratios by bucket. Without any trusted text all are 0.
+class Counts:
+    """The two multinomials: counts by bucket, raw and target. At most BUCKETS rows come to the driver."""
 
-    At most BUCKETS rows come to the driver.
-    """
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, r, t in counts.collect():
-        raw[bucket], target[bucket] = r, t
-    if not target.sum():
-        return np.zeros(BUCKETS, dtype=np.int64)
-    share = []
-    for c in (target, raw):
-        c = c + SMOOTHING * max(raw.sum() / BUCKETS, 1.0) * c.sum() / raw.sum()
-        share.append(c / c.sum())
-    return np.rint(np.log(share[0] / share[1]) * UNIT).astype(np.int64)
+    def __init__(self, counts: DataFrame) -> None:
+        self.raw, self.target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+        for bucket, r, t in counts.collect():
+            self.raw[bucket], self.target[bucket] = r, t
+        self.sums = int(self.raw.sum()), int(self.target.sum())
 
+    def score(self, at: np.ndarray, trusted: bool) -> int:
+        """Summed integer log ratios of a text's buckets, the text itself left out of the counts.
 
-def verdict(text: str | None, table: np.ndarray, least: int) -> tuple:
+        Without any (other) trusted text all ratios are 0.
+        """
+        own, n = np.unique(at, return_counts=True)
+        raw, target = self.raw[own] - n, self.target[own] - n * trusted
+        raw_sum, target_sum = self.sums[0] - len(at), self.sums[1] - len(at) * trusted
+        if raw_sum <= 0 or target_sum <= 0:
+            return 0
+        ratios = np.log((target + PSEUDO) / (raw * (target_sum / raw_sum) + PSEUDO))
+        return int(np.rint(ratios * UNIT).astype(np.int64) @ n)
+
+
+def verdict(text: str | None, trusted: bool, counts: Counts, least: int) -> tuple:
     """A text's row of RESULT, without its id."""
     text = text or ""
     words = text.encode().split()
     ids, seen = word_ids(words)
-    counts = base_counts(text, words, ids, len(seen))
-    failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
+    base = base_counts(text, words, ids, len(seen))
+    failed = base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * base[0]
     total, n = 0, 0
     if words:
         at = buckets(ids, seen)
-        total, n = int(table[at].sum(dtype=np.int64)), len(at)
-    return (*counts, failed, not failed and total >= least * n, total / (n * UNIT) if n else 0.0, n)
+        total, n = counts.score(at, trusted), len(at)
+    return (*base, failed, not failed and total >= least * n, total / (n * UNIT) if n else 0.0, n)
+
+
+def named(docs: DataFrame) -> Column:
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+
+class Model:
+    """Counts, and the least integer mean that is kept, by language."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, quantile: float = QUANTILE) -> None:
+        self.counts = counts = Counts(bucket_counts(docs, labels))
+        shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                means = []
+                for text in batch.column("text").to_pylist():
+                    words = (text or "").encode().split()
+                    at = buckets(*word_ids(words)) if words else []
+                    means.append(shared.value.score(at, True) * 1000 // (len(at) * UNIT) if words else None)
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(means, pa.int64())], names=["lang", "step"])
+
+        flagged = with_flag(docs.select("doc_id", "text", named(docs).alias("lang")), trusted_ids(labels), "trusted").where("trusted")
+        found = flagged.select("lang", "text").mapInArrow(steps, "lang string, step long").where("step is not null")
+        tally = written(found.groupBy("lang", "step").agg(F.count("*").alias("n")), "steps")
+        every = tally.groupBy("step").agg(F.sum("n").alias("n"))
+        self.least = {r["lang"]: self._least(r["at"], threshold) for r in self._quantiles(tally, ["lang"], quantile).where(F.col("all") >= ENOUGH).collect()}
+        overall = self._quantiles(every.withColumn("one", F.lit(1)), ["one"], quantile).first()
+        self.other = self._least(overall["at"] if overall else None, threshold)
+
+    @staticmethod
+    def _least(step: int | None, threshold: float) -> int:
+        return min(int(np.floor(threshold * UNIT)), UNIT if step is None else step * UNIT // 1000)
 
+    @staticmethod
+    def _quantiles(tally: DataFrame, by: list[str], quantile: float) -> DataFrame:
+        """The least step that more than ``quantile`` of a group's documents stand at or below."""
+        w = Window.partitionBy(*by)
+        ranked = tally.withColumns({"up": F.sum("n").over(w.orderBy("step")), "all": F.sum("n").over(w)})
+        return ranked.where(F.col("up") > F.col("all") * quantile).groupBy(*by).agg(F.min("step").alias("at"), F.first("all").alias("all"))
 
-def fitted(docs: DataFrame, labels: DataFrame, threshold: float):
-    """The broadcast log ratios (BUCKETS integers) and the least integer mean that is kept."""
-    weights = docs.sparkSession.sparkContext.broadcast(log_ratios(bucket_counts(docs, labels)).astype(np.int32))
-    return weights, int(np.floor(threshold * UNIT))
+    def verdict(self, text: str | None, trusted: bool, lang: str | None) -> tuple:
+        return verdict(text, trusted, self.counts, self.least.get(lang, self.other))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Counts, score and verdict of every document; see RESULT."""
-    weights, least = fitted(docs, labels, threshold)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(docs, labels, threshold))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [verdict(t, weights.value, least) for t in batch.column("text").to_pylist()]
+            rows = [shared.value.verdict(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "trusted", "lang")))]
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), *(pa.array(c, type=k) for c, k in zip(list(zip(*rows)) or [[]] * 9, kinds))],
                 names=[x.split()[0] for x in RESULT.split(", ")],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(score, RESULT)
+    return with_flag(docs.select("doc_id", "text", named(docs).alias("lang")), trusted_ids(labels), "trusted").mapInArrow(score, RESULT)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    weights, least = fitted(docs, labels, threshold)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(docs, labels, threshold))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([verdict(t, weights.value, least)[6] for t in batch.column("text").to_pylist()], type=pa.bool_()))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "trusted", "lang")))
+            yield batch.select(["text", "rest"]).filter(pa.array([shared.value.verdict(*x)[6] for x in rows], type=pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    rest = [c for c in docs.columns if c != "text"]
+    packed = docs.select("doc_id", "text", named(docs).alias("lang"), F.struct(*rest).alias("rest"))
+    kept = with_flag(packed, trusted_ids(labels), "trusted").mapInArrow(keep, packed.select("text", "rest").schema)
+    return kept.select(*[(F.col("text") if c == "text" else F.col("rest")[c]).alias(c) for c in docs.columns])
