@@ -173,13 +173,12 @@ def plan(sized: DataFrame, share: Fraction = SHARE, weights: tuple = WEIGHTS, ti
 
 
 def with_times(docs: DataFrame, members: Column, seed: int = SEED, **how) -> tuple[DataFrame, dict, dict]:
-    """``docs`` with ``_members``, ``_size`` and ``_times`` (how often the mix takes a row)."""
-    sized = docs.withColumns(
-        {
-            "_members": members,
-            "_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")),
-        }
+    """(_row, _members, _size, _times, ...): rows as structs, and how often the mix takes each."""
+    sized = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        members.alias("_members"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_id"),
     )
     narrow = written(sized.select("_members", "_id", "_size"), "sizes")
     found, sizes, target = plan(narrow, seed=seed, **how)
@@ -199,11 +198,11 @@ def mix(docs: DataFrame, members: Column | None = None, **how) -> DataFrame:
     )
     side = F.broadcast(sources) if len(sizes) <= BROADCAST_PATTERNS else sources
     return taken.join(side, F.col("_members")[0].eqNullSafe(F.col("_source"))).select(
-        "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).alias("taken")
+        F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).alias("taken")
     )
 
 
 def mixed(docs: DataFrame, members: Column | None = None, **how) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with its own columns."""
     taken, _, _ = with_times(docs, F.array("source") if members is None else members, **how)
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select("_row.*")

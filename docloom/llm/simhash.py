@@ -156,11 +156,12 @@ def representatives(docs: DataFrame) -> DataFrame:
     Rows with equal ids count as one document, of which the least row stays.
     """
     found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = written(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
-    once, more = keep.where("_n = 1"), keep.where("_n > 1")
+    # Names that no table is likely to have: the rows keep their own columns.
+    keep = written(found.groupBy(F.col("doc_id").alias("__simhash_id")).agg(F.count("*").alias("__simhash_n")), "kept")
+    once, more = keep.where("__simhash_n = 1"), keep.where("__simhash_n > 1")
     if keep.count() <= BROADCAST_IDS:
         once, more = F.broadcast(once), F.broadcast(more)
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    row = F.min(F.struct(*docs.columns)).alias("_row")
-    single = docs.join(more, same, "left_semi").groupBy("doc_id").agg(row).select("_row.*")
+    same = F.col("doc_id").eqNullSafe(F.col("__simhash_id"))
+    row = F.min(F.struct(*docs.columns)).alias("__simhash_row")
+    single = docs.join(more, same, "left_semi").groupBy("doc_id").agg(row).select("__simhash_row.*")
     return docs.join(once, same, "left_semi").unionByName(single)

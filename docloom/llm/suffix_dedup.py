@@ -17,8 +17,10 @@ in another document or in the same one. Strings are judged on the input.
    a run of such suffixes with total weight two or more is a repeat.
 4. Remove. Covered intervals go back to the regions' documents, are merged, and cut out.
 
-A group of more than LIMIT bytes is cut again by longer anchors (and at last by whole
-windows, where equal strings are one row), so the transform's memory stays bounded.
+A group of more than MANY different strings would not fit one transform; it is settled
+exactly by the digests of its windows, which are counted in a shuffle of their own, so no
+task ever holds a group that grows with the input. (The transform itself cuts what is
+over LIMIT bytes by longer anchors, for callers that use it on its own.)
 
 Edge cases: a null or empty text, or one under ``length`` bytes, loses nothing; repeated
 rows (same id and text) are occurrences of their own; rows are told apart by id and text,
@@ -41,6 +43,8 @@ from docloom.llm.common import BROADCAST_IDS, dropped, written
 LENGTH = 400
 #: Bytes of an anchor.
 GRAM = 160
+#: Different strings of a group that share a transform at most.
+MANY = 512
 #: Bytes of strings in one Burrows-Wheeler transform.
 LIMIT = 400_000
 #: Windows that are hashed at a time.
@@ -289,7 +293,41 @@ def expanded(strings: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "h long, s1 long, s2 long, spans array<struct<a:long,b:long>>")
 
 
-def covered(keyed: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
+SPANS = "array<struct<a:long,b:long>>"
+
+
+def counted_windows(strings: DataFrame, length: int) -> DataFrame:
+    """(h, s1, s2, spans) like :func:`expanded`, for groups of any size: by the digests of single windows."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for k, data in enumerate(batch.column("bytes").to_pylist()):
+                n = max(0, len(data) - length + 1)
+                d = b"".join([hashlib.blake2b(data[a : a + length], digest_size=16).digest() for a in range(n)])
+                parts.append((np.full(n, k), np.arange(n), np.frombuffer(d, "<i8").reshape(-1, 2)))
+            if parts:
+                row, start, d = (np.concatenate(x) for x in zip(*parts))
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(row) for c in ("h", "s1", "s2", "w")), pa.array(start), *(pa.array(np.ascontiguousarray(d[:, k])) for k in (0, 1))],
+                    names=["h", "s1", "s2", "w", "start", "d1", "d2"],
+                )
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"a": a, "b": b} for a, b in runs_of(np.array(x), length)] for x in batch.column("starts").to_pylist()]
+            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "s1", "s2")), pa.array(found, type=kind)], names=["h", "s1", "s2", "spans"])
+
+    unique = strings.dropDuplicates(["h", "s1", "s2"])  # a repeated row's copies
+    every = written(unique.mapInArrow(digests, "h long, s1 long, s2 long, w long, start long, d1 long, d2 long"), "windows")
+    often = written(every.groupBy("d1", "d2").agg(F.sum("w").alias("n")).where("n > 1").select("d1", "d2"), "windows")
+    met = every.join(often, ["d1", "d2"]).groupBy("h", "s1", "s2").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    return met.mapInArrow(spans, f"h long, s1 long, s2 long, spans {SPANS}")
+
+
+def covered(keyed: DataFrame, length: int = LENGTH, gram: int | None = None, many: int = MANY) -> DataFrame:
     """(k1, k2, spans): intervals of each document that repeated windows cover, unmerged."""
     gram = GRAM if gram is None and length > GRAM else gram or max(1, length // 2)
     every = written(regions(keyed, length, gram), "regions")
@@ -300,10 +338,16 @@ def covered(keyed: DataFrame, length: int = LENGTH, gram: int | None = None) ->
         met.groupBy("h", "s1", "s2").agg(F.count("*").alias("w"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("at")), "strings"
     )
     # A region whose digest occurs twice is repeated as a whole. The rest of its group needs the transform.
-    mixed = written(distinct.groupBy("h").agg(F.min("w").alias("least")).where("least = 1").select("h"), "mixed")
-    alike = distinct.join(mixed, "h", "left_anti").select("h", "s1", "s2", F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
-    wanted = distinct.join(mixed, "h").select("h", "s1", "s2", "w", "at.*")
-    found = written(alike.unionByName(expanded(strings_of(keyed, wanted, length), length)), "found")
+    groups = distinct.groupBy("h").agg(F.min("w").alias("least"), F.count("*").alias("n")).where("least = 1")
+    mixed = written(groups.select("h", "n"), "mixed")
+    alike = distinct.join(mixed.select("h"), "h", "left_anti").select("h", "s1", "s2", F.lit(None).cast(SPANS).alias("spans"))
+    own = ["h", "s1", "s2", "w", "at.*"]
+    small = strings_of(keyed, distinct.join(mixed.where(F.col("n") <= many).select("h"), "h").select(*own), length)
+    found = alike.unionByName(expanded(small, length))
+    large = mixed.where(F.col("n") > many)
+    if not large.isEmpty():
+        found = found.unionByName(counted_windows(strings_of(keyed, distinct.join(large.select("h"), "h").select(*own), length), length))
+    found = written(found, "found")
     whole = F.array(F.struct(F.col("lo").alias("a"), (F.col("hi") + length).alias("b")))
     moved = F.transform("spans", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b")))
     return (
@@ -334,8 +378,11 @@ def cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
 
 
 def _joined(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with the column ``spans``; documents without any aren't shuffled where their ids are few enough."""
-    keyed = docs.withColumns(dict(zip(("k1", "k2"), keys())))
+    """(row, doc_id, text, spans) of every row of ``docs``, ``row`` all its columns.
+
+    Documents without spans aren't shuffled where the others' keys are few enough.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", *keys())
     spans = written(covered(keyed.select("k1", "k2", "text"), length), "spans")
     if spans.count() > BROADCAST_IDS:
         return keyed.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
@@ -368,7 +415,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text``; characters cut in two go too.
 
-    A null text stays null. Other columns are kept as they are.
+    A null text stays null. Other columns are kept as they are, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,8 +424,9 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 t if s is None or t is None else cut(t.encode(), s)[0].decode("utf-8", "ignore")
                 for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
             ]
-            columns = [pa.array(texts, type=pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, type=pa.string())], names=["row", "text"])
 
-    names = docs.columns
-    return _joined(docs, length).select(*names, "spans").mapInArrow(run, docs.schema)
+    rest = [c for c in docs.columns if c != "text"]
+    joined = _joined(docs, length).select(F.struct(*[F.col("row")[c].alias(c) for c in rest]).alias("row"), "text", "spans")
+    made = joined.mapInArrow(run, joined.select("row", "text").schema)
+    return made.select(*[(F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
