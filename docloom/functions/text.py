@@ -160,3 +160,36 @@ def fitted(width: Column, height: Column, box_w: int, box_h: int) -> Column:
 
 def batch_size(memory_gb: Column, per_item_gb: float, most: int = 32) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(most), F.floor(memory_gb / per_item_gb))).cast("int")
+
+
+def pdf_metadata(content: Column) -> Column:
+    """What a PDF says of itself in plain objects: pages, first page's box, title, author, creation date.
+
+    Objects in compressed streams need a parser, which is plugged in as an adapter.
+    """
+    t = F.decode(content, "ISO-8859-1")
+    get = lambda p: F.when(t.rlike(p), F.regexp_extract(t, p, 1))
+    box = r"/MediaBox\s*\[\s*-?[\d.]+\s+-?[\d.]+\s+([\d.]+)\s+([\d.]+)\s*\]"
+    return F.struct(
+        F.regexp_count(t, F.lit(r"/Type\s*/Page[^s]")).alias("page_count"),
+        F.when(t.rlike(box), F.struct(F.regexp_extract(t, box, 1).cast("double").alias("width"), F.regexp_extract(t, box, 2).cast("double").alias("height"))).alias("dimensions"),
+        get(r"/Title\s*\(([^)]*)\)").alias("title"),
+        get(r"/Author\s*\(([^)]*)\)").alias("author"),
+        pdf_date(get(r"/CreationDate\s*\(([^)]*)\)")).alias("creation_date"),
+    )
+
+
+def _number(content: Column, at: int, size: int, little: bool) -> Column:
+    parts = [F.hex(F.substring(content, at + k, 1)) for k in range(size)]
+    return F.conv(F.concat(*(reversed(parts) if little else parts)), 16, 10).cast("int")
+
+
+def image_dimensions(content: Column) -> Column:
+    """Width and height from the header of a PNG, GIF or BMP; null for others."""
+    head = F.hex(F.substring(content, 1, 8))
+    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    return (
+        F.when(head.startswith("89504E47"), size(_number(content, 17, 4, False), _number(content, 21, 4, False)))
+        .when(head.startswith("47494638"), size(_number(content, 7, 2, True), _number(content, 9, 2, True)))
+        .when(head.startswith("424D"), size(_number(content, 19, 4, True), _number(content, 23, 4, True)))
+    )

@@ -251,3 +251,24 @@ def image_issues(image: Column) -> Column:
             F.when(~form.isin(*IMAGE_FORMATS), F.concat(F.when(uri, "Unsupported format: ").otherwise("Unsupported file format: "), form)),
         )
     )
+
+
+def inference_benchmark(df: DataFrame, group: list[str]) -> DataFrame:
+    """Cold, mean warm and batch seconds of runs (kind, seconds, images): images a second and the batch's gain."""
+    cold = F.avg(F.when(F.col("kind") == "cold", F.col("seconds")))
+    warm = F.avg(F.when(F.col("kind") == "warm", F.col("seconds")))
+    batch = F.sum(F.when(F.col("kind") == "batch", F.col("seconds"))) / F.sum(F.when(F.col("kind") == "batch", F.col("images")))
+    out = df.groupBy(*group).agg(cold.alias("cold_seconds"), warm.alias("warm_seconds"), batch.alias("batch_seconds_per_image"))
+    return out.withColumns({"images_per_second": F.try_divide(F.lit(1.0), "batch_seconds_per_image"), "batch_speedup": F.try_divide("warm_seconds", "batch_seconds_per_image")})
+
+
+def same_confidence(fields: Column, value: Column) -> Column:
+    """The same confidence for every field, as a map."""
+    return F.map_from_entries(F.transform(fields, lambda f: F.struct(f, value)))
+
+
+def suggested_client(complexity: Column, explicit: Column | None = None) -> Column:
+    """The model for a complexity, or the one asked for."""
+    by_level = {"simple": "CustomHaiku", "moderate": "CustomSonnet4", "complex": "CustomOpus4", "advanced": "CustomGPT5"}
+    chosen = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in by_level.items() for x in kv]), complexity), F.lit("CustomSonnet4"))
+    return chosen if explicit is None else F.coalesce(explicit, chosen)

@@ -6,6 +6,8 @@ rules are small tables that are joined to them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -146,11 +148,15 @@ def array_item_issues(df: DataFrame, key: list[str], path: str, tags: Column, ex
     return issues(rows, key, "type_validation", "error", F.format_string(f"Type mismatch: expected {expected}, got %s", "tag"))
 
 
-def quality_issues(fields: DataFrame, key: list[str], rules: DataFrame | None = None, document_type: str | None = None) -> DataFrame:
-    """All data-quality issues: empty values, consistency, suspicious text, then document rules."""
+def quality_issues(fields: DataFrame, key: list[str], rules: DataFrame | None = None, document_type: str | None = None, validators: list[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """All data-quality issues: empty values, consistency, suspicious text, then document rules and own validators.
+
+    A validator maps fields to issues (key and ISSUE columns).
+    """
     parts = [empty_issues(fields, key), duplicate_issues(fields, key), format_issues(fields, key), suspicious_issues(fields, key)]
     if rules is not None and document_type:
         parts.append(rule_issues(fields, rules, document_type, key))
+    parts += [v(fields).select(*key, *ISSUE) for v in validators]
     out = parts[0].withColumn("ord", F.lit(0))
     for n, p in enumerate(parts[1:], 1):
         out = out.unionByName(p.withColumn("ord", F.lit(n)))

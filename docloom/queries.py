@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as fn
-from docloom.operators import governance, lineage, metrics, quality, search, shape, validate
+from docloom.operators import extract, governance, lineage, metrics, quality, search, shape, validate
 from docloom.plans import schema as plans
 from docloom.sinks import export
 from docloom.sources import files
@@ -980,6 +980,22 @@ def agg_search_rating(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "events").groupBy("event_type").agg(search.rating(F.avg("value") / 10000).alias("rating"))
 
 
+@q(f"""WITH {POINTS}, n AS (SELECT a.*, {NORM.format('a')} AS n FROM points a), f AS (SELECT document_id || '#' || page_number AS query_id, arg_min(vector, patch_index) AS vector FROM points GROUP BY document_id, page_number),
+  b AS (SELECT *, {NORM.format('f')} AS n FROM f), s AS (SELECT b.query_id, a.id, {SCORE} / (a.n * b.n) AS score FROM n a, b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.7)
+  SELECT query_id, id, round(score, 5) AS score FROM r WHERE rank <= 10""")
+def top_patch_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """One query for each page, its first patch: the ten best patches over 0.7."""
+    p = stored_points(spark, sf)
+    return search.top_k(p, search.first_patches(p), 10, 0.7).select("query_id", "id", F.round("score", 5).alias("score"))
+
+
+@q(f"""WITH {POINTS} SELECT id, document_id, page_number, patch_x || ',' || patch_y AS patch_coordinates FROM points WHERE id % 100 = 0""")
+def prj_search_results(spark: SparkSession, sf: str) -> DataFrame:
+    p = stored_points(spark, sf)
+    found = p.where("id % 100 = 0").select(F.lit(1).alias("query_id"), "id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+    return search.results(found, p).select("id", "document.document_id", "document.page_number", "spatial.patch_coordinates")
+
+
 # Groups and sets ----------------------------------------------------------
 
 
@@ -1086,3 +1102,84 @@ def sch_typed_read(spark: SparkSession, sf: str) -> DataFrame:
     o = t(spark, sf, "orders")
     body = F.to_json(F.struct(F.concat(F.lit("INV-"), F.col("o_orderkey")).alias("number"), F.round("o_totalprice", 2).alias("total")))
     return o.select("o_orderkey", F.from_json(body, kind).alias("r")).select("o_orderkey", "r.*")
+
+
+# Model calls ----------------------------------------------------------------
+
+ANSWER_SCHEMA = {"title": "answer", "type": "object", "required": ["number", "vendor"], "properties": {"number": {"type": "string"}, "vendor": {"type": "string"}}}
+
+
+@q("""SELECT doc_id AS document_id, doc_id % 10 <> 0 AS success, doc_id % 3 = 0 AND doc_id % 10 <> 0 AS fallback_applied, CASE WHEN doc_id % 10 = 0 THEN 'timeout' END AS category,
+             CAST(CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_missing FROM documents""")
+def run_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents through two stand-in models: the first fails on every third, both on every tenth."""
+
+    def first(pages: list[bytes], prompt: str) -> str:
+        n = int(pages[0].split(b"|")[0])
+        if n % 3 == 0 or n % 10 == 0:
+            raise RuntimeError("connection timeout")
+        return extract.stub(["number", "vendor"])(pages, prompt)
+
+    def second(pages: list[bytes], prompt: str) -> str:
+        if int(pages[0].split(b"|")[0]) % 10 == 0:
+            raise RuntimeError("connection timeout")
+        return extract.stub(["number", "vendor"])(pages, prompt)
+
+    d = t(spark, sf, "documents")
+    pages = d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.concat_ws("|", "doc_id", F.substring("text", 1, 100)).cast("binary").alias("image"))
+    out = extract.process(pages, ANSWER_SCHEMA, {"a": first, "b": second}, ["a", "b"], F.lit("2024-01-15 10:30:00"))
+    missing = out["issues"].where("issue_type = 'required_fields'").groupBy(F.col("processing_id").cast("long").alias("document_id")).agg(F.count("*").alias("n_missing"))
+    errors = out["errors"].select("document_id", F.col("handling.category").alias("category"))
+    answers = out["answers"].select("document_id", "success", "fallback_applied")
+    return answers.join(errors, "document_id", "left").join(missing, "document_id", "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0).cast("long")))
+
+
+@q("""SELECT event_type, round(avg(CASE WHEN event_id % 3 = 0 THEN value END), 6) AS cold_seconds, round(avg(CASE WHEN event_id % 3 = 1 THEN value END), 6) AS warm_seconds,
+             round(sum(CASE WHEN event_id % 3 = 2 THEN value END) / sum(CASE WHEN event_id % 3 = 2 THEN 4 END), 6) AS batch_seconds_per_image FROM events GROUP BY event_type""")
+def sta_inference_benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = F.get(F.array(*map(F.lit, ["cold", "warm", "batch"])), (F.col("event_id") % 3).cast("int"))
+    e = t(spark, sf, "events").select("event_type", kinds.alias("kind"), F.col("value").alias("seconds"), F.lit(4).alias("images"))
+    b = metrics.inference_benchmark(e, ["event_type"])
+    return b.select("event_type", *[r6(F.col(c)).alias(c) for c in ("cold_seconds", "warm_seconds", "batch_seconds_per_image")])
+
+
+@q("""SELECT p_partkey, 3 AS n_fields, round(0.8 * CASE WHEN p_size % 2 = 0 THEN 0.9 ELSE 1 END, 6)::DOUBLE AS confidence, CASE WHEN p_size % 5 = 0 THEN 'CustomGPT5' WHEN p_size % 3 = 0 THEN 'CustomHaiku' WHEN p_size % 3 = 1 THEN 'CustomSonnet4' ELSE 'CustomOpus4' END AS client FROM part""")
+def agg_field_confidences(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    c = metrics.same_confidence(F.array(*map(F.lit, "abc")), 0.8 * F.when(size % 2 == 0, 0.9).otherwise(1.0))
+    level = F.get(F.array(*map(F.lit, ["simple", "moderate", "complex"])), size % 3)
+    client = metrics.suggested_client(level, F.when(size % 5 == 0, "CustomGPT5"))
+    return t(spark, sf, "part").select("p_partkey", F.size(c).alias("n_fields"), r6(F.element_at(c, "b")).alias("confidence"), client.alias("client"))
+
+
+@q("""SELECT user_id, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, round(max(value) - min(value), 6) AS spread FROM events GROUP BY user_id""")
+def agg_memory_history(spark: SparkSession, sf: str) -> DataFrame:
+    v = "value"
+    return t(spark, sf, "events").groupBy("user_id").agg(r6(F.min(v)).alias("low"), r6(F.max(v)).alias("high"), r6(F.avg(v)).alias("mean"), r6(F.max(v) - F.min(v)).alias("spread"))
+
+
+@q("""SELECT doc_id, array_to_string(list_sort(list_filter(['document_id', 'page_number', 'document_type', 'processing_timestamp'], lambda x: x <> CASE doc_id % 3 WHEN 0 THEN 'document_id' WHEN 1 THEN 'page_number' ELSE '' END)), ',') AS missing FROM documents""")
+def set_missing_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Required payload keys that a record lacks, as a set difference."""
+    need = F.array(*map(F.lit, search.REQUIRED_PAYLOAD))
+    have = F.array(F.when(F.col("doc_id") % 3 == 0, "document_id").when(F.col("doc_id") % 3 == 1, "page_number").otherwise(""))
+    return t(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.array_except(need, have)), ",").alias("missing"))
+
+
+@q("""SELECT doc_id, CAST(doc_id % 3 + 1 AS INTEGER) AS pages, 'Doc ' || doc_id AS title, 612.0::DOUBLE AS width, '2024-01-15T10:30:00' AS created FROM documents""")
+def src_pdf_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("doc_id")
+    body = F.concat(F.lit("%PDF-1.4 /Title (Doc "), k, F.lit(") /CreationDate (D:20240115103000Z) /MediaBox [0 0 612 792] "), F.repeat(F.lit("<< /Type /Page >> "), (k % 3 + 1).cast("int")), F.lit("/Type /Pages"))
+    m = t(spark, sf, "documents").select("doc_id", fn.pdf_metadata(body.cast("binary")).alias("m"))
+    return m.select("doc_id", F.col("m.page_count").alias("pages"), "m.title", "m.dimensions.width", F.col("m.creation_date").alias("created"))
+
+
+@q("""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN CAST(doc_id % 200 + 1 AS INTEGER) END AS width, CASE WHEN doc_id % 3 < 2 THEN 7 END AS height FROM documents""")
+def src_image_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("doc_id")
+    b = F.lpad(F.hex(k % 200 + 1), 2, "0")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452000000"), b, F.lit("00000007"))
+    gif = F.concat(F.lit("474946383961"), b, F.lit("000700"))
+    content = F.unhex(F.when(k % 3 == 0, png).when(k % 3 == 1, gif).otherwise("FFD8FF"))
+    d = t(spark, sf, "documents").select("doc_id", fn.image_dimensions(content).alias("d"))
+    return d.select("doc_id", "d.width", "d.height")

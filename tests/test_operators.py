@@ -319,3 +319,38 @@ def test_degradation_and_responses(spark):
     assert d["success"] and d["degradation_applied"] == "model_fallback"
     assert one(spark, metrics.degradation(F.lit(None).cast("string"), F.lit("m")))["degradation_applied"] == "default"
     assert json.loads(one(spark, export.error_response(F.lit(400), F.lit("bad"), F.lit("E")))["body"]) == {"error": {"type": "E", "message": "bad"}}
+
+
+def test_own_validators_and_stream_metrics(spark, tmp_path):
+    from docloom.streaming.monitor import Metrics, log_line
+
+    fields = spark.createDataFrame([(1, 0, "a", "string", "x", None)], "id int, pos int, path string, tag string, str_val string, num_val double")
+    own = lambda f: validate.issues(f, ["id"], "own", "info", "seen")
+    assert [r.issue_type for r in validate.quality_issues(fields, ["id"], validators=[own]).collect()] == ["own"]
+    m = Metrics(keep=2)
+    spark.streams.addListener(m)
+    try:
+        spark.range(3).write.parquet(f"{tmp_path}/in")
+        s = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+        s.writeStream.format("noop").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.streams.removeListener(m)
+    assert len(m.rows) <= 2 and m.table(spark).count() == len(m.rows)
+    assert json.loads(log_line("info", "x", n=1)) == {"level": "info", "message": "x", "n": 1}
+
+
+def test_failed_models_keep_their_rows(spark):
+    from docloom.operators import extract
+
+    def broken(pages, prompt):
+        raise RuntimeError("out of tokens")
+
+    pages = spark.createDataFrame([("d", 1, b"x"), ("d", 2, b"y")], "document_id string, page_number int, image binary")
+    schema = {"title": "r", "type": "object", "required": ["a"], "properties": {"a": {"type": "string"}}}
+    out = extract.process(pages, schema, {"m": broken}, ["m"], F.lit("2024-01-01"))
+    assert out["canonical"].first()["extraction_data"] is None and out["answers"].first()["attempts"] == 2
+    assert out["scores"].first()["is_valid"] is False
+    good = extract.process(pages, schema, {"m": broken, "s": extract.stub(["a"])}, ["m", "s"], F.lit("2024-01-01"))
+    r = good["answers"].first()
+    assert r["success"] and r["fallback_applied"] and r["client"] == "s"
+    assert good["scores"].first()["is_valid"] is True and good["shaped"].first()["a"]
