@@ -6,28 +6,46 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def at_index(values: Column, index: Column) -> Column:
-    """Element of a sorted array at a zero-based index."""
-    return F.get(values, index.cast("int"))
+#: Ranges of a group's values that are counted before the one with a wanted rank is put in order.
+RANGES = 4096
 
 
-def index_percentile(df: DataFrame, group: list[str], value: str, share: float) -> DataFrame:
-    """The value at index floor(share * n) of the sorted values (no interpolation), by ranks.
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join in which nulls are equal, with the key columns once."""
+    if not on:
+        return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    return left.join(other, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on], how).drop(*[f"_r_{c}" for c in on])
+
+
+def index_percentiles(df: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(group, share, value): the values at index floor(share * n) of each group's sorted values, not interpolated.
 
-    Rows are ranked in their group; nothing is collected into one array.
+    A group may be most of the table, so it is never sorted as a whole: its values are
+    counted in RANGES ranges, and only the ranges that hold a wanted rank are ranked.
     """
-    w = Window.partitionBy(*group)
-    df = df.withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(value)) - 1})
-    want = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
-    return df.where(F.col("_r") == want).select(*group, F.col(value).alias("value"))
+    df = df.where(F.col(value).isNotNull())
+    stats = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n"))
+    part = F.least(F.lit(RANGES - 1), F.coalesce(F.floor(F.try_divide((F.col(value) - F.col("_lo")) * RANGES, F.col("_hi") - F.col("_lo"))), F.lit(0))).cast("int")
+    dealt = joined(df.select(*group, value), stats, group).withColumn("_b", part)
+    w = Window.partitionBy(*group).orderBy("_b")
+    counts = dealt.groupBy(*group, "_b", "_n").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+    share = F.explode(F.array(*map(F.lit, shares))).alias("share")
+    want = counts.select("*", share).withColumn("_want", F.least(F.floor(F.col("_n") * F.col("share")), F.col("_n") - 1))
+    want = want.where((F.col("_want") >= F.col("_before")) & (F.col("_want") < F.col("_before") + F.col("_c"))).select(*group, "_b", "share", (F.col("_want") - F.col("_before") + 1).alias("_at"))
+    rank = F.row_number().over(Window.partitionBy(*group, "share").orderBy(value))
+    return joined(dealt.select(*group, "_b", value), want, [*group, "_b"]).withColumn("_rank", rank).where("_rank = _at").select(*group, "share", F.col(value).alias("value"))
+
+
+def index_percentile(df: DataFrame, group: list[str], value: str, share: float) -> DataFrame:
+    """(group, value) of one share."""
+    return index_percentiles(df, group, value, [share]).drop("share")
 
 
 def latency_summary(df: DataFrame, group: list[str], value: str, success: Column) -> DataFrame:
-    """Counts, success rate, extremes, mean and index-based p50 and p95 of each group, in one pass of ranks."""
-    w = Window.partitionBy(*group)
-    ranked = df.withColumns({"_ok": success.cast("long"), "_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(value)) - 1})
-    p = lambda share: F.max(F.when(F.col("_r") == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1), F.col(value)))
-    return ranked.groupBy(*group).agg(
+    """Counts, success rate, extremes, mean and index-based p50 and p95 of each group."""
+    df = df.withColumn("_ok", success.cast("long"))
+    sums = df.groupBy(*group).agg(
         F.count("*").alias("total_operations"),
         F.sum("_ok").alias("success_count"),
         (F.count("*") - F.sum("_ok")).alias("error_count"),
@@ -35,9 +53,10 @@ def latency_summary(df: DataFrame, group: list[str], value: str, success: Column
         F.min(value).alias("min_value"),
         F.max(value).alias("max_value"),
         F.avg(value).alias("avg_value"),
-        p(0.5).alias("p50_value"),
-        p(0.95).alias("p95_value"),
     )
+    p = index_percentiles(df, group, value, [0.5, 0.95])
+    at = lambda share: F.max(F.when(F.col("share") == share, F.col("value")))
+    return joined(sums, p.groupBy(*group).agg(at(0.5).alias("p50_value"), at(0.95).alias("p95_value")), group, "left")
 
 
 def run_statistics(df: DataFrame, group: list[str], value: str) -> DataFrame:
