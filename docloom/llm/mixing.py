@@ -9,7 +9,8 @@ The graph has one node per pattern and source, never one per document.
 A pattern's flow is then met by documents: all of them as often as the flow covers the
 whole pattern, and a seeded prefix of them once more. The prefix is found without sorting
 a pattern: sums over 4096 ranges of the seeded hash name the range in which the flow ends,
-and only that range is put in order.
+and only that range is put in order. What the prefix leaves of the flow is filled by up to
+EXTRA single documents, each time the largest that fits.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; a
 document of size 0 takes nothing; rows with equal ids are taken or left together; an empty
@@ -34,6 +35,8 @@ SEED = 7
 RANGE_BITS = 12
 #: Patterns that are joined by broadcast at most (there is a row for each).
 BROADCAST_PATTERNS = 100_000
+#: Single documents of a pattern that fill what its prefix leaves.
+EXTRA = 3
 
 
 def targets(sizes: dict, weights: dict, share: Fraction = SHARE, times: int = MAX_TIMES) -> dict:
@@ -116,7 +119,7 @@ def plan(sized: DataFrame, share: Fraction = SHARE, weights: tuple = WEIGHTS, ti
 
     ``sized`` has ``_members`` (array of sources), ``_id`` and ``_size``. The plan has a row
     for each pattern: all its documents are taken ``_whole`` times, and those up to
-    (``_cut``, ``_cut_id``) in the seeded order once more. What comes to the driver is a row
+    (``_cut``, ``_cut_id``) in the seeded order, and those in ``_extra``, once more. What comes to the driver is a row
     for each pattern and range, whatever the number of documents.
     """
     spark = sized.sparkSession
@@ -152,26 +155,50 @@ def plan(sized: DataFrame, share: Fraction = SHARE, weights: tuple = WEIGHTS, ti
         .agg(F.sum("_size").alias("_size"))
     )
     order = Window.partitionBy("_members").orderBy("_at", "_cut_id")
-    running = F.col("_before") + F.sum("_size").over(order) - F.col("_size")
+    up_to = F.col("_before") + F.sum("_size").over(order)
     cuts = (
-        last.withColumn("_running", running)
-        .groupBy("_members", "_range")
-        .agg(F.max(F.when(F.expr("2 * _running + _size <= 2 * _rest"), F.struct(F.col("_at").alias("_cut"), "_cut_id"))).alias("c"))
+        last.withColumn("_up_to", up_to)
+        .groupBy("_members", "_range", "_before", "_rest")
+        .agg(F.max(F.when(F.col("_up_to") <= F.col("_rest"), F.struct(F.col("_at").alias("_cut"), "_cut_id", "_up_to"))).alias("c"))
         .select(
             "_members",
             F.coalesce("c._cut", F.shiftleft(F.col("_range"), bits) - 1).alias("_cut"),
             F.coalesce("c._cut_id", F.lit(-(1 << 63)).cast("long")).alias("_cut_id"),
+            (F.col("_rest") - F.coalesce("c._up_to", "_before")).alias("_gap"),
         )
         .collect()
     )
-    cut = {tuple(r["_members"]): (r["_cut"], r["_cut_id"]) for r in cuts}
-    found = spark.createDataFrame(
-        [(m, whole, *cut.get(tuple(m), (-1, 0))) for m, whole, _ in rows],
-        "_members array<string>, _whole long, _cut long, _cut_id long",
-    )
+    state = {tuple(r["_members"]): [r["_cut"], r["_cut_id"], r["_gap"], []] for r in cuts}
+    plan_type = "_members array<string>, _whole long, _cut long, _cut_id long, _gap long, _extra array<struct<at:long,id:long>>"
+    for _ in range(EXTRA):  # what is left of a flow goes to the largest document that still fits
+        open_rows = [(list(m), 0, *x) for m, x in state.items() if x[2] > 0]
+        if not open_rows:
+            break
+        side = spark.createDataFrame(open_rows, plan_type)
+        fits = (
+            sized.where("_size > 0")
+            .join(F.broadcast(side) if len(open_rows) <= BROADCAST_PATTERNS else side, "_members")
+            .where(~early(F.col("_at"), F.col("_id")))
+            .groupBy("_members", "_at", "_id", "_gap")
+            .agg(F.sum("_size").alias("_size"))
+            .where(F.col("_size") <= F.col("_gap"))
+            .groupBy("_members")
+            .agg(F.max(F.struct("_size", "_at", "_id")).alias("m"))
+        )
+        for r in fits.collect():
+            x = state[tuple(r["_members"])]
+            x[2] -= r["m"]["_size"]
+            x[3].append((r["m"]["_at"], r["m"]["_id"]))
+    found = spark.createDataFrame([(m, whole, *state.get(tuple(m), (-1, 0, 0, []))) for m, whole, _ in rows], plan_type)
     return found, by_source, target
 
 
+def early(at: Column, doc_id: Column) -> Column:
+    """Is a document within its pattern's prefix, or one of its extra ones?"""
+    prefix = (at < F.col("_cut")) | ((at == F.col("_cut")) & (doc_id <= F.col("_cut_id")))
+    return prefix | F.exists("_extra", lambda x: (x["at"] == at) & (x["id"] == doc_id))
+
+
 def with_times(docs: DataFrame, members: Column, seed: int = SEED, **how) -> tuple[DataFrame, dict, dict]:
     """(_row, _members, _size, _times, ...): rows as structs, and how often the mix takes each."""
     sized = docs.select(
@@ -182,10 +209,8 @@ def with_times(docs: DataFrame, members: Column, seed: int = SEED, **how) -> tup
     )
     narrow = written(sized.select("_members", "_id", "_size"), "sizes")
     found, sizes, target = plan(narrow, seed=seed, **how)
-    at = seeded(seed)
-    early = (at < F.col("_cut")) | ((at == F.col("_cut")) & (F.col("_id") <= F.col("_cut_id")))
     side = F.broadcast(found) if found.count() <= BROADCAST_PATTERNS else found
-    taken = sized.join(side, "_members").withColumn("_times", F.col("_whole") + early.cast("long"))
+    taken = sized.join(side, "_members").withColumn("_times", F.col("_whole") + early(seeded(seed), F.col("_id")).cast("long"))
     return taken, sizes, target
 
 
