@@ -1,7 +1,10 @@
 """The pipeline's stages in order, each on what its predecessor kept."""
 
 import collections
+import hashlib
+import math
 import random
+import struct
 
 import pytest
 
@@ -42,3 +45,138 @@ def test_stages(spark, folder):
     e = corpus_pipeline.encode(spark, d, path)
     assert e.count() == d.count()
     assert corpus_pipeline.run(spark, path).count() == e.count()
+
+
+def brute_quality(rows, trusted):
+    """Stage 1 in plain Python: base rules, and log ratios with the text itself left out."""
+    from docloom.llm import quality_rules as rules
+
+    grams = {k: collections.Counter(rules.buckets(*rules.word_ids(r[1].encode().split())).tolist()) if (r[1] or "").split() else collections.Counter() for k, r in enumerate(rows)}
+    raw, target = collections.Counter(), collections.Counter()
+    for k, r in enumerate(rows):
+        raw.update(grams[k])
+        if r[0] in trusted:
+            target.update(grams[k])
+
+    def score(k, good):
+        own = grams[k]
+        r, t = raw.total() - own.total(), target.total() - own.total() * good
+        if r <= 0 or t <= 0:
+            return 0
+        return sum(n * round(math.log((target[b] - n * good + rules.PSEUDO) / ((raw[b] - n) * (t / r) + rules.PSEUDO)) * rules.UNIT) for b, n in own.items())
+
+    steps = collections.defaultdict(list)
+    for k, r in enumerate(rows):
+        if r[0] in trusted and grams[k]:
+            steps[r[2]].append(score(k, True) * 1000 // (grams[k].total() * rules.UNIT))
+
+    def least(found):
+        found = sorted(found)
+        at = next((x for n, x in enumerate(found, 1) if sum(y <= x for y in found) > len(found) * rules.QUANTILE), None)
+        return min(math.floor(rules.THRESHOLD * rules.UNIT), rules.UNIT if at is None else at * rules.UNIT // 1000)
+
+    other = least([x for v in steps.values() for x in v])
+    kept = []
+    for k, r in enumerate(rows):
+        words = (r[1] or "").split()
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        often = collections.Counter(windows)
+        repeated = len({i + j for i, w in enumerate(windows) if often[w] > 1 for j in range(5)})
+        bad = len(words) < 10 or 100 * repeated > 20 * len(words)
+        limit = least(steps[r[2]]) if len(steps.get(r[2], ())) >= rules.ENOUGH else other
+        if not bad and score(k, r[0] in trusted) >= limit * grams[k].total():
+            kept.append(r)
+    return kept
+
+
+def brute_near(rows):
+    from xxhash import xxh64_intdigest
+
+    prints = []
+    for r in rows:
+        w = (r[1] or "").encode().lower().split()
+        h = [xxh64_intdigest(b" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 2:
+                a, b = group[i], group[j]
+                group = [b if x == a else x for x in group]
+    first = {}
+    for r, g in zip(rows, group):
+        first[g] = min(first.get(g, r), r, key=lambda x: x[0])
+    return list(first.values())
+
+
+def brute_repeats(rows):
+    data = [(r[1] or "").encode() for r in rows]
+    seen = collections.Counter(d[p : p + 400] for d in data for p in range(len(d) - 399))
+    out = []
+    for r, d in zip(rows, data):
+        gone = set()
+        for p in range(len(d) - 399):
+            if seen[d[p : p + 400]] > 1:
+                gone.update(range(p, p + 400))
+        text = bytes(x for k, x in enumerate(d) if k not in gone).decode("utf-8", "ignore")
+        out.append((r[0], text, *r[2:4], len(text)))
+    return out
+
+
+def brute_mix(rows):
+    from xxhash import xxh64_intdigest
+
+    from docloom.llm import mixing
+
+    size = [len((r[1] or "").split()) for r in rows]
+    sources = sorted({r[3] for r in rows})
+    sizes = {s: sum(n for n, r in zip(size, rows) if r[3] == s) for s in sources}
+    left, active, target = 1.5 * sum(sizes.values()), set(sources), {}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
+    while active:
+        over = {s for s in active if weight[s] * left / sum(weight[x] for x in active) > 2 * sizes[s]}
+        if not over:
+            target |= {s: weight[s] * left / sum(weight[x] for x in active) for s in active}
+            break
+        target |= {s: 2 * sizes[s] for s in over}
+        left -= sum(2 * sizes[s] for s in over)
+        active -= over
+    out = []
+    for s in sources:
+        own = [(r, n) for r, n in zip(rows, size) if r[3] == s]
+        at = lambda r: xxh64_intdigest(struct.pack("<q", r[0]), xxh64_intdigest(struct.pack("<i", mixing.SEED), 42)) >> 1
+        own.sort(key=lambda x: at(x[0]))
+        times, rest = divmod(round(target[s]), sizes[s])
+        extra, open_rows = set(), True
+        for r, n in own:
+            if open_rows and rest and n <= rest:
+                extra.add(r[0])
+                rest -= n
+            else:
+                open_rows = False
+        for _ in range(mixing.EXTRA):
+            fits = [(n, at(r), r[0]) for r, n in own if r[0] not in extra and 0 < n <= rest]
+            if fits:
+                n, _, k = max(fits)
+                extra.add(k)
+                rest -= n
+        for r, _ in own:
+            out += [r] * (times + (r[0] in extra))
+    return out
+
+
+def test_against_brute_force(spark, folder):
+    from tokenizers import Tokenizer
+
+    from docloom.llm.queries import tokenizer_path
+
+    path, _ = folder
+    rows = sorted(map(tuple, spark.read.parquet(f"{path}/documents.parquet").collect()))
+    rows = brute_mix(brute_repeats(brute_near(brute_quality(rows, set(range(40))))))
+    coder = Tokenizer.from_file(tokenizer_path())
+    want = []
+    for r in rows:
+        ids = coder.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    got = corpus_pipeline.run(spark, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 60
