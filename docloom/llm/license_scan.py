@@ -34,7 +34,7 @@ CONTAINED = 0.8
 #: Least similarity of a window that holds CONTAINED of a template: .8 m / (m + .25 m + .2 m).
 JACCARD = 0.55
 BANDS = 12
-#: Texts that are worked on together.
+#: Texts that are worked on together, up to 1024 parts; beyond that 16 times as many.
 PART_DOCS = 256
 #: Notices of public licenses (fixed values).
 TEMPLATES = {
@@ -121,7 +121,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
         some = text.contains(word) if some is None else some | text.contains(word)
     # Only these texts are dealt out, once; all of a document's windows are then made where it is.
     near = written(docs.select("doc_id", F.xxhash64("text").alias("t"), "text").where(some), "near")
-    near = near.repartition(max(1, near.count() // PART_DOCS), "doc_id", "t")
+    n = near.count()
+    near = near.repartition(max(1, min(n // PART_DOCS, 1024), n // (16 * PART_DOCS)), "doc_id", "t")
     base = shingles(near).withColumn("d", F.xxhash64("sh"))
     # A window agrees in a band only if it holds the shingle that is least there in a template,
     # so only shingles within a window's length of such a one are hashed.

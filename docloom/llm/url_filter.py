@@ -93,7 +93,8 @@ def edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
             found = [(u, x) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()) for x in aliases_of(u, h)]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string()) for c in (list(zip(*found)) or [[]] * 2)], names=["a", "b"])
 
-    out = pages.select("url", "html").mapInArrow(run, "a string, b string")
+    html = F.col("html") if "html" in pages.columns else F.lit(None).cast("string").alias("html")
+    out = pages.select("url", html).mapInArrow(run, "a string, b string")
     if redirects is not None:
         a, b = redirects.columns
         out = out.unionByName(redirects.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b"))
