@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Magic bytes in the order they are tried (fixed values): hex of the first bytes -> format.
+#: Hex of the first bytes -> format, in the order they are tried, between ZIP files and HTML
+#: before them and WebP after them (fixed values).
 SIGNATURES = [
-    ("25504446", "pdf"), ("89504E470D0A1A0A", "image"), ("FFD8FF", "image"), ("474946383761", "image"), ("474946383961", "image"),
-    ("424D", "image"), ("49492A00", "image"), ("4D4D002A", "image"),
+    ("FFD8FF", "image"), ("89504E470D0A1A0A", "image"), ("474946383761", "image"), ("474946383961", "image"),
+    ("49492A00", "image"), ("4D4D002A", "image"), ("424D", "image"),
 ]
+LATE_SIGNATURES = [("7B5C727466", "word"), ("D0CF11E0A1B11AE1", "excel")]
+#: Names within a ZIP file's first 2048 bytes -> format, in order; other ZIP files count as excel (fixed values).
+OFFICE = [("xl/|worksheets/|sharedStrings", "excel"), ("ppt/|slides/|presentation", "powerpoint"), ("word/|document\\.xml", "word")]
 #: MIME types (fixed values).
 MIME = {
-    "application/pdf": "pdf", "image/png": "image", "image/jpeg": "image", "image/jpg": "image", "image/gif": "image",
-    "image/bmp": "image", "image/tiff": "image", "image/webp": "image", "text/html": "html", "application/xhtml+xml": "html",
+    "application/pdf": "pdf", "text/html": "html", "application/xhtml+xml": "html",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "excel", "application/vnd.ms-excel": "excel",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "powerpoint", "application/vnd.ms-powerpoint": "powerpoint",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "word", "application/msword": "word",
+    "image/png": "image", "image/jpeg": "image", "image/gif": "image", "image/bmp": "image", "image/tiff": "image", "image/webp": "image",
 }
 EXTENSIONS = {
     "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp",
@@ -36,12 +43,19 @@ def is_html(content: Column) -> Column:
 
 
 def format_by_signature(content: Column) -> Column:
-    """Format by magic bytes, then WebP, then HTML; null if unknown."""
+    """Format by the first bytes; null if unknown."""
     head = F.hex(F.substring(content, 1, 16))
-    out = F.when(is_html(content), "html")
-    out = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image").otherwise(out)
-    for magic, name in reversed(SIGNATURES):
-        out = F.when(head.startswith(magic), name).otherwise(out)
+    start = F.decode(F.substring(content, 1, 2048), "ISO-8859-1")
+    office = F.lit("excel")
+    for names, form in reversed(OFFICE):
+        office = F.when(start.rlike(names), form).otherwise(office)
+    out = F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B"), office)
+    out = out.when(start.startswith("<!DOCTYPE html") | start.startswith("<html") | start.startswith("<HTML"), "html")
+    for magic, form in SIGNATURES:
+        out = out.when(head.startswith(magic), form)
+    out = out.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image")
+    for magic, form in LATE_SIGNATURES:
+        out = out.when(head.startswith(magic), form)
     return out
 
 
@@ -78,39 +92,55 @@ def exif_date(c: Column) -> Column:
 
 def html_date(c: Column) -> Column:
     """Six formats in order, month before day where both fit."""
+    day = r"\d{4}-\d{1,2}-\d{1,2}"
+    time = r"\d{1,2}:\d{1,2}:\d{1,2}"
     forms = [
-        (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d'T'H:m:s"),
-        (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}Z$", "yyyy-M-d'T'H:m:s'Z'"),
-        (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+        (f"^{day}$", "yyyy-M-d"),
+        (f"^{day}T{time}$", "yyyy-M-d'T'H:m:s"),
+        (f"^{day}T{time}Z$", "yyyy-M-d'T'H:m:s'Z'"),
+        (f"^{day} {time}$", "yyyy-M-d H:m:s"),
         (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
         (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-        (r"^[A-Za-z]+ \d{1,2}, \d{4}$", "MMMM d, yyyy"),
     ]
     return F.coalesce(*[F.when(c.rlike(p), iso(stamp(c, f))) for p, f in forms])
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def html_title(html: Column) -> Column:
     found = F.regexp_extract(html, r"(?i)<title[^>]*>([^<]*)</title>", 1)
-    return F.when(html.rlike(r"(?i)<title[^>]*>[^<]*</title>"), F.substring(F.trim(found), 1, 200))
+    return F.when(html.rlike(r"(?i)<title[^>]*>[^<]*</title>"), F.substring(stripped(found), 1, 200))
+
+
+def html_meta(html: Column, attributes: list[str], most: int | None = None) -> Column:
+    """Content of the first meta tag with one of the attributes (such as ``name="author"``) that isn't empty."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<meta[^>]+>)"), F.lit(1))
+    has = lambda t: F.exists(F.array(*map(F.lit, attributes)), lambda a: F.lower(t).contains(a))
+    texts = F.transform(F.filter(tags, has), lambda t: stripped(F.regexp_extract(t, r"(?i)content=[\"']([^\"']*)[\"']", 1)))
+    first = F.get(F.filter(texts, lambda v: v != ""), F.lit(0))
+    return first if most is None else F.substring(first, 1, most)
 
 
-def html_meta(html: Column, name: str, most: int = 100) -> Column:
-    """Content of the first meta tag of a name that isn't empty."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<meta[^>]*>)"), F.lit(1))
-    own = F.filter(tags, lambda t: t.rlike(rf"(?i)name\s*=\s*[\"']{name}[\"']"))
-    values = F.filter(F.transform(own, lambda t: F.trim(F.regexp_extract(t, r"(?i)content\s*=\s*[\"']([^\"']*)[\"']", 1))), lambda v: v != "")
-    return F.substring(F.get(values, F.lit(0)), 1, most)
+def html_author(html: Column) -> Column:
+    return html_meta(html, ['name="author"', 'property="author"'], 100)
+
+
+def html_created(html: Column) -> Column:
+    return html_date(html_meta(html, ['name="date"', 'name="created"', 'property="article:published_time"']))
 
 
 def html_pages(html: Column) -> Column:
     """Estimated pages: text length L over 5000 gives L div 3000, else 1."""
-    n = F.char_length(F.trim(F.regexp_replace(html, "<[^>]+>", "")))
+    n = F.char_length(stripped(F.regexp_replace(html, "<[^>]*>", "")))
     return F.when(n > 5000, F.greatest(F.lit(1), F.floor(n / 3000))).otherwise(1).cast("int")
 
 
 def html_dimensions(html: Column) -> Column:
     """Viewport width, with 800 high; 1200 x 800 without one."""
-    width = F.regexp_extract(html, r"(?i)<meta[^>]*viewport[^>]*width\s*=\s*(\d+)", 1)
+    content = F.regexp_extract(html, r"(?i)<meta[^>]*name=[\"']viewport[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
+    width = F.regexp_extract(content, r"width=(\d+)", 1)
     return F.struct(F.coalesce(F.when(width != "", width.cast("double")), F.lit(1200.0)).alias("width"), F.lit(800.0).alias("height"))
 
 
@@ -153,13 +183,22 @@ def cleaned(c: Column) -> Column:
 
 def fitted(width: Column, height: Column, box_w: int, box_h: int) -> Column:
     """Size of an image scaled to fit a box, and the margins that centre it."""
-    scale = F.least(F.lit(float(box_w)) / width, F.lit(float(box_h)) / height)
-    w, h = F.floor(width * scale).cast("int"), F.floor(height * scale).cast("int")
+    aspect = width / height
+    wide = aspect > box_w / box_h
+    w = F.when(wide, box_w).otherwise(F.floor(box_h * aspect)).cast("int")
+    h = F.when(wide, F.floor(box_w / aspect)).otherwise(box_h).cast("int")
     return F.struct(w.alias("width"), h.alias("height"), F.floor((box_w - w) / 2).cast("int").alias("left"), F.floor((box_h - h) / 2).cast("int").alias("top"))
 
 
-def batch_size(memory_gb: Column, per_item_gb: float, most: int = 32) -> Column:
-    return F.greatest(F.lit(1), F.least(F.lit(most), F.floor(memory_gb / per_item_gb))).cast("int")
+def page_batch(dpi: Column, pages: Column, memory_mb: float) -> Column:
+    """Pages (A4, three bytes a pixel) that fit the memory at once, at most all of them."""
+    mb = (8.27 * dpi) * (11.69 * dpi) * 3 / (1024 * 1024)
+    return F.least(F.greatest(F.lit(1), F.floor(memory_mb / mb)), pages).cast("int")
+
+
+def model_batch(model_mb: Column, memory_mb: Column) -> Column:
+    """Images of 100 MB that fit beside a model, with a third in reserve; 1 to 16."""
+    return F.least(F.lit(16), F.greatest(F.lit(1), F.floor((memory_mb - model_mb * 2.5) * 0.7 / 100))).cast("int")
 
 
 def pdf_metadata(content: Column) -> Column:

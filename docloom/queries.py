@@ -278,14 +278,14 @@ def nf_atomicity(spark: SparkSession, sf: str) -> DataFrame:
 
 # Sources and sinks --------------------------------------------------------
 
-CONTENT = ["%PDF-1.7 body", "<html><body>x", "GIF89a....", "BM....", "plain words", "%PDF-1.7 /Encrypt"]
+CONTENT = ["%PDF-1.7 body", "<html><body>x", "GIF89a....", "BM....", "plain words", "%PDF-1.7 /Encrypt", "PK..word/x", "PK..ppt/slides/", "PK....", "{\\rtf1"]
 
 
-@q("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'image' WHEN 3 THEN 'image' WHEN 5 THEN 'pdf' END AS format,
-             doc_id % 6 IN (0, 1, 2, 3) AS is_valid FROM documents""")
+@q("""SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'image' WHEN 3 THEN 'image' WHEN 5 THEN 'pdf' WHEN 6 THEN 'word' WHEN 7 THEN 'powerpoint' WHEN 8 THEN 'excel' WHEN 9 THEN 'word' END AS format,
+             doc_id % 10 NOT IN (4, 5) AS is_valid FROM documents""")
 def src_format_detection(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in CONTENT])
-    d = t(spark, sf, "documents").select("doc_id", F.get(kinds, (F.col("doc_id") % 6).cast("int")).cast("binary").alias("content"))
+    d = t(spark, sf, "documents").select("doc_id", F.get(kinds, (F.col("doc_id") % 10).cast("int")).cast("binary").alias("content"))
     form = fn.detect_format(F.col("content"), F.lit(None).cast("string"))
     return d.select("doc_id", form.alias("format"), F.coalesce(fn.is_valid(F.col("content"), form), F.lit(False)).alias("is_valid"))
 
@@ -313,12 +313,12 @@ def src_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @q(r"""SELECT page_id, substr(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)), 1, 200) AS title, CAST(NULL AS VARCHAR) AS author,
-              CASE WHEN length(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) > 5000 THEN CAST(greatest(1, length(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) // 3000) AS INTEGER) ELSE 1 END AS pages,
+              CASE WHEN length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')) > 5000 THEN CAST(greatest(1, length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')) // 3000) AS INTEGER) ELSE 1 END AS pages,
               1200.0::DOUBLE AS width
        FROM pages""")
 def src_html_metadata(spark: SparkSession, sf: str) -> DataFrame:
     h = F.col("html")
-    return t(spark, sf, "pages").select("page_id", fn.html_title(h).alias("title"), fn.html_meta(h, "author").alias("author"), fn.html_pages(h).alias("pages"), fn.html_dimensions(h)["width"].alias("width"))
+    return t(spark, sf, "pages").select("page_id", fn.html_title(h).alias("title"), fn.html_author(h).alias("author"), fn.html_pages(h).alias("pages"), fn.html_dimensions(h)["width"].alias("width"))
 
 
 @q(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g') AS x FROM pages),
@@ -911,10 +911,11 @@ def sch_fallback_chains(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.fallback_chains(metrics.models(spark))
 
 
-@q("""SELECT p_partkey, CAST(floor(p_size * least(448.0 / p_size, 448.0 / (p_size + 7))) AS INTEGER) AS width, CAST(greatest(1, least(32, floor(p_size / 4.0))) AS INTEGER) AS batch FROM part""")
+@q("""SELECT p_partkey, CAST(floor(448 * (p_size / (p_size + 7))) AS INTEGER) AS width, 448 AS height, CAST(least(greatest(1, floor(500 / ((8.27 * 300) * (11.69 * 300) * 3 / 1048576))), p_size) AS INTEGER) AS batch FROM part""")
 def sf_geometry(spark: SparkSession, sf: str) -> DataFrame:
     w = F.col("p_size")
-    return t(spark, sf, "part").select("p_partkey", fn.fitted(w, w + 7, 448, 448)["width"].alias("width"), fn.batch_size(w.cast("double"), 4.0).alias("batch"))
+    size = fn.fitted(w, w + 7, 448, 448)
+    return t(spark, sf, "part").select("p_partkey", size["width"].alias("width"), size["height"].alias("height"), fn.page_batch(F.lit(300), w, 500.0).alias("batch"))
 
 
 # Search -------------------------------------------------------------------

@@ -36,7 +36,12 @@ def one(spark, column):
         (fn.html_pages, "x" * 5001, 1),
         (fn.html_pages, "x" * 6000, 2),
         (fn.html_pages, "x" * 9000, 3),
-        (lambda c: fn.html_meta(c, "author"), '<meta charset="u"><meta name="author" content=" Ann ">', "Ann"),
+        (fn.html_author, '<meta charset="u"><META NAME="author" content=" Ann ">', "Ann"),
+        (fn.html_created, '<meta name="date" content="2024-01-05 10:20:30">', "2024-01-05T10:20:30"),
+        (lambda c: fn.html_dimensions(c)["width"], '<meta name="viewport" content="width=640, scale=1">', 640.0),
+        (lambda c: fn.html_dimensions(c)["width"], "<p>", 1200.0),
+        (lambda c: fn.format_by_signature(c.cast("binary")), "PK..xl/worksheets", "excel"),
+        (lambda c: fn.format_by_signature(c.cast("binary")), "words", None),
         (fn.html_text, "<p>a</p><script>x</script>b<br>c", "a" + "b\nc"),
         (fn.pascal_case, "line-items", "LineItems"),
         (validate.is_placeholder, "N/A", True),
