@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CATEGORIES = ["integrity", "approval", "distortion", "compliance"]
+CATEGORIES = ["canonical_integrity", "transformation_approval", "data_distortion", "compliance", "schema_conformance"]
 SEVERITIES = ["critical", "error", "warning", "info"]
 #: Rule types that need no approval (fixed values).
 APPROVED = ["normalize", "filter", "rename", "aggregate"]
@@ -28,9 +28,9 @@ class Rule:
 def canonical_rules(as_of: Column) -> list[Rule]:
     """Rules over (processing_id, extraction_data, timestamp, schema_version, integrity_hash)."""
     return [
-        Rule("canonical_001", "integrity", "critical", F.col("extraction_data").isNotNull(), "Preserve the extraction data"),
-        Rule("canonical_002", "integrity", "error", F.coalesce(F.col("integrity_hash") != "", F.lit(False)), "Store an integrity hash"),
-        Rule("canonical_003", "integrity", "warning", F.col("timestamp") <= as_of, "Correct the timestamp"),
+        Rule("canonical_001", "canonical_integrity", "critical", F.col("extraction_data").isNotNull(), "Preserve the extraction data"),
+        Rule("canonical_002", "canonical_integrity", "error", F.coalesce(F.col("integrity_hash") != "", F.lit(False)), "Store an integrity hash"),
+        Rule("canonical_003", "canonical_integrity", "warning", F.col("timestamp") <= as_of, "Correct the timestamp"),
         Rule("compliance_001", "compliance", "error", F.coalesce((F.col("processing_id") != "") & F.col("timestamp").isNotNull() & (F.col("schema_version") != ""), F.lit(False)), "Fill the required metadata"),
         Rule("compliance_002", "compliance", "error", F.lit(True)),
     ]
@@ -41,10 +41,10 @@ def shaped_rules(approved: list[str] = APPROVED) -> list[Rule]:
     joined to (canonical_processing_id, canonical_fields), null where there is no canonical record."""
     allowed = F.forall("rule_types", lambda t: t.isin(*approved))
     return [
-        Rule("transform_001", "approval", "error", allowed, "Have the rule types approved"),
-        Rule("transform_002", "approval", "critical", F.col("is_1nf"), "Bring the record to first normal form"),
-        Rule("distortion_001", "distortion", "warning", F.col("canonical_fields").isNull() | (F.col("n_fields") >= F.col("canonical_fields") * 0.5), "Check which fields were lost"),
-        Rule("distortion_002", "distortion", "warning", ~F.col("is_1nf") | F.col("atomic"), "Flatten nested values"),
+        Rule("transform_001", "transformation_approval", "error", allowed, "Have the rule types approved"),
+        Rule("transform_002", "transformation_approval", "critical", F.col("is_1nf"), "Bring the record to first normal form"),
+        Rule("distortion_001", "data_distortion", "warning", F.col("canonical_fields").isNull() | (F.col("n_fields") >= F.col("canonical_fields") * 0.5), "Check which fields were lost"),
+        Rule("distortion_002", "data_distortion", "warning", ~F.col("is_1nf") | F.col("atomic"), "Flatten nested values"),
         Rule("compliance_001", "compliance", "error", F.coalesce((F.col("processing_id") != "") & (F.col("canonical_id") != "") & F.col("timestamp").isNotNull(), F.lit(False)), "Fill the required metadata"),
         Rule("compliance_002", "compliance", "error", F.col("canonical_processing_id").isNull() | (F.col("canonical_id") == F.col("canonical_processing_id")), "Refer to the canonical record"),
     ]

@@ -14,24 +14,25 @@ NODE = (
     "node_id string, node_type string, timestamp timestamp_ntz, operation string, metadata map<string,string>, "
     "performance_metrics map<string,double>, parent_nodes array<string>, schema_version string, transformation_rules array<string>"
 )
-#: Stage -> (node type, operation, unit counted, name of the rate) (fixed values).
+#: Stage -> (node type, operation, time metric, unit counted, name of the rate) (fixed values).
 STAGES = {
-    "source": ("source_document", "ingest_document", None, None),
-    "conversion": ("document_conversion", "convert_document", "page_count", "pages_per_second"),
-    "embedding": ("embedding", "generate_embeddings", "patch_count", "patches_per_second"),
-    "storage": ("storage", "store_vectors", "vectors_stored", "vectors_per_second"),
-    "extraction": ("extraction", "extract_fields", None, None),
-    "canonical": ("canonical_format", "format_canonical", None, None),
-    "shaped": ("shaped_transform", "transform_shaped", None, None),
+    "source": ("source_document", "ingest_document", None, None, None),
+    "conversion": ("document_conversion", "convert_to_images", "conversion_time_seconds", "page_count", "pages_per_second"),
+    "embedding": ("embedding", "generate_embeddings", "processing_time_seconds", "patch_count", "patches_per_second"),
+    "storage": ("storage", "store_vectors", "storage_time_seconds", "vectors_stored", "vectors_per_second"),
+    "retrieval": ("vector_retrieval", "retrieve_vectors", "retrieval_time_seconds", None, None),
+    "extraction": ("extraction", "extract_structured_data", "extraction_time_seconds", None, None),
+    "canonical": ("canonical_format", "format_canonical", None, None, None),
+    "shaped": ("shaped_transform", "transform_to_1nf", "transform_time_seconds", None, None),
 }
 
 
 def stage_nodes(df: DataFrame, stage: str, processing_id: Column, name: Column, timestamp: Column, parent: Column | None = None, seconds: Column | None = None, count: Column | None = None, metadata: dict[str, Column] | None = None, rules: Column | None = None, version: Column | None = None) -> DataFrame:
     """A node for each row of a pipeline stage, ``{processing_id}_{stage}_{name}``."""
-    kind, operation, unit, rate = STAGES[stage]
+    kind, operation, clock, unit, rate = STAGES[stage]
     metrics = []
-    if seconds is not None:
-        metrics += [F.lit("processing_time_seconds"), seconds.cast("double")]
+    if seconds is not None and clock:
+        metrics += [F.lit(clock), seconds.cast("double")]
     if count is not None and unit:
         metrics += [F.lit(unit), count.cast("double")]
         if seconds is not None:
@@ -49,15 +50,15 @@ def stage_nodes(df: DataFrame, stage: str, processing_id: Column, name: Column,
     )
 
 
-def export_nodes(df: DataFrame, processing_id: Column, form: str, timestamp: Column, parent: Column) -> DataFrame:
+def export_nodes(df: DataFrame, processing_id: Column, form: str, timestamp: Column, parent: Column, seconds: Column | None = None) -> DataFrame:
     """Nodes of exported outputs, operation ``export_to_{form}``."""
     return df.select(
         F.concat_ws("_", processing_id, F.lit("export"), F.lit(form)).alias("node_id"),
         F.lit("export_output").alias("node_type"),
         timestamp.cast("timestamp_ntz").alias("timestamp"),
-        F.lit(f"export_to_{form}").alias("operation"),
+        F.lit(f"export_to_{form.lower()}").alias("operation"),
         F.create_map().cast("map<string,string>").alias("metadata"),
-        F.create_map().cast("map<string,double>").alias("performance_metrics"),
+        (F.create_map() if seconds is None else F.create_map(F.lit("export_time_seconds"), seconds)).cast("map<string,double>").alias("performance_metrics"),
         F.array(parent).cast("array<string>").alias("parent_nodes"),
         F.lit("1.0").alias("schema_version"),
         F.array().cast("array<string>").alias("transformation_rules"),

@@ -170,12 +170,12 @@ def severity_counts(found: DataFrame, key: list[str]) -> DataFrame:
 
 def scores(records: DataFrame, fields: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     """(key, n_fields, n_issues, compliance, completeness, type_accuracy, overall, is_valid) of every record."""
-    filled = (F.col("tag") != "null") & ~((F.col("tag") == "string") & (stripped(F.col("str_val")) == "")) & ~F.coalesce(F.col("str_val").isin("[]", "{}"), F.lit(False))
+    filled = (F.col("tag") != "null") & ~((F.col("tag") == "string") & (stripped(F.col("str_val")) == ""))
     per = fields.groupBy(*key).agg(F.count("*").alias("n_fields"), F.sum(filled.cast("long")).alias("n_filled"))
     weight = F.lit(0.0)
     for s, w in WEIGHTS.items():
         weight = F.when(F.col("severity") == s, F.lit(w)).otherwise(weight)
-    structural = F.col("issue_type").isin("schema_compliance", "required_fields", "type_validation")
+    structural = F.col("issue_type").isin("schema_conformance", "required_fields", "type_validation")
     blank = F.lower("message").rlike("empty|null")
     bad = found.groupBy(*key).agg(
         F.count("*").alias("n_issues"),

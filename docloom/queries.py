@@ -537,12 +537,12 @@ def governed(spark: SparkSession, sf: str) -> DataFrame:
 GOVERNED = """g AS (
   SELECT 'O' || o_orderkey AS processing_id, r.rule_id, r.category, r.severity,
          CASE r.rule_id WHEN 'canonical_002' THEN o_orderkey % 9 <> 0 WHEN 'canonical_003' THEN o_orderdate <= TIMESTAMP '1998-01-01' ELSE true END AS passed
-  FROM orders, (VALUES ('canonical_001', 'integrity', 'critical'), ('canonical_002', 'integrity', 'error'), ('canonical_003', 'integrity', 'warning'), ('compliance_001', 'compliance', 'error'), ('compliance_002', 'compliance', 'error')) r(rule_id, category, severity)
+  FROM orders, (VALUES ('canonical_001', 'canonical_integrity', 'critical'), ('canonical_002', 'canonical_integrity', 'error'), ('canonical_003', 'canonical_integrity', 'warning'), ('compliance_001', 'compliance', 'error'), ('compliance_002', 'compliance', 'error')) r(rule_id, category, severity)
   UNION ALL
   SELECT 'O' || o_orderkey || '_shaped', r.rule_id, r.category, r.severity,
          CASE r.rule_id WHEN 'transform_001' THEN o_orderkey % 8 <> 0 WHEN 'transform_002' THEN o_orderkey % 10 <> 0
            WHEN 'distortion_001' THEN o_orderkey % 4 >= 2 OR (o_orderkey % 13 = 0 AND o_orderkey + 1 NOT IN (SELECT o_orderkey FROM orders)) ELSE true END
-  FROM orders, (VALUES ('transform_001', 'approval', 'error'), ('transform_002', 'approval', 'critical'), ('distortion_001', 'distortion', 'warning'), ('distortion_002', 'distortion', 'warning'), ('compliance_001', 'compliance', 'error'), ('compliance_002', 'compliance', 'error')) r(rule_id, category, severity))"""
+  FROM orders, (VALUES ('transform_001', 'transformation_approval', 'error'), ('transform_002', 'transformation_approval', 'critical'), ('distortion_001', 'data_distortion', 'warning'), ('distortion_002', 'data_distortion', 'warning'), ('compliance_001', 'compliance', 'error'), ('compliance_002', 'compliance', 'error')) r(rule_id, category, severity))"""
 
 
 @q(f"""WITH {GOVERNED} SELECT * FROM g WHERE NOT passed""")
@@ -551,7 +551,7 @@ def gov_failures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @q(f"""WITH {GOVERNED}, s AS (SELECT 'all' AS grouping, '' AS name, * FROM g UNION ALL SELECT 'severity', severity, * FROM g UNION ALL SELECT 'category', category, * FROM g),
-       n(grouping, name) AS (VALUES ('all', ''), ('severity', 'critical'), ('severity', 'error'), ('severity', 'warning'), ('severity', 'info'), ('category', 'integrity'), ('category', 'approval'), ('category', 'distortion'), ('category', 'compliance'))
+       n(grouping, name) AS (VALUES ('all', ''), ('severity', 'critical'), ('severity', 'error'), ('severity', 'warning'), ('severity', 'info'), ('category', 'canonical_integrity'), ('category', 'transformation_approval'), ('category', 'data_distortion'), ('category', 'compliance'), ('category', 'schema_conformance'))
        SELECT n.grouping, n.name, count(s.passed) AS n_total, CAST(coalesce(sum(s.passed::INT), 0) AS BIGINT) AS n_passed, CAST(count(s.passed) - coalesce(sum(s.passed::INT), 0) AS BIGINT) AS n_failed
        FROM n LEFT JOIN s ON n.grouping = s.grouping AND n.name = s.name GROUP BY n.grouping, n.name""")
 def gov_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -624,7 +624,7 @@ def lin_chain(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.chain(links, nodes, nodes.where("node_type = 'export_output'").select("node_id")).select("node_id", "source_id", "n_nodes")
 
 
-@q("""WITH x AS (SELECT 'convert_document' AS operation, 'document_conversion' AS node_type, 2.0 AS v FROM nation UNION ALL SELECT 'generate_embeddings', 'embedding', 3.0 FROM supplier)
+@q("""WITH x AS (SELECT 'convert_to_images' AS operation, 'document_conversion' AS node_type, 2.0 AS v FROM nation UNION ALL SELECT 'generate_embeddings', 'embedding', 3.0 FROM supplier)
       SELECT 'all' AS grouping, '' AS name, sum(v)::DOUBLE AS total_time FROM x UNION ALL SELECT 'operation', operation, sum(v)::DOUBLE FROM x GROUP BY operation UNION ALL SELECT 'type', node_type, sum(v)::DOUBLE FROM x GROUP BY node_type""")
 def agg_lineage_performance(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.performance_summary(graph(spark, sf)[0])
