@@ -27,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docloom.llm.common import bounded_batches
+
 #: The split of byte-level BPE (a fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded pieces that a worker keeps, in each of two generations.
-KEPT = 300_000
+KEPT = 400_000
 #: Longer pieces are not kept.
 KEPT_BYTES = 64
 
@@ -84,7 +86,7 @@ class Encoder:
             self.rank[made], self.parts[made], self.joined[left, right] = rank, (left, right), made
         self.length = [len(self.bytes_of.get(i, b"")) for i in range(self.size)]
         self._automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.pieces = Pieces(self.encode_piece)
         self.find = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -132,10 +134,7 @@ class Encoder:
         parts on both sides of it. The parts at the border are undone, latest merge first;
         ``before`` is the rank below which a merge across it would have come first.
         """
-        key = (a, b)
-        known = self.fits.get(key)
-        if known is not None:
-            return known
+        key = a << 20 | b
         rank, parts, joined = self.rank, self.parts, self.joined
         before, left_undone, fits = 1 << 60, False, True
         while True:
@@ -160,7 +159,7 @@ class Encoder:
         whole = self.id_of.get(piece)
         if whole is not None and self.rank[whole] < 0:
             return [whole]
-        step, back, ends, length, shorter, fits = self.step, self.back, self.ends, self.length, self.shorter, self.compatible
+        step, back, ends, length, shorter, fits = self.step, self.back, self.ends, self.length, self.shorter, self.fits
         last = [-1] * (len(piece) + 1)
         state = 0
         for end, b in enumerate(piece, 1):
@@ -172,7 +171,11 @@ class Encoder:
             token = ends[state]
             while token >= 0:
                 start = end - length[token]
-                if not start or fits(last[start], token):
+                if not start:
+                    last[end] = token
+                    break
+                fit = fits.get(last[start] << 20 | token)
+                if fit if fit is not None else self.compatible(last[start], token):
                     last[end] = token
                     break
                 token = shorter[token]
@@ -217,6 +220,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             ids = [coder.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, type=pa.binary())], names=["doc_id", "ids"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
@@ -229,6 +233,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             texts = [coder.decode(x) if x else "" for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, type=pa.string())], names=["doc_id", "text"])
 
+    bounded_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
@@ -251,4 +256,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 names=[x.split()[0] for x in RESULT.split(", ")],
             )
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)

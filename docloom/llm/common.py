@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Ids that may be broadcast (8 bytes each); above it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
+#: Texts of one Arrow batch.
+BATCH_TEXTS = 1024
+
 #: Words of the contract: runs of anything but ASCII white space. ``bytes.split()``
 #: cuts at exactly these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +51,16 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """At most BATCH_TEXTS texts go to a Python worker at once (fewer if the session says so).
+
+    Spark's own 10,000 long texts would be hundreds of megabytes in the JVM and again in Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_TEXTS:
+        spark.conf.set(key, str(BATCH_TEXTS))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

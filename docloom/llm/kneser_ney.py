@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import trusted_ids, with_flag, written
+from docloom.llm.common import bounded_batches, trusted_ids, with_flag, written
 
 ORDER = 4
 UNIT = 1 << 20
@@ -292,7 +292,10 @@ def block_sums(dealt: DataFrame, values: DataFrame) -> DataFrame:
         n, nll = scored(docs, tables)
         return pd.DataFrame({"doc_id": docs["doc_id"], "lang": docs["lang"], "n_units": pd.array(n, "Int64"), "nll": pd.array(nll, "Int64")})
 
-    return dealt.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(run, RESULT)
+    # Ids travel as text: nulls would make them floats.
+    named = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = named.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(run, RESULT.replace("doc_id long", "doc_id string"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def held_out() -> Column:
@@ -301,6 +304,7 @@ def held_out() -> Column:
 
 def perplexities(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
     """RESULT and ``trusted`` of every document. ``nll`` is in units of 2**-20 nats."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     trusted = trusted_ids(labels)
     train = with_flag(docs, trusted.where(~held_out()), "trusted").where("trusted")
@@ -311,7 +315,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_
         out = sums(docs, values)
     else:
         blocks = max(1, docs.count() // BLOCK_DOCS)
-        out = block_sums(docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(blocks, "block"), values)
+        out = block_sums(docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block"), values)
     return with_flag(out, trusted, "trusted")
 
 

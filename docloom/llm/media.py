@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import written
+from docloom.llm.common import bounded_batches, written
 
 WIDTH = 64
 BINS = 16
@@ -213,6 +213,7 @@ def features(store: DataFrame) -> DataFrame:
                 names=[x.split()[0] for x in FEATURES.split(", ")],
             )
 
+    bounded_batches(store.sparkSession)
     return store.select("digest", "media").mapInArrow(run, FEATURES)
 
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import bounded_batches
+
 #: The split of byte-level BPE (a fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LENGTH = 2048
@@ -113,6 +115,7 @@ def encoded(docs: DataFrame, path: str, end: int | None = END, kind: str = KIND)
             ids = [(encode(t, disallowed_special=()).astype(kind).tobytes() if t else b"") + tail for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("deal"), pa.array(ids, type=pa.binary())], names=["doc_id", "deal", "ids"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("deal"), "text").mapInArrow(run, "doc_id long, deal long, ids binary")
 
 
@@ -127,12 +130,13 @@ def pack(frame: pd.DataFrame, length: int, kind: str, pad: int) -> pd.DataFrame:
     rows: dict[int, list] = {}
     for row, piece in zip(best_fit([p[0] for p in pieces], length), pieces):
         rows.setdefault(row, []).append(piece)
-    doc_ids, shard, out = frame["doc_id"].tolist(), int(frame["shard"].iloc[0]) if len(frame) else 0, []
+    doc_ids = [None if no else i for i, no in zip(frame["doc_id"].tolist(), frame["no_id"])]
+    shard, out = int(frame["shard"].iloc[0]) if len(frame) else 0, []
     for row, held in sorted(rows.items()):
         ends = np.cumsum([p[0] for p in held]).tolist()
         ids = np.full(length, pad, dtype=kind)
         ids[: ends[-1]] = np.concatenate([p[3] for p in held])
-        owners = [None if pd.isna(doc_ids[p[1]]) else int(doc_ids[p[1]]) for p in held]
+        owners = [doc_ids[p[1]] for p in held]
         out.append((shard, row, ends[-1], owners, [p[2] for p in held], [0, *ends], [0, *ends[:-1]], ids.tobytes()))
     return pd.DataFrame(out, columns=[x.split()[0] for x in PACKED.split(", ")])
 
@@ -140,7 +144,10 @@ def pack(frame: pd.DataFrame, length: int, kind: str, pad: int) -> pd.DataFrame:
 def packed(docs: DataFrame, path: str, length: int = LENGTH, end: int | None = END, pad: int = PAD, kind: str = KIND) -> DataFrame:
     """Packed rows of all documents; see PACKED."""
     shards = max(1, docs.count() // SHARD_DOCS)
-    dealt = encoded(docs, path, end, kind).withColumn("shard", F.pmod("deal", F.lit(shards)))
+    # Nulls would make the ids of a shard floats.
+    dealt = encoded(docs, path, end, kind).withColumns(
+        {"shard": F.pmod("deal", F.lit(shards)), "no_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))}
+    )
     return dealt.groupBy("shard").applyInPandas(lambda frame: pack(frame, length, kind, pad), PACKED)
 
 

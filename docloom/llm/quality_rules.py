@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import trusted_ids, with_flag, written
+from docloom.llm.common import bounded_batches, trusted_ids, with_flag, written
 
 #: Hash buckets of n-grams. The counts are a table of at most BUCKETS rows, whatever the input.
 BUCKETS = 1 << 16
@@ -176,6 +176,7 @@ class Model:
     """Counts, and the least integer mean that is kept, by language."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, quantile: float = QUANTILE) -> None:
+        bounded_batches(docs.sparkSession)
         self.counts = counts = Counts(bucket_counts(docs, labels))
         shared = docs.sparkSession.sparkContext.broadcast(counts)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_IDS, components, written
+from docloom.llm.common import BROADCAST_IDS, bounded_batches, components, written
 
 SHINGLE = 3
 SEED = 42
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_IDS, dropped, written
+from docloom.llm.common import BROADCAST_IDS, bounded_batches, dropped, written
 
 LENGTH = 400
 #: Bytes of an anchor.
@@ -231,6 +231,8 @@ def regions(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 digest = hashlib.blake2b
                 s = b"".join([digest(data[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), (hi + length).tolist())])
                 parts.append((np.full(len(h), k), h, np.frombuffer(s, "<i8").reshape(-1, 2), lo, hi))
+            if not parts:
+                continue
             row, h, s, lo, hi = (np.concatenate(x) for x in zip(*parts))
             row = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -260,6 +262,8 @@ def strings_of(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 data = text.encode()
                 rows += [(p["h"], p["s1"], p["s2"], p["w"], data[p["lo"] : p["hi"] + length]) for p in parts]
             kinds = (pa.int64(),) * 4 + (pa.binary(),)
+            if not rows:
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["h", "s1", "s2", "w", "bytes"])
 
     return joined.mapInArrow(run, "h long, s1 long, s2 long, w long, bytes binary")
@@ -329,6 +333,7 @@ def counted_windows(strings: DataFrame, length: int) -> DataFrame:
 
 def covered(keyed: DataFrame, length: int = LENGTH, gram: int | None = None, many: int = MANY) -> DataFrame:
     """(k1, k2, spans): intervals of each document that repeated windows cover, unmerged."""
+    bounded_batches(keyed.sparkSession)
     gram = GRAM if gram is None and length > GRAM else gram or max(1, length // 2)
     every = written(regions(keyed, length, gram), "regions")
     often = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
