@@ -32,7 +32,9 @@ from docloom.llm.common import bounded_batches
 #: The split of byte-level BPE (a fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded pieces that a worker keeps, in each of two generations.
-KEPT = 400_000
+KEPT = 300_000
+#: Pair tests that a worker keeps.
+KEPT_PAIRS = 400_000
 #: Longer pieces are not kept.
 KEPT_BYTES = 64
 
@@ -150,7 +152,7 @@ class Encoder:
                 before, left_undone, a = rank[a], True, parts[a][1]
             else:
                 before, left_undone, b = rank[b], False, parts[b][0]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > KEPT_PAIRS:
             self.fits.clear()
         self.fits[key] = fits
         return fits
