@@ -7,6 +7,12 @@ n-grams are left out of the counts, so a rare n-gram says nothing about the text
 brought it. The log ratios are integers (units of 2**-16), so sums are exact and the
 verdict on every document is the same in every run and on every partitioning.
 
+The number of buckets follows the measured number of n-grams, so an n-gram shares its bucket
+as rarely in a large corpus as in a small one. No task holds all counts: texts are dealt to
+blocks, each block's distinct buckets go with their counts to shards (ranges of buckets),
+which sum them and hand the sums back to the blocks that asked. Blocks and shards grow in
+number with the corpus and not in size.
+
 Edge cases: a null text is an empty text; a document without words has score 0 and fails
 the base rules; repeated rows are judged alike; an empty table gives an empty result; of
 further columns of ``docs`` only ``doc_id``, ``text`` and, if there, ``lang`` are read.
@@ -14,7 +20,6 @@ further columns of ``docs`` only ``doc_id``, ``text`` and, if there, ``lang`` ar
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches, trusted_ids, with_flag, written
+from docloom.llm.common import BROADCAST_IDS, bounded_batches, trusted_ids, with_flag, written
 
-#: Hash buckets of n-grams. The counts are a table of at most BUCKETS rows, whatever the input.
+#: Hash buckets of n-grams where the corpus has at most a quarter as many n-grams; a larger
+#: one has ROOM buckets for each of its n-grams at least.
 BUCKETS = 1 << 16
+ROOM = 64
+#: N-grams of a block of texts and of a shard of buckets, about.
+BLOCK_GRAMS = 1 << 22
+SHARD_GRAMS = 1 << 23
+#: Bytes of texts that a task deals to blocks at a time.
+HELD_BYTES = 1 << 25
 #: Units of a log ratio.
 UNIT = 1 << 16
 #: A document goes if its mean log ratio is below what all but QUANTILE of its language's
@@ -55,14 +67,16 @@ def word_ids(words: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
     return np.array([seen.setdefault(w, len(seen)) for w in words], dtype=np.int64), seen
 
 
-def buckets(ids: np.ndarray, seen: dict[bytes, int]) -> np.ndarray:
-    """Buckets of the unigrams and then of the bigrams of a text."""
-    h = np.fromiter(map(zlib.crc32, seen), dtype=np.uint64, count=len(seen))[ids]
+def buckets(ids: np.ndarray, seen: dict[bytes, int], count: int = BUCKETS) -> np.ndarray:
+    """Buckets (of ``count``, a power of two) of the unigrams and then of the bigrams of a text."""
+    from xxhash import xxh64_intdigest
+
+    h = np.fromiter(map(xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))[ids]
     pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
     pair ^= pair >> np.uint64(29)
     pair *= np.uint64(0xBF58476D1CE4E5B9)
     both = np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), pair])
-    return (both >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1)
+    return (both >> np.uint64(65 - count.bit_length())).astype(np.int64)
 
 
 def repeated_words(ids: np.ndarray, distinct: int) -> int:
@@ -107,137 +121,233 @@ def base_counts(text: str, words: list[bytes], ids: np.ndarray, distinct: int) -
     )
 
 
-def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counts of each bucket in all texts and in trusted ones: (bucket, raw, target)."""
+def narrow(values: np.ndarray) -> bytes:
+    """Integers from 0, byte plane by byte plane, compressed."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    planes = values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+    return bytes([kind.itemsize]) + pa.compress(planes, codec="zstd", asbytes=True)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), dtype=np.int64)
-        for batch in batches:
-            for text, good in zip(batch.column("text").to_pylist(), batch.column("trusted").to_pylist()):
-                words = (text or "").encode().split()
-                if words:
-                    n = np.bincount(buckets(*word_ids(words)), minlength=0)
-                    total[0, : len(n)] += n
-                    if good:
-                        total[1, : len(n)] += n
-        (at,) = np.nonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["bucket", "raw", "target"])
-
-    flagged = with_flag(docs.select("doc_id", "text"), trusted_ids(labels), "trusted").select("text", "trusted")
-    return (
-        flagged.mapInArrow(count, "bucket long, raw long, target long")
-        .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    )
 
+def widened(data: bytes, count: int) -> np.ndarray:
+    width = data[0]
+    planes = pa.decompress(data[1:], decompressed_size=width * count, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(width, count).T.copy().view(f"<u{width}").ravel().astype(np.int64)
 
-class Counts:
-    """The two multinomials: counts by bucket, raw and target. At most BUCKETS rows come to the driver."""
 
-    def __init__(self, counts: DataFrame) -> None:
-        self.raw, self.target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-        for bucket, r, t in counts.collect():
-            self.raw[bucket], self.target[bucket] = r, t
-        self.sums = int(self.raw.sum()), int(self.target.sum())
+def named(docs: DataFrame) -> Column:
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
-    def score(self, at: np.ndarray, trusted: bool) -> int:
-        """Summed integer log ratios of a text's buckets, the text itself left out of the counts.
 
-        Without any (other) trusted text all ratios are 0.
-        """
-        own, n = np.unique(at, return_counts=True)
-        raw, target = self.raw[own] - n, self.target[own] - n * trusted
-        raw_sum, target_sum = self.sums[0] - len(at), self.sums[1] - len(at) * trusted
-        if raw_sum <= 0 or target_sum <= 0:
-            return 0
-        ratios = np.log((target + PSEUDO) / (raw * (target_sum / raw_sum) + PSEUDO))
-        return int(np.rint(ratios * UNIT).astype(np.int64) @ n)
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all that a verdict depends on; nulls count."""
+    parts = (F.col("doc_id").cast("long"), F.col("text"), named(docs))
+    return F.xxhash64(*[x for p in parts for x in (p.isNull(), p)])
 
 
-def verdict(text: str | None, trusted: bool, counts: Counts, least: int) -> tuple:
-    """A text's row of RESULT, without its id."""
-    text = text or ""
-    words = text.encode().split()
-    ids, seen = word_ids(words)
-    base = base_counts(text, words, ids, len(seen))
-    failed = base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * base[0]
-    total, n = 0, 0
-    if words:
-        at = buckets(ids, seen)
-        total, n = counts.score(at, trusted), len(at)
-    return (*base, failed, not failed and total >= least * n, total / (n * UNIT) if n else 0.0, n)
+def sizes(flagged: DataFrame) -> tuple[int, int]:
+    """N-grams of all texts and of the trusted ones."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0, 0]
+        for batch in batches:
+            for text, good in zip(batch.column("text").to_pylist(), batch.column("trusted").to_pylist()):
+                n = max(0, 2 * len((text or "").encode().split()) - 1)
+                total[0] += n
+                total[1] += n * good
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=["raw", "target"])
+
+    r = flagged.select("text", "trusted").mapInArrow(count, "raw long, target long").agg(F.sum("raw"), F.sum("target")).first()
+    return r[0] or 0, r[1] or 0
 
-def named(docs: DataFrame) -> Column:
-    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
+PACK = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string()), ("trusted", pa.bool_())])
 
-class Model:
-    """Counts, and the least integer mean that is kept, by language."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, quantile: float = QUANTILE) -> None:
-        bounded_batches(docs.sparkSession)
-        self.counts = counts = Counts(bucket_counts(docs, labels))
-        shared = docs.sparkSession.sparkContext.broadcast(counts)
+def packs(flagged: DataFrame, blocks: int) -> DataFrame:
+    """The rows (see PACK) dealt to blocks, those of a task together and compressed: (block, size, pack)."""
 
-        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                means = []
-                for text in batch.column("text").to_pylist():
-                    words = (text or "").encode().split()
-                    at = buckets(*word_ids(words)) if words else []
-                    means.append(shared.value.score(at, True) * 1000 // (len(at) * UNIT) if words else None)
-                yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(means, pa.int64())], names=["lang", "step"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-        flagged = with_flag(docs.select("doc_id", "text", named(docs).alias("lang")), trusted_ids(labels), "trusted").where("trusted")
-        found = flagged.select("lang", "text").mapInArrow(steps, "lang string, step long").where("step is not null")
-        tally = written(found.groupBy("lang", "step").agg(F.count("*").alias("n")), "steps")
-        every = tally.groupBy("step").agg(F.sum("n").alias("n"))
-        self.least = {r["lang"]: self._least(r["at"], threshold) for r in self._quantiles(tally, ["lang"], quantile).where(F.col("all") >= ENOUGH).collect()}
-        overall = self._quantiles(every.withColumn("one", F.lit(1)), ["one"], quantile).first()
-        self.other = self._least(overall["at"] if overall else None, threshold)
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            block = table.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            ends = np.flatnonzero(np.diff(block[order])) + 1
+            parts = np.split(order, ends) if len(order) else []
+            data = [table.select(PACK.names).take(pa.array(p)).cast(PACK).combine_chunks().to_batches()[0].serialize() for p in parts]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([int(block[p[0]]) for p in parts], pa.int64()), pa.array([d.size for d in data], pa.int64()), pa.array([pa.compress(d, codec="zstd", asbytes=True) for d in data], pa.binary())],
+                names=["block", "size", "pack"],
+            )
 
-    @staticmethod
-    def _least(step: int | None, threshold: float) -> int:
-        return min(int(np.floor(threshold * UNIT)), UNIT if step is None else step * UNIT // 1000)
+        for batch in batches:
+            held.append(batch)
+            if sum(x.nbytes for x in held) > HELD_BYTES:
+                yield out()
+        if held:
+            yield out()
+
+    dealt = flagged.select(F.pmod("row", F.lit(blocks)).cast("long").alias("block"), *PACK.names)
+    return dealt.mapInArrow(run, "block long, size long, pack binary").repartition("block")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    data = [pa.decompress(p, decompressed_size=n, codec="zstd") for n, p in zip(table.column("size").to_pylist(), table.column("pack").to_pylist())]
+    return pa.Table.from_batches([pa.ipc.read_record_batch(d, PACK) for d in data], schema=PACK)
+
+
+def own_buckets(table: pa.Table, count: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of a block with their words; distinct buckets of the block; and for each text's distinct
+    buckets the number among those, the n-grams in it, and the text's number."""
+    texts, own, times, owner = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for text in table.column("text").to_pylist():
+        text = text or ""
+        words = text.encode().split()
+        ids, seen = word_ids(words)
+        size = 0
+        if words:
+            found, n = np.unique(buckets(ids, seen, count), return_counts=True)
+            own.append(found)
+            times.append(n)
+            size = len(found)
+        owner.append(size)
+        texts.append((text, words, ids, len(seen)))
+    keys, at = np.unique(np.concatenate(own), return_inverse=True)
+    return texts, keys, at, np.concatenate(times), np.repeat(np.arange(len(texts), dtype=np.int32), owner)
+
+
+def block_counts(dealt: DataFrame, count: int, shards: int) -> DataFrame:
+    """Every block's distinct buckets by shard, with the n-grams in them in all texts and in trusted ones."""
+    width = -(-count // shards)
+
+    def run(packed: pa.Table) -> pa.Table:
+        table = unpacked(packed)
+        _, keys, at, n, owner = own_buckets(table, count)
+        good = np.array(table.column("trusted").to_pylist(), dtype=np.int64)
+        raw = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+        target = np.bincount(at, weights=n * good[owner], minlength=len(keys)).astype(np.int64)
+        edges = np.searchsorted(keys, np.arange(shards + 1) * width)
+        rows = [
+            (s, int(b - a), narrow(np.diff(keys[a:b], prepend=s * width)), narrow(raw[a:b]), narrow(target[a:b]))
+            for s, (a, b) in enumerate(zip(edges[:-1], edges[1:]))
+            if b > a
+        ]
+        block = packed.column("block")[0].as_py()
+        shard, size, *data = zip(*rows) if rows else [()] * 5
+        return pa.table(
+            [pa.array([block] * len(rows), pa.int64()), pa.array(shard, pa.int64()), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in data)],
+            names=["block", "shard", "size", "keys", "raw", "target"],
+        )
+
+    return dealt.groupBy("block").applyInArrow(run, "block long, shard long, size long, keys binary, raw binary, target binary")
+
+
+def shard_sums(counts: DataFrame) -> DataFrame:
+    """The rows of ``block_counts`` with the counts of the whole corpus in place of the block's."""
+
+    def run(table: pa.Table) -> pa.Table:
+        size = table.column("size").to_pylist()
+        parts = {c: [widened(x, n) for x, n in zip(table.column(c).to_pylist(), size)] for c in ("keys", "raw", "target")}
+        _, at = np.unique(np.concatenate([x.cumsum() for x in parts["keys"]]), return_inverse=True)
+        ends, out = np.cumsum(size)[:-1], []
+        for c in ("raw", "target"):
+            total = np.bincount(at, weights=np.concatenate(parts[c])).astype(np.int64)[at]
+            out.append(pa.array([narrow(x) for x in np.split(total, ends)], pa.binary()))
+        return pa.table([table.column("block"), table.column("shard"), table.column("size"), *out], names=["block", "shard", "size", "raw", "target"])
+
+    return counts.groupBy("shard").applyInArrow(run, "block long, shard long, size long, raw binary, target binary")
+
+
+GRADES = (
+    "row long, doc_id long, lang string, trusted boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "n_repeat_words long, base_failed boolean, total long, n_ngrams long, step long"
+)
 
-    @staticmethod
-    def _quantiles(tally: DataFrame, by: list[str], quantile: float) -> DataFrame:
-        """The least step that more than ``quantile`` of a group's documents stand at or below."""
-        w = Window.partitionBy(*by)
-        ranked = tally.withColumns({"up": F.sum("n").over(w.orderBy("step")), "all": F.sum("n").over(w)})
-        return ranked.where(F.col("up") > F.col("all") * quantile).groupBy(*by).agg(F.min("step").alias("at"), F.first("all").alias("all"))
 
-    def verdict(self, text: str | None, trusted: bool, lang: str | None) -> tuple:
-        return verdict(text, trusted, self.counts, self.least.get(lang, self.other))
+def grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """GRADES of every document: base counts, and the summed integer log ratios of its n-grams.
+
+    The text itself is left out of the counts. Without any (other) trusted text all ratios are 0.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), named(docs).alias("lang"), "text")
+    flagged = with_flag(rows, trusted_ids(labels), "trusted")
+    raw_all, target_all = sizes(flagged)
+    count = BUCKETS if 4 * raw_all <= BUCKETS else 1 << (ROOM * raw_all).bit_length()
+    blocks, shards = max(1, raw_all // BLOCK_GRAMS), max(1, raw_all // SHARD_GRAMS)
+    dealt = packs(flagged, blocks)
+
+    def run(packed: pa.Table, sums: pa.Table) -> pa.Table:
+        table = unpacked(packed)
+        texts, keys, at, n, owner = own_buckets(table, count)
+        parts = sorted(zip(*(sums.column(c).to_pylist() for c in ("shard", "size", "raw", "target"))))
+        raw, target = (np.concatenate([np.zeros(0, np.int64), *(widened(p[k], p[1]) for p in parts)]) for k in (2, 3))
+        if len(raw) != len(keys):
+            raise RuntimeError("quality rules: a block's counts are not those it asked for")
+        good = np.array(table.column("trusted").to_pylist(), dtype=np.int64)
+        length = np.array([max(0, 2 * len(x[1]) - 1) for x in texts], dtype=np.int64)
+        raw_sum, target_sum = raw_all - length, target_all - length * good
+        some = (raw_sum > 0) & (target_sum > 0)
+        share = np.where(some, target_sum, 0) / np.where(some, raw_sum, 1)
+        ratios = np.log((target[at] - n * good[owner] + PSEUDO) / ((raw[at] - n) * share[owner] + PSEUDO))
+        units = np.where(some[owner], np.rint(ratios * UNIT).astype(np.int64) * n, 0)
+        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+        summed = np.concatenate([[0], units.cumsum()]).astype(np.int64)[ends]
+        total = np.diff(summed).tolist()
+        base = [base_counts(*x) for x in texts]
+        failed = [x[0] < MIN_WORDS or 100 * x[4] > MAX_REPEAT_PERCENT * x[0] for x in base]
+        step = [t * 1000 // (k * UNIT) if k else None for t, k in zip(total, length.tolist())]
+        return pa.table(
+            [
+                *(table.column(c) for c in ("row", "doc_id", "lang", "trusted")),
+                *(pa.array([x[k] for x in base], pa.int64()) for k in range(5)),
+                pa.array(failed, pa.bool_()), pa.array(total, pa.int64()), pa.array(length), pa.array(step, pa.int64()),
+            ],
+            names=[x.split()[0] for x in GRADES.split(", ")],
+        )
+
+    sums = shard_sums(block_counts(dealt, count, shards))
+    return written(dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, GRADES), "grades")
+
+
+def least(step: Column, threshold: float) -> Column:
+    """The least integer mean that is kept, given the step of the quantile."""
+    at = F.coalesce(F.floor(step * UNIT / 1000), F.lit(UNIT))
+    return F.least(F.lit(int(np.floor(threshold * UNIT))).cast("long"), at.cast("long"))
+
+
+def quantiles(tally: DataFrame, by: list[str], quantile: float) -> DataFrame:
+    """The least step that more than ``quantile`` of a group's documents stand at or below."""
+    w = Window.partitionBy(*by)
+    ranked = tally.withColumns({"up": F.sum("n").over(w.orderBy("step")), "all": F.sum("n").over(w)})
+    return ranked.where(F.col("up") > F.col("all") * quantile).groupBy(*by).agg(F.min("step").alias("at"), F.first("all").alias("all"))
+
+
+def graded(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, quantile: float = QUANTILE) -> DataFrame:
+    """GRADES and ``kept`` of every document."""
+    found = grades(docs, labels)
+    tally = written(found.where("trusted and step is not null").groupBy("lang", "step").agg(F.count("*").alias("n")), "steps")
+    every = tally.groupBy("step").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
+    overall = quantiles(every, ["one"], quantile).first()
+    limits = quantiles(tally, ["lang"], quantile).where(F.col("all") >= ENOUGH).select(F.col("lang").alias("_lang"), "at")
+    step = F.coalesce("at", F.lit(overall["at"] if overall else None).cast("long"))
+    joined = found.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    kept = ~F.col("base_failed") & (F.col("total") >= least(step, threshold) * F.col("n_ngrams"))
+    return joined.withColumn("kept", kept).drop("_lang", "at")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Counts, score and verdict of every document; see RESULT."""
-    shared = docs.sparkSession.sparkContext.broadcast(Model(docs, labels, threshold))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [shared.value.verdict(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "trusted", "lang")))]
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *(pa.array(c, type=k) for c, k in zip(list(zip(*rows)) or [[]] * 9, kinds))],
-                names=[x.split()[0] for x in RESULT.split(", ")],
-            )
-
-    return with_flag(docs.select("doc_id", "text", named(docs).alias("lang")), trusted_ids(labels), "trusted").mapInArrow(score, RESULT)
+    score = F.when(F.col("n_ngrams") > 0, F.col("total") / (F.col("n_ngrams") * UNIT)).otherwise(0.0)
+    return graded(docs, labels, threshold).withColumn("score", score).select(*[x.split()[0] for x in RESULT.split(", ")])
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(Model(docs, labels, threshold))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "trusted", "lang")))
-            yield batch.select(["text", "rest"]).filter(pa.array([shared.value.verdict(*x)[6] for x in rows], type=pa.bool_()))
-
-    rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select("doc_id", "text", named(docs).alias("lang"), F.struct(*rest).alias("rest"))
-    kept = with_flag(packed, trusted_ids(labels), "trusted").mapInArrow(keep, packed.select("text", "rest").schema)
-    return kept.select(*[(F.col("text") if c == "text" else F.col("rest")[c]).alias(c) for c in docs.columns])
+    # A name that no table is likely to have: the rows keep their own columns.
+    keep = written(graded(docs, labels, threshold).where("kept").select(F.col("row").alias("__quality_row")).distinct(), "kept")
+    if keep.count() <= BROADCAST_IDS:
+        keep = F.broadcast(keep)
+    return docs.join(keep, row_key(docs) == F.col("__quality_row"), "left_semi")

@@ -263,6 +263,23 @@ def test_log_ratio_verdicts(spark):
         assert math.isclose(out[k].score, ratio[b].sum() / len(b) / quality_rules.UNIT, abs_tol=1e-9)
 
 
+def test_ratios_do_not_mix_in_a_large_vocabulary(spark, monkeypatch):
+    # More distinct n-grams than the least number of buckets, in several blocks and shards.
+    monkeypatch.setattr(quality_rules, "BLOCK_GRAMS", 30_000, raising=False)
+    monkeypatch.setattr(quality_rules, "SHARD_GRAMS", 40_000, raising=False)
+    rng = random.Random(31)
+    words = [[f"w{int(30_000 * rng.random() ** 3)}" for _ in range(400)] for _ in range(240)]
+    docs = spark.createDataFrame([(k, " ".join(w), "en", "a", 1) for k, w in enumerate(words)], DOCS)
+    out = {r.doc_id: r for r in quality_rules.judge(docs, labels(spark, [(k, 1, 0) for k in range(120)])).collect()}
+    own = [collections.Counter([*w, *zip(w, w[1:])]) for w in words]
+    raw, target = sum(own, collections.Counter()), sum(own[:120], collections.Counter())
+    assert len(raw) > quality_rules.BUCKETS
+    for k, c in enumerate(own):
+        r, t = raw.total() - c.total(), target.total() - c.total() * (k < 120)
+        want = sum(n * math.log((target[g] - n * (k < 120) + quality_rules.PSEUDO) / ((raw[g] - n) * t / r + quality_rules.PSEUDO)) for g, n in c.items())
+        assert math.isclose(out[k].score, want / c.total(), abs_tol=0.003)
+
+
 # 5
 
 
