@@ -17,6 +17,10 @@ are linked like any other; with fewer words than a shingle, the whole sequence i
 shingle; repeated rows keep their number; an empty table gives an empty result; only
 ``doc_id`` and ``text`` are read. Rows whose doc_id is null keep a null component unless
 their fingerprint occurs with an id.
+
+``similar`` groups by the resemblance of shingle sets instead (what stages on word shingles
+ask for): least hashes of the sets meet in bands, of which a pair at 0.8 shares none with a
+probability of 4e-6, and every pair that met is held against its whole sets.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ BLOCK_BITS = 16
 FEW = 48
 #: Shingles of one text whose bits are summed at a time.
 CHUNK = 1 << 15
+#: Bands of least hashes, and least hashes in each.
+BANDS, ROWS = 24, 4
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -151,12 +157,118 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; none without words."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    shingles = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+    return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles)))
+
+
+def band_keys(own: np.ndarray) -> list[int]:
+    """The keys of a set's bands, none for an empty set."""
+    from xxhash import xxh64_intdigest
+
+    if not len(own):
+        return []
+    factors = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(own), CHUNK):
+        least = np.minimum(least, np.multiply.outer(own[at : at + CHUNK], factors).min(axis=0))
+    return [xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def set_print(own: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
+
+
+def clusters(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each set the first one that pairs of at least ``similarity`` lead to."""
+    parent = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    met: dict[tuple[int, int], list[int]] = {}
+    for k, own in enumerate(sets):
+        for at in enumerate(band_keys(own)):
+            met.setdefault(at, []).append(k)
+    compared = set()
+    for members in met.values():
+        for n, a in enumerate(members):
+            for b in members[:n]:
+                x, y = find(a), find(b)
+                if x == y or (a, b) in compared:
+                    continue
+                compared.add((a, b))
+                small, large = sorted((len(sets[a]), len(sets[b])))
+                if small < similarity * large:
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both >= similarity * (small + large - both):
+                    parent[max(x, y)] = min(x, y)
+    return [find(k) for k in range(len(sets))]
+
+
+def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(doc_id, component_id): the least doc_id reachable over shingle sets that resemble each other."""
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), pa.array(map(set_print, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))],
+                names=["doc_id", "print", "bands"],
+            )
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_print, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["print", "hashes"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        found = table.sort_by("print")
+        group = clusters([np.frombuffer(x, np.uint64) for x in found.column("hashes").to_pylist()], similarity)
+        nodes, least = found.column("node").to_pylist(), {}
+        for node, g in zip(nodes, group):
+            if node is not None:
+                least[g] = min(node, least.get(g, node))
+        return pa.table([found.column("print"), pa.array([least.get(g) for g in group], pa.int64())], names=["print", "least"])
+
+    bounded_batches(docs.sparkSession)
+    texts = docs.select("doc_id", "text")
+    prints = written(texts.mapInArrow(prints_of, "doc_id long, print long, bands array<long>"), "prints")
+    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    keyed = nodes.select("print", F.posexplode("bands").alias("band", "key"))
+    first = keyed.groupBy("band", "key").agg(F.min("print").alias("v"), F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(first, ["band", "key"]).select(F.col("print").alias("u"), "v").where("u <> v").distinct()
+    groups = components(met).select(F.col("node").alias("print"), "root")
+    asked = written(nodes.select("print", "node").join(groups, "print"), "asked")
+    ids = asked.select(F.col("node").alias("_node")).distinct()
+    if asked.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    hashes = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_node")), "left_semi").mapInArrow(sets_of, "print long, hashes binary")
+    whole = asked.join(hashes, "print").groupBy("print").agg(*[F.first(c).alias(c) for c in ("root", "node", "hashes")])
+    settled = whole.groupBy("root").applyInArrow(settle, "print long, least long")
+    classes = written(nodes.join(settled, "print", "left").select("print", F.coalesce("least", "node").alias("component_id")), "classes")
+    return prints.join(classes, "print").select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates: that of the least doc_id.
 
-    Rows with equal ids count as one document, of which the least row stays.
+    With ``similarity`` near duplicates are those of ``similar`` with shingles of ``size``
+    words, without it those of ``near_duplicates``. Rows with equal ids count as one
+    document, of which the least row stays.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = near_duplicates(docs) if similarity is None else similar(docs, size, similarity)
+    found = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Names that no table is likely to have: the rows keep their own columns.
     keep = written(found.groupBy(F.col("doc_id").alias("__simhash_id")).agg(F.count("*").alias("__simhash_n")), "kept")
     once, more = keep.where("__simhash_n = 1"), keep.where("__simhash_n > 1")

@@ -180,3 +180,25 @@ def test_against_brute_force(spark, folder):
         want.append((r[0], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
     got = corpus_pipeline.run(spark, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 60
+
+
+def test_near_dedup_takes_four_fifths_of_five_word_shingles(spark):
+    rng = random.Random(41)
+    text = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(30)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(text)]
+    for k, w in enumerate(text):  # n words changed apart: each takes five shingles
+        for n in range(1, 7):
+            rows.append((100 * n + k, " ".join("new" if i % 30 == 10 and i < 30 * n else x for i, x in enumerate(w))))
+    sets = [{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for _, x in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                a, b = group[i], group[j]
+                group = [b if x == a else x for x in group]
+    want = {}
+    for r, g in zip(rows, group):
+        want[g] = min(want.get(g, r[0]), r[0])
+    docs = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in rows], DOCS)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want.values()) and len(want) < len(rows)
