@@ -231,7 +231,7 @@ def prj_serialise(spark: SparkSession, sf: str) -> DataFrame:
 def prj_model_output(spark: SparkSession, sf: str) -> DataFrame:
     """Model answers (JSON, plain text, failed) as variants."""
     d = t(spark, sf, "documents")
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"lang":"'), F.col("lang"), F.lit('"}'))).otherwise(F.substring("text", 1, 20))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"lang":"'), F.col("lang"), F.lit('"}'))).otherwise(F.col("text"))
     v = fn.coerced(F.regexp_replace(raw, r"^\{(?!\"lang)", "("), F.col("doc_id") % 3 != 2)
     return d.select("doc_id", F.coalesce(F.try_variant_get(v, "$.lang", "string"), F.when(F.try_variant_get(v, "$.extracted_text", "string").isNotNull(), "text"), F.lit("absent")).alias("kind"))
 
@@ -307,9 +307,11 @@ def src_dates(spark: SparkSession, sf: str) -> DataFrame:
       FROM documents""")
 def src_requests(spark: SparkSession, sf: str) -> DataFrame:
     d, k = t(spark, sf, "documents"), F.col("doc_id") % 4
-    doc = F.regexp_replace(F.base64(F.substring("text", 1, 200).cast("binary")), r"\s", "")
+    doc = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")
     body = F.when(k == 2, "not json").otherwise(F.to_json(F.struct(F.when(k != 1, doc).alias("document"), F.when(k != 3, "{}").alias("schema"))))
-    return files.requests(d.select("doc_id", body.alias("body"))).select("doc_id", F.octet_length("content").alias("n_bytes"), "error")
+    # The whole text passes through; the SQL counts the bytes of its first 200 characters.
+    first = F.substring(F.col("content").cast("string"), 1, 200)
+    return files.requests(d.select("doc_id", body.alias("body"))).select("doc_id", F.octet_length(first).alias("n_bytes"), "error")
 
 
 @q(r"""SELECT page_id, substr(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)), 1, 200) AS title, CAST(NULL AS VARCHAR) AS author,
@@ -1127,7 +1129,7 @@ def run_extraction(spark: SparkSession, sf: str) -> DataFrame:
         return extract.stub(["number", "vendor"])(pages, prompt)
 
     d = t(spark, sf, "documents")
-    pages = d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.concat_ws("|", "doc_id", F.substring("text", 1, 100)).cast("binary").alias("image"))
+    pages = d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.concat_ws("|", "doc_id", "text").cast("binary").alias("image"))
     out = extract.process(pages, ANSWER_SCHEMA, {"a": first, "b": second}, ["a", "b"], F.lit("2024-01-15 10:30:00"))
     missing = out["issues"].where("issue_type = 'required_fields'").groupBy(F.col("processing_id").cast("long").alias("document_id")).agg(F.count("*").alias("n_missing"))
     errors = out["errors"].select("document_id", F.col("handling.category").alias("category"))

@@ -360,3 +360,22 @@ def test_failed_models_keep_their_rows(spark):
     r = good["answers"].first()
     assert r["success"] and r["fallback_applied"] and r["client"] == "s"
     assert good["scores"].first()["is_valid"] is True and good["shaped"].first()["a"]
+
+
+def test_queries_pass_whole_texts(spark, tmp_path, monkeypatch):
+    from docloom import queries
+
+    spark.createDataFrame([(k, "x" * 5000, "en") for k in range(8)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+
+    def spy(owner, name, look):
+        f = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda first, *a, **b: (seen.__setitem__(name, look(first)), f(first, *a, **b))[1])
+
+    spy(queries.files, "requests", lambda df: df.selectExpr("max(length(body))").first()[0])
+    spy(queries.extract, "process", lambda df: df.selectExpr("min(length(image))").first()[0])
+    spy(queries.fn, "coerced", str)
+    queries.src_requests(spark, str(tmp_path))
+    queries.run_extraction(spark, str(tmp_path))
+    queries.prj_model_output(spark, str(tmp_path))
+    assert seen["requests"] > 6000 and seen["process"] > 5000 and "substring" not in seen["coerced"]
