@@ -35,9 +35,11 @@ BUCKETS = 1 << 16
 ROOM = 64
 #: N-grams of a block of texts and of a shard of buckets, about.
 BLOCK_GRAMS = 1 << 22
-SHARD_GRAMS = 1 << 23
+SHARD_GRAMS = 1 << 22
 #: Bytes of texts that a task deals to blocks at a time.
 HELD_BYTES = 1 << 25
+#: Zstandard level of texts that go to blocks.
+LEVEL = 12
 #: Units of a log ratio.
 UNIT = 1 << 16
 #: A document goes if its mean log ratio is below what all but QUANTILE of its language's
@@ -168,6 +170,7 @@ def packs(flagged: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        codec = pa.Codec("zstd", compression_level=LEVEL)
 
         def out() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
@@ -178,7 +181,7 @@ def packs(flagged: DataFrame, blocks: int) -> DataFrame:
             parts = np.split(order, ends) if len(order) else []
             data = [table.select(PACK.names).take(pa.array(p)).cast(PACK).combine_chunks().to_batches()[0].serialize() for p in parts]
             return pa.RecordBatch.from_arrays(
-                [pa.array([int(block[p[0]]) for p in parts], pa.int64()), pa.array([d.size for d in data], pa.int64()), pa.array([pa.compress(d, codec="zstd", asbytes=True) for d in data], pa.binary())],
+                [pa.array([int(block[p[0]]) for p in parts], pa.int64()), pa.array([d.size for d in data], pa.int64()), pa.array([codec.compress(d, asbytes=True) for d in data], pa.binary())],
                 names=["block", "size", "pack"],
             )
 
@@ -198,24 +201,25 @@ def unpacked(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([pa.ipc.read_record_batch(d, PACK) for d in data], schema=PACK)
 
 
-def own_buckets(table: pa.Table, count: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts of a block with their words; distinct buckets of the block; and for each text's distinct
-    buckets the number among those, the n-grams in it, and the text's number."""
-    texts, own, times, owner = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-    for text in table.column("text").to_pylist():
-        text = text or ""
-        words = text.encode().split()
-        ids, seen = word_ids(words)
-        size = 0
-        if words:
-            found, n = np.unique(buckets(ids, seen, count), return_counts=True)
-            own.append(found)
-            times.append(n)
-            size = len(found)
-        owner.append(size)
-        texts.append((text, words, ids, len(seen)))
+def own_buckets(table: pa.Table, count: int, base: bool) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base counts of a block's texts, if asked for; distinct buckets of the block; and for each text's
+    distinct buckets the number among those, the n-grams in it, and the text's number."""
+    counts, own, times, size = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
+    for chunk in table.column("text").chunks:
+        for text in chunk.to_pylist():
+            text = text or ""
+            words = text.encode().split()
+            ids, seen = word_ids(words)
+            if base:
+                counts.append(base_counts(text, words, ids, len(seen)))
+            size.append(0)
+            if words:
+                found, n = np.unique(buckets(ids, seen, count), return_counts=True)
+                own.append(found)
+                times.append(n.astype(np.int32))
+                size[-1] = len(found)
     keys, at = np.unique(np.concatenate(own), return_inverse=True)
-    return texts, keys, at, np.concatenate(times), np.repeat(np.arange(len(texts), dtype=np.int32), owner)
+    return counts, keys, at.astype(np.int32), np.concatenate(times), np.repeat(np.arange(len(size), dtype=np.int32), size)
 
 
 def block_counts(dealt: DataFrame, count: int, shards: int) -> DataFrame:
@@ -224,7 +228,7 @@ def block_counts(dealt: DataFrame, count: int, shards: int) -> DataFrame:
 
     def run(packed: pa.Table) -> pa.Table:
         table = unpacked(packed)
-        _, keys, at, n, owner = own_buckets(table, count)
+        _, keys, at, n, owner = own_buckets(table, count, False)
         good = np.array(table.column("trusted").to_pylist(), dtype=np.int64)
         raw = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
         target = np.bincount(at, weights=n * good[owner], minlength=len(keys)).astype(np.int64)
@@ -245,7 +249,7 @@ def block_counts(dealt: DataFrame, count: int, shards: int) -> DataFrame:
 
 
 def shard_sums(counts: DataFrame) -> DataFrame:
-    """The rows of ``block_counts`` with the counts of the whole corpus in place of the block's."""
+    """The rows of ``block_counts`` with the counts of all other blocks in place of the block's."""
 
     def run(table: pa.Table) -> pa.Table:
         size = table.column("size").to_pylist()
@@ -253,7 +257,8 @@ def shard_sums(counts: DataFrame) -> DataFrame:
         _, at = np.unique(np.concatenate([x.cumsum() for x in parts["keys"]]), return_inverse=True)
         ends, out = np.cumsum(size)[:-1], []
         for c in ("raw", "target"):
-            total = np.bincount(at, weights=np.concatenate(parts[c])).astype(np.int64)[at]
+            own = np.concatenate(parts[c])
+            total = np.bincount(at, weights=own).astype(np.int64)[at] - own  # mostly 0, which is short
             out.append(pa.array([narrow(x) for x in np.split(total, ends)], pa.binary()))
         return pa.table([table.column("block"), table.column("shard"), table.column("size"), *out], names=["block", "shard", "size", "raw", "target"])
 
@@ -281,22 +286,23 @@ def grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(packed: pa.Table, sums: pa.Table) -> pa.Table:
         table = unpacked(packed)
-        texts, keys, at, n, owner = own_buckets(table, count)
+        base, keys, at, n, owner = own_buckets(table, count, True)
         parts = sorted(zip(*(sums.column(c).to_pylist() for c in ("shard", "size", "raw", "target"))))
         raw, target = (np.concatenate([np.zeros(0, np.int64), *(widened(p[k], p[1]) for p in parts)]) for k in (2, 3))
         if len(raw) != len(keys):
             raise RuntimeError("quality rules: a block's counts are not those it asked for")
         good = np.array(table.column("trusted").to_pylist(), dtype=np.int64)
-        length = np.array([max(0, 2 * len(x[1]) - 1) for x in texts], dtype=np.int64)
+        raw += np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+        target += np.bincount(at, weights=n * good[owner], minlength=len(keys)).astype(np.int64)
+        length = np.array([max(0, 2 * x[0] - 1) for x in base], dtype=np.int64)
         raw_sum, target_sum = raw_all - length, target_all - length * good
         some = (raw_sum > 0) & (target_sum > 0)
         share = np.where(some, target_sum, 0) / np.where(some, raw_sum, 1)
         ratios = np.log((target[at] - n * good[owner] + PSEUDO) / ((raw[at] - n) * share[owner] + PSEUDO))
         units = np.where(some[owner], np.rint(ratios * UNIT).astype(np.int64) * n, 0)
-        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+        ends = np.searchsorted(owner, np.arange(len(base) + 1))
         summed = np.concatenate([[0], units.cumsum()]).astype(np.int64)[ends]
         total = np.diff(summed).tolist()
-        base = [base_counts(*x) for x in texts]
         failed = [x[0] < MIN_WORDS or 100 * x[4] > MAX_REPEAT_PERCENT * x[0] for x in base]
         step = [t * 1000 // (k * UNIT) if k else None for t, k in zip(total, length.tolist())]
         return pa.table(
