@@ -79,12 +79,12 @@ def with_flag(docs: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
     """Left join of a Boolean column: is the row's doc_id among ``ids`` (distinct)?
 
     The ids are broadcast only while there are at most BROADCAST_IDS of them; beyond
-    that Spark shuffles both sides.
+    that Spark shuffles both sides, and rows are put in an order that a rerun repeats.
     """
     marked = ids.withColumn(flag, F.lit(True))
-    if ids.count() <= BROADCAST_IDS:
-        marked = F.broadcast(marked)
-    return docs.join(marked, "doc_id", "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    small = ids.count() <= BROADCAST_IDS
+    met = docs.join(F.broadcast(marked) if small else marked, "doc_id", "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    return met if small else met.sortWithinPartitions("doc_id", F.xxhash64(*docs.columns))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -8,10 +8,9 @@ brought it. The log ratios are integers (units of 2**-16), so sums are exact and
 verdict on every document is the same in every run and on every partitioning.
 
 The number of buckets follows the measured number of n-grams, so an n-gram shares its bucket
-as rarely in a large corpus as in a small one. No task holds all counts: texts are dealt to
-blocks, each block's distinct buckets go with their counts to shards (ranges of buckets),
-which sum them and hand the sums back to the blocks that asked. Blocks and shards grow in
-number with the corpus and not in size.
+as rarely in a large corpus as in a small one. No task holds all counts: texts become blocks
+of numbered words (see ``blocks``), each block's distinct buckets go with their counts to
+shards (ranges of buckets), which sum them and hand the sums back to the blocks that asked.
 
 Edge cases: a null text is an empty text; a document without words has score 0 and fails
 the base rules; repeated rows are judged alike; an empty table gives an empty result; of
@@ -27,19 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_IDS, bounded_batches, trusted_ids, with_flag, written
+from docloom.llm.blocks import Block, blocks, mixed, narrow, shards_of, tallied, widened
+from docloom.llm.common import BROADCAST_IDS, WORD, bounded_batches, trusted_ids, with_flag, written
 
 #: Hash buckets of n-grams where the corpus has at most a quarter as many n-grams; a larger
 #: one has ROOM buckets for each of its n-grams at least.
 BUCKETS = 1 << 16
 ROOM = 64
-#: N-grams of a block of texts and of a shard of buckets, about.
-BLOCK_GRAMS = 1 << 22
+#: N-grams of a shard of buckets, about.
 SHARD_GRAMS = 1 << 22
-#: Bytes of texts that a task deals to blocks at a time.
-HELD_BYTES = 1 << 25
-#: Zstandard level of texts that go to blocks.
-LEVEL = 12
 #: Units of a log ratio.
 UNIT = 1 << 16
 #: A document goes if its mean log ratio is below what all but QUANTILE of its language's
@@ -56,6 +51,8 @@ MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
+COUNTS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_UNIGRAM = np.uint64(0x9E3779B97F4A7C15)
 
 RESULT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -63,22 +60,9 @@ RESULT = (
 )
 
 
-def word_ids(words: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
-    """Numbers of words in order of first appearance, and the words."""
-    seen: dict[bytes, int] = {}
-    return np.array([seen.setdefault(w, len(seen)) for w in words], dtype=np.int64), seen
-
-
-def buckets(ids: np.ndarray, seen: dict[bytes, int], count: int = BUCKETS) -> np.ndarray:
-    """Buckets (of ``count``, a power of two) of the unigrams and then of the bigrams of a text."""
-    from xxhash import xxh64_intdigest
-
-    h = np.fromiter(map(xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))[ids]
-    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    pair ^= pair >> np.uint64(29)
-    pair *= np.uint64(0xBF58476D1CE4E5B9)
-    both = np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), pair])
-    return (both >> np.uint64(65 - count.bit_length())).astype(np.int64)
+def buckets(hashes: np.ndarray, count: int) -> np.ndarray:
+    """Buckets (of ``count``, a power of two) of hashed n-grams."""
+    return (hashes >> np.uint64(65 - count.bit_length())).astype(np.int64)
 
 
 def repeated_words(ids: np.ndarray, distinct: int) -> int:
@@ -108,6 +92,7 @@ def repeated_words(ids: np.ndarray, distinct: int) -> int:
 
 
 def base_counts(text: str, words: list[bytes], ids: np.ndarray, distinct: int) -> tuple[int, int, int, int, int]:
+    """The number of words and COUNTS of a text."""
     seen, dup = set(), 0
     for line in text.split("\n"):
         if line in seen:
@@ -123,19 +108,6 @@ def base_counts(text: str, words: list[bytes], ids: np.ndarray, distinct: int) -
     )
 
 
-def narrow(values: np.ndarray) -> bytes:
-    """Integers from 0, byte plane by byte plane, compressed."""
-    kind = np.min_scalar_type(int(values.max(initial=0)))
-    planes = values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
-    return bytes([kind.itemsize]) + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def widened(data: bytes, count: int) -> np.ndarray:
-    width = data[0]
-    planes = pa.decompress(data[1:], decompressed_size=width * count, codec="zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(width, count).T.copy().view(f"<u{width}").ravel().astype(np.int64)
-
-
 def named(docs: DataFrame) -> Column:
     return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
@@ -148,104 +120,57 @@ def row_key(docs: DataFrame) -> Column:
 
 def sizes(flagged: DataFrame) -> tuple[int, int]:
     """N-grams of all texts and of the trusted ones."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [0, 0]
-        for batch in batches:
-            for text, good in zip(batch.column("text").to_pylist(), batch.column("trusted").to_pylist()):
-                n = max(0, 2 * len((text or "").encode().split()) - 1)
-                total[0] += n
-                total[1] += n * good
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=["raw", "target"])
-
-    r = flagged.select("text", "trusted").mapInArrow(count, "raw long, target long").agg(F.sum("raw"), F.sum("target")).first()
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    n = F.greatest(F.lit(0).cast("long"), 2 * words - 1)
+    r = flagged.agg(F.sum(n), F.sum(F.when(F.col("trusted"), n))).first()
     return r[0] or 0, r[1] or 0
 
 
-PACK = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string()), ("trusted", pa.bool_())])
-
-
-def packs(flagged: DataFrame, blocks: int) -> DataFrame:
-    """The rows (see PACK) dealt to blocks, those of a task together and compressed: (block, size, pack)."""
+class Grams:
+    """The distinct buckets of a block: ``keys``, and where the words and the pairs of words stand among them."""
+
+    def __init__(self, block: Block, count: int) -> None:
+        self.block, self.words = block, len(block.hashes)
+        inner = np.ones(max(0, len(block.ids) - 1), bool)
+        inner[block.ends[(block.ends > 0) & (block.ends <= len(inner))] - 1] = False
+        code = block.ids[:-1] * self.words + block.ids[1:]
+        self.pairs, _ = tallied(code[inner])
+        one = buckets(block.hashes * _UNIGRAM, count)
+        two = buckets(mixed(block.hashes[self.pairs // max(1, self.words)], block.hashes[self.pairs % max(1, self.words)]), count)
+        self.keys, at = np.unique(np.concatenate([one, two]), return_inverse=True)
+        self.one, self.two = at[: len(one)], at[len(one) :]
+
+    def owned(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, and for each of their distinct buckets the row (from 0), the key's place and the n-grams in it."""
+        for rows, ids, owner in self.block.slices():
+            own = owner[1:] == owner[:-1]
+            code = ids[:-1][own] * self.words + ids[1:][own]
+            place = np.concatenate([self.one[ids], self.two[np.searchsorted(self.pairs, code)]])
+            owners = np.concatenate([owner, owner[1:][own]])
+            found, n = tallied(owners * max(1, len(self.keys)) + place)
+            yield rows, found // max(1, len(self.keys)), found % max(1, len(self.keys)), n
+
+
+def block_counts(dealt: DataFrame, count: int, edges: list[int]) -> DataFrame:
+    """Every block's distinct buckets by shard, with the n-grams in them in all texts and in trusted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        codec = pa.Codec("zstd", compression_level=LEVEL)
-
-        def out() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            block = table.column("block").to_numpy()
-            order = np.argsort(block, kind="stable")
-            ends = np.flatnonzero(np.diff(block[order])) + 1
-            parts = np.split(order, ends) if len(order) else []
-            data = [table.select(PACK.names).take(pa.array(p)).cast(PACK).combine_chunks().to_batches()[0].serialize() for p in parts]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([int(block[p[0]]) for p in parts], pa.int64()), pa.array([d.size for d in data], pa.int64()), pa.array([codec.compress(d, asbytes=True) for d in data], pa.binary())],
-                names=["block", "size", "pack"],
-            )
-
         for batch in batches:
-            held.append(batch)
-            if sum(x.nbytes for x in held) > HELD_BYTES:
-                yield out()
-        if held:
-            yield out()
-
-    dealt = flagged.select(F.pmod("row", F.lit(blocks)).cast("long").alias("block"), *PACK.names)
-    return dealt.mapInArrow(run, "block long, size long, pack binary").repartition("block")
-
-
-def unpacked(table: pa.Table) -> pa.Table:
-    data = [pa.decompress(p, decompressed_size=n, codec="zstd") for n, p in zip(table.column("size").to_pylist(), table.column("pack").to_pylist())]
-    return pa.Table.from_batches([pa.ipc.read_record_batch(d, PACK) for d in data], schema=PACK)
-
-
-def own_buckets(table: pa.Table, count: int, base: bool) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Base counts of a block's texts, if asked for; distinct buckets of the block; and for each text's
-    distinct buckets the number among those, the n-grams in it, and the text's number."""
-    counts, own, times, size = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
-    for chunk in table.column("text").chunks:
-        for text in chunk.to_pylist():
-            text = text or ""
-            words = text.encode().split()
-            ids, seen = word_ids(words)
-            if base:
-                counts.append(base_counts(text, words, ids, len(seen)))
-            size.append(0)
-            if words:
-                found, n = np.unique(buckets(ids, seen, count), return_counts=True)
-                own.append(found)
-                times.append(n.astype(np.int32))
-                size[-1] = len(found)
-    keys, at = np.unique(np.concatenate(own), return_inverse=True)
-    return counts, keys, at.astype(np.int32), np.concatenate(times), np.repeat(np.arange(len(size), dtype=np.int32), size)
-
-
-def block_counts(dealt: DataFrame, count: int, shards: int) -> DataFrame:
-    """Every block's distinct buckets by shard, with the n-grams in them in all texts and in trusted ones."""
-    width = -(-count // shards)
-
-    def run(packed: pa.Table) -> pa.Table:
-        table = unpacked(packed)
-        _, keys, at, n, owner = own_buckets(table, count, False)
-        good = np.array(table.column("trusted").to_pylist(), dtype=np.int64)
-        raw = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
-        target = np.bincount(at, weights=n * good[owner], minlength=len(keys)).astype(np.int64)
-        edges = np.searchsorted(keys, np.arange(shards + 1) * width)
-        rows = [
-            (s, int(b - a), narrow(np.diff(keys[a:b], prepend=s * width)), narrow(raw[a:b]), narrow(target[a:b]))
-            for s, (a, b) in enumerate(zip(edges[:-1], edges[1:]))
-            if b > a
-        ]
-        block = packed.column("block")[0].as_py()
-        shard, size, *data = zip(*rows) if rows else [()] * 5
-        return pa.table(
-            [pa.array([block] * len(rows), pa.int64()), pa.array(shard, pa.int64()), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in data)],
-            names=["block", "shard", "size", "keys", "raw", "target"],
-        )
-
-    return dealt.groupBy("block").applyInArrow(run, "block long, shard long, size long, keys binary, raw binary, target binary")
+            for row in batch.to_pylist():
+                block = Block(row)
+                grams, good = Grams(block, count), block.column("trusted")
+                raw, target = (np.zeros(len(grams.keys)) for _ in range(2))
+                for rows, owner, place, n in grams.owned():
+                    raw += np.bincount(place, weights=n, minlength=len(raw))
+                    target += np.bincount(place, weights=n * good[rows][owner], minlength=len(raw))
+                found = list(shards_of(grams.keys, np.array(edges), (raw.astype(np.int64), target.astype(np.int64))))
+                shard, size, *data = zip(*found) if found else [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([row[c]] * len(found), pa.int64()) for c in ("block", "checksum")), pa.array(shard, pa.int64()), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in data)],
+                    names=["block", "checksum", "shard", "size", "keys", "raw", "target"],
+                )
+
+    return dealt.mapInArrow(run, "block long, checksum long, shard long, size long, keys binary, raw binary, target binary")
 
 
 def shard_sums(counts: DataFrame) -> DataFrame:
@@ -260,9 +185,9 @@ def shard_sums(counts: DataFrame) -> DataFrame:
             own = np.concatenate(parts[c])
             total = np.bincount(at, weights=own).astype(np.int64)[at] - own  # mostly 0, which is short
             out.append(pa.array([narrow(x) for x in np.split(total, ends)], pa.binary()))
-        return pa.table([table.column("block"), table.column("shard"), table.column("size"), *out], names=["block", "shard", "size", "raw", "target"])
+        return pa.table([*(table.column(c) for c in ("block", "checksum", "shard", "size")), *out], names=["block", "checksum", "shard", "size", "raw", "target"])
 
-    return counts.groupBy("shard").applyInArrow(run, "block long, shard long, size long, raw binary, target binary")
+    return counts.groupBy("shard").applyInArrow(run, "block long, checksum long, shard long, size long, raw binary, target binary")
 
 
 GRADES = (
@@ -281,40 +206,49 @@ def grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
     flagged = with_flag(rows, trusted_ids(labels), "trusted")
     raw_all, target_all = sizes(flagged)
     count = BUCKETS if 4 * raw_all <= BUCKETS else 1 << (ROOM * raw_all).bit_length()
-    blocks, shards = max(1, raw_all // BLOCK_GRAMS), max(1, raw_all // SHARD_GRAMS)
-    dealt = packs(flagged, blocks)
+    shards = max(1, raw_all // SHARD_GRAMS)
+    edges = [-(-count * k // shards) for k in range(shards)]
+    dealt = blocks(flagged, base_counts, ("n_words", *COUNTS))
 
     def run(packed: pa.Table, sums: pa.Table) -> pa.Table:
-        table = unpacked(packed)
-        base, keys, at, n, owner = own_buckets(table, count, True)
-        parts = sorted(zip(*(sums.column(c).to_pylist() for c in ("shard", "size", "raw", "target"))))
-        raw, target = (np.concatenate([np.zeros(0, np.int64), *(widened(p[k], p[1]) for p in parts)]) for k in (2, 3))
-        if len(raw) != len(keys):
-            raise RuntimeError("quality rules: a block's counts are not those it asked for")
-        good = np.array(table.column("trusted").to_pylist(), dtype=np.int64)
-        raw += np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
-        target += np.bincount(at, weights=n * good[owner], minlength=len(keys)).astype(np.int64)
-        length = np.array([max(0, 2 * x[0] - 1) for x in base], dtype=np.int64)
-        raw_sum, target_sum = raw_all - length, target_all - length * good
-        some = (raw_sum > 0) & (target_sum > 0)
-        share = np.where(some, target_sum, 0) / np.where(some, raw_sum, 1)
-        ratios = np.log((target[at] - n * good[owner] + PSEUDO) / ((raw[at] - n) * share[owner] + PSEUDO))
-        units = np.where(some[owner], np.rint(ratios * UNIT).astype(np.int64) * n, 0)
-        ends = np.searchsorted(owner, np.arange(len(base) + 1))
-        summed = np.concatenate([[0], units.cumsum()]).astype(np.int64)[ends]
-        total = np.diff(summed).tolist()
-        failed = [x[0] < MIN_WORDS or 100 * x[4] > MAX_REPEAT_PERCENT * x[0] for x in base]
-        step = [t * 1000 // (k * UNIT) if k else None for t, k in zip(total, length.tolist())]
-        return pa.table(
-            [
-                *(table.column(c) for c in ("row", "doc_id", "lang", "trusted")),
-                *(pa.array([x[k] for x in base], pa.int64()) for k in range(5)),
-                pa.array(failed, pa.bool_()), pa.array(total, pa.int64()), pa.array(length), pa.array(step, pa.int64()),
-            ],
-            names=[x.split()[0] for x in GRADES.split(", ")],
-        )
-
-    sums = shard_sums(block_counts(dealt, count, shards))
+        out = []
+        for row in packed.to_pylist():
+            block = Block(row)
+            grams, good = Grams(block, count), block.column("trusted")
+            if any(x != row["checksum"] for x in sums.column("checksum").to_pylist()):
+                raise RuntimeError("quality rules: a block was dealt otherwise than before")
+            parts = sorted(zip(*(sums.column(c).to_pylist() for c in ("shard", "size", "raw", "target"))))
+            raw, target = (np.concatenate([np.zeros(0, np.int64), *(widened(p[k], p[1]) for p in parts)]) for k in (2, 3))
+            if len(raw) != len(grams.keys):
+                raise RuntimeError("quality rules: a block's counts are not those it asked for")
+            for rows, owner, place, n in grams.owned():
+                raw += np.bincount(place, weights=n, minlength=len(raw)).astype(np.int64)
+                target += np.bincount(place, weights=n * good[rows][owner], minlength=len(raw)).astype(np.int64)
+            length = np.maximum(0, 2 * block.size - 1)
+            raw_sum, target_sum = raw_all - length, target_all - length * good
+            some = (raw_sum > 0) & (target_sum > 0)
+            share = np.where(some, target_sum, 0) / np.where(some, raw_sum, 1)
+            total = np.zeros(len(length), np.int64)
+            for rows, owner, place, n in grams.owned():
+                ratios = np.log((target[place] - n * good[rows][owner] + PSEUDO) / ((raw[place] - n) * share[rows][owner] + PSEUDO))
+                units = np.where(some[rows][owner], np.rint(ratios * UNIT).astype(np.int64) * n, 0)
+                # Sums of integers below 2**53 are exact in doubles.
+                total[rows] = np.bincount(owner, weights=units, minlength=rows.stop - rows.start).astype(np.int64)
+            n_words, repeats = block.size, block.column("n_repeat_words")
+            step = [t * 1000 // (k * UNIT) if k else None for t, k in zip(total.tolist(), length.tolist())]
+            out.append(
+                pa.table(
+                    [
+                        *(block.meta.column(c) for c in ("row", "doc_id", "lang", "trusted", "n_words", *COUNTS)),
+                        pa.array((n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)),
+                        pa.array(total), pa.array(length), pa.array(step, pa.int64()),
+                    ],
+                    names=[x.split()[0] for x in GRADES.split(", ")],
+                )
+            )
+        return pa.concat_tables(out)
+
+    sums = shard_sums(block_counts(dealt, count, edges))
     return written(dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, GRADES), "grades")
 
 

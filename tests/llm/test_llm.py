@@ -9,9 +9,10 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, common, kneser_ney, license_scan, media, mixing, packing, quality_rules, queries, simhash, suffix_dedup, url_filter
+from docloom.llm import blocks, bpe, common, kneser_ney, license_scan, media, mixing, packing, quality_rules, queries, simhash, suffix_dedup, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -219,7 +220,7 @@ def test_base_counts():
     for _ in range(200):
         text = "".join(rng.choice(["a", "b", "é", " ", "\n", "#", "$ ", "a b a b a b "]) for _ in range(rng.randrange(120)))
         words = text.encode().split()
-        ids, seen = quality_rules.word_ids(words)
+        ids, seen = blocks.word_ids(words)
         n = len(words) - 4
         windows = [tuple(words[k : k + 5]) for k in range(max(0, n))]
         count = collections.Counter(windows)
@@ -235,7 +236,7 @@ def test_base_counts():
 
 def test_repeated_words_of_many_kinds():
     words = [str(k).encode() for k in range(30_000)] + [b"1", b"2", b"3", b"4", b"5"]
-    assert quality_rules.repeated_words(*(lambda i, s: (i, len(s)))(*quality_rules.word_ids(words))) == 10
+    assert quality_rules.repeated_words(*(lambda i, s: (i, len(s)))(*blocks.word_ids(words))) == 10
 
 
 def test_log_ratio_verdicts(spark):
@@ -251,7 +252,12 @@ def test_log_ratio_verdicts(spark):
     assert again == out
     # Scores by hand: both multinomials over the buckets, integer log ratios.
     raw, target = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
-    at = {k: quality_rules.buckets(*quality_rules.word_ids(words_of(x))) for k, x, *_ in good + bad}
+
+    def hashed(words):
+        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        return np.concatenate([quality_rules.buckets(x, quality_rules.BUCKETS) for x in (h * quality_rules._UNIGRAM, blocks.mixed(h[:-1], h[1:]))])
+
+    at = {k: hashed(words_of(x)) for k, x, *_ in good + bad}
     for k, b in at.items():
         np.add.at(raw, b, 1)
         if k < 40:
@@ -265,7 +271,8 @@ def test_log_ratio_verdicts(spark):
 
 def test_ratios_do_not_mix_in_a_large_vocabulary(spark, monkeypatch):
     # More distinct n-grams than the least number of buckets, in several blocks and shards.
-    monkeypatch.setattr(quality_rules, "BLOCK_GRAMS", 30_000, raising=False)
+    monkeypatch.setattr(blocks, "BLOCK_WORDS", 15_000)
+    monkeypatch.setattr(blocks, "SLICE_WORDS", 4_000)
     monkeypatch.setattr(quality_rules, "SHARD_GRAMS", 40_000, raising=False)
     rng = random.Random(31)
     words = [[f"w{int(30_000 * rng.random() ** 3)}" for _ in range(400)] for _ in range(240)]
