@@ -23,24 +23,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 22
+#: Words that are numbered by frequency.
+FREQUENT = 1 << 16
 #: Words of texts whose n-grams are looked at together.
 SLICE_WORDS = 1 << 19
 BLOCK = "block long, checksum long, meta binary, words binary, ids binary"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def narrow(values: np.ndarray) -> bytes:
+def narrow(values: np.ndarray, level: int = 5) -> bytes:
     """Integers from 0, byte plane by byte plane, compressed."""
     kind = np.min_scalar_type(int(values.max(initial=0)))
     planes = values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
-    return bytes([kind.itemsize]) + pa.compress(planes, codec="zstd", asbytes=True)
+    return bytes([kind.itemsize]) + pa.Codec("zstd", compression_level=level).compress(planes, asbytes=True)
 
 
-def widened(data: bytes, count: int) -> np.ndarray:
+def widened(data: bytes, count: int, kind: type = np.int64) -> np.ndarray:
     width = data[0]
     planes = pa.decompress(data[1:], decompressed_size=width * count, codec="zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(width, count).T.copy().view(f"<u{width}").ravel().astype(np.int64)
+    return np.frombuffer(planes, np.uint8).reshape(width, count).T.copy().view(f"<u{width}").ravel().astype(kind)
 
 
 def squeezed(data: bytes, level: int = 9) -> bytes:
@@ -58,7 +60,7 @@ def word_ids(words: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
 
 
 class Block:
-    """The rows and words of a block: ``meta`` a table, ``size`` words of each row,
+    """The rows and words of a block (one row at least): ``meta`` a table, ``size`` words of each row,
     ``hashes`` of the distinct words, ``ids`` the number of every word, row after row."""
 
     def __init__(self, row: dict) -> None:
@@ -69,7 +71,7 @@ class Block:
         self.ends = self.size.cumsum()
         words = restored(row["words"]).split()
         self.hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-        self.ids = widened(row["ids"], int(self.ends[-1])) if len(self.ends) else np.zeros(0, np.int64)
+        self.ids = widened(row["ids"], int(self.ends[-1]), np.int32 if len(words) < 1 << 31 else np.int64)
 
     def column(self, name: str) -> np.ndarray:
         return np.array(self.meta.column(name).to_pylist(), dtype=np.int64)
@@ -108,12 +110,13 @@ def blocks(rows: DataFrame, measure: Callable = only_words, measured: tuple[str,
 
         def out() -> pa.RecordBatch:
             nonlocal made, count
-            number = np.concatenate([np.zeros(0, np.int64), *held])
-            # Frequent words get low numbers: short planes.
+            number = np.concatenate([np.zeros(0, np.int32), *held])
+            # Frequent words get low numbers, which makes short planes; the rest is in order, which makes a short list.
             order = np.argsort(-np.bincount(number, minlength=len(known)), kind="stable")
-            rank = np.empty(len(known), np.int64)
-            rank[order] = np.arange(len(known))
             words = list(known)
+            order[FREQUENT:] = sorted(order[FREQUENT:].tolist(), key=words.__getitem__)
+            rank = np.empty(len(known), np.int32)
+            rank[order] = np.arange(len(known))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, metas[0].schema) as stream:
                 for meta in metas:
@@ -133,7 +136,7 @@ def blocks(rows: DataFrame, measure: Callable = only_words, measured: tuple[str,
                 words = text.encode().split()
                 ids, seen = word_ids(words)
                 found.append(measure(text, words, ids, len(seen)))
-                held.append(np.fromiter((known.setdefault(w, len(known)) for w in seen), np.int64, len(seen))[ids])
+                held.append(np.fromiter((known.setdefault(w, len(known)) for w in seen), np.int32, len(seen))[ids])
                 count += len(words)
                 if count >= BLOCK_WORDS or k == len(texts) - 1:
                     sizes = [pa.array(x, pa.int64()) for x in zip(*found)]

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 #: Ids that may be broadcast (8 bytes each); above it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
-#: Texts of one Arrow batch.
+#: Texts and bytes of one Arrow batch.
 BATCH_TEXTS = 1024
+BATCH_BYTES = 1 << 25
 
 #: Words of the contract: runs of anything but ASCII white space. ``bytes.split()``
 #: cuts at exactly these six bytes.
@@ -52,13 +53,17 @@ def dropped(df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """At most BATCH_TEXTS texts go to a Python worker at once (fewer if the session says so).
+    """At most BATCH_TEXTS texts and about BATCH_BYTES go to a Python worker at once (less if the session says so).
 
     Spark's own 10,000 long texts would be hundreds of megabytes in the JVM and again in Python.
+    The settings stay, as plans are made after this call returns; they only bound memory.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_TEXTS:
-        spark.conf.set(key, str(BATCH_TEXTS))
+    for name, most in (("maxRecordsPerBatch", BATCH_TEXTS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = spark.conf.get(key)
+        held = int(held) if held.lstrip("-").isdigit() else None  # a size like 64MB is as good as unset
+        if held is None or not 0 < held <= most:
+            spark.conf.set(key, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -133,21 +133,21 @@ class Grams:
         self.block, self.words = block, len(block.hashes)
         inner = np.ones(max(0, len(block.ids) - 1), bool)
         inner[block.ends[(block.ends > 0) & (block.ends <= len(inner))] - 1] = False
-        code = block.ids[:-1] * self.words + block.ids[1:]
-        self.pairs, _ = tallied(code[inner])
+        self.pairs, _ = tallied(block.ids[:-1][inner] * np.int64(self.words) + block.ids[1:][inner])
         one = buckets(block.hashes * _UNIGRAM, count)
         two = buckets(mixed(block.hashes[self.pairs // max(1, self.words)], block.hashes[self.pairs % max(1, self.words)]), count)
         self.keys, at = np.unique(np.concatenate([one, two]), return_inverse=True)
+        at = at.astype(np.int32)
         self.one, self.two = at[: len(one)], at[len(one) :]
 
     def owned(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
         """Rows, and for each of their distinct buckets the row (from 0), the key's place and the n-grams in it."""
         for rows, ids, owner in self.block.slices():
             own = owner[1:] == owner[:-1]
-            code = ids[:-1][own] * self.words + ids[1:][own]
+            code = ids[:-1][own] * np.int64(self.words) + ids[1:][own]
             place = np.concatenate([self.one[ids], self.two[np.searchsorted(self.pairs, code)]])
             owners = np.concatenate([owner, owner[1:][own]])
-            found, n = tallied(owners * max(1, len(self.keys)) + place)
+            found, n = tallied(owners * np.int64(max(1, len(self.keys))) + place)
             yield rows, found // max(1, len(self.keys)), found % max(1, len(self.keys)), n
 
 
