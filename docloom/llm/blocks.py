@@ -77,7 +77,7 @@ class Block:
         return np.array(self.meta.column(name).to_pylist(), dtype=np.int64)
 
     def slices(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """Rows of about SLICE_WORDS words: which rows, the word numbers, and the row (from 0) of each."""
+        """Rows of about SLICE_WORDS words: which rows, their word numbers, and the row (from 0) of each."""
         first = 0
         while first < len(self.ends):
             begin = int(self.ends[first] - self.size[first])
@@ -150,24 +150,27 @@ def blocks(rows: DataFrame, measure: Callable = only_words, measured: tuple[str,
     return rows.select(*kept, "text").mapInArrow(run, BLOCK).repartition("block")
 
 
-def pairs_of(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """64-bit hashes of bigrams (or longer n-grams: ``hashes`` of their heads and tails)."""
-    return mixed(hashes[first], hashes[second])
-
-
 def mixed(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
     pair = (head * _MIX) ^ (tail * np.uint64(0xC2B2AE3D27D4EB4F))
     pair ^= pair >> np.uint64(29)
     return pair * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def tallied(code: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct codes in order, the number of each, and sums of integer weights."""
-    order = np.argsort(code, kind="stable") if weights else None
-    ordered = np.sort(code) if order is None else code[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(code) else np.zeros(0, np.int64)
-    sums = [np.add.reduceat(w[order], starts) if len(code) else np.zeros(0, np.int64) for w in weights]
-    return ordered[starts], np.diff(np.append(starts, len(code))), *sums
+def tallied(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the number of each."""
+    ordered = np.sort(code)
+    starts = np.flatnonzero(np.concatenate([ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]]))
+    return ordered[starts], np.diff(np.append(starts, len(code)))
+
+
+def numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and for every code the number (32 bits) of its value among them."""
+    order = np.argsort(code)
+    ordered = code[order]
+    fresh = np.concatenate([ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]])
+    number = np.empty(len(code), np.int32)
+    number[order] = fresh.cumsum(dtype=np.int32) - 1
+    return ordered[fresh], number
 
 
 def shards_of(keys: np.ndarray, edges: np.ndarray, parts: tuple[np.ndarray, ...]) -> Iterator[tuple]:

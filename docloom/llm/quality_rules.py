@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import Block, blocks, mixed, narrow, shards_of, tallied, widened
+from docloom.llm.blocks import Block, blocks, mixed, narrow, numbered, shards_of, tallied, widened
 from docloom.llm.common import BROADCAST_IDS, WORD, bounded_batches, trusted_ids, with_flag, written
 
 #: Hash buckets of n-grams where the corpus has at most a quarter as many n-grams; a larger
@@ -127,28 +127,38 @@ def sizes(flagged: DataFrame) -> tuple[int, int]:
 
 
 class Grams:
-    """The distinct buckets of a block: ``keys``, and where the words and the pairs of words stand among them."""
+    """The distinct buckets ``keys`` of a block, and the places among them of its unigrams and of its bigrams."""
 
     def __init__(self, block: Block, count: int) -> None:
-        self.block, self.words = block, len(block.hashes)
+        width = max(1, len(block.hashes))
         inner = np.ones(max(0, len(block.ids) - 1), bool)
         inner[block.ends[(block.ends > 0) & (block.ends <= len(inner))] - 1] = False
-        self.pairs, _ = tallied(block.ids[:-1][inner] * np.int64(self.words) + block.ids[1:][inner])
+        pairs, at = numbered(block.ids[:-1][inner] * np.int64(width) + block.ids[1:][inner])
         one = buckets(block.hashes * _UNIGRAM, count)
-        two = buckets(mixed(block.hashes[self.pairs // max(1, self.words)], block.hashes[self.pairs % max(1, self.words)]), count)
-        self.keys, at = np.unique(np.concatenate([one, two]), return_inverse=True)
-        at = at.astype(np.int32)
-        self.one, self.two = at[: len(one)], at[len(one) :]
-
-    def owned(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        two = buckets(mixed(block.hashes[pairs // width], block.hashes[pairs % width]), count)
+        self.keys, place = numbered(np.concatenate([one, two]))
+        self.places = place[: len(one)][block.ids], place[len(one) :][at]
+        self.sizes = block.size, np.maximum(0, block.size - 1)
+        self.ends = tuple(x.cumsum() for x in self.sizes)
+
+    def counts(self, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams of every bucket in all rows, and in those that are ``good``."""
+        raw, target = (np.zeros(len(self.keys), np.int64) for _ in range(2))
+        for place, size in zip(self.places, self.sizes):
+            raw += np.bincount(place, minlength=len(raw))
+            target += np.bincount(place[np.repeat(good > 0, size)], minlength=len(raw))
+        return raw, target
+
+    def owned(self, block: Block) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
         """Rows, and for each of their distinct buckets the row (from 0), the key's place and the n-grams in it."""
-        for rows, ids, owner in self.block.slices():
-            own = owner[1:] == owner[:-1]
-            code = ids[:-1][own] * np.int64(self.words) + ids[1:][own]
-            place = np.concatenate([self.one[ids], self.two[np.searchsorted(self.pairs, code)]])
-            owners = np.concatenate([owner, owner[1:][own]])
-            found, n = tallied(owners * np.int64(max(1, len(self.keys))) + place)
-            yield rows, found // max(1, len(self.keys)), found % max(1, len(self.keys)), n
+        width = np.int64(max(1, len(self.keys)))
+        for rows, _, _ in block.slices():
+            code = [
+                np.repeat(np.arange(rows.stop - rows.start), size[rows]) * width + place[ends[rows.start] - size[rows.start] : ends[rows.stop - 1]]
+                for place, size, ends in zip(self.places, self.sizes, self.ends)
+            ]
+            found, n = tallied(np.concatenate(code))
+            yield rows, found // width, found % width, n
 
 
 def block_counts(dealt: DataFrame, count: int, edges: list[int]) -> DataFrame:
@@ -159,11 +169,7 @@ def block_counts(dealt: DataFrame, count: int, edges: list[int]) -> DataFrame:
             for row in batch.to_pylist():
                 block = Block(row)
                 grams, good = Grams(block, count), block.column("trusted")
-                raw, target = (np.zeros(len(grams.keys)) for _ in range(2))
-                for rows, owner, place, n in grams.owned():
-                    raw += np.bincount(place, weights=n, minlength=len(raw))
-                    target += np.bincount(place, weights=n * good[rows][owner], minlength=len(raw))
-                found = list(shards_of(grams.keys, np.array(edges), (raw.astype(np.int64), target.astype(np.int64))))
+                found = list(shards_of(grams.keys, np.array(edges), grams.counts(good)))
                 shard, size, *data = zip(*found) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array([row[c]] * len(found), pa.int64()) for c in ("block", "checksum")), pa.array(shard, pa.int64()), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in data)],
@@ -221,15 +227,13 @@ def grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
             raw, target = (np.concatenate([np.zeros(0, np.int64), *(widened(p[k], p[1]) for p in parts)]) for k in (2, 3))
             if len(raw) != len(grams.keys):
                 raise RuntimeError("quality rules: a block's counts are not those it asked for")
-            for rows, owner, place, n in grams.owned():
-                raw += np.bincount(place, weights=n, minlength=len(raw)).astype(np.int64)
-                target += np.bincount(place, weights=n * good[rows][owner], minlength=len(raw)).astype(np.int64)
+            raw, target = (x + y for x, y in zip((raw, target), grams.counts(good)))
             length = np.maximum(0, 2 * block.size - 1)
             raw_sum, target_sum = raw_all - length, target_all - length * good
             some = (raw_sum > 0) & (target_sum > 0)
             share = np.where(some, target_sum, 0) / np.where(some, raw_sum, 1)
             total = np.zeros(len(length), np.int64)
-            for rows, owner, place, n in grams.owned():
+            for rows, owner, place, n in grams.owned(block):
                 ratios = np.log((target[place] - n * good[rows][owner] + PSEUDO) / ((raw[place] - n) * share[rows][owner] + PSEUDO))
                 units = np.where(some[rows][owner], np.rint(ratios * UNIT).astype(np.int64) * n, 0)
                 # Sums of integers below 2**53 are exact in doubles.
