@@ -19,8 +19,10 @@ shingle; repeated rows keep their number; an empty table gives an empty result;
 their fingerprint occurs with an id.
 
 ``similar`` groups by the resemblance of shingle sets instead (what stages on word shingles
-ask for): least hashes of the sets meet in bands, of which a pair at 0.8 shares none with a
-probability of 4e-6, and every pair that met is held against its whole sets.
+ask for), for which fingerprints are no good: at a resemblance of 0.8 two of 64 bits differ in
+ten places on average and in up to twenty, and pigeonhole blocks for twenty bits would have
+three bits each. Least hashes of the sets meet in bands, of which a pair at 0.8 shares none
+with a probability of 4e-6, and every pair that met is held against its whole sets.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_IDS, bounded_batches, components, written
+from docloom.llm.common import BROADCAST_IDS, bounded_batches, components, dropped, written
 
 SHINGLE = 3
 SEED = 42
@@ -42,8 +44,10 @@ BLOCKS = 4
 BLOCK_BITS = 16
 #: Up to so many fingerprints under one key are compared pair by pair.
 FEW = 48
-#: Shingles of one text whose bits are summed at a time.
-CHUNK = 1 << 15
+#: Members of a larger bucket that are held against as many others in a task.
+MANY = 1024
+#: Shingles of one text that are worked on at a time.
+CHUNK = 1 << 12
 #: Bands of least hashes, and least hashes in each.
 BANDS, ROWS = 24, 4
 
@@ -166,17 +170,22 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles)))
 
 
+def least_hashes(own: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS least hashes of a set."""
+    factors = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(own), CHUNK):
+        least = np.minimum(least, np.multiply.outer(own[at : at + CHUNK], factors).min(axis=0))
+    return least
+
+
 def band_keys(own: np.ndarray) -> list[int]:
     """The keys of a set's bands, none for an empty set."""
     from xxhash import xxh64_intdigest
 
     if not len(own):
         return []
-    factors = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
-    for at in range(0, len(own), CHUNK):
-        least = np.minimum(least, np.multiply.outer(own[at : at + CHUNK], factors).min(axis=0))
-    return [xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))]
+    return [xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least_hashes(own).reshape(BANDS, ROWS))]
 
 
 def set_print(own: np.ndarray) -> int:
@@ -185,39 +194,83 @@ def set_print(own: np.ndarray) -> int:
     return xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
 
 
-def clusters(sets: list[np.ndarray], similarity: float) -> list[int]:
-    """For each set the first one that pairs of at least ``similarity`` lead to."""
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    met: dict[tuple[int, int], list[int]] = {}
-    for k, own in enumerate(sets):
-        for at in enumerate(band_keys(own)):
-            met.setdefault(at, []).append(k)
-    compared = set()
-    for members in met.values():
-        for n, a in enumerate(members):
-            for b in members[:n]:
-                x, y = find(a), find(b)
-                if x == y or (a, b) in compared:
-                    continue
-                compared.add((a, b))
-                small, large = sorted((len(sets[a]), len(sets[b])))
-                if small < similarity * large:
-                    continue
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if both >= similarity * (small + large - both):
-                    parent[max(x, y)] = min(x, y)
-    return [find(k) for k in range(len(sets))]
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, print, hashes): the sets of ``docs`` and what tells them apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            hashes = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(map(set_print, sets), pa.int64()), hashes], names=["doc_id", "print", "hashes"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print long, hashes array<long>")
+
+
+def resembling(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (u, v) of prints whose whole sets have at least ``similarity`` in common."""
+    met = pairs
+    for c in ("u", "v"):
+        met = met.join(sets.select(F.col("print").alias(c), F.col("hashes").alias(f"_{c}")), c)
+    both = F.size(F.array_intersect("_u", "_v"))
+    return met.where(both >= similarity * (F.size("_u") + F.size("_v") - both)).select("u", "v")
+
+
+def pairs_of_few(buckets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of prints that share a bucket and not a group, for buckets of FEW members at most."""
+    m = buckets.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("print", "root"))).alias("m"))
+    apart = F.transform(
+        "m",
+        lambda a, i: F.transform(
+            F.filter(F.slice("m", i + 2, FEW), lambda b: a["root"] != b["root"]),
+            lambda b: F.struct(a["print"].alias("u"), b["print"].alias("v")),
+        ),
+    )
+    return m.select(F.explode(F.flatten(apart)).alias("e")).select("e.u", "e.v").distinct()
+
+
+def pairs_of_many(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The like of ``pairs_of_few`` for buckets of any size, a chunk against a chunk in a task.
+
+    Chunks are of MANY members, whose least hashes alone travel; pairs that agree in clearly
+    fewer of them than ``similarity`` (by five deviations) go no further.
+    """
+    floor = similarity - 5 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
+
+    def least_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [least_hashes(np.array(x, np.int64).view(np.uint64)).tobytes() for x in batch.column("hashes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("print"), pa.array(own, pa.binary())], names=["print", "least"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        prints, roots, chunk = (table.column(c).to_numpy() for c in ("print", "root", "chunk"))
+        least = np.frombuffer(b"".join(table.column("least").to_pylist()), np.uint64).reshape(len(prints), -1)
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
+        u, v = [], []
+        for a in left.tolist():
+            at = right[(roots[right] != roots[a]) & ((prints[right] > prints[a]) | (low != high))]
+            at = at[(least[at] == least[a]).mean(axis=1) >= floor] if len(at) else at
+            u += [min(prints[a], prints[b]) for b in at.tolist()]
+            v += [max(prints[a], prints[b]) for b in at.tolist()]
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    wanted = buckets.select("print").distinct()
+    least = written(sets.join(wanted, "print", "left_semi").select("print", "hashes").mapInArrow(least_of, "print long, least binary"), "least")
+    chunks = -F.floor(-F.col("n") / MANY)
+    dealt = buckets.withColumns({"chunk": F.pmod(F.xxhash64("print"), chunks), "chunks": chunks})
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("low"), F.greatest("chunk", o).alias("high")))
+    spread = dealt.select("bucket", "print", "root", "chunk", F.explode(others).alias("o")).select("bucket", "print", "root", "chunk", "o.*")
+    return spread.join(least, "print").groupBy("bucket", "low", "high").applyInArrow(compare, "u long, v long").distinct()
 
 
 def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(doc_id, component_id): the least doc_id reachable over shingle sets that resemble each other."""
+    """(doc_id, component_id): the least doc_id reachable over shingle sets that resemble each other.
+
+    Sets meet in bands. Every member of a band's bucket is held against the bucket's least
+    one first, which settles large groups of near copies with a pair for each member; then
+    members of one bucket that are still in different groups are held against each other.
+    No task holds a bucket or a group, and no pair within a group is made.
+    """
 
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,37 +280,41 @@ def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                 names=["doc_id", "print", "bands"],
             )
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(set_print, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["print", "hashes"])
-
-    def settle(table: pa.Table) -> pa.Table:
-        found = table.sort_by("print")
-        group = clusters([np.frombuffer(x, np.uint64) for x in found.column("hashes").to_pylist()], similarity)
-        nodes, least = found.column("node").to_pylist(), {}
-        for node, g in zip(nodes, group):
-            if node is not None:
-                least[g] = min(node, least.get(g, node))
-        return pa.table([found.column("print"), pa.array([least.get(g) for g in group], pa.int64())], names=["print", "least"])
-
     bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     prints = written(texts.mapInArrow(prints_of, "doc_id long, print long, bands array<long>"), "prints")
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
-    keyed = nodes.select("print", F.posexplode("bands").alias("band", "key"))
-    first = keyed.groupBy("band", "key").agg(F.min("print").alias("v"), F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(first, ["band", "key"]).select(F.col("print").alias("u"), "v").where("u <> v").distinct()
-    groups = components(met).select(F.col("node").alias("print"), "root")
-    asked = written(nodes.select("print", "node").join(groups, "print"), "asked")
+    keyed = nodes.select("print", F.posexplode("bands").alias("band", "key")).select("print", F.xxhash64("band", "key").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.min("print").alias("v"), F.count("*").alias("n")).where("n > 1")
+    met = written(keyed.join(shared, "bucket"), "met")
+    asked = written(nodes.select("print", "node").join(met.select("print").distinct(), "print"), "asked")
     ids = asked.select(F.col("node").alias("_node")).distinct()
     if asked.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    hashes = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_node")), "left_semi").mapInArrow(sets_of, "print long, hashes binary")
-    whole = asked.join(hashes, "print").groupBy("print").agg(*[F.first(c).alias(c) for c in ("root", "node", "hashes")])
-    settled = whole.groupBy("root").applyInArrow(settle, "print long, least long")
-    classes = written(nodes.join(settled, "print", "left").select("print", F.coalesce("least", "node").alias("component_id")), "classes")
-    return prints.join(classes, "print").select("doc_id", "component_id")
+    own = shingle_sets(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_node")), "left_semi"), size)
+    # Rows with one id may have several texts; of rows with one print any will do.
+    sets = written(own.join(asked.select("print"), "print", "left_semi").groupBy("print").agg(F.first("hashes").alias("hashes")), "sets")
+
+    stars = met.where("print <> v").select(F.col("print").alias("u"), "v").distinct()
+    links = written(resembling(stars, sets, similarity), "links")
+    groups = written(components(links).select(F.col("node").alias("print"), "root"), "groups")
+    rooted = met.join(groups, "print", "left").select("bucket", "print", "n", F.coalesce("root", "print").alias("root"))
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+    mixed = written(rooted.join(open_, "bucket"), "mixed")
+    rest = resembling(pairs_of_few(mixed.where(F.col("n") <= FEW)), sets, similarity)
+    many = mixed.where(F.col("n") > FEW)
+    if not many.isEmpty():
+        rest = rest.unionByName(resembling(pairs_of_many(many, sets, similarity), sets, similarity))
+    more = written(rest, "links")
+    if not more.isEmpty():
+        groups = components(links.unionByName(more)).select(F.col("node").alias("print"), "root")
+    grouped = nodes.select("print", "node").join(groups, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    least = grouped.groupBy("root").agg(F.min("node").alias("component_id"))
+    classes = written(grouped.select("print", "root").join(least, "root").select("print", "component_id"), "classes")
+    out = written(prints.select("doc_id", "print").join(classes, "print").select("doc_id", "component_id"), "similar")
+    for table in (prints, nodes, met, asked, sets, links, mixed, more, classes):
+        dropped(table)
+    return out
 
 
 def representatives(docs: DataFrame, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:

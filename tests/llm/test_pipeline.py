@@ -6,7 +6,9 @@ import math
 import random
 import struct
 
+import numpy as np
 import pytest
+import xxhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -50,8 +52,13 @@ def test_stages(spark, folder):
 def brute_quality(rows, trusted):
     """Stage 1 in plain Python: base rules, and log ratios with the text itself left out."""
     from docloom.llm import quality_rules as rules
+    from docloom.llm.blocks import mixed
 
-    grams = {k: collections.Counter(rules.buckets(*rules.word_ids(r[1].encode().split())).tolist()) if (r[1] or "").split() else collections.Counter() for k, r in enumerate(rows)}
+    def hashed(words):
+        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        return [x for part in (h * rules._UNIGRAM, mixed(h[:-1], h[1:])) for x in rules.buckets(part, rules.BUCKETS).tolist()]
+
+    grams = {k: collections.Counter(hashed((r[1] or "").encode().split())) for k, r in enumerate(rows)}
     raw, target = collections.Counter(), collections.Counter()
     for k, r in enumerate(rows):
         raw.update(grams[k])
@@ -182,7 +189,13 @@ def test_against_brute_force(spark, folder):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 60
 
 
-def test_near_dedup_takes_four_fifths_of_five_word_shingles(spark):
+@pytest.mark.parametrize("few", [48, 2])
+def test_near_dedup_takes_four_fifths_of_five_word_shingles(spark, monkeypatch, few):
+    from docloom.llm import simhash
+
+    # With buckets of over two members taken in chunks, and as they are.
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "MANY", min(few, 3) if few < 48 else simhash.MANY)
     rng = random.Random(41)
     text = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(30)]
     rows = [(k, " ".join(w)) for k, w in enumerate(text)]
