@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docloom.llm.common import tidy
+
 BLOCK_WORDS = 1 << 22
 #: Words that are numbered by frequency.
 FREQUENT = 1 << 16
@@ -147,7 +149,7 @@ def blocks(rows: DataFrame, measure: Callable = only_words, measured: tuple[str,
         if metas:
             yield out()
 
-    return rows.select(*kept, "text").mapInArrow(run, BLOCK).repartition("block")
+    return rows.select(*kept, "text").mapInArrow(tidy(run), BLOCK).repartition("block")
 
 
 def mixed(head: np.ndarray, tail: np.ndarray) -> np.ndarray:

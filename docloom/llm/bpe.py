@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docloom.llm.common import bounded_batches
+from docloom.llm.common import bounded_batches, tidy
 
 #: The split of byte-level BPE (a fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -202,6 +202,12 @@ class Encoder:
                 out.extend(map(get, find(part)))
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Drop what was learned from texts; the vocabulary stays."""
+        self.pieces.clear()
+        self.pieces.older.clear()
+        self.fits.clear()
+
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that are not UTF-8 become replacement characters."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
@@ -223,7 +229,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, type=pa.binary())], names=["doc_id", "ids"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, lambda: encoder(path).forget()), "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -259,4 +265,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             )
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, lambda: encoder(path).forget()), RESULT)

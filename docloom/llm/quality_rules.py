@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.blocks import Block, blocks, mixed, narrow, numbered, shards_of, tallied, widened
-from docloom.llm.common import BROADCAST_IDS, WORD, bounded_batches, trusted_ids, with_flag, written
+from docloom.llm.common import BROADCAST_IDS, WORD, bounded_batches, tidy, trusted_ids, with_flag, written
 
 #: Hash buckets of n-grams where the corpus has at most a quarter as many n-grams; a larger
 #: one has ROOM buckets for each of its n-grams at least.
@@ -176,7 +176,7 @@ def block_counts(dealt: DataFrame, count: int, edges: list[int]) -> DataFrame:
                     names=["block", "checksum", "shard", "size", "keys", "raw", "target"],
                 )
 
-    return dealt.mapInArrow(run, "block long, checksum long, shard long, size long, keys binary, raw binary, target binary")
+    return dealt.mapInArrow(tidy(run), "block long, checksum long, shard long, size long, keys binary, raw binary, target binary")
 
 
 def shard_sums(counts: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_IDS, bounded_batches, components, dropped, written
+from docloom.llm.common import BROADCAST_IDS, bounded_batches, components, dropped, tidy, written
 
 SHINGLE = 3
 SEED = 42
@@ -44,8 +44,8 @@ BLOCKS = 4
 BLOCK_BITS = 16
 #: Up to so many fingerprints under one key are compared pair by pair.
 FEW = 48
-#: Members of a larger bucket that are held against as many others in a task.
-MANY = 1024
+#: Members of a larger bucket, and their hashes, that are held against as many others in a task.
+MANY, HASHES = 2048, 1 << 20
 #: Shingles of one text that are worked on at a time.
 CHUNK = 1 << 12
 #: Bands of least hashes, and least hashes in each.
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def block(fp: str, k: int) -> Column:
@@ -203,7 +203,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             hashes = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(map(set_print, sets), pa.int64()), hashes], names=["doc_id", "print", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print long, hashes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, print long, hashes array<long>")
 
 
 def resembling(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -215,52 +215,70 @@ def resembling(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return met.where(both >= similarity * (F.size("_u") + F.size("_v") - both)).select("u", "v")
 
 
-def pairs_of_few(buckets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of prints that share a bucket and not a group, for buckets of FEW members at most."""
-    m = buckets.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("print", "root"))).alias("m"))
+def pairs_of_few(buckets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of prints that share a bucket and not a group, for buckets of FEW members at most.
+
+    Sets whose sizes alone rule out ``similarity`` are no pair.
+    """
+    m = buckets.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("print", "root", "size"))).alias("m"))
     apart = F.transform(
         "m",
         lambda a, i: F.transform(
-            F.filter(F.slice("m", i + 2, FEW), lambda b: a["root"] != b["root"]),
+            F.filter(F.slice("m", i + 2, FEW), lambda b: (a["root"] != b["root"]) & (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]))),
             lambda b: F.struct(a["print"].alias("u"), b["print"].alias("v")),
         ),
     )
     return m.select(F.explode(F.flatten(apart)).alias("e")).select("e.u", "e.v").distinct()
 
 
-def pairs_of_many(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The like of ``pairs_of_few`` for buckets of any size, a chunk against a chunk in a task.
+def links_of_many(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between groups that share a bucket of any size, a chunk against a chunk in a task.
 
-    Chunks are of MANY members, whose least hashes alone travel; pairs that agree in clearly
-    fewer of them than ``similarity`` (by five deviations) go no further.
+    A chunk has MANY members and HASHES hashes, about. A task counts what a set has in common
+    with all sets of the other chunk at once, and gives one link for each two groups it joins.
     """
-    floor = similarity - 5 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
-
-    def least_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [least_hashes(np.array(x, np.int64).view(np.uint64)).tobytes() for x in batch.column("hashes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("print"), pa.array(own, pa.binary())], names=["print", "least"])
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         prints, roots, chunk = (table.column(c).to_numpy() for c in ("print", "root", "chunk"))
-        least = np.frombuffer(b"".join(table.column("least").to_pylist()), np.uint64).reshape(len(prints), -1)
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
-        u, v = [], []
-        for a in left.tolist():
-            at = right[(roots[right] != roots[a]) & ((prints[right] > prints[a]) | (low != high))]
-            at = at[(least[at] == least[a]).mean(axis=1) >= floor] if len(at) else at
-            u += [min(prints[a], prints[b]) for b in at.tolist()]
-            v += [max(prints[a], prints[b]) for b in at.tolist()]
+        hashes = table.column("hashes").chunk(0)
+        size = np.diff(hashes.offsets.to_numpy())
+        values, word = np.unique(hashes.flatten().to_numpy(), return_inverse=True)
+        ends = size.cumsum()
+        parent = {r: r for r in roots.tolist()}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        right = np.flatnonzero(chunk == high)
+        flat = np.concatenate([word[ends[k] - size[k] : ends[k]] for k in right.tolist()])
+        starts = size[right].cumsum() - size[right]
+        mark, u, v = np.zeros(len(values), bool), [], []
+        for a in np.flatnonzero(chunk == low).tolist():
+            own = word[ends[a] - size[a] : ends[a]]
+            mark[own] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = False
+            for b in right[(both >= similarity * (size[a] + size[right] - both)) & (roots[right] != roots[a])].tolist():
+                x, y = find(int(roots[a])), find(int(roots[b]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    u.append(prints[a])
+                    v.append(prints[b])
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    wanted = buckets.select("print").distinct()
-    least = written(sets.join(wanted, "print", "left_semi").select("print", "hashes").mapInArrow(least_of, "print long, least binary"), "least")
-    chunks = -F.floor(-F.col("n") / MANY)
-    dealt = buckets.withColumns({"chunk": F.pmod(F.xxhash64("print"), chunks), "chunks": chunks})
+    # Buckets with the same members are one.
+    same = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("print").cast("decimal(38,0)")).alias("s"), F.sum("size").alias("hashes"))
+    once = same.groupBy("n", "s").agg(F.min("bucket").alias("bucket"), F.first("hashes").alias("total"))
+    chunks = F.greatest(F.ceil(F.col("n") / MANY), F.ceil(F.col("total") / HASHES))
+    dealt = buckets.drop("n").join(once.drop("s"), "bucket").withColumns({"chunk": F.pmod(F.xxhash64("print"), chunks), "chunks": chunks})
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("low"), F.greatest("chunk", o).alias("high")))
     spread = dealt.select("bucket", "print", "root", "chunk", F.explode(others).alias("o")).select("bucket", "print", "root", "chunk", "o.*")
-    return spread.join(least, "print").groupBy("bucket", "low", "high").applyInArrow(compare, "u long, v long").distinct()
+    return spread.join(sets, "print").groupBy("bucket", "low", "high").applyInArrow(compare, "u long, v long")
 
 
 def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -276,16 +294,16 @@ def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(map(set_print, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))],
-                names=["doc_id", "print", "bands"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(map(set_print, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64())), pa.array(map(len, sets), pa.int64())],
+                names=["doc_id", "print", "bands", "size"],
             )
 
     bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    prints = written(texts.mapInArrow(prints_of, "doc_id long, print long, bands array<long>"), "prints")
-    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
-    keyed = nodes.select("print", F.posexplode("bands").alias("band", "key")).select("print", F.xxhash64("band", "key").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("print").alias("v"), F.count("*").alias("n")).where("n > 1")
+    prints = written(texts.mapInArrow(tidy(prints_of), "doc_id long, print long, bands array<long>, size long"), "prints")
+    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
+    keyed = nodes.select("print", "size", F.posexplode("bands").alias("band", "key")).select("print", "size", F.xxhash64("band", "key").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.min("print").alias("v"), F.min_by("size", "print").alias("v_size"), F.count("*").alias("n")).where("n > 1")
     met = written(keyed.join(shared, "bucket"), "met")
     asked = written(nodes.select("print", "node").join(met.select("print").distinct(), "print"), "asked")
     ids = asked.select(F.col("node").alias("_node")).distinct()
@@ -295,16 +313,17 @@ def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     # Rows with one id may have several texts; of rows with one print any will do.
     sets = written(own.join(asked.select("print"), "print", "left_semi").groupBy("print").agg(F.first("hashes").alias("hashes")), "sets")
 
-    stars = met.where("print <> v").select(F.col("print").alias("u"), "v").distinct()
+    alike = F.least("size", "v_size") >= similarity * F.greatest("size", "v_size")
+    stars = met.where(alike & (F.col("print") != F.col("v"))).select(F.col("print").alias("u"), "v").distinct()
     links = written(resembling(stars, sets, similarity), "links")
     groups = written(components(links).select(F.col("node").alias("print"), "root"), "groups")
-    rooted = met.join(groups, "print", "left").select("bucket", "print", "n", F.coalesce("root", "print").alias("root"))
+    rooted = met.join(groups, "print", "left").select("bucket", "print", "size", "n", F.coalesce("root", "print").alias("root"))
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
     mixed = written(rooted.join(open_, "bucket"), "mixed")
-    rest = resembling(pairs_of_few(mixed.where(F.col("n") <= FEW)), sets, similarity)
+    rest = resembling(pairs_of_few(mixed.where(F.col("n") <= FEW), similarity), sets, similarity)
     many = mixed.where(F.col("n") > FEW)
     if not many.isEmpty():
-        rest = rest.unionByName(resembling(pairs_of_many(many, sets, similarity), sets, similarity))
+        rest = rest.unionByName(links_of_many(many, sets, similarity))
     more = written(rest, "links")
     if not more.isEmpty():
         groups = components(links.unionByName(more)).select(F.col("node").alias("print"), "root")

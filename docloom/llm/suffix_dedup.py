@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_IDS, bounded_batches, dropped, written
+from docloom.llm.common import BROADCAST_IDS, bounded_batches, dropped, tidy, written
 
 LENGTH = 400
 #: Bytes of an anchor.
@@ -241,7 +241,7 @@ def regions(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             )
 
     long_enough = keyed.where(F.octet_length("text") >= length)
-    return long_enough.mapInArrow(run, "k1 long, k2 int, h long, s1 long, s2 long, lo long, hi long")
+    return long_enough.mapInArrow(tidy(run), "k1 long, k2 int, h long, s1 long, s2 long, lo long, hi long")
 
 
 def strings_of(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -266,7 +266,7 @@ def strings_of(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 continue
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["h", "s1", "s2", "w", "bytes"])
 
-    return joined.mapInArrow(run, "h long, s1 long, s2 long, w long, bytes binary")
+    return joined.mapInArrow(tidy(run), "h long, s1 long, s2 long, w long, bytes binary")
 
 
 def expanded(strings: DataFrame, length: int) -> DataFrame:
@@ -294,7 +294,7 @@ def expanded(strings: DataFrame, length: int) -> DataFrame:
             yield settled(held)
 
     dealt = strings.repartition("h").sortWithinPartitions("h", "s1", "s2")
-    return dealt.mapInArrow(run, "h long, s1 long, s2 long, spans array<struct<a:long,b:long>>")
+    return dealt.mapInArrow(tidy(run), "h long, s1 long, s2 long, spans array<struct<a:long,b:long>>")
 
 
 SPANS = "array<struct<a:long,b:long>>"
@@ -414,7 +414,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     joined = _joined(docs.select("doc_id", "text"), length).select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -433,5 +433,5 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     rest = [c for c in docs.columns if c != "text"]
     joined = _joined(docs, length).select(F.struct(*[F.col("row")[c].alias(c) for c in rest]).alias("row"), "text", "spans")
-    made = joined.mapInArrow(run, joined.select("row", "text").schema)
+    made = joined.mapInArrow(tidy(run), joined.select("row", "text").schema)
     return made.select(*[(F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
