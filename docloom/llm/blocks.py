@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from docloom.llm.common import tidy
 
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 3 << 20
 #: Words that are numbered by frequency.
 FREQUENT = 1 << 16
 #: Words of texts whose n-grams are looked at together.
@@ -165,14 +165,28 @@ def tallied(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[starts], np.diff(np.append(starts, len(code)))
 
 
-def numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order, and for every code the number (32 bits) of its value among them."""
-    order = np.argsort(code)
-    ordered = code[order]
-    fresh = np.concatenate([ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]])
-    number = np.empty(len(code), np.int32)
-    number[order] = fresh.cumsum(dtype=np.int32) - 1
-    return ordered[fresh], number
+def numbered(code: np.ndarray, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and for every code the number (32 bits) of its value among them.
+
+    Ranges of about ``most`` codes are sorted on their own, which takes little memory.
+    """
+    sample = np.sort(code[:: max(1, len(code) >> 12)])
+    parts = max(1, len(code) // most)
+    edges = np.unique(sample[np.arange(1, parts) * len(sample) // parts])
+    number, found, base = np.empty(len(code), np.int32), [code[:0]], 0
+    for low, high in zip([None, *edges.tolist()], [*edges.tolist(), None]):
+        inside = np.ones(len(code), bool) if low is None else code >= low
+        if high is not None:
+            inside &= code < high
+        at = np.flatnonzero(inside)
+        part = code[at]
+        order = np.argsort(part)
+        ordered = part[order]
+        fresh = np.concatenate([ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]])
+        number[at[order]] = fresh.cumsum(dtype=np.int32) + (base - 1)
+        found.append(ordered[fresh])
+        base += len(found[-1])
+    return np.concatenate(found), number
 
 
 def shards_of(keys: np.ndarray, edges: np.ndarray, parts: tuple[np.ndarray, ...]) -> Iterator[tuple]:

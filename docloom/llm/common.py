@@ -16,7 +16,7 @@ BROADCAST_IDS = 1_000_000
 
 #: Texts and bytes of one Arrow batch.
 BATCH_TEXTS = 1024
-BATCH_BYTES = 1 << 25
+BATCH_BYTES = 1 << 22
 
 #: Words of the contract: runs of anything but ASCII white space. ``bytes.split()``
 #: cuts at exactly these six bytes.

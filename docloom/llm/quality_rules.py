@@ -133,7 +133,11 @@ class Grams:
         width = max(1, len(block.hashes))
         inner = np.ones(max(0, len(block.ids) - 1), bool)
         inner[block.ends[(block.ends > 0) & (block.ends <= len(inner))] - 1] = False
-        pairs, at = numbered(block.ids[:-1][inner] * np.int64(width) + block.ids[1:][inner])
+        code = block.ids[:-1].astype(np.int64)
+        code *= width
+        code += block.ids[1:]
+        pairs, at = numbered(code[inner])
+        del code, inner
         one = buckets(block.hashes * _UNIGRAM, count)
         two = buckets(mixed(block.hashes[pairs // width], block.hashes[pairs % width]), count)
         self.keys, place = numbered(np.concatenate([one, two]))
