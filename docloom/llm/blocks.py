@@ -93,12 +93,14 @@ def only_words(text: str, words: list[bytes], ids: np.ndarray, distinct: int) ->
     return (len(words),)
 
 
-def blocks(rows: DataFrame, measure: Callable = only_words, measured: tuple[str, ...] = ("n_words",)) -> DataFrame:
+def blocks(rows: DataFrame, measure: Callable = only_words, measured: tuple[str, ...] = ("n_words",), most: int | None = None) -> DataFrame:
     """BLOCK rows of ``rows``, all of whose columns but ``text`` go along.
 
+    ``most`` words or a little more make a block (None: BLOCK_WORDS). Large blocks ask for
+    less in all, small ones take less memory of a task.
     ``measure(text, words, ids, distinct)`` gives the integers ``measured`` of a text, the number of words first.
     """
-    kept = [c for c in rows.columns if c != "text"]
+    kept, most = [c for c in rows.columns if c != "text"], most or BLOCK_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,11 +142,11 @@ def blocks(rows: DataFrame, measure: Callable = only_words, measured: tuple[str,
                 found.append(measure(text, words, ids, len(seen)))
                 held.append(np.fromiter((known.setdefault(w, len(known)) for w in seen), np.int32, len(seen))[ids])
                 count += len(words)
-                if count >= BLOCK_WORDS or k == len(texts) - 1:
+                if count >= most or k == len(texts) - 1:
                     sizes = [pa.array(x, pa.int64()) for x in zip(*found)]
                     metas.append(pa.RecordBatch.from_arrays([*meta.slice(first, len(found)).columns, *sizes], names=[*kept, *measured]))
                     first, found = k + 1, []
-                if count >= BLOCK_WORDS:
+                if count >= most:
                     yield out()
         if metas:
             yield out()

@@ -32,9 +32,9 @@ from docloom.llm.common import bounded_batches, tidy
 #: The split of byte-level BPE (a fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded pieces that a worker keeps, in each of two generations.
-KEPT = 300_000
+KEPT = 150_000
 #: Pair tests that a worker keeps.
-KEPT_PAIRS = 400_000
+KEPT_PAIRS = 200_000
 #: Longer pieces are not kept.
 KEPT_BYTES = 64
 

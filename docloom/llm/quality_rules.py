@@ -35,6 +35,8 @@ BUCKETS = 1 << 16
 ROOM = 64
 #: N-grams of a shard of buckets, about.
 SHARD_GRAMS = 1 << 22
+#: Words of a block in a pipeline, where executors are fuller and disk is less scarce.
+STAGE_WORDS = 1 << 20
 #: Units of a log ratio.
 UNIT = 1 << 16
 #: A document goes if its mean log ratio is below what all but QUANTILE of its language's
@@ -206,7 +208,7 @@ GRADES = (
 )
 
 
-def grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def grades(docs: DataFrame, labels: DataFrame, block_words: int | None = None) -> DataFrame:
     """GRADES of every document: base counts, and the summed integer log ratios of its n-grams.
 
     The text itself is left out of the counts. Without any (other) trusted text all ratios are 0.
@@ -218,7 +220,7 @@ def grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
     count = BUCKETS if 4 * raw_all <= BUCKETS else 1 << (ROOM * raw_all).bit_length()
     shards = max(1, raw_all // SHARD_GRAMS)
     edges = [-(-count * k // shards) for k in range(shards)]
-    dealt = blocks(flagged, base_counts, ("n_words", *COUNTS))
+    dealt = blocks(flagged, base_counts, ("n_words", *COUNTS), block_words)
 
     def run(packed: pa.Table, sums: pa.Table) -> pa.Table:
         out = []
@@ -273,9 +275,9 @@ def quantiles(tally: DataFrame, by: list[str], quantile: float) -> DataFrame:
     return ranked.where(F.col("up") > F.col("all") * quantile).groupBy(*by).agg(F.min("step").alias("at"), F.first("all").alias("all"))
 
 
-def graded(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, quantile: float = QUANTILE) -> DataFrame:
+def graded(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, quantile: float = QUANTILE, block_words: int | None = None) -> DataFrame:
     """GRADES and ``kept`` of every document."""
-    found = grades(docs, labels)
+    found = grades(docs, labels, block_words)
     tally = written(found.where("trusted and step is not null").groupBy("lang", "step").agg(F.count("*").alias("n")), "steps")
     every = tally.groupBy("step").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
     overall = quantiles(every, ["one"], quantile).first()
@@ -295,7 +297,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     # A name that no table is likely to have: the rows keep their own columns.
-    keep = written(graded(docs, labels, threshold).where("kept").select(F.col("row").alias("__quality_row")).distinct(), "kept")
+    keep = written(graded(docs, labels, threshold, block_words=STAGE_WORDS).where("kept").select(F.col("row").alias("__quality_row")).distinct(), "kept")
     if keep.count() <= BROADCAST_IDS:
         keep = F.broadcast(keep)
     return docs.join(keep, row_key(docs) == F.col("__quality_row"), "left_semi")
