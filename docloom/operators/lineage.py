@@ -7,6 +7,8 @@ checkpointed by the caller's checkpoint folder when there is one.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,18 +81,19 @@ def parents(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.join(nodes.select(F.col("node_id").alias("parent_id")), "parent_id").select(F.col("child_id").alias("node_id"), "parent_id")
 
 
-def closure(links: DataFrame, start: DataFrame | None = None, down: bool = True, max_depth: int = 64) -> DataFrame:
+def closure(links: DataFrame, start: DataFrame | None = None, down: bool = True, max_depth: int | None = None) -> DataFrame:
     """(node_id, other_id, depth): all descendants (or ancestors) of the start nodes, least depth.
 
     ``start`` is (node_id); without it every node with an edge starts. One join a level, and
-    a pair once found isn't followed again, so a cycle ends.
+    a pair once found isn't followed again, so a cycle ends. All levels are followed;
+    ``max_depth`` asks for so many only.
     """
     near, far = ("parent_id", "child_id") if down else ("child_id", "parent_id")
     hop = links.select(F.col(near).alias("_a"), F.col(far).alias("_b")).distinct()
     begin = hop.select(F.col("_a").alias("node_id")).distinct() if start is None else start.select("node_id").distinct()
     level = begin.join(hop, F.col("node_id") == F.col("_a")).select("node_id", F.col("_b").alias("other_id"), F.lit(1).alias("depth"))
     found = level
-    for depth in range(2, max_depth + 1):
+    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
         more = level.join(hop, F.col("other_id") == F.col("_a")).select("node_id", F.col("_b").alias("other_id")).distinct()
         level = more.join(found.select("node_id", "other_id"), ["node_id", "other_id"], "left_anti").withColumn("depth", F.lit(depth))
         if level.sparkSession.sparkContext.getCheckpointDir():
@@ -101,20 +104,24 @@ def closure(links: DataFrame, start: DataFrame | None = None, down: bool = True,
     return found
 
 
-def closure_sql(links: DataFrame, max_depth: int = 64) -> DataFrame:
-    """The same as one recursive query, for graphs that are known to have no cycle."""
+def closure_sql(links: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """The same as one recursive query, for graphs that are known to have no cycle.
+
+    Spark ends a recursion that is deeper than ``spark.sql.cteRecursionLevelLimit`` with an error.
+    """
     spark = links.sparkSession
+    deeper = "" if max_depth is None else f" WHERE c.depth < {max_depth}"
     links.select("parent_id", "child_id").distinct().createOrReplaceTempView("_links")
     return spark.sql(
         f"""WITH RECURSIVE c(node_id, other_id, depth) AS (
             SELECT parent_id, child_id, 1 FROM _links
             UNION ALL
-            SELECT c.node_id, l.child_id, c.depth + 1 FROM c JOIN _links l ON c.other_id = l.parent_id WHERE c.depth < {max_depth})
+            SELECT c.node_id, l.child_id, c.depth + 1 FROM c JOIN _links l ON c.other_id = l.parent_id{deeper})
         SELECT node_id, other_id, min(depth) AS depth FROM c GROUP BY node_id, other_id"""
     )
 
 
-def shortest_paths(links: DataFrame, start: DataFrame, end: DataFrame, max_depth: int = 64) -> DataFrame:
+def shortest_paths(links: DataFrame, start: DataFrame, end: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start_id, end_id, path, n_nodes): a shortest path of each pair that has one.
 
     Of several, the one that is least in order of its ids. Breadth first: a pair (start,
@@ -123,7 +130,7 @@ def shortest_paths(links: DataFrame, start: DataFrame, end: DataFrame, max_depth
     hop = links.select(F.col("parent_id").alias("_a"), F.col("child_id").alias("_b")).distinct()
     level = start.select(F.col("node_id").alias("start_id"), F.col("node_id").alias("at"), F.array("node_id").alias("path")).distinct()
     found = level
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         level = (
             level.join(hop, F.col("at") == F.col("_a"))
             .groupBy("start_id", F.col("_b").alias("at"))

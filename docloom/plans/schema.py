@@ -175,85 +175,68 @@ class Report:
         return spark.createDataFrame(self.issues, ISSUE)
 
 
+def members(schema: dict, path: str = "$"):
+    """(path, name, definition) of every property below a schema, through objects and array items."""
+    props = schema.get("properties")
+    for n, p in props.items() if isinstance(props, dict) else ():
+        at = f"{path}.properties.{n}"
+        yield at, n, p
+        if isinstance(p, dict):
+            if p.get("type") == "object":
+                yield from members(p, at)
+            elif p.get("type") == "array" and isinstance(p.get("items"), dict) and p["items"].get("type") == "object":
+                yield from members(p["items"], f"{at}.items")
+
+
+def _unknown(spec) -> bool:
+    return isinstance(spec, dict) and bool(spec.get("type")) and spec["type"] not in TARGET
+
+
+#: Checks of a property: severity, code, what is wrong, end of the path, test of (name, definition).
+#: Severities and codes are fixed values.
+PROPERTY_CHECKS = [
+    ("error", "INVALID_PROPERTY_DEFINITION", "no object", "", lambda n, p: not isinstance(p, dict)),
+    ("error", "UNSUPPORTED_TYPE", "unknown type", ".type", lambda n, p: _unknown(p)),
+    ("error", "MISSING_ARRAY_ITEMS", "array without items", ".items", lambda n, p: isinstance(p, dict) and p.get("type") == "array" and "items" not in p),
+    ("error", "UNSUPPORTED_ARRAY_ITEM_TYPE", "unknown type of items", ".items.type", lambda n, p: isinstance(p, dict) and p.get("type") == "array" and _unknown(p.get("items"))),
+    ("warning", "EMPTY_OBJECT_DEFINITION", "object without properties", "", lambda n, p: isinstance(p, dict) and p.get("type") == "object" and p.get("properties") is None),
+    ("error", "INVALID_NESTED_PROPERTIES", "properties that are no object", ".properties", lambda n, p: isinstance(p, dict) and p.get("type") == "object" and not isinstance(p.get("properties", {}), (dict, type(None)))),
+    ("warning", "RESERVED_KEYWORD_PROPERTY", "reserved name", "", lambda n, p: isinstance(p, dict) and n.lower() in RESERVED),
+    ("warning", "INVALID_PROPERTY_NAME", "odd name", "", lambda n, p: isinstance(p, dict) and not re.match(r"^[a-zA-Z][a-zA-Z0-9_]*$", n)),
+]
+#: Checks of a whole schema: severity, code, what is wrong, path, test.
+SCHEMA_CHECKS = [
+    ("error", "MISSING_TYPE", "no type", "$", lambda s: "type" not in s),
+    ("error", "MISSING_PROPERTIES", "no properties", "$", lambda s: "properties" not in s),
+    ("error", "INVALID_PROPERTIES_TYPE", "properties that are no object", "$.properties", lambda s: not isinstance(s.get("properties", {}), dict)),
+    ("warning", "EXCESSIVE_NESTING_DEPTH", "over 10 levels", "$", lambda s: depth(s) > 10),
+    ("warning", "POTENTIAL_CIRCULAR_REFERENCE", "a reference to itself", "$", lambda s: repeats_reference(s)),
+    ("warning", "EXCESSIVE_FIELD_COUNT", "over 100 fields", "$", lambda s: field_count(s) > 100),
+    ("info", "HIGH_COMPLEXITY_SCHEMA", "a complexity over 50", "$", lambda s: complexity(s) > 50),
+    ("warning", "UNSUPPORTED_SCHEMA_VERSION", "a draft after 7", "$.$schema", lambda s: any(int(x) > 7 for x in re.findall(r"draft-(\d+)", str(s.get("$schema", "")))[:1])),
+    ("info", "ADVANCED_FEATURES_DETECTED", "pattern, format, const or enum", "$", lambda s: bool(uses(s))),
+]
+
+
+def _large(spec: dict) -> bool:
+    items = spec.get("items")
+    return spec.get("type") == "array" and isinstance(items, dict) and items.get("type") == "object" and len(items.get("properties") or ()) > 10
+
+
 def validated(schema) -> Report:
     """Issues of a schema and how compatible it is."""
-    found: list[tuple] = []
-
-    def say(severity: str, name: str, path: str, message: str) -> None:
-        fix, migration = FIXES.get(name, (None, None))
-        found.append((severity, name, path, message, fix, migration))
-
-    def named(n: str, path: str) -> None:
-        if n.lower() in RESERVED:
-            say("warning", "RESERVED_KEYWORD_PROPERTY", path, f"Property name '{n}' is a reserved keyword")
-        if not re.match(r"^[a-zA-Z][a-zA-Z0-9_]*$", n):
-            say("warning", "INVALID_PROPERTY_NAME", path, f"Property name '{n}' doesn't follow the naming convention")
-
-    def properties(props: dict, path: str) -> None:
-        for n, p in props.items():
-            at = f"{path}.{n}"
-            if not isinstance(p, dict):
-                say("error", "INVALID_PROPERTY_DEFINITION", at, f"Property '{n}' definition must be an object")
-                continue
-            kind = p.get("type")
-            if kind and kind not in TARGET:
-                say("error", "UNSUPPORTED_TYPE", f"{at}.type", f"Type '{kind}' is not supported")
-            if kind == "array":
-                array(p, at)
-            elif kind == "object":
-                inner = p.get("properties")
-                if inner is None:
-                    say("warning", "EMPTY_OBJECT_DEFINITION", at, "Object type has no properties defined")
-                elif isinstance(inner, dict):
-                    properties(inner, f"{at}.properties")
-                else:
-                    say("error", "INVALID_NESTED_PROPERTIES", f"{at}.properties", "Nested object 'properties' must be an object")
-            named(n, at)
-
-    def array(spec: dict, path: str) -> None:
-        if "items" not in spec:
-            say("error", "MISSING_ARRAY_ITEMS", f"{path}.items", "Array type must define 'items' property")
-            return
-        items = spec["items"]
-        if isinstance(items, dict):
-            kind = items.get("type")
-            if kind == "object" and "properties" in items:
-                properties(items["properties"], f"{path}.items.properties")
-            elif kind and kind not in TARGET:
-                say("error", "UNSUPPORTED_ARRAY_ITEM_TYPE", f"{path}.items.type", f"Array item type '{kind}' is not supported")
-
     if not isinstance(schema, dict):
-        say("critical", "INVALID_SCHEMA_TYPE", "$", "Schema must be a JSON object")
-        return Report("incompatible", found, False, "high")
-    for need in ("type", "properties"):
-        if need not in schema:
-            say("error", f"MISSING_{need.upper()}", "$", f"Schema missing required field: {need}")
-    if "properties" in schema:
-        if isinstance(schema["properties"], dict):
-            properties(schema["properties"], "$.properties")
-        else:
-            say("error", "INVALID_PROPERTIES_TYPE", "$.properties", "Schema 'properties' field must be an object")
-    if (d := depth(schema)) > 10:
-        say("warning", "EXCESSIVE_NESTING_DEPTH", "$", f"Nesting depth {d} is over 10")
-    if repeats_reference(schema):
-        say("warning", "POTENTIAL_CIRCULAR_REFERENCE", "$", "Schema may contain circular references")
-    if (n := field_count(schema)) > 100:
-        say("warning", "EXCESSIVE_FIELD_COUNT", "$", f"Field count {n} is over 100")
-    for path, s in each(schema):
-        items = s.get("items")
-        if s.get("type") == "array" and isinstance(items, dict) and items.get("type") == "object" and len(items.get("properties") or ()) > 10:
-            say("warning", "LARGE_ARRAY_OBJECTS", path, f"Array contains objects with {len(items['properties'])} properties")
-    if (c := complexity(schema)) > 50:
-        say("info", "HIGH_COMPLEXITY_SCHEMA", "$", f"Complexity score {c} is over 50")
-    draft = re.search(r"draft-(\d+)", str(schema.get("$schema", "")))
-    if draft and int(draft[1]) > 7:
-        say("warning", "UNSUPPORTED_SCHEMA_VERSION", "$.$schema", f"Draft {draft[1]} may not be fully supported")
-    if uses(schema):
-        say("info", "ADVANCED_FEATURES_DETECTED", "$", "Schema uses pattern, format, const or enum")
-    count = lambda s: sum(i[0] == s for i in found)
-    level = "incompatible" if count("critical") else "limited_compatibility" if count("error") else "compatible_with_warnings" if count("warning") else "fully_compatible"
-    effort = "high" if count("critical") or count("error") > 5 else "medium" if count("error") or count("warning") > 10 else "low"
-    return Report(level, found, bool({i[1] for i in found} & NEEDS_MIGRATION), effort)
+        found = [("critical", "INVALID_SCHEMA_TYPE", "$", "no object")]
+    else:
+        found = [(*c[:2], at + c[3], c[2]) for at, n, p in members(schema) for c in PROPERTY_CHECKS if c[4](n, p)]
+        found += [("warning", "LARGE_ARRAY_OBJECTS", at, "items of over 10 properties") for at, s in each(schema) if _large(s)]
+        found += [(c[0], c[1], c[3], c[2]) for c in SCHEMA_CHECKS if c[4](schema)]
+    n = {s: sum(f[0] == s for f in found) for s in ("critical", "error", "warning")}
+    worst = next((s for s in n if n[s]), None)
+    level = {"critical": "incompatible", "error": "limited_compatibility", "warning": "compatible_with_warnings", None: "fully_compatible"}[worst]
+    effort = "high" if n["critical"] or n["error"] > 5 else "medium" if n["error"] or n["warning"] > 10 else "low"
+    issues = [(*f[:3], f"{f[2]}: {f[3]}", *FIXES.get(f[1], (None, None))) for f in found]
+    return Report(level, issues, any(f[1] in NEEDS_MIGRATION for f in found), "high" if n["critical"] else effort)
 
 
 def fixed(schema: dict) -> tuple[dict, list[str]]:
