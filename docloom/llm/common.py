@@ -26,13 +26,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, one machine) a folder of our own is set.
+    Where it is unset, a folder of our own will do on one machine (tests); on a cluster a
+    local folder would be another one on every executor, so that is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")

@@ -322,8 +322,9 @@ def perplexities(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
     """(doc_id, lang, n_units, perplexity, threshold, trusted, kept) of every document.
 
-    ``threshold`` is a perplexity: what the given share of the language's held-out trusted
-    documents stay within, in steps of a thousandth of a nat; without any, all are kept.
+    ``threshold`` is the perplexity up to which (itself included) a document of this length is
+    kept: what the given share of the language's held-out trusted documents stay within, in
+    steps of a thousandth of a nat of the drawn mean; without any, all are kept.
     """
     found = written(perplexities(docs, labels, broadcast), "scores")
     known = found.where(F.col("trusted") & F.col("nll").isNotNull() & held_out())
@@ -342,9 +343,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bro
         .agg((F.min("_step") + F.ceil(1000 * SLACK * F.least(F.lit(1.0), ENOUGH / F.first("_all")))).alias("_limit"))
     )
     judged = drawn(found).join(F.broadcast(limits), same(("lang", "_ll")), "left")
+    # The limit on the drawn mean, as a limit on the document's own sum.
+    most = F.floor((F.col("_limit") / 1000 * (F.col("n_units") + PRIOR) - PRIOR * F.col("_mean")) * UNIT)
     return judged.select(
         "doc_id", "lang", "n_units",
         F.exp(F.col("nll") / F.col("n_units") / UNIT).alias("perplexity"),
-        F.exp(F.col("_limit") / 1000).alias("threshold"), "trusted",
-        ((F.col("n_units") > 0) & F.coalesce(F.col("_step") <= F.col("_limit"), F.lit(True))).alias("kept"),
+        F.when(F.col("n_units") > 0, F.exp(most / F.col("n_units") / UNIT)).alias("threshold"), "trusted",
+        ((F.col("n_units") > 0) & F.coalesce(F.col("nll") <= most, F.lit(True))).alias("kept"),
     )

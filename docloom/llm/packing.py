@@ -18,6 +18,7 @@ no rows; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches
+from docloom.llm.common import bounded_batches, shared_dir
 
 #: The split of byte-level BPE (a fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -179,6 +180,14 @@ def unpacked(rows: DataFrame, kind: str = KIND) -> DataFrame:
     return rows.select("shard", "row", F.explode(parts).alias("p")).select("shard", "row", "p.*")
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """Packed rows written to the shared folder and read back from there."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/docloom/packed-{uuid.uuid4().hex}"
+    written_rows(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def digests(rows: DataFrame) -> DataFrame:
     """Packed rows with a digest in place of the ids."""
     return rows.withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")

@@ -41,7 +41,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.packed(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken")))
+    rows = packing.packed(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.digests(packing.stored(rows))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,14 @@ def test_kneser_ney_both_ways_agree(spark):
     assert not a[99].kept and sum(a[k].kept for k in range(60)) >= 57
 
 
+def test_verdicts_follow_perplexity_and_threshold(spark):
+    rng = random.Random(45)
+    rows = [(k, sentence(rng, rng.choice([1, 4, 30, 200]), ("the", "of", "and")), "en", "a", 1) for k in range(150)]
+    rows += [(200 + k, sentence(rng, rng.choice([1, 4, 30]), ("zzq", "xwv", "#$")), "en", "a", 1) for k in range(50)]
+    out = kneser_ney.classify(spark.createDataFrame(rows, DOCS), labels(spark, [(k, 1, 0) for k in range(100)])).collect()
+    assert all(r.kept == (r.perplexity <= r.threshold) for r in out) and len({r.kept for r in out}) == 2
+
+
 # 2
 
 
@@ -290,6 +298,16 @@ def test_ratios_do_not_mix_in_a_large_vocabulary(spark, monkeypatch):
 # 5
 
 
+def test_packed_rows_are_written_and_read_back(spark):
+    rng = random.Random(44)
+    docs = spark.createDataFrame([(k, sentence(rng, rng.choice([3, 40, 900])), "en", "a", 1) for k in range(60)], DOCS)
+    rows = packing.packed(docs, queries.tokenizer_path("byte_bpe_50k.tiktoken"), length=256)
+    back = packing.stored(rows)
+    assert all("/packed-" in f for f in back.inputFiles())
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    assert back.where("octet_length(ids) <> 512 or element_at(cu_seqlens, -1) <> n_tokens or cu_seqlens[0] <> 0 or slice(cu_seqlens, 1, size(resets)) <> resets").count() == 0
+
+
 def test_best_fit():
     rng = random.Random(8)
     for _ in range(200):
