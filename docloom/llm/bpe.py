@@ -32,9 +32,9 @@ from docloom.llm.common import bounded_batches, tidy
 #: The split of byte-level BPE (a fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded pieces that a worker keeps, in each of two generations.
-KEPT = 150_000
-#: Pair tests that a worker keeps.
-KEPT_PAIRS = 200_000
+KEPT = 300_000
+#: The same in a pipeline, whose executors are fuller; there they go at the end of a task too.
+STAGE_KEPT = 150_000
 #: Longer pieces are not kept.
 KEPT_BYTES = 64
 
@@ -52,15 +52,15 @@ def byte_letters() -> dict[str, int]:
 class Pieces(dict):
     """Piece -> ids as bytes, computed when missing; forgets the older half when full."""
 
-    def __init__(self, encode) -> None:
-        self.encode, self.older = encode, {}
+    def __init__(self, encode, kept: int | None = None) -> None:
+        self.encode, self.kept, self.older = encode, kept or KEPT, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             ids = np.array(self.encode(piece.encode()), dtype="<u4").tobytes()
         if len(piece) <= KEPT_BYTES:
-            if len(self) >= KEPT:
+            if len(self) >= self.kept:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
@@ -70,7 +70,7 @@ class Pieces(dict):
 class Encoder:
     """Vocabulary, merges and suffix automaton of a byte-level BPE tokenizer file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = KEPT) -> None:
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -89,7 +89,7 @@ class Encoder:
         self.length = [len(self.bytes_of.get(i, b"")) for i in range(self.size)]
         self._automaton()
         self.fits: dict[int, bool] = {}
-        self.pieces = Pieces(self.encode_piece)
+        self.pieces = Pieces(self.encode_piece, kept)
         self.find = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
@@ -152,7 +152,7 @@ class Encoder:
                 before, left_undone, a = rank[a], True, parts[a][1]
             else:
                 before, left_undone, b = rank[b], False, parts[b][0]
-        if len(self.fits) > KEPT_PAIRS:
+        if len(self.fits) > self.pieces.kept * 4 // 3:
             self.fits.clear()
         self.fits[key] = fits
         return fits
@@ -214,9 +214,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT) -> Encoder:
     """One encoder for each worker process and vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, kept)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -229,7 +229,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, type=pa.binary())], names=["doc_id", "ids"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(tidy(run, lambda: encoder(path).forget()), "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -245,11 +245,14 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode every text; see RESULT. One pass, so ids need not travel."""
+def round_trip(docs: DataFrame, path: str, kept: int = KEPT, forget: bool = False) -> DataFrame:
+    """Encode and decode every text; see RESULT. One pass, so ids need not travel.
+
+    A worker keeps ``kept`` pieces in each generation; with ``forget`` none beyond a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, kept)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             rows = []
@@ -265,4 +268,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             )
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(tidy(run, lambda: encoder(path).forget()), RESULT)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, lambda: encoder(path, kept).forget()) if forget else run, RESULT)

@@ -9,6 +9,7 @@ import struct
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -215,3 +216,17 @@ def test_near_dedup_takes_four_fifths_of_five_word_shingles(spark, monkeypatch,
     docs = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in rows], DOCS)
     got = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(want.values()) and len(want) < len(rows)
+
+
+def test_empty_table_and_clashing_columns(spark, folder, tmp_path):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    clash = docs.withColumns({c: F.lit(7) for c in ("row", "kept", "block", "print", "bucket", "node", "spans", "size", "taken")})
+    for k, (table, n) in enumerate(((docs.limit(0), 0), (clash, None))):
+        at = f"{tmp_path}/{k}"
+        table.write.parquet(f"{at}/documents.parquet")
+        spark.read.parquet(f"{path}/labels.parquet").write.parquet(f"{at}/labels.parquet")
+        out = corpus_pipeline.run(spark, at)
+        want = corpus_pipeline.run(spark, path)
+        assert out.columns == want.columns
+        assert out.count() == (want.count() if n is None else n)
