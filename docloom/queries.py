@@ -334,7 +334,7 @@ def src_html_text(spark: SparkSession, sf: str) -> DataFrame:
 def src_html_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Frames of HTML through the adapter registry (its text renderer)."""
     p = t(spark, sf, "pages").select("page_id", F.col("html").cast("binary").alias("content"), F.lit("html").alias("format"))
-    return files.Adapters().pages(p, 5, ["page_id"]).select("page_id", "page_number", F.octet_length("image").alias("n_bytes"), "error")
+    return files.Adapters().pages(p, None, ["page_id"]).select("page_id", "page_number", F.octet_length("image").alias("n_bytes"), "error")
 
 
 @q("""SELECT p_partkey, CAST(r AS INTEGER) AS first, CAST(least(r + 9, p_size) AS INTEGER) AS last FROM part, unnest(range(1, p_size + 1, 10)) u(r)""")
