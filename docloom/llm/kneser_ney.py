@@ -1,338 +1,424 @@
 """Operator 1, quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model counts n-grams of ORDER UTF-16 units (so any script is covered and a key fits a
-long) in all trusted texts of a language, with three discounts per order and continuation
-counts below the highest order. Counts and contexts are tables keyed by (language, key)
-and stay distributed: the distinct n-grams that the corpus asks for are joined to them,
-order by order, which gives the log probability of each. Documents then add up the
-values of their n-grams. A document is kept if its mean stays within the quantile
-that trusted texts of its language keep to which were not trained on.
-
-Only distinct n-grams travel, never a row for each position. The values come to the tasks
-by broadcast while there are at most BROADCAST_GRAMS; beyond that texts are dealt to blocks
-and every block is joined to the values that it asks for.
+The model counts word n-grams up to ORDER in all trusted texts of a language, with three
+discounts per order and continuation counts below the highest order; n-grams that begin a
+text keep their raw counts there. What it holds grows with the text, so no task holds it:
+n-grams are keys of a space cut into shards, and texts are blocks of numbered words (see
+``blocks``). Training goes down order by order. Every block of trusted text sends the counts
+of its distinct n-grams to their shards; a shard sums them and tells one block for each
+n-gram, its owner, the sum. Owners, which know the words, credit the n-gram to its context and
+to the n-gram without its first word, and these credits are the next order's counts. Blocks of
+all texts then ask the shards for the sums of their distinct n-grams, and add up.
+
+Only distinct n-grams of a block travel, as sorted keys in compressed byte planes. The key
+space has 2**ROOM_BITS keys for each n-gram of the trusted text, 2**LEAST_BITS at least: an
+n-gram that was never seen takes another's counts with a probability of 2**-ROOM_BITS.
 
 Log probabilities are integers (units of 2**-20), so sums do not depend on how rows are
 dealt. Means are drawn towards the trusted mean of the language with the weight of PRIOR
-units, as a few units say little.
+words, as a few words say little.
 
-Edge cases: a null or empty text has no perplexity and is not kept; a null language is a
-language of its own; a language without trusted text has no model: its documents have no
-perplexity and are kept; repeated rows are scored alike; an empty table gives an empty
+Edge cases: a null text or one without words has no perplexity and is not kept; a null
+language is a language of its own; a language without trusted text has no model: its documents
+have no perplexity and are kept; a perplexity equal to the threshold is kept; a text longer than
+a block is a block of its own; repeated rows are scored alike; an empty table gives an empty
 result; only ``doc_id``, ``text`` and ``lang`` are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches, trusted_ids, with_flag, written
+from docloom.llm.blocks import Block, blocks, mixed, narrow, numbered, restored, shards_of, widened
+from docloom.llm.common import BROADCAST_IDS, bounded_batches, dropped, tidy, trusted_ids, with_flag, written
 
-ORDER = 4
+ORDER = 3
 UNIT = 1 << 20
-#: Noncharacters that stand before and after a text.
-BEGIN, END = 0xFFFF, 0xFFFE
 QUANTILE = 0.98
 #: One trusted document in so many is not trained on; thresholds are measured on these.
 HELD_OUT = 5
 #: Nats by which a threshold is raised where it rests on ENOUGH documents or fewer; less on more.
 SLACK = 0.1
 ENOUGH = 50
-PRIOR = 60
+PRIOR = 20
 #: Least discount, so that unseen n-grams keep a share where counts of counts give none.
 LEAST = 0.1
-#: Values that are broadcast (12 bytes each) at most.
-BROADCAST_GRAMS = 2_000_000
-#: Documents of a block where values aren't broadcast.
-BLOCK_DOCS = 8192
-#: Units that are numbered together.
-CHUNK = 1 << 21
-#: Distinct n-grams that a task holds of a language before it hands them on.
-HELD = 1 << 20
-
-RESULT = "doc_id long, lang string, n_units long, nll long"
-
-
-def compact(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes below ``size``, and for every code the number of its value among them."""
-    if size > 1 << 26:
-        return np.unique(code, return_inverse=True)
-    seen = np.zeros(size, bool)
-    seen[code] = True
-    values = np.flatnonzero(seen)
-    number = np.empty(size, np.int32)
-    number[values] = np.arange(len(values), dtype=np.int32)
-    return values, number[code]
-
-
-def grams(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the distinct ORDER-grams of units, and the number of each position's gram."""
-    letters, ids = compact(units, 1 << 16)
-    k = len(letters)
-    keys, at = letters.astype(np.uint64), ids
-    for n in range(1, ORDER):
-        code = at[:-1].astype(np.int64) * k + ids[n:]
-        values, at = compact(code, len(keys) * k)
-        keys = (keys[values // k] << np.uint64(16)) | letters[values % k].astype(np.uint64)
-    return keys, at
-
-
-def chunks(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Texts in groups of about CHUNK units: their numbers, the padded units, starts and sizes."""
-    head, tail = np.full(ORDER - 1, BEGIN, np.uint16), np.array([END], np.uint16)
-    held, where, size = [], [], 0
-    for k, text in enumerate(texts):
-        units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
-        where.append((k, size, len(units) + 1))
-        held += [head, units, tail]
-        size += len(units) + ORDER
-        if size >= CHUNK:
-            yield where, np.concatenate(held)
-            held, where, size = [], [], 0
-    if where:
-        yield where, np.concatenate(held)
-
-
-def by_language(batch: pa.RecordBatch | pd.DataFrame) -> Iterator[tuple[str | None, list[int], list[str]]]:
-    """The rows with text of each language: their numbers and texts."""
-    if isinstance(batch, pd.DataFrame):
-        langs, texts = [None if pd.isna(x) else x for x in batch["lang"]], [None if pd.isna(x) else x for x in batch["text"]]
-    else:
-        langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-    groups: dict[str | None, tuple[list, list]] = {}
-    for k, (lang, text) in enumerate(zip(langs, texts)):
-        if text:
-            rows, own = groups.setdefault(lang, ([], []))
-            rows.append(k)
-            own.append(text)
-    for lang, (rows, own) in groups.items():
-        yield lang, rows, own
-
-
-def counted(docs: DataFrame, block: bool = False) -> DataFrame:
-    """(lang, key, n): n-grams of all texts, summed by task; with ``block``, for each block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def total(parts: list) -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return keys, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-        def row(owner: tuple, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([owner[0]] * len(keys), pa.int64()), pa.array([owner[1]] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)],
-                names=["block", "lang", "key", "n"],
-            )
+ROOM_BITS = 12
+LEAST_BITS = 40
+BLOCK_WORDS = 2 << 20
+#: N-grams of all texts that a shard is asked for, about.
+SHARD_GRAMS = 1 << 21
+#: Bytes that a word and the space behind it take at least, on the average of a corpus.
+WORD_BYTES = 4
+
+#: What is summed for an n-gram: the counts of its continuations, how many continuations have
+#: the count 1, 2, and 3 or more, and its own count. For the highest order only the last.
+PARTS = ("total", "ones", "twos", "more", "own")
+#: For a language and an order: n-grams with the counts 1 to 4, and all n-grams, in their stead.
+ASK = f"block long, checksum long, shard long, size long, keys binary, langs binary, {', '.join(f'{p} binary' for p in PARTS)}"
+LIGHT = "block long, checksum long, shard long, size long, keys binary"
+ANSWER = "block long, shard long, size long, owned binary, lang long, n1 long, n2 long, n3 long, n4 long, types long, mass long"
+FOUND = f"block long, checksum long, shard long, size long, {', '.join(f'{p} binary' for p in PARTS)}"
+RESULT = "doc_id long, lang string, n_words long, nll long"
+
+_BEGIN, _END, _STATS = np.uint64(0xB1), np.uint64(0xE2), np.uint64(0x57A7)
+_SALT = np.uint64(0xD6E8FEB86659FD93)
+
+
+def lang_hash(lang: str | None) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(b"" if lang is None else b"=" + lang.encode())
+
+
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def arrow(schema: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in schema.split(", ")])
 
-        for batch in batches:
-            numbers = batch.column("block").to_pylist()
-            for number in dict.fromkeys(numbers):
-                part = batch.filter(pa.array([x == number for x in numbers])) if len(set(numbers)) > 1 else batch
-                for lang, _, texts in by_language(part):
-                    for _, units in chunks(texts):
-                        keys, at = grams(units)
-                        n = np.bincount(at, minlength=len(keys))
-                        real = (keys & np.uint64(0xFFFF)) != BEGIN
-                        parts = held.setdefault((number, lang), [])
-                        parts.append((keys[real], n[real]))
-                        if sum(len(p[0]) for p in parts) > HELD:
-                            parts[:] = [total(parts)]
-                            if len(parts[0][0]) > HELD // 2:
-                                yield row((number, lang), *parts.pop())
-        for owner, parts in held.items():
-            if parts:
-                yield row(owner, *total(parts))
-
-    if not block:
-        docs = docs.withColumn("block", F.lit(0).cast("long"))
-    rows = docs.select("block", "lang", "text").mapInArrow(run, "block long, lang string, key long, n long")
-    return rows if block else rows.drop("block")
-
-
-def low(key: Column, n: int) -> Column:
-    """The last n units of a key."""
-    return key.bitwiseAND((1 << (16 * n)) - 1) if n < 4 else key
-
-
-def discount(c: Column) -> Column:
-    return F.when(c >= 3, F.col("d3")).when(c == 2, F.col("d2")).otherwise(F.col("d1"))
-
-
-def discounts(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts of each language and order: (lang, n_order, d1, d2, d3)."""
-    n = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-    d = [
-        F.greatest(F.lit(LEAST), F.least(F.lit(float(k)), k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1.0)))).alias(f"d{k}")
-        for k in (1, 2, 3)
-    ]
-    return counts.groupBy("lang", "n_order").agg(*n).select("lang", "n_order", *d)
-
-
-def same(*pairs: tuple[str, str]) -> Column:
-    out = None
-    for a, b in pairs:
-        part = F.col(a).eqNullSafe(F.col(b))
-        out = part if out is None else out & part
-    return out
-
-
-def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A join in which a null language equals itself; ``on`` once in the result."""
-    other = right.withColumnsRenamed({c: f"_{c}" for c in on})
-    return left.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on], how).drop(*[f"_{c}" for c in on])
-
-
-def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
-    """(lang, key, logp) of every asked n-gram; languages without counts have no rows.
-
-    ``counts`` is (lang, key, n) at the highest order, ``asked`` distinct (lang, key). For
-    each order the asked keys are joined to the discounted shares and the back-off weights
-    of their contexts; the orders of one n-gram are then put together.
-    """
-    table, tables = counts.select("lang", F.lit(ORDER).alias("n_order"), "key", "n"), []
-    for order in range(ORDER, 0, -1):
-        if order < ORDER:  # below the highest order: how many letters come before
-            table = table.groupBy("lang", F.lit(order).alias("n_order"), low(F.col("key"), order).alias("key")).agg(F.count("*").alias("n"))
-        tables.append(table.select("*", (F.shiftrightunsigned("key", 16) if order > 1 else F.lit(0).cast("long")).alias("context")))
-    every = tables[0]
-    for table in tables[1:]:
-        every = every.unionByName(table)
-    every = written(every, "orders")
-    cut = null_safe(every, F.broadcast(discounts(every)), ["lang", "n_order"]).withColumn("cut", discount(F.col("n")))
-    own = cut.select("lang", "n_order", "key", (F.col("n") - F.col("cut")).alias("own"))
-    contexts = cut.groupBy("lang", "n_order", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-    letters = every.where("n_order = 1").groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("p0"))
-    orders = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(k).alias("n_order"), low(F.col("key"), k).alias("low"), (F.shiftrightunsigned(low(F.col("key"), k), 16) if k > 1 else F.lit(0).cast("long")).alias("context"))
-                for k in range(1, ORDER + 1)
-            ]
-        )
-    )
-    spread = asked.select("lang", "key", orders.alias("o")).select("lang", "key", "o.*")
-    want = spread.select("lang", "n_order", F.col("low").alias("key"), "context").distinct()
-    met = null_safe(null_safe(want, own, ["lang", "n_order", "key"], "left"), contexts, ["lang", "n_order", "context"], "left")
-    parts = written(
-        met.select("lang", "n_order", F.col("key").alias("low"), F.coalesce(F.col("own") / F.col("total"), F.lit(0.0)).alias("own"), F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0)).alias("back")),
-        "parts",
-    )
-    gathered = null_safe(spread.drop("context"), parts, ["lang", "n_order", "low"]).groupBy("lang", "key").agg(
-        *[F.max(F.when(F.col("n_order") == k, F.col(c))).alias(f"{c}{k}") for k in range(1, ORDER + 1) for c in ("own", "back")]
-    )
-    p = F.col("p0")
-    for k in range(1, ORDER + 1):
-        p = F.col(f"own{k}") + F.col(f"back{k}") * p
-    return null_safe(gathered, F.broadcast(letters), ["lang"]).select("lang", "key", F.round(F.log(p) * UNIT).cast("int").alias("logp"))
-
-
-def totals(texts: list[str], keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(number, units, summed log probability) of texts, given sorted keys and their values."""
-    for where, units in chunks(texts):
-        own, at = grams(units)
-        place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        value = np.where((keys[place] == own) & ((own & np.uint64(0xFFFF)) != BEGIN), values[place], 0).astype(np.int64)
-        sums = np.concatenate([[0], value[at].cumsum()])
-        for k, start, n in where:
-            yield k, n, int(sums[start + n] - sums[start])
-
-
-def scored(batch: pa.RecordBatch | pd.DataFrame, tables: dict) -> tuple[list, list]:
-    n_units, nll = [0] * len(batch), [None] * len(batch)
-    for lang, rows, texts in by_language(batch):
-        if lang in tables:
-            for k, n, total in totals(texts, *tables[lang]):
-                n_units[rows[k]], nll[rows[k]] = n, -total
-        else:
-            for k, text in zip(rows, texts):
-                n_units[k] = len(text.encode("utf-16-le", "surrogatepass")) // 2 + 1
-    return n_units, nll
-
-
-def sums(docs: DataFrame, values: DataFrame) -> DataFrame:
-    """RESULT by broadcast values."""
-    tables: dict = {}
-    for (lang,) in values.select("lang").distinct().collect():
-        own = values.where(F.col("lang").eqNullSafe(F.lit(lang))).select("key", "logp").toArrow()  # in all at most BROADCAST_GRAMS rows
-        keys = own["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        tables[lang] = keys[order], own["logp"].to_numpy()[order]
-        del own
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, nll = scored(batch, shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("lang"), pa.array(n, pa.int64()), pa.array(nll, pa.int64())],
-                names=["doc_id", "lang", "n_units", "nll"],
-            )
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, RESULT)
+class Keys:
+    """The space of keys: order by order ``bits`` of a hash, in ``shards`` ranges that begin at ``edges``."""
 
+    def __init__(self, bits: int, shards: int) -> None:
+        self.bits = bits
+        self.edges = [-(-(ORDER << bits) * k // shards) for k in range(shards)]
 
-def block_sums(dealt: DataFrame, values: DataFrame) -> DataFrame:
-    """RESULT by joining every block of texts to the values that it asks for."""
-    asked = counted(dealt, block=True).select("block", "lang", "key").distinct()
-    mine = asked.join(values.withColumnRenamed("lang", "_l"), ["key"]).where(same(("lang", "_l"))).drop("_l")
+    def of(self, hashes: np.ndarray, order: int) -> np.ndarray:
+        own = mixed(hashes, np.full_like(hashes, _SALT)) >> np.uint64(64 - self.bits)
+        return own.astype(np.int64) + ((order - 1) << self.bits)
 
-    def run(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        tables = {}
-        for lang, part in own.groupby("lang", dropna=False):
-            part = part.sort_values("key", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
-            tables[None if pd.isna(lang) else lang] = part["key"].to_numpy(np.int64).view(np.uint64), part["logp"].to_numpy(np.int32)
-        n, nll = scored(docs, tables)
-        return pd.DataFrame({"doc_id": docs["doc_id"], "lang": docs["lang"], "n_units": pd.array(n, "Int64"), "nll": pd.array(nll, "Int64")})
+    def stats(self, langs: np.ndarray, order: int) -> np.ndarray:
+        return self.of(mixed(langs, np.full_like(langs, _STATS)), order)
 
-    # Ids travel as text: nulls would make them floats.
-    named = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
-    out = named.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(run, RESULT.replace("doc_id long", "doc_id string"))
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+class Grams:
+    """The distinct n-grams of a block's texts, a text with words standing between two BEGIN and an END.
+
+    For each order: ``keys`` of the distinct n-grams, ``context`` and ``lower`` the numbers of the
+    n-gram's first and last ORDER - 1 words an order below, ``lang`` the number of its language.
+    ``at`` is the number of the n-gram of the highest order at each word to be scored.
+    """
+
+    def __init__(self, block: Block, space: Keys) -> None:
+        langs: dict[str | None, int] = {}
+        number = np.array([langs.setdefault(x, len(langs)) for x in block.meta.column("lang").to_pylist()], np.int64)
+        self.langs = np.array([lang_hash(x) for x in langs], np.uint64)
+        some = np.flatnonzero(block.size)
+        size, width = block.size[some], len(block.hashes) + 2
+        # Where words, the begins and the end of each text stand.
+        ends = (size + 3).cumsum()
+        seq = np.full(int(ends[-1]) if len(ends) else 0, len(block.hashes), np.int64)
+        first = np.zeros(len(seq), bool)
+        first[ends - size - 3] = True
+        seq[ends - 1] = len(block.hashes) + 1
+        word = np.ones(len(seq), bool)
+        word[ends - 1] = word[ends - size - 3] = word[ends - size - 2] = False
+        seq[word] = block.ids
+        del word
+        seq += np.repeat(number[some] * width, size + 3)
+        tokens, seq = numbered(seq)
+        hashes = np.concatenate([block.hashes, np.array([_BEGIN, _END], np.uint64)])
+        token_hash = mixed(self.langs[tokens // width], hashes[tokens % width])
+        begins = tokens % width == len(block.hashes)
+        # Pairs that end at each place but a text's first, then triples at each place but its first two.
+        inner = np.flatnonzero(~first)
+        pairs, pair_at = numbered(seq[inner - 1].astype(np.int64) * len(tokens) + seq[inner])
+        pair_hash = mixed(token_hash[pairs // len(tokens)], token_hash[pairs % len(tokens)]) if len(pairs) else np.zeros(0, np.uint64)
+        scored = np.flatnonzero(~first[inner - 1])
+        triples, self.at = numbered(pair_at[scored - 1].astype(np.int64) * len(pairs) + pair_at[scored])
+        three = (triples // max(1, len(pairs))).astype(np.int32), (triples % max(1, len(pairs))).astype(np.int32)
+        two = (pairs // max(1, len(tokens))).astype(np.int32), (pairs % max(1, len(tokens))).astype(np.int32)
+        triple_hash = mixed(pair_hash[three[0]], token_hash[two[1][three[1]]])
+        self.context, self.lower = {3: three[0], 2: two[0]}, {3: three[1], 2: two[1]}
+        self.lang = {1: tokens // width}
+        self.lang[2] = self.lang[1][two[0]]
+        self.lang[3] = self.lang[2][three[0]]
+        self.opening = begins[two[0]]  # pairs that begin a text
+        self.keys = {k: space.of(h, k) for k, h in ((1, token_hash), (2, pair_hash), (3, triple_hash))}
+        self.count = np.bincount(self.at, minlength=len(triples))
+        self.scored = size + 1
+        self.rows = some
+
+
+def asked(row: dict, space: Keys, keys: np.ndarray, langs: np.ndarray, parts: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """ASK rows of a block: its keys by shard in order, with the sums of ``parts`` over equal keys."""
+    keys, at = numbered(keys)
+    n = len(keys)
+    sums = [np.bincount(at, weights=parts[p], minlength=n).astype(np.int64) if p in parts else np.zeros(n, np.int64) for p in PARTS]
+    own = np.zeros(n, np.int64)
+    own[at] = langs
+    return by_shard(row, space, keys, names(ASK), own, *sums)
+
+
+def by_shard(row: dict, space: Keys, keys: np.ndarray, columns: list[str], *parts: np.ndarray) -> pa.RecordBatch:
+    found = list(shards_of(keys, np.array(space.edges), parts))
+    shard, size, *data = zip(*found) if found else [()] * (3 + len(parts))
+    head = [pa.array([row[c]] * len(found), pa.int64()) for c in ("block", "checksum")]
+    return pa.RecordBatch.from_arrays([*head, pa.array(shard, pa.int64()), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in data)], names=columns)
+
+
+def summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Distinct keys of a shard's ASK rows, the number of each row's keys among them, and the sums."""
+    keys = [widened(r["keys"], r["size"]).cumsum() for r in rows]
+    keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+    sums = {}
+    for p in PARTS:
+        own = np.concatenate([np.zeros(0, np.int64), *(widened(r[p], r["size"]) for r in rows)])
+        sums[p] = np.bincount(at, weights=own, minlength=len(keys)).astype(np.int64)
+    return keys, at, sums
+
+
+def owners(asks: DataFrame, langs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ANSWER rows: to every block the sums of what it owns (others: 0); and each language's counts of counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        keys, at, sums = summed(rows)
+        # The first row with a key, in the order of blocks, owns it.
+        first = np.unique(at, return_index=True)[1]
+        mine = np.zeros(len(at), np.int64)
+        mine[first] = sums["own"][at[first]]
+        out = []
+        for r, n in zip(rows, np.split(mine, np.cumsum([r["size"] for r in rows])[:-1])):
+            out.append({"block": r["block"], "shard": r["shard"], "size": r["size"], "owned": narrow(n)})
+            lang = widened(r["langs"], r["size"])
+            for k in np.unique(lang[n > 0]).tolist():
+                m = n[(n > 0) & (lang == k)]
+                out.append({"block": r["block"], "lang": k, **{f"n{c}": int((m == c).sum()) for c in (1, 2, 3, 4)}, "types": len(m), "mass": int(m.sum())})
+        return pa.Table.from_pylist(out, arrow(ANSWER))
+
+    found = written(asks.groupBy("shard").applyInArrow(run, ANSWER), "owned")
+    total = [F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "types", "mass")]
+    stats = found.where("lang is not null").groupBy("block", "lang").agg(*total).join(langs, ["block", "lang"]).groupBy("hash").agg(*total)
+    return found.where("owned is not null"), stats
+
+
+def credited(dealt: DataFrame, answers: DataFrame, order: int, space: Keys) -> DataFrame:
+    """ASK rows of the order below: owners credit their n-grams of ``order`` to contexts and lower n-grams."""
+
+    def run(packed: pa.Table, mine: pa.Table) -> pa.Table:
+        out = [pa.RecordBatch.from_pylist([], arrow(ASK))]
+        for row in packed.to_pylist():
+            grams = Grams(Block(row), space)
+            keys, at = numbered(grams.keys[order])
+            parts = sorted(zip(*(mine.column(c).to_pylist() for c in ("shard", "size", "owned"))))
+            held = np.concatenate([np.zeros(0, np.int64), *(widened(x, n) for _, n, x in parts)])
+            if len(held) != len(keys):
+                raise RuntimeError("Kneser-Ney: a block's counts are not those it asked for")
+            # One n-gram stands for a key.
+            one = np.unique(at, return_index=True)[1]
+            n = np.zeros(len(at), np.int64)
+            n[one] = held
+            below, context = grams.keys[order - 1], grams.context[order]
+            weights = {"total": n, "ones": n == 1, "twos": n == 2, "more": n > 2}
+            sums = {p: np.bincount(context, weights=w, minlength=len(below)) for p, w in weights.items()}
+            lower = grams.lower[order]
+            kinds = np.where(grams.opening[lower], n, n > 0) if order == 3 else n > 0
+            sums["own"] = np.bincount(lower, weights=kinds, minlength=len(below))
+            out.append(asked(row, space, below, grams.lang[order - 1], sums))
+        return pa.Table.from_batches(out)
+
+    return written(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, ASK), f"asks{order - 1}")
+
+
+def trained(texts: DataFrame, space: Keys) -> DataFrame:
+    """ASK rows of all orders, and those of the languages' counts of counts, from the texts (lang, text)."""
+    dealt = written(blocks(texts.select("lang", "text"), most=BLOCK_WORDS), "trusted")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams = Grams(Block(row), space)
+                yield asked(row, space, grams.keys[3], grams.lang[3], {"own": grams.count})
+
+    def languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                seen = dict.fromkeys(pa.ipc.open_stream(restored(row["meta"])).read_all().column("lang").to_pylist())
+                signed = np.array([lang_hash(x) for x in seen], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(seen), pa.int64()), pa.array(range(len(seen)), pa.int64()), pa.array(signed)], names=["block", "lang", "hash"])
+
+    langs = written(dealt.select("block", "meta").mapInArrow(tidy(languages), "block long, lang long, hash long"), "langs")
+    asks = written(dealt.mapInArrow(tidy(ask), ASK), "asks3")
+    every, counts, spent = [asks], [], [dealt, langs]
+    for order in (3, 2, 1):
+        answers, stats = owners(asks, langs)
+        counts.append(stats.withColumn("order", F.lit(order)))
+        spent.append(answers)
+        if order > 1:
+            asks = credited(dealt, answers, order, space)
+            every.append(asks)
+
+    def stat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = space.stats(np.array([r["hash"]], np.int64).view(np.uint64), r["order"])
+                values = (r["n1"], r["n2"], r["n3"], r["mass"], r["types"])
+                yield asked({"block": -1, "checksum": 0}, space, key, 0, {p: np.array([v]) for p, v in zip(PARTS, values)})
+                # The number of n-grams that occur four times has a key of its own.
+                yield asked({"block": -1, "checksum": 0}, space, key ^ 1, 0, {"own": np.array([r["n4"]])})
+
+    stats = reduce(DataFrame.unionByName, counts)
+    table = written(stats.mapInArrow(tidy(stat_rows), ASK), "stats")
+    for x in spent:
+        dropped(x)
+    return reduce(DataFrame.unionByName, [*every, table])
+
+
+def lookup(asks: DataFrame, counts: DataFrame) -> DataFrame:
+    """FOUND rows: the sums of ``counts`` for every block's keys; 0 for what was never counted."""
+
+    def run(wanted: pa.Table, known: pa.Table) -> pa.Table:
+        keys, _, sums = summed(known.to_pylist())
+        out = {c: [] for c in names(FOUND)}
+        for r in wanted.select(["block", "checksum", "shard", "size", "keys"]).to_pylist():
+            own = widened(r["keys"], r["size"]).cumsum()
+            place = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+            hit = keys[place] == own if len(keys) else np.zeros(len(own), bool)
+            for c in ("block", "checksum", "shard", "size"):
+                out[c].append(r[c])
+            for p in PARTS:
+                out[p].append(narrow(np.where(hit, sums[p][place], 0) if len(keys) else np.zeros(len(own), np.int64)))
+        return pa.table([pa.array(out[c], pa.binary() if c in PARTS else pa.int64()) for c in names(FOUND)], names=names(FOUND))
+
+    return asks.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(run, FOUND)
+
+
+def discounts(n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, n4: np.ndarray) -> list[np.ndarray]:
+    """The modified Kneser-Ney discounts of counts of 1, 2, and 3 or more, from counts of counts."""
+    y = n1 / np.maximum(n1 + 2 * n2, 1)
+    pairs = ((n1, n2), (n2, n3), (n3, n4))
+    return [np.maximum(LEAST, np.minimum(k, k - (k + 1) * y * b / np.maximum(a, 1))) for k, (a, b) in enumerate(pairs, 1)]
+
+
+def log_probabilities(grams: Grams, keys: np.ndarray, sums: dict[str, np.ndarray], space: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """Integer log probability of each distinct n-gram of the highest order, and whether its language has a model."""
+
+    def values(wanted: np.ndarray) -> dict[str, np.ndarray]:
+        place = np.searchsorted(keys, wanted)
+        return {p: sums[p][place] for p in PARTS}
+
+    cut, has = {}, None
+    for order in (1, 2, 3):
+        s = values(space.stats(grams.langs, order))
+        cut[order] = discounts(s["total"], s["ones"], s["twos"], values(space.stats(grams.langs, order) ^ 1)["own"])
+        if order == 1:
+            d, has, mass, types = cut[1], s["own"] > 0, np.maximum(s["more"], 1), s["own"]
+            left = (d[0] * s["total"] + d[1] * s["ones"] + d[2] * (types - s["total"] - s["ones"])) / mass
+            unseen = left / (types + 1)
+
+    def share(n: np.ndarray, order: int, lang: np.ndarray, total: np.ndarray) -> np.ndarray:
+        d = [x[lang] for x in cut[order]]
+        off = np.select([n >= 3, n == 2, n == 1], [d[2], d[1], d[0]], 0.0)
+        return np.maximum(0.0, n - off) / np.maximum(total, 1)
+
+    def back(s: dict[str, np.ndarray], order: int, lang: np.ndarray) -> np.ndarray:
+        d = [x[lang] for x in cut[order]]
+        freed = d[0] * s["ones"] + d[1] * s["twos"] + d[2] * s["more"]
+        return np.where(s["total"] > 0, freed / np.maximum(s["total"], 1), 1.0)
+
+    one, lang = values(grams.keys[1]), grams.lang
+    p = share(one["own"], 1, lang[1], mass[lang[1]]) + unseen[lang[1]]
+    held, below = one, p
+    for order in (2, 3):
+        own, context, lower = values(grams.keys[order]), grams.context[order], grams.lower[order]
+        weight = back(held, order, grams.lang[order - 1])
+        below = share(own["own"], order, lang[order], held["total"][context]) + weight[context] * below[lower]
+        held = own
+    model = has[lang[3]]
+    return np.rint(np.log(np.where(model, below, 1.0)) * UNIT).astype(np.int64), model
+
+
+def scores(docs: DataFrame, counts: DataFrame, space: Keys) -> DataFrame:
+    """RESULT of every document: blocks ask the shards of ``counts`` for their n-grams."""
+    dealt = blocks(docs.select("doc_id", "lang", "text"), most=BLOCK_WORDS)
+
+    def wanted(grams: Grams) -> np.ndarray:
+        stats = [space.stats(grams.langs, k) for k in (1, 2, 3)]
+        return np.concatenate([*grams.keys.values(), *stats, *(x ^ 1 for x in stats)])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield by_shard(row, space, np.unique(wanted(Grams(Block(row), space))), names(LIGHT))
+
+    def run(packed: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        for row in packed.to_pylist():
+            block = Block(row)
+            grams = Grams(block, space)
+            if any(x != row["checksum"] for x in found.column("checksum").to_pylist()):
+                raise RuntimeError("Kneser-Ney: a block was dealt otherwise than before")
+            keys = np.unique(wanted(grams))
+            parts = sorted(zip(*(found.column(c).to_pylist() for c in ("shard", "size", *PARTS))))
+            sums = {p: np.concatenate([np.zeros(0, np.int64), *(widened(x[k], x[1]) for x in parts)]) for k, p in enumerate(PARTS, 2)}
+            if len(sums["own"]) != len(keys):
+                raise RuntimeError("Kneser-Ney: a block's counts are not those it asked for")
+            n_words, nll = block.size, [None] * len(block.size)
+            if len(grams.rows):
+                logs, model = log_probabilities(grams, keys, sums, space)
+                ends = grams.scored.cumsum()
+                up = np.concatenate([[0], logs[grams.at].cumsum()])
+                total, known = up[ends] - up[ends - grams.scored], model[grams.at[ends - 1]]
+                for k, x, y in zip(grams.rows.tolist(), total.tolist(), known.tolist()):
+                    nll[k] = -x if y else None
+            out.append(pa.table([*(block.meta.column(c) for c in ("doc_id", "lang")), pa.array(n_words, pa.int64()), pa.array(nll, pa.int64())], names=names(RESULT)))
+        return pa.concat_tables(out)
+
+    found = lookup(dealt.mapInArrow(tidy(ask), LIGHT), counts)
+    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, RESULT)
 
 
 def held_out() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
+def key_space(train: DataFrame, docs: DataFrame) -> Keys:
+    """Keys and shards for the bytes of the trusted and of all texts."""
+    own, every = (ORDER * (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // WORD_BYTES for df in (train, docs))
+    return Keys(min(62, max(LEAST_BITS, own.bit_length() + ROOM_BITS)), max(1, every // SHARD_GRAMS))
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, space: Keys | None = None) -> DataFrame:
     """RESULT and ``trusted`` of every document. ``nll`` is in units of 2**-20 nats."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     trusted = trusted_ids(labels)
     train = with_flag(docs, trusted.where(~held_out()), "trusted").where("trusted")
-    counts = written(counted(train).groupBy("lang", "key").agg(F.sum("n").alias("n")), "kn4")
-    asked = written(counted(docs).groupBy("lang", "key").agg(F.lit(1)).select("lang", "key"), "asked")
-    values = written(probabilities(counts, asked), "values")
-    if values.count() <= broadcast:
-        out = sums(docs, values)
-    else:
-        blocks = max(1, docs.count() // BLOCK_DOCS)
-        out = block_sums(docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block"), values)
-    return with_flag(out, trusted, "trusted")
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
-    """(doc_id, lang, n_units, perplexity, threshold, trusted, kept) of every document.
-
-    ``threshold`` is the perplexity up to which (itself included) a document of this length is
-    kept: what the given share of the language's held-out trusted documents stay within, in
-    steps of a thousandth of a nat of the drawn mean; without any, all are kept.
+    space = space or key_space(train, docs)
+    counts = trained(train, space)
+    found = written(scores(docs, counts, space), "scores")
+    dropped(counts)
+    return with_flag(found, trusted, "trusted")
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, space: Keys | None = None) -> DataFrame:
+    """(doc_id, lang, n_words, perplexity, threshold, trusted, kept) of every document.
+
+    ``perplexity`` is that of the words and the text's end. ``threshold`` is the perplexity up to
+    which (itself included) a document of this length is kept: what the given share of the
+    language's held-out trusted documents stay within, in steps of a thousandth of a nat of the
+    drawn mean; without any, all are kept.
     """
-    found = written(perplexities(docs, labels, broadcast), "scores")
+    found = perplexities(docs, labels, space)
     known = found.where(F.col("trusted") & F.col("nll").isNotNull() & held_out())
-    means = known.groupBy(F.col("lang").alias("_l")).agg((F.sum("nll") / F.sum("n_units") / UNIT).alias("_mean"))
+    units = F.col("n_words") + 1
+    means = known.groupBy(F.col("lang").alias("_l")).agg((F.sum("nll") / F.sum(units) / UNIT).alias("_mean"))
+    means = written(means, "means")
+    means = F.broadcast(means) if means.count() <= BROADCAST_IDS else means
 
     def drawn(df: DataFrame) -> DataFrame:
-        score = (F.col("nll") / UNIT + PRIOR * F.col("_mean")) / (F.col("n_units") + PRIOR)
-        return df.join(F.broadcast(means), same(("lang", "_l")), "left").drop("_l").withColumn("_step", F.ceil(score * 1000))
+        score = (F.col("nll") / UNIT + PRIOR * F.col("_mean")) / (units + PRIOR)
+        return df.join(means, F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l").withColumn("_step", F.ceil(score * 1000))
 
     steps = drawn(known).groupBy("lang", "_step").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("lang")
@@ -342,12 +428,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bro
         .groupBy(F.col("lang").alias("_ll"))
         .agg((F.min("_step") + F.ceil(1000 * SLACK * F.least(F.lit(1.0), ENOUGH / F.first("_all")))).alias("_limit"))
     )
-    judged = drawn(found).join(F.broadcast(limits), same(("lang", "_ll")), "left")
+    limits = written(limits, "limits")
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_IDS else limits
+    judged = drawn(found).join(limits, F.col("lang").eqNullSafe(F.col("_ll")), "left")
     # The limit on the drawn mean, as a limit on the document's own sum.
-    most = F.floor((F.col("_limit") / 1000 * (F.col("n_units") + PRIOR) - PRIOR * F.col("_mean")) * UNIT)
+    most = F.floor((F.col("_limit") / 1000 * (units + PRIOR) - PRIOR * F.col("_mean")) * UNIT)
     return judged.select(
-        "doc_id", "lang", "n_units",
-        F.exp(F.col("nll") / F.col("n_units") / UNIT).alias("perplexity"),
-        F.when(F.col("n_units") > 0, F.exp(most / F.col("n_units") / UNIT)).alias("threshold"), "trusted",
-        ((F.col("n_units") > 0) & F.coalesce(F.col("nll") <= most, F.lit(True))).alias("kept"),
+        "doc_id", "lang", "n_words",
+        F.exp(F.col("nll") / units / UNIT).alias("perplexity"),
+        F.when(F.col("n_words") > 0, F.exp(most / units / UNIT)).alias("threshold"), "trusted",
+        ((F.col("n_words") > 0) & F.coalesce(F.col("nll") <= most, F.lit(True))).alias("kept"),
     )

@@ -88,34 +88,65 @@ def test_registered():
 # 1
 
 
-def test_kneser_ney_probabilities_add_up(spark):
-    """Over all letters that can follow a context, probabilities add up to one (with the unseen letter's share)."""
-    texts = ["abab abba baab", "abracadabra", "barbar abba"]
-    docs = spark.createDataFrame([(k, x, "en") for k, x in enumerate(texts)], "doc_id long, text string, lang string")
-    counts = kneser_ney.counted(docs).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    brute = collections.Counter()
+def brute_kneser_ney(texts):
+    """log p(w | u v) of interpolated modified Kneser-Ney over word trigrams, from dictionaries."""
+    counts = {3: collections.Counter(), 2: collections.Counter(), 1: collections.Counter()}
     for x in texts:
-        u = [0xFFFF] * 3 + [ord(c) for c in x] + [0xFFFE]
-        for k in range(3, len(u)):
-            brute[u[k - 3] << 48 | u[k - 2] << 32 | u[k - 1] << 16 | u[k]] += 1
-    assert {r.key & (2**64 - 1): r.n for r in counts.collect()} == brute
-    letters = sorted({k & 0xFFFF for k in brute})
-    contexts = [k >> 16 for k in list(brute)[:6]] + [ord("z") << 32 | ord("a") << 16 | ord("b")]
-    keys = [(c << 16 | x) for c in contexts for x in letters]
-    signed = [k - (1 << 64) if k >= 1 << 63 else k for k in keys]
-    asked = spark.createDataFrame([("en", k) for k in dict.fromkeys(signed)], "lang string, key long")
-    p = {r.key: math.exp(r.logp / kneser_ney.UNIT) for r in kneser_ney.probabilities(counts, asked).collect()}
-    for c in contexts:
-        total = sum(p[k - (1 << 64) if k >= 1 << 63 else k] for k in ((c << 16) | x for x in letters))
-        assert 0.6 < total <= 1.0 + 1e-4
-
-
-def test_kneser_ney_both_ways_agree(spark):
+        words = ["<s>", "<s>", *words_of(x), "</s>"]
+        counts[3].update(tuple(words[k - 2 : k + 1]) for k in range(2, len(words)))
+    for g, n in counts[3].items():
+        counts[2][g[1:]] += n if g[1] == "<s>" else 1
+    for g in counts[2]:
+        counts[1][g[1:]] += 1
+    cut, total, freed = {}, collections.Counter(), collections.Counter()
+    for k, table in counts.items():
+        n = [sum(c == m for c in table.values()) for m in range(5)]
+        y = n[1] / max(1, n[1] + 2 * n[2])
+        cut[k] = [0.0] + [max(kneser_ney.LEAST, min(m, m - (m + 1) * y * n[m + 1] / max(1, n[m]) if m < 4 else 0)) for m in (1, 2, 3)]
+        for g, c in table.items():
+            total[g[:-1], k] += c
+            freed[g[:-1], k] += cut[k][min(c, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        k, context = len(g), (g[:-1], len(g))
+        if not total[context]:
+            return p(g[1:])
+        c = counts[k][g]
+        return max(0, c - cut[k][min(c, 3)]) / total[context] + freed[context] / total[context] * p(g[1:])
+
+    return p, counts[1]
+
+
+def test_kneser_ney_against_brute_force(spark):
+    rng = random.Random(2)
+    langs = ("en", "fr", None)
+    rows = [(k, sentence(rng, rng.choice([1, 2, 60, 300]), ("a", "b", "c é", "d")), langs[k % 3], "s", 1) for k in range(90)]
+    rows += [(100, "a1 unseen a1 a1 words", "en", "s", 1), (101, "#", "de", "s", 1), (None, "a1 a2", "en", "s", 1), (102, " ", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    trusted = labels(spark, [(k, 1, 0) for k in range(70)])
+    held = {r.doc_id for r in docs.where(kneser_ney.held_out()).collect()}
+    got = {r.doc_id: r for r in kneser_ney.perplexities(docs, trusted).collect()}
+    for lang in langs:
+        p, seen = brute_kneser_ney([x for k, x, l, *_ in rows if l == lang and k is not None and k < 70 and k not in held])
+        assert sum(p(("<s>", "<s>", *w)) for w in [*seen, ("never",)]) == pytest.approx(1)
+        assert sum(p((b"a1", b"b2", *w)) for w in [*seen, ("never",)]) == pytest.approx(1)
+        for k, x, l, *_ in rows:
+            if l == lang and words_of(x):
+                words = ["<s>", "<s>", *words_of(x), "</s>"]
+                want = -sum(math.log(p(tuple(words[i - 2 : i + 1]))) for i in range(2, len(words)))
+                assert got[k].nll / kneser_ney.UNIT == pytest.approx(want, abs=1e-4) and got[k].n_words == len(words) - 3
+    assert got[101].nll is None and got[102].nll is None and got[102].n_words == 0
+
+
+def test_kneser_ney_shards_and_blocks_do_not_matter(spark, monkeypatch):
     rng = random.Random(2)
     docs = spark.createDataFrame([(k, sentence(rng, 60), "en" if k % 3 else None, "s", 1) for k in range(60)] + [(99, "#$%^ " * 40, "en", "s", 1), (None, sentence(rng, 60), "en", "s", 1), (1 << 60 | 1, sentence(rng, 60), "en", "s", 1)], DOCS)
     trusted = labels(spark, [(k, 1, 0) for k in range(50)])
     a = {r.doc_id: r for r in kneser_ney.classify(docs, trusted).collect()}
-    b = {r.doc_id: r for r in kneser_ney.classify(docs, trusted, broadcast=0).collect()}
+    monkeypatch.setattr(kneser_ney, "BLOCK_WORDS", 300)
+    b = {r.doc_id: r for r in kneser_ney.classify(docs.repartition(7), trusted, space=kneser_ney.Keys(44, 13)).collect()}
     assert a == b and len(a) == 63 and None in a and (1 << 60 | 1) in a
     assert not a[99].kept and sum(a[k].kept for k in range(60)) >= 57
 
@@ -592,5 +623,5 @@ def test_empty_tables(spark):
 
 def test_no_trusted_text(spark):
     docs = awkward(spark)
-    assert all(r.kept or not words_of(r.lang) or r.n_units == 0 for r in kneser_ney.classify(docs, labels(spark, [])).collect())
+    assert all(r.kept or not words_of(r.lang) or r.n_words == 0 for r in kneser_ney.classify(docs, labels(spark, [])).collect())
     assert all(r.score == 0 for r in quality_rules.judge(docs, labels(spark, [])).collect())
