@@ -104,8 +104,11 @@ def recent_failures(df: DataFrame, failed: Column, order: list[str], n: int = 10
 
 def decayed(df: DataFrame, group: list[str], order: list[str], failed: str) -> DataFrame:
     """Error rate after each group's rows in order: +1 for a failure, x 0.9 for a success."""
-    rows = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(failed).alias("_f")))).alias("_s"))
-    return rows.select(*group, F.aggregate("_s", F.lit(0.0), lambda s, x: F.when(x["_f"], s + 1).otherwise(s * 0.9)).alias("error_rate"))
+    bad = F.coalesce(F.col(failed), F.lit(False))
+    # A failure counts 0.9 for each success that follows, so no group is gathered.
+    after = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order], F.desc("_f")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.select(*group, *order, bad.alias("_f")).withColumn("_n", F.sum((~F.col("_f")).cast("long")).over(after))
+    return rows.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("_f"), F.pow(F.lit(0.9), "_n"))), F.lit(0.0)).alias("error_rate"))
 
 
 # Errors.

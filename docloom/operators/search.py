@@ -88,12 +88,22 @@ def max_sim(pages: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Late interaction: for each page the sum, over the query's vectors, of the best match.
 
     ``pages`` is (id, vec_idx, vector), ``queries`` (query_id, q_idx, query_vector), both long.
+    A page's vectors are put in one row; queries are worked through in blocks as in top_k.
     """
-    q = F.broadcast(queries.select("query_id", "q_idx", F.col("query_vector").alias("_q")))
-    pair = pages.select("id", F.col("vector").alias("_v")).join(q, F.lit(True))
-    best = pair.groupBy("query_id", "id", "q_idx").agg(F.max(cosine(F.col("_v"), F.col("_q"))).alias("best"))
-    scored = best.groupBy("query_id", "id").agg(F.sum(F.coalesce("best", F.lit(0.0))).alias("score"))
-    return ranked(scored, ["query_id"], k)
+    with_norm = lambda c: F.struct(F.col(c).alias("v"), norm(F.col(c)).alias("n"))
+    whole = pages.groupBy("id").agg(F.collect_list(with_norm("vector")).alias("_v"))
+    asked = queries.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("q_idx", with_norm("query_vector").alias("q")))).alias("_q"))
+    # A page's vectors stay in its row: only k rows of each query and task are shuffled.
+    best = lambda q, pages: F.array_max(F.transform(pages, lambda p: F.try_divide(dot(p["v"], q["v"]), p["n"] * q["n"])))
+    score = F.aggregate("_q", F.lit(0.0), lambda s, x: s + F.coalesce(best(x["q"], F.col("_v")), F.lit(0.0)))
+    blocks = -(-(queries.count()) // BROADCAST_QUERIES) or 1
+    out = None
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = whole.join(F.broadcast(part), F.lit(True)).select("query_id", "id", score.alias("score"))
+        found = ranked(scored, ["query_id"], k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def first_patches(points: DataFrame) -> DataFrame:

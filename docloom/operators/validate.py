@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rules that are broadcast.
+BROADCAST_RULES = 10_000
 SEVERITIES = ["critical", "error", "warning", "info"]
 ISSUE = ["issue_type", "severity", "field_path", "message"]
 #: Weights of severities in the schema score (fixed values).
@@ -72,26 +74,53 @@ def issues(df: DataFrame, key: list[str], kind: str, severity: Column | str, mes
 
 def missing_required(records: DataFrame, fields: DataFrame, required: DataFrame, key: list[str]) -> DataFrame:
     """Required fields that a record lacks. ``required`` is (field); the schema side is small and joined by name."""
-    every = records.select(*key).withColumn("_all", F.lit(1)).join(F.broadcast(required.select("field").withColumn("_all", F.lit(1))), "_all").drop("_all")
-    have = fields.select(*key, F.col("path").alias("field"))
-    lacking = every.join(have, [*key, "field"], "left_anti")
+    names = fields.groupBy(*key).agg(F.collect_set("path").alias("_have"))
+    # One row, so this is no cross join.
+    wanted = F.broadcast(required.agg(F.collect_set("field").alias("_want")))
+    met = records.select(*key).join(names, key, "left").join(wanted, F.lit(True))
+    lacking = met.select(*key, F.explode(F.array_except("_want", F.coalesce("_have", F.array().cast("array<string>")))).alias("field"))
     return issues(lacking, key, "required_fields", "error", F.format_string("Required field '%s' is missing", "field"), "field")
 
 
 def type_issues(fields: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame:
     """Fields whose type isn't the expected one. ``expected`` is (path, type)."""
-    met = fields.join(F.broadcast(expected), "path").where(~accepts(F.col("type"), F.col("tag")))
+    met = fields.join(expected, "path").where(~accepts(F.col("type"), F.col("tag")))
     return issues(met, key, "type_validation", "error", F.format_string("Type mismatch: expected %s, got %s", "type", "tag"))
 
 
-def empty_issues(fields: DataFrame, key: list[str]) -> DataFrame:
+def empty_checks() -> list[Column]:
     found = (
-        F.when(F.col("tag") == "null", F.struct(F.lit("warning").alias("s"), F.lit("Field contains null value").alias("m")))
-        .when((F.col("tag") == "string") & (stripped(F.col("str_val")) == ""), F.struct(F.lit("warning").alias("s"), F.lit("Field contains empty string").alias("m")))
-        .when((F.col("tag") == "array") & (F.col("str_val") == "[]"), F.struct(F.lit("info").alias("s"), F.lit("Field contains empty array").alias("m")))
+        F.when(F.col("tag") == "null", said("data_quality", "warning", F.lit("Field contains null value")))
+        .when((F.col("tag") == "string") & (stripped(F.col("str_val")) == ""), said("data_quality", "warning", F.lit("Field contains empty string")))
+        .when((F.col("tag") == "array") & (F.col("str_val") == "[]"), said("data_quality", "info", F.lit("Field contains empty array")))
+    )
+    return [found]
+
+
+def format_checks() -> list[Column]:
+    odd = (F.col("tag") == "string") & F.lower("path").contains("date") & ~is_date_like(F.col("str_val"))
+    return [F.when(odd, said("format_validation", "warning", F.format_string("Inconsistent date format: '%s'", "str_val")))]
+
+
+def suspicious_checks() -> list[Column]:
+    text, value = F.col("tag") == "string", F.col("str_val")
+    return [
+        F.when(text & is_placeholder(value), said("data_quality", "warning", F.format_string("Suspicious placeholder value: '%s'", value))),
+        F.when(text & is_error_text(value), said("data_quality", "error", F.format_string("Possible extraction error in value: '%s...'", F.substring(value, 1, 50)))),
+    ]
+
+
+def said(kind: str, severity: str, message: Column) -> Column:
+    return F.struct(F.lit(kind).alias("t"), F.lit(severity).alias("s"), message.alias("m"))
+
+
+def field_issues(fields: DataFrame, key: list[str], checks: list[tuple[int, Column]]) -> DataFrame:
+    """Issues that a field shows by itself, all in one pass; ``ord`` is the number given with a check."""
+    found = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("o"), c.alias("i"))) for n, c in checks]))
+    rows = fields.select(*key, "path", F.explode(found).alias("_i"))
+    return rows.select(
+        *key, F.col("_i.i.t").alias("issue_type"), F.col("_i.i.s").alias("severity"), F.col("path").alias("field_path"), F.col("_i.i.m").alias("message"), F.col("_i.o").alias("ord")
     )
-    rows = fields.withColumn("_i", found).where("_i is not null")
-    return issues(rows, key, "data_quality", F.col("_i.s"), F.col("_i.m"))
 
 
 def duplicate_issues(fields: DataFrame, key: list[str]) -> DataFrame:
@@ -101,18 +130,6 @@ def duplicate_issues(fields: DataFrame, key: list[str]) -> DataFrame:
     return issues(rows, key, "data_quality", "warning", F.format_string("Duplicate value found: '%s'", "str_val"))
 
 
-def format_issues(fields: DataFrame, key: list[str]) -> DataFrame:
-    rows = fields.where((F.col("tag") == "string") & F.lower("path").contains("date") & ~is_date_like(F.col("str_val")))
-    return issues(rows, key, "format_validation", "warning", F.format_string("Inconsistent date format: '%s'", "str_val"))
-
-
-def suspicious_issues(fields: DataFrame, key: list[str]) -> DataFrame:
-    text = fields.where("tag = 'string'")
-    place = issues(text.where(is_placeholder(F.col("str_val"))), key, "data_quality", "warning", F.format_string("Suspicious placeholder value: '%s'", "str_val"))
-    wrong = issues(text.where(is_error_text(F.col("str_val"))), key, "data_quality", "error", F.format_string("Possible extraction error in value: '%s...'", F.substring("str_val", 1, 50)))
-    return place.unionByName(wrong)
-
-
 def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         DOCUMENT_RULES, "document_type string, part string, min_length int, pattern string, min_value double, max_value double"
@@ -122,14 +139,18 @@ def rules_table(spark: SparkSession) -> DataFrame:
 def rule_issues(fields: DataFrame, rules: DataFrame, document_type: str, key: list[str]) -> DataFrame:
     """Document rules: a rule holds for every field whose lower-cased name contains its part.
 
-    The rule table is small, so this is a broadcast nested-loop join over fields.
+    No key joins a part to the names that contain it. Rules are broadcast; where there are more
+    than BROADCAST_RULES they are first held against the distinct names of fields.
     """
-    own = F.broadcast(rules.where(F.col("document_type") == document_type.lower()))
-    met = fields.join(own, F.lower("path").contains(F.col("part")))
+    own, holds = rules.where(F.col("document_type") == document_type.lower()), F.lower("path").contains(F.col("part"))
+    if own.count() <= BROADCAST_RULES:
+        met = fields.join(F.broadcast(own), holds)
+    else:
+        met = fields.join(fields.select("path").distinct().join(own, holds), "path")
     text, number = F.col("tag") == "string", F.col("tag").isin("int", "float", "bool")
     prefix = F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")"))
     length = F.char_length("str_val")
-    said = F.array_compact(
+    broken = F.array_compact(
         F.array(
             F.when(text & (length < F.col("min_length")), F.struct(F.lit("business_rules").alias("t"), F.lit("warning").alias("s"), F.format_string("Field too short: %d chars, minimum %d", length, "min_length").alias("m"))),
             F.when(text & ~F.rlike("str_val", prefix), F.struct(F.lit("format_validation").alias("t"), F.lit("error").alias("s"), F.lit("Field does not match expected pattern").alias("m"))),
@@ -137,7 +158,7 @@ def rule_issues(fields: DataFrame, rules: DataFrame, document_type: str, key: li
             F.when(number & (F.col("num_val") > F.col("max_value")), F.struct(F.lit("business_rules").alias("t"), F.lit("error").alias("s"), F.lit("Value above maximum").alias("m"))),
         )
     )
-    rows = met.select(*key, "path", F.explode(said).alias("_i"))
+    rows = met.select(*key, "path", F.explode(broken).alias("_i"))
     return rows.select(*key, F.col("_i.t").alias("issue_type"), F.col("_i.s").alias("severity"), F.col("path").alias("field_path"), F.col("_i.m").alias("message"))
 
 
@@ -153,12 +174,13 @@ def quality_issues(fields: DataFrame, key: list[str], rules: DataFrame | None =
 
     A validator maps fields to issues (key and ISSUE columns).
     """
-    parts = [empty_issues(fields, key), duplicate_issues(fields, key), format_issues(fields, key), suspicious_issues(fields, key)]
+    kinds = ((0, empty_checks()), (2, format_checks()), (3, suspicious_checks()))
+    out = field_issues(fields, key, [(n, c) for n, checks in kinds for c in checks])
+    others = [(1, duplicate_issues(fields, key))]
     if rules is not None and document_type:
-        parts.append(rule_issues(fields, rules, document_type, key))
-    parts += [v(fields).select(*key, *ISSUE) for v in validators]
-    out = parts[0].withColumn("ord", F.lit(0))
-    for n, p in enumerate(parts[1:], 1):
+        others.append((4, rule_issues(fields, rules, document_type, key)))
+    others += [(5 + n, v(fields).select(*key, *ISSUE)) for n, v in enumerate(validators)]
+    for n, p in others:
         out = out.unionByName(p.withColumn("ord", F.lit(n)))
     return out
 

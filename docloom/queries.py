@@ -1072,10 +1072,13 @@ def str_circuit_breaker(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.breaker(e.select(F.concat(F.lit("c"), F.col("user_id") % 20).alias("circuit"), "event_id", seconds.alias("at"), (F.col("value") > 20).alias("ok")))
 
 
-@q(None)
+@q("""WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  s AS (SELECT user_id, n, CASE WHEN failed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM e WHERE n = 1
+    UNION ALL SELECT e.user_id, e.n, CASE WHEN e.failed THEN s.rate + 1 ELSE s.rate * 0.9::DOUBLE END FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+  SELECT user_id, round(arg_max(rate, n), 6) AS error_rate FROM s GROUP BY user_id""")
 def win_error_decay(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events").withColumn("failed", F.col("event_type") == "error")
-    return metrics.decayed(e, ["user_id"], ["ts", "event_id"], "failed")
+    return metrics.decayed(e, ["user_id"], ["ts", "event_id"], "failed").withColumn("error_rate", F.round("error_rate", 6))
 
 
 # Schemas ------------------------------------------------------------------
