@@ -166,10 +166,17 @@ def by_shard(row: dict, space: Keys, keys: np.ndarray, columns: list[str], *part
     return pa.RecordBatch.from_arrays([*head, pa.array(shard, pa.int64()), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in data)], names=columns)
 
 
+def firsts(at: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the numbers below ``n``, all of which occur, stands first."""
+    first = np.empty(n, np.int64)
+    first[at[::-1]] = np.arange(len(at) - 1, -1, -1)  # the last write stays
+    return first
+
+
 def summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Distinct keys of a shard's ASK rows, the number of each row's keys among them, and the sums."""
     keys = [widened(r["keys"], r["size"]).cumsum() for r in rows]
-    keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+    keys, at = numbered(np.concatenate([np.zeros(0, np.int64), *keys]))
     sums = {}
     for p in PARTS:
         own = np.concatenate([np.zeros(0, np.int64), *(widened(r[p], r["size"]) for r in rows)])
@@ -184,7 +191,7 @@ def owners(asks: DataFrame, langs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         keys, at, sums = summed(rows)
         # The first row with a key, in the order of blocks, owns it.
-        first = np.unique(at, return_index=True)[1]
+        first = firsts(at, len(keys))
         mine = np.zeros(len(at), np.int64)
         mine[first] = sums["own"][at[first]]
         out = []
@@ -215,7 +222,7 @@ def credited(dealt: DataFrame, answers: DataFrame, order: int, space: Keys) -> D
             if len(held) != len(keys):
                 raise RuntimeError("Kneser-Ney: a block's counts are not those it asked for")
             # One n-gram stands for a key.
-            one = np.unique(at, return_index=True)[1]
+            one = firsts(at, len(keys))
             n = np.zeros(len(at), np.int64)
             n[one] = held
             below, context = grams.keys[order - 1], grams.context[order]
@@ -300,17 +307,28 @@ def discounts(n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, n4: np.ndarray) ->
     return [np.maximum(LEAST, np.minimum(k, k - (k + 1) * y * b / np.maximum(a, 1))) for k, (a, b) in enumerate(pairs, 1)]
 
 
-def log_probabilities(grams: Grams, keys: np.ndarray, sums: dict[str, np.ndarray], space: Keys) -> tuple[np.ndarray, np.ndarray]:
-    """Integer log probability of each distinct n-gram of the highest order, and whether its language has a model."""
+def wanted(grams: Grams, space: Keys) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys that a block needs, in order, and where the parts stand among them: those of the n-grams
+    of the orders 1 to ORDER, of the languages' counts by order, and of what occurs four times by order."""
+    stats = [space.stats(grams.langs, k) for k in (1, 2, 3)]
+    parts = [*(grams.keys[k] for k in (1, 2, 3)), *stats, *(x ^ 1 for x in stats)]
+    keys, at = numbered(np.concatenate(parts))
+    return keys, np.split(at, np.cumsum([len(x) for x in parts])[:-1])
 
-    def values(wanted: np.ndarray) -> dict[str, np.ndarray]:
-        place = np.searchsorted(keys, wanted)
-        return {p: sums[p][place] for p in PARTS}
+
+def log_probabilities(grams: Grams, sums: dict[str, np.ndarray], at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Integer log probability of each distinct n-gram of the highest order, and whether its language has a model.
+
+    ``sums`` are those of the keys, and ``at`` the places, that :func:`wanted` gives.
+    """
+
+    def values(part: int) -> dict[str, np.ndarray]:
+        return {p: sums[p][at[part]] for p in PARTS}
 
     cut, has = {}, None
     for order in (1, 2, 3):
-        s = values(space.stats(grams.langs, order))
-        cut[order] = discounts(s["total"], s["ones"], s["twos"], values(space.stats(grams.langs, order) ^ 1)["own"])
+        s = values(ORDER + order - 1)
+        cut[order] = discounts(s["total"], s["ones"], s["twos"], sums["own"][at[2 * ORDER + order - 1]])
         if order == 1:
             d, has, mass, types = cut[1], s["own"] > 0, np.maximum(s["more"], 1), s["own"]
             left = (d[0] * s["total"] + d[1] * s["ones"] + d[2] * (types - s["total"] - s["ones"])) / mass
@@ -326,11 +344,12 @@ def log_probabilities(grams: Grams, keys: np.ndarray, sums: dict[str, np.ndarray
         freed = d[0] * s["ones"] + d[1] * s["twos"] + d[2] * s["more"]
         return np.where(s["total"] > 0, freed / np.maximum(s["total"], 1), 1.0)
 
-    one, lang = values(grams.keys[1]), grams.lang
+    one, lang = values(0), grams.lang
     p = share(one["own"], 1, lang[1], mass[lang[1]]) + unseen[lang[1]]
     held, below = one, p
     for order in (2, 3):
-        own, context, lower = values(grams.keys[order]), grams.context[order], grams.lower[order]
+        own = values(1) if order == 2 else {"own": sums["own"][at[2]]}
+        context, lower = grams.context[order], grams.lower[order]
         weight = back(held, order, grams.lang[order - 1])
         below = share(own["own"], order, lang[order], held["total"][context]) + weight[context] * below[lower]
         held = own
@@ -342,14 +361,10 @@ def scores(docs: DataFrame, counts: DataFrame, space: Keys) -> DataFrame:
     """RESULT of every document: blocks ask the shards of ``counts`` for their n-grams."""
     dealt = blocks(docs.select("doc_id", "lang", "text"), most=BLOCK_WORDS)
 
-    def wanted(grams: Grams) -> np.ndarray:
-        stats = [space.stats(grams.langs, k) for k in (1, 2, 3)]
-        return np.concatenate([*grams.keys.values(), *stats, *(x ^ 1 for x in stats)])
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield by_shard(row, space, np.unique(wanted(Grams(Block(row), space))), names(LIGHT))
+                yield by_shard(row, space, wanted(Grams(Block(row), space), space)[0], names(LIGHT))
 
     def run(packed: pa.Table, found: pa.Table) -> pa.Table:
         out = []
@@ -358,14 +373,14 @@ def scores(docs: DataFrame, counts: DataFrame, space: Keys) -> DataFrame:
             grams = Grams(block, space)
             if any(x != row["checksum"] for x in found.column("checksum").to_pylist()):
                 raise RuntimeError("Kneser-Ney: a block was dealt otherwise than before")
-            keys = np.unique(wanted(grams))
+            keys, at = wanted(grams, space)
             parts = sorted(zip(*(found.column(c).to_pylist() for c in ("shard", "size", *PARTS))))
             sums = {p: np.concatenate([np.zeros(0, np.int64), *(widened(x[k], x[1]) for x in parts)]) for k, p in enumerate(PARTS, 2)}
             if len(sums["own"]) != len(keys):
                 raise RuntimeError("Kneser-Ney: a block's counts are not those it asked for")
             n_words, nll = block.size, [None] * len(block.size)
             if len(grams.rows):
-                logs, model = log_probabilities(grams, keys, sums, space)
+                logs, model = log_probabilities(grams, sums, at)
                 ends = grams.scored.cumsum()
                 up = np.concatenate([[0], logs[grams.at].cumsum()])
                 total, known = up[ends] - up[ends - grams.scored], model[grams.at[ends - 1]]
