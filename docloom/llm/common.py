@@ -18,6 +18,9 @@ BROADCAST_IDS = 1_000_000
 BATCH_TEXTS = 1024
 BATCH_BYTES = 1 << 22
 
+#: Spark's setting that deletes a query's shuffle files at its end.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Words of the contract: runs of anything but ASCII white space. ``bytes.split()``
 #: cuts at exactly these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,10 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What was shuffled for the table is deleted once the table is there: nothing reads it again,
+    and otherwise it stays on the executors' disks until the driver happens to collect garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    held = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, held)
     return spark.read.schema(df.schema).parquet(path)
 
 
