@@ -54,6 +54,9 @@ LEAST_BITS = 40
 BLOCK_WORDS = 2 << 20
 #: N-grams of all texts that a shard is asked for, about.
 SHARD_GRAMS = 1 << 21
+#: Documents are scored in so many portions, one after the other: what a portion asks for is off
+#: the disk before the next one asks.
+PORTIONS = 4
 #: Bytes that a word and the space behind it take at least, on the average of a corpus.
 WORD_BYTES = 4
 
@@ -411,9 +414,10 @@ def perplexities(docs: DataFrame, labels: DataFrame, space: Keys | None = None)
     train = with_flag(docs, trusted.where(~held_out()), "trusted").where("trusted")
     space = space or key_space(train, docs)
     counts = trained(train, space)
-    found = written(scores(docs, counts, space), "scores")
+    portion = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(PORTIONS))
+    found = [written(scores(docs.where(portion == k), counts, space), "scores") for k in range(PORTIONS)]
     dropped(counts)
-    return with_flag(found, trusted, "trusted")
+    return with_flag(reduce(DataFrame.unionByName, found), trusted, "trusted")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, space: Keys | None = None) -> DataFrame:
