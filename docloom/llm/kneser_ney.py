@@ -11,8 +11,8 @@ to the n-gram without its first word, and these credits are the next order's cou
 all texts then ask the shards for the sums of their distinct n-grams, and add up.
 
 Only distinct n-grams of a block travel, as sorted keys in compressed byte planes. The key
-space has 2**ROOM_BITS keys for each n-gram of the trusted text, 2**LEAST_BITS at least: an
-n-gram that was never seen takes another's counts with a probability of 2**-ROOM_BITS.
+space of an order has 2**ROOM_BITS keys for each word of the trusted text, 2**LEAST_BITS at
+least: an n-gram that was never seen takes another's counts with a probability of 2**-ROOM_BITS.
 
 Log probabilities are integers (units of 2**-20), so sums do not depend on how rows are
 dealt. Means are drawn towards the trusted mean of the language with the weight of PRIOR
@@ -50,7 +50,7 @@ PRIOR = 20
 #: Least discount, so that unseen n-grams keep a share where counts of counts give none.
 LEAST = 0.1
 ROOM_BITS = 12
-LEAST_BITS = 40
+LEAST_BITS = 32
 BLOCK_WORDS = 2 << 20
 #: N-grams of all texts that a shard is asked for, about.
 SHARD_GRAMS = 1 << 21
@@ -402,8 +402,8 @@ def held_out() -> Column:
 
 def key_space(train: DataFrame, docs: DataFrame) -> Keys:
     """Keys and shards for the bytes of the trusted and of all texts."""
-    own, every = (ORDER * (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // WORD_BYTES for df in (train, docs))
-    return Keys(min(62, max(LEAST_BITS, own.bit_length() + ROOM_BITS)), max(1, every // SHARD_GRAMS))
+    own, every = ((df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // WORD_BYTES for df in (train, docs))
+    return Keys(min(61, max(LEAST_BITS, own.bit_length() + ROOM_BITS)), max(1, ORDER * every // SHARD_GRAMS))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, space: Keys | None = None) -> DataFrame:
