@@ -56,7 +56,7 @@ BLOCK_WORDS = 2 << 20
 SHARD_GRAMS = 1 << 21
 #: Documents are scored in so many portions, one after the other: what a portion asks for is off
 #: the disk before the next one asks.
-PORTIONS = 4
+PORTIONS = 5
 #: Bytes that a word and the space behind it take at least, on the average of a corpus.
 WORD_BYTES = 4
 
@@ -300,6 +300,7 @@ def lookup(asks: DataFrame, counts: DataFrame) -> DataFrame:
                 out[p].append(narrow(np.where(hit, sums[p][place], 0) if len(keys) else np.zeros(len(own), np.int64)))
         return pa.table([pa.array(out[c], pa.binary() if c in PARTS else pa.int64()) for c in names(FOUND)], names=names(FOUND))
 
+    counts = counts.select("shard", "size", "keys", *PARTS)
     return asks.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(run, FOUND)
 
 
