@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the whole tables, with production parameters."""
+"""The queries op1 to op13 over the whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, kneser_ney, license_scan, media, mixing, packing, quality_rules, simhash, suffix_dedup, url_filter
+from docloom.llm import bpe, fill_middle, filter_audit, kneser_ney, license_scan, media, mixing, packing, quality_rules, simhash, site_template, suffix_dedup, url_filter
 from docloom.llm.common import documents
 
 
@@ -66,12 +66,30 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_site_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_template.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_kneser_ney, op2_media, op3_suffix_dedup, op4_quality_rules, op5_packing,
         op6_url_filter, op7_mixing, op8_bpe, op9_simhash, op10_license_scan,
+        op11_filter_audit, op12_site_template, op13_fill_middle,
     )
 }
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op6_url_filter": url_filter.ORACLE, "op10_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {
+    "op6_url_filter": url_filter.ORACLE,
+    "op10_license_scan": license_scan.oracle(),
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_fill_middle": fill_middle.ORACLE,
+}

@@ -81,7 +81,7 @@ def test_components(spark):
 
 
 def test_registered():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in queries.QUERIES) == 1
 
 
