@@ -1194,3 +1194,6 @@ def src_image_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     content = F.unhex(F.when(k % 3 == 0, png).when(k % 3 == 1, gif).otherwise("FFD8FF"))
     d = t(spark, sf, "documents").select("doc_id", fn.image_dimensions(content).alias("d"))
     return d.select("doc_id", "d.width", "d.height")
+
+
+from docloom import queries_storage  # noqa: E402, F401  registers its queries
