@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.operators import search, vector_index
-from docloom.queries import NORM, POINTS, SCORE, TOP, hundredth, q, stored_points
-from docloom.sinks import folders
+from docloom.queries import NORM, POINTS, SCORE, TOP, hundredth, q, stored_points, t
+from docloom.sinks import folders, keyed, skipping
+from docloom.sources import files
 
 # Indexes for similarity search ----------------------------------------------
 
@@ -61,3 +63,87 @@ def top_late_index(spark: SparkSession, sf: str) -> DataFrame:
     p, index = indexed(spark, sf, page="document_id")
     asked = p.where("id % 50 = 0").select(F.col("label").alias("query_id"), F.col("id").alias("q_idx"), F.col("vector").alias("query_vector"))
     return index.late_search(asked, 5).select("query_id", "id", F.round("score", 5).alias("score"))
+
+
+# Keyed tables -----------------------------------------------------------------
+
+
+@q("""WITH b AS (SELECT o_orderkey AS id, o_custkey AS custkey, o_totalprice AS price, 0 AS batch FROM orders
+      UNION ALL SELECT o_orderkey, o_custkey, o_totalprice * 2, 1 FROM orders WHERE o_orderkey % 5 = 1
+      UNION ALL SELECT o_orderkey, o_custkey, o_totalprice * 3, 2 FROM orders WHERE o_orderkey % 15 = 1
+      UNION ALL SELECT o_orderkey, o_custkey, NULL, 3 FROM orders WHERE o_orderkey % 35 = 6
+      UNION ALL SELECT -o_orderkey, o_custkey, o_totalprice, 4 FROM orders WHERE o_orderkey % 50 = 7),
+   r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC) AS n FROM b)
+   SELECT id, custkey, round(price, 2) AS price FROM r WHERE n = 1 AND batch <> 3""")
+def snk_merge_on_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders upserted in batches (one sent twice), some deleted, some buckets compacted on the way."""
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("price"))
+    table = keyed.KeyedTable.create(spark, folders.fresh(spark, "orders"), o.schema, ["id"], buckets=8)
+    table.upsert(o, "w", 0)
+    table.compact()
+    table.upsert(o.where("id % 5 = 1").withColumn("price", F.col("price") * 2), "w", 1)
+    table.upsert(o.where("id % 15 = 1").withColumn("price", F.col("price") * 3), "w", 2)
+    table.upsert(o.where("id % 15 = 1").withColumn("price", F.lit(0.0)), "w", 2)  # the batch is there: nothing changes
+    table.compact(least=2)
+    table.delete(o.where("id % 35 = 6"), "w", 3)
+    table.upsert(o.where("id % 50 = 7").withColumn("id", -F.col("id")), "w", 4)
+    return table.read().withColumn("price", F.round("price", 2))
+
+
+def document_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the file, of 25 of them, that each belongs to."""
+    return t(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 25).cast("long").alias("f"))
+
+
+@q("""SELECT doc_id, doc_id // 25 AS f, md5(CASE WHEN doc_id // 25 % 5 = 2 THEN text || ' changed' ELSE text END) AS digest, CAST(CASE WHEN doc_id // 25 % 7 = 3 OR doc_id // 25 % 5 = 2 THEN 2 ELSE 1 END AS BIGINT) AS version
+      FROM documents WHERE doc_id // 25 % 11 <> 4""")
+def str_incremental_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as files, indexed, some files changed, added and removed, indexed again; then once more without a change."""
+    d, root = document_files(spark, sf), folders.fresh(spark, "files")
+    points = T.StructType().add("path", "string").add("doc_id", "long").add("digest", "string")
+    index = keyed.FileIndex(spark, f"{root}/index", points, ["path", "doc_id"])
+
+    def listed(state: str) -> DataFrame:
+        found = files.read_files(spark, f"{root}/{state}", "*.json")
+        return found.select(F.regexp_extract("path", "f=([0-9]+)", 1).alias("path"), "content")
+
+    def make(new: DataFrame) -> DataFrame:
+        lines = new.select("path", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
+        doc = F.from_json("line", "doc_id long, text string")
+        return lines.select("path", doc.alias("d")).select("path", "d.doc_id", F.md5("d.text").alias("digest"))
+
+    written = lambda rows, state: rows.repartition("f").write.partitionBy("f").option("compression", "none").json(f"{root}/{state}")
+    written(d.where("f % 7 <> 3"), "first")
+    text = F.when(F.col("f") % 5 == 2, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    written(d.where("f % 11 <> 4").withColumn("text", text), "second")
+    index.sync(listed("first"), make, 1)
+    index.sync(listed("second"), make, 2)
+    index.sync(listed("second"), make, 3)
+    rows = index.points.versions()
+    return rows.select("doc_id", F.col("path").cast("long").alias("f"), "digest", F.col("_version").alias("version"))
+
+
+# Data skipping ------------------------------------------------------------------
+
+CONDITIONS = {"document_type": "pdf", "page_number": {"gte": 2, "lte": 4}, "spatial_box": [32, 0, 96, 64], "processing_timestamp": {"after": "2024-01-03T00:00:00Z"}}
+
+
+@q(f"""WITH {POINTS} SELECT id, document_id, patch_x, patch_y FROM points
+       WHERE document_type = 'pdf' AND page_number BETWEEN 2 AND 4 AND patch_x BETWEEN 32 AND 96 AND patch_y BETWEEN 0 AND 64 AND processing_timestamp > '2024-01-03T00:00:00Z'""")
+def flt_skipping(spark: SparkSession, sf: str) -> DataFrame:
+    table = skipping.write(stored_points(spark, sf), folders.fresh(spark, "points"), rows_per_file=64)
+    return table.read(CONDITIONS).select("id", "document_id", "patch_x", "patch_y")
+
+
+@q(f"""WITH {POINTS} SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS box_skips, true AS document_skips, CAST(0 AS BIGINT) AS n_absent FROM points""")
+def flt_skipping_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Do a box and a document leave out files, and is a document that isn't there sought in less than an eighth of them?"""
+    p = stored_points(spark, sf)
+    by_box, by_id = (skipping.write(p, folders.fresh(spark, "points"), 64, along) for along in (("patch_x", "patch_y"), ("id", "page_number")))
+    box, document, absent = (
+        table.report(c).select("n_rows", F.col("n_files").alias(f"{n}_files"), F.col("n_read").alias(f"{n}_read"))
+        for n, table, c in (("spatial_box", by_box, {"spatial_box": [0, 0, 32, 32]}), ("document_id", by_id, {"document_id": "doc3"}), ("absent", by_id, {"document_id": "no such document"}))
+    )
+    one = box.join(document.drop("n_rows"), F.lit(True)).join(absent.drop("n_rows"), F.lit(True))
+    # A filter is wrong for about one value in a hundred: an eighth of the files would be too many.
+    return one.select("n_rows", (F.col("spatial_box_read") < F.col("spatial_box_files")).alias("box_skips"), (F.col("document_id_read") < F.col("document_id_files")).alias("document_skips"), F.floor(F.col("absent_read") * 8 / F.col("absent_files")).alias("n_absent"))

@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.operators import search, vector_index
+from docloom.sinks import keyed, skipping
 
 POINTS = "id long, vector array<float>, page string, kind string"
 
@@ -104,3 +106,112 @@ def test_codes_are_within_their_error():
         assert all((x[:50] @ x[cell == c].T <= bound[:, [c]]).all() for c in set(cell.tolist()))
         again = vector_index.Model.unpacked(model.packed())
         assert (again.books == model.books).all() and again.probes == model.probes
+
+
+# Keyed tables
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_merge_on_read(spark, tmp_path, monkeypatch, most):
+    """Batches with repeats, nulls and deletions against a dictionary; compaction and vacuum change nothing."""
+    monkeypatch.setattr(keyed, "BROADCAST_KEYS", most)
+    rng, schema = random.Random(4), "a long, b string, v double"
+    table = keyed.KeyedTable.create(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, ["a", "b"], ["a"], 4)
+    assert rows(table.read()) == []
+    want = {}
+    for n in range(6):
+        got = [(rng.choice([None, *range(12)]), rng.choice([None, "x"]), float(rng.randrange(9))) for _ in range(15)]
+        df = spark.createDataFrame(got, schema)
+        if n == 3:
+            assert table.delete(df.select("a", "b"), "w", n)
+            for a, b, _ in got:
+                want.pop((a, b), None)
+        else:
+            assert table.upsert(df, "w", n)
+            for a, b, v in sorted(got, key=lambda r: r[2]):  # of one key the greatest row
+                want[a, b] = v
+        assert not table.upsert(df.withColumn("v", F.lit(99.0)), "w", n)
+        if n == 2:
+            assert table.compact(least=3) == [b for b, d in table.state()["base"].items() if d]
+        assert rows(table.read()) == sorted(((*k, v) for k, v in want.items()), key=repr)
+    table.compact()
+    table.vacuum()
+    assert not table.state()["deltas"] and rows(keyed.KeyedTable(spark, str(tmp_path / "t")).read()) == sorted(((*k, v) for k, v in want.items()), key=repr)
+    assert table.compact() == [] and len(list((tmp_path / "t" / "log").glob("0*.json"))) == 1
+
+
+def test_order_of_a_batch_and_failed_attempts(spark, tmp_path):
+    table = keyed.KeyedTable.create(spark, str(tmp_path / "t"), spark.createDataFrame([], "k long, v string").schema, ["k"], buckets=2)
+    table.upsert(spark.createDataFrame([(1, "new", 2), (1, "old", 1)], "k long, v string, at long"), "w", 0, F.col("at"))
+    state = table.state()
+    with pytest.raises(RuntimeError):  # another writer took the version
+        keyed._commit(spark, table.path, state)
+    spark.createDataFrame([(1, "lost", False, 9, 0)], "k long, v string, _gone boolean, _version long, bucket int").write.partitionBy("bucket").parquet(f"{table.path}/rows/v00000002-w-1")
+    assert rows(table.read()) == [(1, "new")]
+    assert table.upsert(spark.createDataFrame([(2, "b")], "k long, v string"), "w", 1)
+    assert rows(table.read()) == [(1, "new"), (2, "b")]
+    table.vacuum()
+    assert rows(table.read()) == [(1, "new"), (2, "b")]
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    table = keyed.KeyedTable.create(spark, str(tmp_path / "t"), spark.createDataFrame([], "k long").schema, ["k"], buckets=8)
+    table.upsert(spark.range(400).toDF("k"), "w", 0)
+    table.compact()
+    before = table.state()["base"]
+    table.upsert(spark.createDataFrame([(3,)], "k long"), "w", 1)
+    assert len(table.compact()) == 1
+    after = table.state()["base"]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    assert rows(table.read()) == [(k,) for k in sorted(range(400), key=lambda k: repr((k,)))]
+
+
+def test_file_index(spark, tmp_path):
+    schema = T.StructType().add("path", "string").add("line", "long").add("text", "string")
+    index = keyed.FileIndex(spark, str(tmp_path / "i"), schema, ["path", "line"], 4)
+    made = []
+
+    def make(new):
+        made.append(sorted(r.path for r in new.select("path").collect()))
+        return new.select("path", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line", "text"))
+
+    state = lambda **files: spark.createDataFrame([(k, v.encode()) for k, v in files.items()], "path string, content binary")
+    assert index.sync(state(a="1\n2\n3", b="x", c="y"), make, 1) == {"added": 3}
+    assert index.sync(state(a="1\n9", c="y", d="z"), make, 2) == {"added": 1, "changed": 1, "gone": 1}
+    assert index.sync(state(a="1\n9", c="y", d="z"), make, 3) == {}
+    assert made == [["a", "b", "c"], ["a", "d"]]
+    want = [("a", 0, "1"), ("a", 1, "9"), ("c", 0, "y"), ("d", 0, "z")]
+    assert rows(index.points.read()) == want
+    # A run that ended after the points and before the list of files is done again.
+    again = keyed.FileIndex(spark, str(tmp_path / "i"))
+    kept = again.files.apply
+    again.files.apply = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        again.sync(state(a="new"), make, 4)
+    again.files.apply = kept
+    assert again.sync(state(a="new"), make, 4) == {"changed": 1, "gone": 2}
+    assert rows(again.points.read()) == [("a", 0, "new")] and rows(again.files.read().select("path")) == [("a",)]
+
+
+# Data skipping
+
+
+def test_skipping(spark, tmp_path):
+    rng = random.Random(6)
+    made = [(k, f"d{k // 40}", rng.choice(["pdf", "html", None]), rng.choice([None, 1, 2, 3, 4]), rng.randrange(0, 2000) if k % 50 else None, rng.randrange(0, 2000), f"2024-01-{k % 28 + 1:02d}") for k in range(2000)]
+    df = spark.createDataFrame(made, "id long, document_id string, document_type string, page_number int, patch_x int, patch_y int, processing_timestamp string")
+    for name, along in (("a", ("patch_x", "patch_y")), ("b", ("id", "page_number"))):
+        table = skipping.write(df, str(tmp_path / name), 100, along)
+        for c in (
+            {}, {"spatial_box": [0, 0, 100, 100]}, {"document_id": "d7"}, {"document_id": "none"}, {"document_type": "pdf", "page_number": 2}, {"page_number": {"gte": 9}},
+            {"processing_timestamp": {"after": "2024-01-27"}, "spatial_box": [500, 500, 700, 2000]}, {"spatial_box": [1, 2]}, {"page_number": {"gte": 2, "lte": 3}, "document_id": "d1"},
+        ):
+            assert rows(table.read(c)) == rows(df.where(search.payload_filter(c))), c
+        r = table.report({"spatial_box": [0, 0, 100, 100]} if name == "a" else {"document_id": "d7"}).first()
+        assert r.n_files >= 15 and r.n_read <= 5 and r.n_rows == 2000 and r.n_rows_read <= 700
+    empty = skipping.write(df.limit(0), str(tmp_path / "c"))
+    assert empty.read({"document_id": "d7"}).count() == 0
