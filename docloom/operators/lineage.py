@@ -1,17 +1,16 @@
 """Lineage of records as two tables, nodes and edges.
 
-Neighbours are joins; closures and paths are breadth-first joins in which every level is one
-equi-join over edges and a path never visits a node twice, so cycles end. Levels are
-checkpointed by the caller's checkpoint folder when there is one.
+Neighbours are joins; closures and paths double their reach with every round of equi-joins, and each
+round is a written table in the shared folder, so a long chain takes few rounds and a lost executor costs one.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sinks import folders
+
 NODE = (
     "node_id string, node_type string, timestamp timestamp_ntz, operation string, metadata map<string,string>, "
     "performance_metrics map<string,double>, parent_nodes array<string>, schema_version string, transformation_rules array<string>"
@@ -81,27 +80,77 @@ def parents(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.join(nodes.select(F.col("node_id").alias("parent_id")), "parent_id").select(F.col("child_id").alias("node_id"), "parent_id")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Written and read again: a round's plan is no part of the next one's."""
+    path = folders.fresh(df.sparkSession, "lineage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _gone(df: DataFrame) -> None:
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        folders.delete(df.sparkSession, folder)
+
+
 def closure(links: DataFrame, start: DataFrame | None = None, down: bool = True, max_depth: int | None = None) -> DataFrame:
     """(node_id, other_id, depth): all descendants (or ancestors) of the start nodes, least depth.
 
-    ``start`` is (node_id); without it every node with an edge starts. One join a level, and
-    a pair once found isn't followed again, so a cycle ends. All levels are followed;
+    ``start`` is (node_id); without it every node with an edge starts. The reach doubles each round, so a chain of n
+    steps takes log2(n) rounds. Pairs found are not found again, so a cycle ends. All levels are followed;
     ``max_depth`` asks for so many only.
     """
     near, far = ("parent_id", "child_id") if down else ("child_id", "parent_id")
-    hop = links.select(F.col(near).alias("_a"), F.col(far).alias("_b")).distinct()
-    begin = hop.select(F.col("_a").alias("node_id")).distinct() if start is None else start.select("node_id").distinct()
-    level = begin.join(hop, F.col("node_id") == F.col("_a")).select("node_id", F.col("_b").alias("other_id"), F.lit(1).alias("depth"))
-    found = level
-    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
-        more = level.join(hop, F.col("other_id") == F.col("_a")).select("node_id", F.col("_b").alias("other_id")).distinct()
-        level = more.join(found.select("node_id", "other_id"), ["node_id", "other_id"], "left_anti").withColumn("depth", F.lit(depth))
-        if level.sparkSession.sparkContext.getCheckpointDir():
-            level = level.checkpoint()
-        if level.isEmpty():
+    hop = links.select(F.col(near).alias("node_id"), F.col(far).alias("other_id")).distinct()
+    if start is not None:
+        found = _reach(hop, start, False, max_depth).where("depth > 0").drop("path")
+        # A start that lies on a cycle reaches itself too.
+        rounds = found.withColumnRenamed("other_id", "_m").join(hop.select(F.col("node_id").alias("_m"), F.col("other_id").alias("_b")), "_m").where("_b = node_id")
+        own = start.join(hop, "node_id").where("node_id = other_id").select("node_id", "other_id", F.lit(1).alias("depth"))
+        loops = rounds.select("node_id", F.col("node_id").alias("other_id"), (F.col("depth") + 1).alias("depth")).unionByName(own).groupBy("node_id", "other_id").agg(F.min("depth").alias("depth"))
+        return found.unionByName(loops if max_depth is None else loops.where(F.col("depth") <= max_depth))
+    # Everything within 2^k steps, and what is just 2^k steps away.
+    reach = 1
+    last = _kept(hop.withColumn("depth", F.lit(1)))
+    found = last
+    while (max_depth is None or reach < max_depth) and not last.isEmpty():
+        near_by = found.select(F.col("node_id").alias("_m"), F.col("other_id").alias("_b"), F.col("depth").alias("_d"))
+        more = last.join(near_by, F.col("other_id") == F.col("_m")).groupBy("node_id", F.col("_b").alias("other_id")).agg((F.min("_d") + reach).alias("depth"))
+        more = _kept(more.join(found.select("node_id", "other_id"), ["node_id", "other_id"], "left_anti"))
+        reach *= 2
+        found = found.unionByName(more)
+        last = more.where(F.col("depth") == reach)
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
+
+
+def _reach(hop: DataFrame, start: DataFrame, paths: bool, max_depth: int | None) -> DataFrame:
+    """(node_id, other_id, depth, path) from each start to all it reaches, itself at depth 0; ``path`` without the start.
+
+    Walks of 2^k steps between nodes of the graph are put behind what was reached: after round k all of depth
+    below 2^(k + 1) is known. No node has more than its own descendants in a round, and one with a single parent (or child) has one.
+    """
+    arrays = lambda *c: F.array(*c) if paths else F.array().cast("array<string>")
+    kind = hop.schema["other_id"].dataType.simpleString()
+    empty = F.array().cast(f"array<{kind}>" if paths else "array<string>")
+    found = _kept(start.select("node_id").where("node_id IS NOT NULL").distinct().select("node_id", F.col("node_id").alias("other_id"), F.lit(0).alias("depth"), empty.alias("path")))
+    walk = _kept(hop.select(F.col("node_id").alias("_a"), F.col("other_id").alias("_b"), arrays(F.col("other_id")).alias("_p")))
+    steps, n = 1, found.count()
+    while max_depth is None or steps <= max_depth:
+        more = found.join(walk, F.col("other_id") == F.col("_a")).select("node_id", F.col("_b").alias("other_id"), (F.col("depth") + steps).alias("depth"), F.concat("path", "_p").alias("path"))
+        best = found.unionByName(more).groupBy("node_id", "other_id").agg(F.min(F.struct("depth", "path")).alias("r"))
+        new = _kept(best.select("node_id", "other_id", "r.depth", "r.path"))
+        grown = new.count()
+        _gone(found)
+        found = new
+        if grown == n:
             break
-        found = found.unionByName(level)
-    return found
+        n = grown
+        ahead = walk.select(F.col("_a").alias("_m"), F.col("_b").alias("_c"), F.col("_p").alias("_q"))
+        longer = walk.join(ahead, F.col("_b") == F.col("_m")).groupBy("_a", F.col("_c").alias("_b")).agg(F.min(F.concat("_p", "_q")).alias("_p"))
+        longer = _kept(longer)
+        _gone(walk)
+        walk, steps = longer, steps * 2
+    _gone(walk)
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
 def closure_sql(links: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -124,25 +173,12 @@ def closure_sql(links: DataFrame, max_depth: int | None = None) -> DataFrame:
 def shortest_paths(links: DataFrame, start: DataFrame, end: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start_id, end_id, path, n_nodes): a shortest path of each pair that has one.
 
-    Of several, the one that is least in order of its ids. Breadth first: a pair (start,
-    node) keeps only its best path of each level.
+    Of several, the one that is least in order of its ids. The reach doubles each round, as in :func:`closure`.
     """
-    hop = links.select(F.col("parent_id").alias("_a"), F.col("child_id").alias("_b")).distinct()
-    level = start.select(F.col("node_id").alias("start_id"), F.col("node_id").alias("at"), F.array("node_id").alias("path")).distinct()
-    found = level
-    for _ in count() if max_depth is None else range(max_depth):
-        level = (
-            level.join(hop, F.col("at") == F.col("_a"))
-            .groupBy("start_id", F.col("_b").alias("at"))
-            .agg(F.min(F.concat("path", F.array("_b"))).alias("path"))
-            .join(found.select("start_id", "at"), ["start_id", "at"], "left_anti")
-        )
-        if level.sparkSession.sparkContext.getCheckpointDir():
-            level = level.checkpoint()
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found.join(end.select(F.col("node_id").alias("at")).distinct(), "at").select("start_id", F.col("at").alias("end_id"), "path", F.size("path").alias("n_nodes"))
+    hop = links.select(F.col("parent_id").alias("node_id"), F.col("child_id").alias("other_id")).distinct()
+    found = _reach(hop, start, True, max_depth).join(end.select(F.col("node_id").alias("other_id")).distinct(), "other_id")
+    path = F.concat(F.array("node_id"), F.col("path"))
+    return found.select(F.col("node_id").alias("start_id"), F.col("other_id").alias("end_id"), path.alias("path"), F.size(path).alias("n_nodes"))
 
 
 def chain(links: DataFrame, nodes: DataFrame, target: DataFrame) -> DataFrame:

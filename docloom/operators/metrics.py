@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import scan
 
 #: Ranges of a group's values that are counted before the one with a wanted rank is put in order.
 RANGES = 4096
@@ -71,12 +72,15 @@ def is_regression(mean: Column, baseline: Column, factor: float = 1.5) -> Column
     return mean > baseline * factor
 
 
-def leak(df: DataFrame, group: list[str], order: list[str], value: str, limit: float = 100.0) -> DataFrame:
+def leak(df: DataFrame, group: list[str], order: list[str], value: str, limit: float = 100.0, rows_per_range: int | None = None) -> DataFrame:
     """Mean of the last five samples against the five before, at every row; null before the tenth."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    first, second = F.avg(value).over(w.rowsBetween(-9, -5)), F.avg(value).over(w.rowsBetween(-4, 0))
-    ten = F.count("*").over(w.rowsBetween(-9, 0)) == 10
-    df = df.withColumn("increase", F.when(ten, second - first))
+    rows = scan.running(df, group, order, value=F.col(value), keep=10, rows_per_range=rows_per_range)
+
+    def mean(first: int) -> Column:
+        part = F.filter(F.slice("tail", first, 5), lambda x: x.isNotNull())
+        return F.try_divide(F.aggregate(part, F.lit(0.0), lambda s, x: s + x), F.size(part))
+
+    df = rows.withColumn("increase", F.when(F.size("tail") == 10, mean(6) - mean(1))).drop("after", "tail")
     return df.withColumn("leak_detected", F.col("increase") > limit)
 
 
@@ -102,13 +106,12 @@ def recent_failures(df: DataFrame, failed: Column, order: list[str], n: int = 10
     return df.where(failed).orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
 
 
-def decayed(df: DataFrame, group: list[str], order: list[str], failed: str) -> DataFrame:
+def decayed(df: DataFrame, group: list[str], order: list[str], failed: str, rows_per_range: int | None = None) -> DataFrame:
     """Error rate after each group's rows in order: +1 for a failure, x 0.9 for a success."""
     bad = F.coalesce(F.col(failed), F.lit(False))
-    # A failure counts 0.9 for each success that follows, so no group is gathered.
-    after = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order], F.desc("_f")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select(*group, *order, bad.alias("_f")).withColumn("_n", F.sum((~F.col("_f")).cast("long")).over(after))
-    return rows.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("_f"), F.pow(F.lit(0.9), "_n"))), F.lit(0.0)).alias("error_rate"))
+    rows = scan.running(df.select(*group, *order, bad.alias("_f")), group, order, F.when(F.col("_f"), 1.0).otherwise(0.9), F.when(F.col("_f"), 1.0).otherwise(0.0), rows_per_range=rows_per_range)
+    # Of rows that share a place in the order, failures come last.
+    return rows.groupBy(*group).agg(F.max_by("after", F.struct(*order, "_f")).alias("error_rate"))
 
 
 # Errors.

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators import search, vector_index
+from docloom.operators import lineage, metrics, search, vector_index
 from docloom.queries import NORM, POINTS, SCORE, TOP, hundredth, q, stored_points, t
 from docloom.sinks import folders, keyed, skipping
 from docloom.sources import files
 
+#: Rows of a range where one group holds all: small, so that there are ranges in a small table too.
+HOT_ROWS = 1000
+
 # Indexes for similarity search ----------------------------------------------
 
 
@@ -147,3 +150,33 @@ def flt_skipping_report(spark: SparkSession, sf: str) -> DataFrame:
     one = box.join(document.drop("n_rows"), F.lit(True)).join(absent.drop("n_rows"), F.lit(True))
     # A filter is wrong for about one value in a hundred: an eighth of the files would be too many.
     return one.select("n_rows", (F.col("spatial_box_read") < F.col("spatial_box_files")).alias("box_skips"), (F.col("document_id_read") < F.col("document_id_files")).alias("document_skips"), F.floor(F.col("absent_read") * 8 / F.col("absent_files")).alias("n_absent"))
+
+
+# Deep lineage and hot groups -------------------------------------------------------
+
+
+@q("""WITH RECURSIVE c(start_id, at, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey % 4001 = 0
+        UNION ALL SELECT c.start_id, o_orderkey, depth + 1 FROM c JOIN orders ON o_orderkey = c.at + 1 WHERE depth < 4000)
+      SELECT start_id AS node_id, at AS other_id, depth FROM c WHERE depth > 0""")
+def lin_deep_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as chains of 4,000 steps, each a child of the one before: all descendants of the heads."""
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("child_id"))
+    links = o.where("child_id % 4001 <> 0").select((F.col("child_id") - 1).alias("parent_id"), "child_id")
+    return lineage.closure(links, o.where("child_id % 4001 = 0").select(F.col("child_id").alias("node_id")))
+
+
+@q("""WITH e AS (SELECT event_type = 'error' AS failed, sum((event_type <> 'error')::INT) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS n FROM events)
+      SELECT 'all' AS circuit, round(coalesce(sum(pow(0.9, n)) FILTER (WHERE failed), 0), 6) AS error_rate FROM e""")
+def win_decay_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Error decay of one group that holds all rows, in ranges."""
+    e = t(spark, sf, "events").select(F.lit("all").alias("circuit"), "ts", "event_id", (F.col("event_type") == "error").alias("failed"))
+    return metrics.decayed(e, ["circuit"], ["ts", "event_id"], "failed", rows_per_range=HOT_ROWS).withColumn("error_rate", F.round("error_rate", 6))
+
+
+@q("""WITH w AS (SELECT event_id, avg(value) OVER a AS x, avg(value) OVER b AS y, count(*) OVER c AS n FROM events
+        WINDOW a AS (ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING), b AS (ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), c AS (ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+      SELECT event_id, round(CASE WHEN n = 10 THEN y - x END, 6) AS increase FROM w""")
+def win_leak_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Moving means over one group that holds all rows, in ranges."""
+    e = t(spark, sf, "events").select(F.lit("all").alias("host"), "ts", "event_id", "value")
+    return metrics.leak(e, ["host"], ["ts", "event_id"], "value", rows_per_range=HOT_ROWS).select("event_id", F.round("increase", 6).alias("increase"))
