@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.contains import contains_join
+
 #: Rules that are broadcast.
 BROADCAST_RULES = 10_000
 SEVERITIES = ["critical", "error", "warning", "info"]
@@ -30,8 +32,8 @@ ACCEPTED = {
     "object": ["object"],
 }
 #: Patterns on trimmed, lower-cased values (fixed values).
-PLACEHOLDER = r"^((xxx+|aaa+|bbb+|ccc+)|(test|sample|placeholder|dummy)|n/?a|(tbd|tba))$"
-ERROR_TEXT = r"error|failed|exception|null|undefined|could\s+not\s+extract|unable\s+to\s+process"
+PLACEHOLDERS = [r"^(xxx+|aaa+|bbb+|ccc+)$", r"^(test|sample|placeholder|dummy)$", r"^n/?a$", r"^(tbd|tba)$"]
+ERROR_TEXTS = [r"error|failed|exception|null|undefined", r"could\s+not\s+extract", r"unable\s+to\s+process"]
 DATE_PREFIX = r"^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{2}/\d{2}/\d{2})"
 #: Document rules (fixed values): type, field part, least length, pattern, least and greatest value.
 DOCUMENT_RULES = [
@@ -50,11 +52,11 @@ def stripped(c: Column) -> Column:
 
 
 def is_placeholder(c: Column) -> Column:
-    return F.lower(stripped(c)).rlike(PLACEHOLDER)
+    return F.lower(stripped(c)).rlike("|".join(PLACEHOLDERS))
 
 
 def is_error_text(c: Column) -> Column:
-    return F.lower(c).rlike(ERROR_TEXT)
+    return F.lower(c).rlike("|".join(ERROR_TEXTS))
 
 
 def is_date_like(c: Column) -> Column:
@@ -140,13 +142,14 @@ def rule_issues(fields: DataFrame, rules: DataFrame, document_type: str, key: li
     """Document rules: a rule holds for every field whose lower-cased name contains its part.
 
     No key joins a part to the names that contain it. Rules are broadcast; where there are more
-    than BROADCAST_RULES they are first held against the distinct names of fields.
+    than BROADCAST_RULES the distinct names of fields find theirs by an index of q-grams.
     """
     own, holds = rules.where(F.col("document_type") == document_type.lower()), F.lower("path").contains(F.col("part"))
     if own.count() <= BROADCAST_RULES:
         met = fields.join(F.broadcast(own), holds)
     else:
-        met = fields.join(fields.select("path").distinct().join(own, holds), "path")
+        names = fields.select("path", F.lower("path").alias("_name")).distinct()
+        met = fields.join(contains_join(names, own, "_name", "part").drop("_name").join(own, "part"), "path")
     text, number = F.col("tag") == "string", F.col("tag").isin("int", "float", "bool")
     prefix = F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")"))
     length = F.char_length("str_val")

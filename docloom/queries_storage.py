@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators import lineage, metrics, search, vector_index
+from docloom.operators import contains, lineage, metrics, search, vector_index
 from docloom.queries import NORM, POINTS, SCORE, TOP, hundredth, q, stored_points, t
-from docloom.sinks import folders, keyed, skipping
+from docloom.sinks import folders, footer, keyed, skipping
 from docloom.sources import files
 
 #: Rows of a range where one group holds all: small, so that there are ranges in a small table too.
@@ -155,9 +155,9 @@ def flt_skipping_report(spark: SparkSession, sf: str) -> DataFrame:
 # Deep lineage and hot groups -------------------------------------------------------
 
 
-@q("""WITH RECURSIVE c(start_id, at, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey % 4001 = 0
-        UNION ALL SELECT c.start_id, o_orderkey, depth + 1 FROM c JOIN orders ON o_orderkey = c.at + 1 WHERE depth < 4000)
-      SELECT start_id AS node_id, at AS other_id, depth FROM c WHERE depth > 0""")
+@q("""WITH RECURSIVE c(start_id, node, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey % 4001 = 0
+        UNION ALL SELECT c.start_id, o_orderkey, depth + 1 FROM c JOIN orders ON o_orderkey = c.node + 1 WHERE depth < 4000)
+      SELECT start_id AS node_id, node AS other_id, depth FROM c WHERE depth > 0""")
 def lin_deep_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as chains of 4,000 steps, each a child of the one before: all descendants of the heads."""
     o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("child_id"))
@@ -180,3 +180,35 @@ def win_leak_hot(spark: SparkSession, sf: str) -> DataFrame:
     """Moving means over one group that holds all rows, in ranges."""
     e = t(spark, sf, "events").select(F.lit("all").alias("host"), "ts", "event_id", "value")
     return metrics.leak(e, ["host"], ["ts", "event_id"], "value", rows_per_range=HOT_ROWS).select("event_id", F.round("increase", 6).alias("increase"))
+
+
+# Many parts, exports -----------------------------------------------------------------
+
+
+@q("""WITH parts AS (SELECT p_name || ' ' || CAST(p_partkey * 25 + i AS VARCHAR) AS part, p_partkey * 25 + i AS k FROM part, range(25) r(i)),
+   texts AS (SELECT c_custkey, c_name || ' wants ' || a.part || ' and ' || b.part AS text FROM customer JOIN parts a ON a.k = c_custkey * 37 % 2500 JOIN parts b ON b.k = c_custkey * 11 % 2500 + 100)
+   SELECT c_custkey, part FROM texts JOIN parts ON contains(text, part)""")
+def jn_contains_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts (25 for each, tens of thousands) in texts of customers, by the index of q-grams."""
+    k = (F.col("p_partkey") * 25 + F.col("i")).alias("k")
+    parts = t(spark, sf, "part").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(24)))).select(F.concat_ws(" ", "p_name", k).alias("part"), k)
+    named = lambda n: parts.select(F.col("part").alias(f"part{n}"), F.col("k").alias(f"k{n}"))
+    c = t(spark, sf, "customer").withColumns({"k1": F.col("c_custkey") * 37 % 2500, "k2": F.col("c_custkey") * 11 % 2500 + 100})
+    texts = c.join(named(1), "k1").join(named(2), "k2").select("c_custkey", F.concat(F.col("c_name"), F.lit(" wants "), F.col("part1"), F.lit(" and "), F.col("part2")).alias("text"))
+    return contains.contains_join(texts, parts, "text", "part").select("c_custkey", "part")
+
+
+@q("""SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS price, 'orders' AS title, '1.0' AS version FROM orders""")
+def snk_export_footers(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders exported in chunks, one of them sent twice, and by a stream in micro-batches; rows and footers read back."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    root, pairs = folders.fresh(spark, "export"), {"title": "orders", "version": "1.0"}
+    for n in (0, 1, 1):
+        footer.write_chunk(o.where(f"o_orderkey % 4 = {n}"), f"{root}/out", f"chunk-{n}", pairs)
+    o.where("o_orderkey % 4 > 1").repartition(3).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    footer.write_stream(stream, f"{root}/out", f"{root}/checkpoint", pairs).awaitTermination()
+    rows = footer.exported(spark, f"{root}/out").withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    held = footer.footers(spark, f"{root}/out").groupBy(F.element_at(F.split("file", "/"), -1).alias("file"))
+    value = lambda k: F.max(F.when(F.col("key") == k, F.col("value"))).alias(k)
+    return rows.join(held.agg(value("title"), value("version")), "file").select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("price"), "title", "version")

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators import search, vector_index
-from docloom.sinks import keyed, skipping
+from docloom.operators import contains, search, validate, vector_index
+from docloom.sinks import footer, keyed, skipping
 
 POINTS = "id long, vector array<float>, page string, kind string"
 
@@ -215,3 +215,64 @@ def test_skipping(spark, tmp_path):
         assert r.n_files >= 15 and r.n_read <= 5 and r.n_rows == 2000 and r.n_rows_read <= 700
     empty = skipping.write(df.limit(0), str(tmp_path / "c"))
     assert empty.read({"document_id": "d7"}).count() == 0
+
+
+# Many parts
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_contains_join(spark, monkeypatch, most):
+    monkeypatch.setattr(contains, "BROADCAST_GRAMS", most)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcé \U0001f600%") for _ in range(n))
+    texts = [(k, word(rng.randrange(0, 30))) for k in range(150)] + [(200, None), (201, ""), (202, "ab" * 5000), (150, "abc"), (151, "abc")]
+    parts = [word(rng.randrange(0, 7)) for _ in range(200)] + [None, "", "ab", "ab", "zzz", "abab"]
+    df = contains.contains_join(spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame([(p,) for p in parts], "p string"), "t", "p")
+    want = sorted((k, t, p) for k, t in texts if t is not None for p in {p for p in parts if p is not None} if p in t)
+    assert sorted(tuple(r) for r in df.collect()) == want
+    assert "NestedLoop" not in df._jdf.queryExecution().toString() and "CartesianProduct" not in df._jdf.queryExecution().toString()
+    none = spark.createDataFrame([], "p string")
+    assert contains.contains_join(spark.createDataFrame(texts, "k long, t string"), none, "t", "p").count() == 0
+
+
+def test_many_rules_are_the_same_rules(spark, monkeypatch):
+    fields = spark.createDataFrame([(1, 0, "Invoice_Number_2", "string", "ab", None), (1, 1, "total_x", "int", None, -5.0)], "id long, pos int, path string, tag string, str_val string, num_val double")
+    rules = spark.createDataFrame([("invoice", "invoice_number", 3, None, None, None), ("invoice", "total", None, None, 0.0, 9.0), ("other", "total", None, None, 0.0, 9.0)], "document_type string, part string, min_length int, pattern string, min_value double, max_value double")
+    few = rows(validate.rule_issues(fields, rules, "Invoice", ["id"]))
+    monkeypatch.setattr(validate, "BROADCAST_RULES", 0)
+    assert rows(validate.rule_issues(fields, rules, "Invoice", ["id"])) == few and len(few) == 2
+
+
+# Exports with footers
+
+
+def test_chunks_once_and_aborts(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.range(1000).select("id", F.array(F.lit("x")).alias("list"), F.lit(None).cast("string").alias("nothing"))
+    for _ in range(2):
+        footer.write_chunk(df, path, "a", {"k": "v", "é": 1})
+    footer.write_chunk(df.limit(0), path, "empty")
+    footer.write_chunk(df.withColumn("id", F.col("id") + 1000), path, "b")
+    with pytest.raises(Exception):  # noqa: B017  a task that fails
+        footer.write_chunk(df.withColumn("id", F.when(F.col("id") == 900, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id"))), path, "c")
+    assert sorted(r.id for r in footer.exported(spark, path).select("id").collect()) == list(range(2000))
+    held = footer.manifest(spark, path).collect()
+    assert {r.chunk for r in held} == {"a", "b", "empty"} and sum(r.rows or 0 for r in held) == 2000
+    pairs = {(r.chunk, r.key, r.value) for r in footer.footers(spark, path).collect() if r.key in ("k", "é")}
+    assert pairs == {("a", "k", "v"), ("a", "é", "1")}
+    with pytest.raises(Exception):  # noqa: B017
+        df.write.format(footer.NAME).option("path", path).mode("overwrite").save()
+
+
+def test_a_batch_of_a_stream_is_published_once(tmp_path):
+    """A micro-batch that comes again leaves the first one's files only."""
+    import pyarrow as pa
+
+    w = footer.StreamWriter({"path": str(tmp_path), "metadata": "{}"})
+    first, again = (w.write(iter([pa.RecordBatch.from_pydict({"a": [1, 2]})])) for _ in range(2))
+    w.commit([first, None], 3)
+    w.commit([again], 3)
+    lost = w.write(iter([pa.RecordBatch.from_pydict({"a": [9]})]))
+    w.abort([lost, None], 4)
+    assert len(list((tmp_path / "data").iterdir())) == 1 and len(list((tmp_path / "_manifest").iterdir())) == 1
+    assert w.write(iter([])).files == []
