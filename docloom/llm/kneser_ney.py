@@ -51,6 +51,7 @@ PRIOR = 20
 LEAST = 0.1
 ROOM_BITS = 12
 LEAST_BITS = 32
+STATS_BITS = 40
 BLOCK_WORDS = 2 << 20
 #: N-grams of all texts that a shard is asked for, about.
 SHARD_GRAMS = 1 << 21
@@ -89,7 +90,10 @@ def arrow(schema: str) -> pa.Schema:
 
 
 class Keys:
-    """The space of keys: order by order ``bits`` of a hash, in ``shards`` ranges that begin at ``edges``."""
+    """The space of keys: order by order ``bits`` of a hash, in ``shards`` ranges that begin at ``edges``.
+
+    What is told of languages has a range of its own behind them (in the last shard), which no n-gram falls on.
+    """
 
     def __init__(self, bits: int, shards: int) -> None:
         self.bits = bits
@@ -100,7 +104,9 @@ class Keys:
         return own.astype(np.int64) + ((order - 1) << self.bits)
 
     def stats(self, langs: np.ndarray, order: int) -> np.ndarray:
-        return self.of(mixed(langs, np.full_like(langs, _STATS)), order)
+        """Even keys, one for each language and order."""
+        own = mixed(langs, np.full_like(langs, _STATS)) >> np.uint64(64 - STATS_BITS)
+        return (own.astype(np.int64) << 3) + 2 * order + (ORDER << self.bits)
 
 
 class Grams:

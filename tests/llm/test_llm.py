@@ -151,6 +151,16 @@ def test_kneser_ney_shards_and_blocks_do_not_matter(spark, monkeypatch):
     assert not a[99].kept and sum(a[k].kept for k in range(60)) >= 57
 
 
+def test_statistics_of_languages_meet_no_ngram():
+    """Even in a small space the keys of languages lie outside those of n-grams, and apart from each other."""
+    space = kneser_ney.Keys(16, 7)
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 1 << 18).astype(np.uint64)
+    grams = np.concatenate([space.of(hashes, k) for k in (1, 2, 3)])
+    langs = np.array([kneser_ney.lang_hash(f"l{k}") for k in range(500)], np.uint64)
+    own = np.concatenate([np.concatenate([s, s ^ 1]) for s in (space.stats(langs, k) for k in (1, 2, 3))])
+    assert len(np.unique(own)) == 3000 and own.min() > grams.max()
+
+
 def test_verdicts_follow_perplexity_and_threshold(spark):
     rng = random.Random(45)
     rows = [(k, sentence(rng, rng.choice([1, 4, 30, 200]), ("the", "of", "and")), "en", "a", 1) for k in range(150)]
