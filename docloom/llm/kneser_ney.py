@@ -69,6 +69,7 @@ ASK = f"block long, checksum long, shard long, size long, keys binary, langs bin
 LIGHT = "block long, checksum long, shard long, size long, keys binary"
 ANSWER = "block long, shard long, size long, owned binary, lang long, n1 long, n2 long, n3 long, n4 long, types long, mass long"
 FOUND = f"block long, checksum long, shard long, size long, {', '.join(f'{p} binary' for p in PARTS)}"
+COUNTED = f"shard long, size long, keys binary, {', '.join(f'{p} binary' for p in PARTS)}"
 RESULT = "doc_id long, lang string, n_words long, nll long"
 
 _BEGIN, _END, _STATS = np.uint64(0xB1), np.uint64(0xE2), np.uint64(0x57A7)
@@ -247,7 +248,7 @@ def credited(dealt: DataFrame, answers: DataFrame, order: int, space: Keys) -> D
 
 
 def trained(texts: DataFrame, space: Keys) -> DataFrame:
-    """ASK rows of all orders, and those of the languages' counts of counts, from the texts (lang, text)."""
+    """COUNTED rows, one a shard: the sums of all orders, and the languages' counts of counts, from the texts (lang, text)."""
     dealt = written(blocks(texts.select("lang", "text"), most=BLOCK_WORDS), "trusted")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,17 +285,35 @@ def trained(texts: DataFrame, space: Keys) -> DataFrame:
                 yield asked({"block": -1, "checksum": 0}, space, key ^ 1, 0, {"own": np.array([r["n4"]])})
 
     stats = reduce(DataFrame.unionByName, counts)
-    table = written(stats.mapInArrow(tidy(stat_rows), ASK), "stats")
+    every.append(written(stats.mapInArrow(tidy(stat_rows), ASK), "stats"))
     for x in spent:
         dropped(x)
-    return reduce(DataFrame.unionByName, [*every, table])
+    counts = written(totalled(reduce(DataFrame.unionByName, every)), "counts")
+    for x in every:
+        dropped(x)
+    return counts
+
+
+def totalled(asks: DataFrame) -> DataFrame:
+    """COUNTED: each shard's sums once, in order, so that no later reader sums them again."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys, _, sums = summed(rows)
+        row = {"shard": rows[0]["shard"], "size": len(keys), "keys": narrow(np.diff(keys, prepend=0)), **{p: narrow(sums[p]) for p in PARTS}}
+        return pa.Table.from_pylist([row], arrow(COUNTED))
+
+    return asks.select("shard", "size", "keys", *PARTS).groupBy("shard").applyInArrow(run, COUNTED)
 
 
 def lookup(asks: DataFrame, counts: DataFrame) -> DataFrame:
-    """FOUND rows: the sums of ``counts`` for every block's keys; 0 for what was never counted."""
+    """FOUND rows: the sums of ``counts`` (COUNTED) for every block's keys; 0 for what was never counted."""
 
     def run(wanted: pa.Table, known: pa.Table) -> pa.Table:
-        keys, _, sums = summed(known.to_pylist())
+        rows = known.to_pylist()  # one at most
+        size = rows[0]["size"] if rows else 0
+        keys = widened(rows[0]["keys"], size).cumsum() if rows else np.zeros(0, np.int64)
+        sums = {p: widened(rows[0][p], size) for p in PARTS} if rows else {}
         out = {c: [] for c in names(FOUND)}
         for r in wanted.select(["block", "checksum", "shard", "size", "keys"]).to_pylist():
             own = widened(r["keys"], r["size"]).cumsum()
@@ -306,7 +325,6 @@ def lookup(asks: DataFrame, counts: DataFrame) -> DataFrame:
                 out[p].append(narrow(np.where(hit, sums[p][place], 0) if len(keys) else np.zeros(len(own), np.int64)))
         return pa.table([pa.array(out[c], pa.binary() if c in PARTS else pa.int64()) for c in names(FOUND)], names=names(FOUND))
 
-    counts = counts.select("shard", "size", "keys", *PARTS)
     return asks.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(run, FOUND)
 
 
