@@ -57,7 +57,7 @@ BLOCK_WORDS = 2 << 20
 SHARD_GRAMS = 1 << 21
 #: Documents are scored in so many portions, one after the other: what a portion asks for is off
 #: the disk before the next one asks.
-PORTIONS = 5
+PORTIONS = 3
 #: Bytes that a word and the space behind it take at least, on the average of a corpus.
 WORD_BYTES = 4
 
