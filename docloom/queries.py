@@ -222,9 +222,10 @@ def prj_derived_fields(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.floor(F.col("value") * 1000).alias("duration_ms"), F.try_element_at(scores, F.lit("k")).alias("confidence"))
 
 
-@q("""SELECT c_custkey, '{"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}' AS json FROM customer""")
+@q("""SELECT c_custkey, concat_ws(chr(31), c_name, CASE WHEN c_custkey % 3 = 0 THEN '\\N' ELSE c_mktsegment END, CAST(c_custkey AS VARCHAR)) AS canonical FROM customer""")
 def prj_serialise(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "customer").select("c_custkey", F.to_json(F.struct("c_name", "c_mktsegment")).alias("json"))
+    k = F.col("c_custkey")
+    return t(spark, sf, "customer").select(k, shape.canonical_text(F.col("c_name"), F.when(k % 3 != 0, F.col("c_mktsegment")), k).alias("canonical"))
 
 
 @q("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'absent' WHEN doc_id % 3 = 0 THEN lang ELSE 'text' END AS kind FROM documents""")
@@ -236,11 +237,10 @@ def prj_model_output(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.coalesce(F.try_variant_get(v, "$.lang", "string"), F.when(F.try_variant_get(v, "$.extracted_text", "string").isNotNull(), "text"), F.lit("absent")).alias("kind"))
 
 
-@q("""SELECT conv_id, count(*) AS total_pages, string_agg(CASE WHEN text IS NULL THEN '' ELSE role END, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id""")
+@q("""SELECT conv_id, CASE WHEN count(*) = 1 THEN max(role) ELSE '{"pages":["' || string_agg(role, '","' ORDER BY turn, role) || '"],"total_pages":' || count(*) || '}' END AS answer FROM conversations GROUP BY conv_id""")
 def prj_combine_pages(spark: SparkSession, sf: str) -> DataFrame:
-    c = t(spark, sf, "conversations")
-    pages = F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("text").isNull(), "").otherwise(F.col("role")).alias("role"))))
-    return c.groupBy("conv_id").agg(F.count("*").alias("total_pages"), pages.alias("p")).select("conv_id", "total_pages", F.array_join(F.col("p.role"), ",").alias("roles"))
+    c = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("p"))
+    return c.select("conv_id", extract.combined(F.col("p.role")).alias("answer"))
 
 
 @q("""SELECT p_partkey, trim(p_name) AS cleaned, upper(substr(p_brand, 1, 1)) || lower(substr(p_brand, 2)) AS brand FROM part""")
@@ -437,10 +437,12 @@ def jn_spatial_overlap(spark: SparkSession, sf: str) -> DataFrame:
 # Joins --------------------------------------------------------------------
 
 
-@q("""SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'""")
+@q("""SELECT o_orderkey, CASE WHEN c_custkey IS NOT NULL THEN 'C' || o_custkey END AS canonical_processing_id, CASE WHEN c_custkey IS NOT NULL THEN length(c_name) END AS canonical_fields
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'""")
 def jn_optional_context(spark: SparkSession, sf: str) -> DataFrame:
-    c = t(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
-    return t(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
+    side = t(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("C"), "c_custkey").alias("processing_id"), F.char_length("c_name").cast("long").alias("canonical_fields"))
+    own = t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("C"), "o_custkey").alias("canonical_id"))
+    return governance.with_canonical(own, side).drop("canonical_id")
 
 
 @q(f"""WITH {ISSUES} SELECT id, field_path FROM issues WHERE issue_type = 'required_fields'""")
@@ -449,25 +451,30 @@ def jn_missing_required(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("issue_type = 'required_fields'").select("id", "field_path")
 
 
-@q("""SELECT d.doc_id, coalesce(l.quality, 0.5)::DOUBLE AS confidence FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@q("""SELECT d.doc_id, coalesce(l.quality, 0.5)::DOUBLE AS text_confidence, coalesce(l.quality, 0.5)::DOUBLE AS lang_confidence FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def jn_default_confidence(spark: SparkSession, sf: str) -> DataFrame:
     d, label = t(spark, sf, "documents"), t(spark, sf, "labels")
-    return d.join(label, "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("double"), F.lit(0.5)).alias("confidence"))
+    given = F.coalesce(F.col("quality").cast("double"), F.lit(0.5))
+    c = metrics.same_confidence(F.array(F.lit("text"), F.lit("lang")), given)
+    return d.join(label, "doc_id", "left").select("doc_id", F.element_at(c, "text").alias("text_confidence"), F.element_at(c, "lang").alias("lang_confidence"))
 
 
-@q("""SELECT p_partkey, r.part FROM part JOIN (VALUES ('brand#1'), ('brand#2'), ('3')) r(part) ON contains(lower(p_brand), r.part)""")
+@q("""SELECT p_partkey, 'Field too short: ' || length(p_type) || ' chars, minimum ' || r.least AS message FROM part JOIN (VALUES ('brand#1', 7), ('brand#2', 8), ('3', 9)) r(part, least) ON contains(lower(p_brand), r.part) WHERE length(p_type) < r.least""")
 def jn_contains_rule(spark: SparkSession, sf: str) -> DataFrame:
-    rules = spark.createDataFrame([("brand#1",), ("brand#2",), ("3",)], "part string")
-    return t(spark, sf, "part").join(F.broadcast(rules), F.lower("p_brand").contains(F.col("part"))).select("p_partkey", "part")
+    own = [("part", p, n, None, None, None) for p, n in (("brand#1", 7), ("brand#2", 8), ("3", 9))]
+    rules = spark.createDataFrame(own, "document_type string, part string, min_length int, pattern string, min_value double, max_value double")
+    fields = t(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("path"), F.lit("string").alias("tag"), F.col("p_type").alias("str_val"), F.lit(None).cast("double").alias("num_val"))
+    return validate.rule_issues(fields, rules, "part", ["p_partkey"]).select("p_partkey", "message")
 
 
-@q("""WITH a AS (SELECT source, round(avg(n_chars) * CASE WHEN source LIKE '%3' THEN 0.5 ELSE 1 END, 6) AS score FROM documents WHERE doc_id % 2 = 0 GROUP BY source), b AS (SELECT source, round(avg(n_chars), 6) AS score FROM documents WHERE doc_id % 2 = 1 GROUP BY source)
+@q("""WITH h AS (SELECT source, n_chars, md5(CAST(doc_id AS VARCHAR)) < '8' AS now FROM documents),
+      a AS (SELECT source, round(avg(n_chars) * CASE WHEN source LIKE '%3' THEN 0.1 ELSE 1 END, 6) AS score FROM h WHERE now GROUP BY source), b AS (SELECT source, round(avg(n_chars), 6) AS score FROM h WHERE NOT now GROUP BY source)
       SELECT a.source, a.score, b.score AS baseline_score FROM a JOIN b USING (source) WHERE a.score < b.score * 0.9""")
 def jn_score_regressions(spark: SparkSession, sf: str) -> DataFrame:
-    d = t(spark, sf, "documents")
-    of = lambda n, by: d.where(f"doc_id % 2 = {n}").groupBy("source").agg(r6(F.avg("n_chars") * by).alias("score"))
-    halved = F.when(F.col("source").like("%3"), 0.5).otherwise(1.0)  # a drop that must be found
-    return metrics.score_regressions(of(0, halved), of(1, F.lit(1.0)), "source")
+    d = t(spark, sf, "documents").withColumn("now", F.md5(F.col("doc_id").cast("string").cast("binary")) < "8")
+    of = lambda own, by: d.where(own).groupBy("source").agg(r6(F.avg("n_chars") * by).alias("score"))
+    cut = F.when(F.col("source").like("%3"), 0.1).otherwise(1.0)  # a drop that must be found
+    return metrics.score_regressions(of("now", cut), of("not now", F.lit(1.0)), "source")
 
 
 # Validation ---------------------------------------------------------------
@@ -590,10 +597,10 @@ EDGES = """edges AS (
   UNION ALL SELECT 'p_embedding_' || s_suppkey, 'p' || s_suppkey || '_export_parquet' FROM supplier)"""
 
 
-@q(f"""WITH {EDGES} SELECT parent_id AS node_id, count(*) AS n_children FROM edges GROUP BY parent_id""")
+@q(f"""WITH {EDGES} SELECT parent_id AS node_id, child_id FROM edges""")
 def lin_children(spark: SparkSession, sf: str) -> DataFrame:
     nodes, links = graph(spark, sf)
-    return lineage.children(links, nodes).groupBy("node_id").agg(F.count("*").alias("n_children"))
+    return lineage.children(links, nodes)
 
 
 CLOSURE = f"""WITH RECURSIVE {EDGES}, c AS (SELECT parent_id AS node_id, child_id AS other_id, 1 AS depth FROM edges
@@ -829,12 +836,12 @@ def sf_health(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "events").select("event_id", metrics.health(F.when(F.col("event_type") == "error", 0.9).otherwise(0.1), p).alias("health"), metrics.memory_status(p, F.lit(100.0)).alias("memory"))
 
 
-@q("""SELECT event_type, m.name AS metric, count(m.v) AS n, round(avg(m.v), 6)::DOUBLE AS mean, min(m.v) AS low, max(m.v) AS high
+@q("""SELECT event_type, m.name AS metric, count(m.v) AS n, round(sum(m.v) / count(m.v), 6)::DOUBLE AS mean, min(m.v) AS low, max(m.v) AS high
       FROM (SELECT event_type, unnest(['value', 'user']) AS name, unnest([value, user_id::DOUBLE]) AS v FROM events) m GROUP BY event_type, m.name""")
 def agg_per_metric(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events").withColumn("user", F.col("user_id").cast("double"))
     long = e.unpivot(["event_type"], ["value", "user"], "metric", "v")
-    return long.groupBy("event_type", "metric").agg(F.count("v").alias("n"), r6(F.avg("v")).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return long.groupBy("event_type", "metric").agg(F.count("v").alias("n"), r6(metrics.ratio(F.sum("v"), F.count("v"))).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 MESSAGES = ["connection timeout", "HTTP 429", "rate limit exceeded", "Unauthorized", "CUDA oom", "schema mismatch", "setup missing", "strange"]
@@ -997,11 +1004,12 @@ def top_patch_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(p, search.first_patches(p), 10, 0.7).select("query_id", "id", F.round("score", 5).alias("score"))
 
 
-@q(f"""WITH {POINTS} SELECT id, document_id, page_number, patch_x || ',' || patch_y AS patch_coordinates FROM points WHERE id % 100 = 0""")
+@q(TOP.replace(":where", "").replace(":k", "10").replace("SELECT query_id, id, round(score, 5) AS score FROM r WHERE rank <= 10", "SELECT r.query_id, r.id, CAST(rank AS INTEGER) AS rank, document_id, page_number, patch_x || ',' || patch_y AS patch_coordinates FROM r JOIN points USING (id) WHERE rank <= 10"))
 def prj_search_results(spark: SparkSession, sf: str) -> DataFrame:
+    """What the search finds for every hundredth point, with the points' payloads."""
     p = stored_points(spark, sf)
-    found = p.where("id % 100 = 0").select(F.lit(1).alias("query_id"), "id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
-    return search.results(found, p).select("id", "document.document_id", "document.page_number", "spatial.patch_coordinates")
+    found = search.results(search.top_k(p, hundredth(p), 10), p)
+    return found.select("query_id", "id", "rank", "document.document_id", "document.page_number", "spatial.patch_coordinates")
 
 
 # Groups and sets ----------------------------------------------------------
@@ -1163,10 +1171,11 @@ def agg_field_confidences(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "part").select("p_partkey", F.size(c).alias("n_fields"), r6(F.element_at(c, "b")).alias("confidence"), client.alias("client"))
 
 
-@q("""SELECT user_id, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, round(max(value) - min(value), 6) AS spread FROM events GROUP BY user_id""")
+@q("""SELECT user_id, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, round(max(value) - min(value), 6) AS spread FROM events GROUP BY user_id""")
 def agg_memory_history(spark: SparkSession, sf: str) -> DataFrame:
-    v = "value"
-    return t(spark, sf, "events").groupBy("user_id").agg(r6(F.min(v)).alias("low"), r6(F.max(v)).alias("high"), r6(F.avg(v)).alias("mean"), r6(F.max(v) - F.min(v)).alias("spread"))
+    s = metrics.latency_summary(t(spark, sf, "events"), ["user_id"], "value", F.lit(True))
+    low, high = F.col("min_value"), F.col("max_value")
+    return s.select("user_id", F.col("total_operations").alias("n"), r6(low).alias("low"), r6(high).alias("high"), r6(F.col("avg_value")).alias("mean"), r6(high - low).alias("spread"))
 
 
 @q("""SELECT doc_id, array_to_string(list_sort(list_filter(['document_id', 'page_number', 'document_type', 'processing_timestamp'], lambda x: x <> CASE doc_id % 3 WHEN 0 THEN 'document_id' WHEN 1 THEN 'page_number' ELSE '' END)), ',') AS missing FROM documents""")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.operators import contains, lineage, metrics, search, vector_index
-from docloom.queries import NORM, POINTS, SCORE, TOP, hundredth, q, stored_points, t
-from docloom.sinks import folders, footer, keyed, skipping
+from docloom.queries import NORM, POINTS, SCORE, TOP, hundredth, parties, q, stored_points, t
+from docloom.sinks import export, folders, footer, keyed, skipping
 from docloom.sources import files
 
 #: Rows of a range where one group holds all: small, so that there are ranges in a small table too.
@@ -212,3 +212,90 @@ def snk_export_footers(spark: SparkSession, sf: str) -> DataFrame:
     held = footer.footers(spark, f"{root}/out").groupBy(F.element_at(F.split("file", "/"), -1).alias("file"))
     value = lambda k: F.max(F.when(F.col("key") == k, F.col("value"))).alias(k)
     return rows.join(held.agg(value("title"), value("version")), "file").select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("price"), "title", "version")
+
+
+# Sinks, scans and stages, read back ----------------------------------------------------
+
+
+@q("""SELECT o_orderkey, o_orderstatus, f.form FROM orders, (VALUES ('csv'), ('json'), ('parquet')) f(form)""")
+def snk_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written in each format, with nested values as JSON where a format has none."""
+    o, out = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.struct("o_custkey").alias("nested")), None
+    for form in ("csv", "json", "parquet"):
+        path = folders.fresh(spark, form)
+        export.write(o, path, form)
+        back = spark.read.option("header", True).option("escape", '"').format(form).load(path)
+        rows = back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", F.lit(form).alias("form"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@q("""SELECT c_custkey, c_name AS customer_name, DATE '2024-01-15' AS day, '1.0' AS _meta_schema_version FROM customer""")
+def snk_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Many records in a folder for each day."""
+    path = folders.fresh(spark, "records")
+    rows = parties(spark, sf)
+    export.write_batch(rows.withColumn("extraction_data", F.struct(F.col("extraction_data.customer.name").alias("customer_name"))), path)
+    return spark.read.parquet(path).select(F.substring("_meta_processing_id", 2, 20).cast("long").alias("c_custkey"), "customer_name", "day", "_meta_schema_version")
+
+
+@q("""SELECT o_orderkey AS id, round(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END, 2) AS price FROM orders""")
+def snk_stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyed micro-batches of a stream: a third of the orders come again with a new price, newest wins."""
+    o, root = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), folders.fresh(spark, "upserts")
+    for rows in (o, o.where("id % 3 = 0").withColumn("price", F.col("price") * 2)):
+        rows.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(o.schema).parquet(f"{root}/in")
+        export.upsert_stream(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return export.newest(spark.read.parquet(f"{root}/out")).select("id", F.round("price", 2).alias("price"))
+
+
+@q("""SELECT o_orderkey, o_orderstatus FROM orders""")
+def snk_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of orders appended to files."""
+    o, root = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), folders.fresh(spark, "stream")
+    o.repartition(3).write.parquet(f"{root}/in")
+    export.write_stream(spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(o.schema).parquet(f"{root}/out")
+
+
+@q("""SELECT CAST(s_suppkey AS VARCHAR) AS name, octet_length(encode('<html>' || s_name)) AS n_bytes, 'html' AS format FROM supplier""")
+def src_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as files, a folder of them read back with their formats."""
+    path = folders.fresh(spark, "scan")
+    s = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("name"), F.concat(F.lit("<html>"), "s_name").alias("value"))
+    s.repartition("name").write.partitionBy("name").option("lineSep", "\u0000").text(path)
+    found = files.read_files(spark, path, "*.txt")
+    return found.select(F.regexp_extract("path", "name=([0-9]+)", 1).alias("name"), (F.octet_length("content") - 1).alias("n_bytes"), F.coalesce("format", F.lit("html")).alias("format"))
+
+
+@q("""SELECT 'O' || o_orderkey || '_' || stage || '_' || o_orderstatus AS node_id, kind AS node_type, round(CASE WHEN metric THEN o_totalprice / 1000 END, 6) AS seconds, round(CASE WHEN stage = 'storage' THEN 100 / (o_totalprice / 1000) END, 6) AS rate
+      FROM orders, (VALUES ('storage', 'storage', true), ('retrieval', 'vector_retrieval', true), ('extraction', 'extraction', true), ('canonical', 'canonical_format', false), ('shaped', 'shaped_transform', true)) s(stage, kind, metric)""")
+def lin_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the later stages with their times and rates."""
+    o, out = t(spark, sf, "orders"), None
+    for stage in ("storage", "retrieval", "extraction", "canonical", "shaped"):
+        seconds = None if stage == "canonical" else F.col("o_totalprice") / 1000
+        n = lineage.stage_nodes(o, stage, F.concat(F.lit("O"), "o_orderkey"), F.col("o_orderstatus"), F.col("o_orderdate"), None, seconds, F.lit(100) if stage == "storage" else None)
+        out = n if out is None else out.unionByName(n)
+    m = F.col("performance_metrics")
+    clock = F.coalesce(*[F.try_element_at(m, F.lit(x[2])) for x in lineage.STAGES.values() if x[2]])
+    return out.select("node_id", "node_type", F.round(clock, 6).alias("seconds"), F.round(F.try_element_at(m, F.lit("vectors_per_second")), 6).alias("rate"))
+
+
+@q("""SELECT user_id AS node_id, count(*) AS n_recorded, array_to_string(['ingest', 'index'], ',') AS steps, CAST(max(ts) AS VARCHAR) IS NOT NULL AS kept, arg_max(event_id, (ts, event_id)) AS newest FROM events GROUP BY user_id""")
+def lin_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes recorded many times: the newest of each, and a stage's list with one more step."""
+    e = t(spark, sf, "events")
+    last = lineage.latest(e.select(F.col("user_id").alias("node_id"), F.struct("ts", "event_id").alias("timestamp")))
+    n = e.groupBy(F.col("user_id").alias("node_id")).agg(F.count("*").alias("n_recorded"))
+    steps = F.array_join(lineage.add_step(F.array(F.lit("ingest")), F.lit("index")), ",")
+    return n.join(last, "node_id").select("node_id", "n_recorded", steps.alias("steps"), F.col("timestamp.ts").isNotNull().alias("kept"), F.col("timestamp.event_id").alias("newest"))
+
+
+@q("""SELECT event_id, s.strategy AS applied, s.strategy IN ('model_fallback', 'data_correction', 'partial_processing') AS success, 'lost ' || event_id AS message FROM events JOIN (VALUES (0, 'graceful_degradation'), (1, 'model_fallback'), (2, 'data_correction'), (3, 'partial_processing'), (4, 'default')) s(k, strategy) ON event_id % 5 = k""")
+def str_degradation(spark: SparkSession, sf: str) -> DataFrame:
+    """What stands in for a failed result, by strategy."""
+    names = F.array(*[F.lit(x) for x in ("graceful_degradation", "model_fallback", "data_correction", "partial_processing", "no_retry")])
+    d = metrics.degradation(F.get(names, (F.col("event_id") % 5).cast("int")), F.concat(F.lit("lost "), "event_id"))
+    return t(spark, sf, "events").select("event_id", d["degradation_applied"].alias("applied"), d["success"].alias("success"), d["error_message"].alias("message"))
