@@ -322,7 +322,7 @@ def lookup(asks: DataFrame, counts: DataFrame) -> DataFrame:
             for c in ("block", "checksum", "shard", "size"):
                 out[c].append(r[c])
             for p in PARTS:
-                out[p].append(narrow(np.where(hit, sums[p][place], 0) if len(keys) else np.zeros(len(own), np.int64)))
+                out[p].append(narrow(np.where(hit, sums[p][place], 0) if len(keys) else np.zeros(len(own), np.int64), 1))  # read once, soon
         return pa.table([pa.array(out[c], pa.binary() if c in PARTS else pa.int64()) for c in names(FOUND)], names=names(FOUND))
 
     return asks.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(run, FOUND)
