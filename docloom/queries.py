@@ -1205,4 +1205,4 @@ def src_image_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "d.width", "d.height")
 
 
-from docloom import queries_storage  # noqa: E402, F401  registers its queries
+from docloom import queries_images, queries_storage  # noqa: E402, F401  register their queries
