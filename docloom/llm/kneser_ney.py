@@ -90,6 +90,27 @@ def arrow(schema: str) -> pa.Schema:
     return pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in schema.split(", ")])
 
 
+def ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``numbered``, for codes from 0: code and place share one number where 63 bits hold both, and that is sorted by itself."""
+    n = len(code)
+    shift = n.bit_length()
+    if not n or int(code.max()) >> (63 - shift):
+        return numbered(code)
+    packed = code.astype(np.int64) << shift
+    packed |= np.arange(n, dtype=np.int32)
+    packed.sort()
+    number, fresh, base, step = np.empty(n, np.int32), np.empty(n, bool), -1, 1 << 18
+    fresh[0] = True
+    for a in range(0, n, step):
+        part = packed[max(0, a - 1) : a + step] >> shift
+        fresh[max(1, a) : a + step] = part[1:] != part[:-1]
+        up = fresh[a : a + step].cumsum(dtype=np.int32)
+        number[packed[a : a + step] & ((1 << shift) - 1)] = up + base
+        base += int(up[-1])
+    packed >>= shift
+    return packed[fresh], number
+
+
 class Keys:
     """The space of keys: order by order ``bits`` of a hash, in ``shards`` ranges that begin at ``edges``.
 
@@ -135,16 +156,16 @@ class Grams:
         seq[word] = block.ids
         del word
         seq += np.repeat(number[some] * width, size + 3)
-        tokens, seq = numbered(seq)
+        tokens, seq = ranked(seq)
         hashes = np.concatenate([block.hashes, np.array([_BEGIN, _END], np.uint64)])
         token_hash = mixed(self.langs[tokens // width], hashes[tokens % width])
         begins = tokens % width == len(block.hashes)
         # Pairs that end at each place but a text's first, then triples at each place but its first two.
         inner = np.flatnonzero(~first)
-        pairs, pair_at = numbered(seq[inner - 1].astype(np.int64) * len(tokens) + seq[inner])
+        pairs, pair_at = ranked(seq[inner - 1].astype(np.int64) * len(tokens) + seq[inner])
         pair_hash = mixed(token_hash[pairs // len(tokens)], token_hash[pairs % len(tokens)]) if len(pairs) else np.zeros(0, np.uint64)
         scored = np.flatnonzero(~first[inner - 1])
-        triples, self.at = numbered(pair_at[scored - 1].astype(np.int64) * len(pairs) + pair_at[scored])
+        triples, self.at = ranked(pair_at[scored - 1].astype(np.int64) * len(pairs) + pair_at[scored])
         three = (triples // max(1, len(pairs))).astype(np.int32), (triples % max(1, len(pairs))).astype(np.int32)
         two = (pairs // max(1, len(tokens))).astype(np.int32), (pairs % max(1, len(tokens))).astype(np.int32)
         triple_hash = mixed(pair_hash[three[0]], token_hash[two[1][three[1]]])
@@ -161,7 +182,7 @@ class Grams:
 
 def asked(row: dict, space: Keys, keys: np.ndarray, langs: np.ndarray, parts: dict[str, np.ndarray]) -> pa.RecordBatch:
     """ASK rows of a block: its keys by shard in order, with the sums of ``parts`` over equal keys."""
-    keys, at = numbered(keys)
+    keys, at = ranked(keys)
     n = len(keys)
     sums = [np.bincount(at, weights=parts[p], minlength=n).astype(np.int64) if p in parts else np.zeros(n, np.int64) for p in PARTS]
     own = np.zeros(n, np.int64)
@@ -186,7 +207,7 @@ def firsts(at: np.ndarray, n: int) -> np.ndarray:
 def summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Distinct keys of a shard's ASK rows, the number of each row's keys among them, and the sums."""
     keys = [widened(r["keys"], r["size"]).cumsum() for r in rows]
-    keys, at = numbered(np.concatenate([np.zeros(0, np.int64), *keys]))
+    keys, at = ranked(np.concatenate([np.zeros(0, np.int64), *keys]))
     sums = {}
     for p in PARTS:
         own = np.concatenate([np.zeros(0, np.int64), *(widened(r[p], r["size"]) for r in rows)])
@@ -226,7 +247,7 @@ def credited(dealt: DataFrame, answers: DataFrame, order: int, space: Keys) -> D
         out = [pa.RecordBatch.from_pylist([], arrow(ASK))]
         for row in packed.to_pylist():
             grams = Grams(Block(row), space)
-            keys, at = numbered(grams.keys[order])
+            keys, at = ranked(grams.keys[order])
             parts = sorted(zip(*(mine.column(c).to_pylist() for c in ("shard", "size", "owned"))))
             held = np.concatenate([np.zeros(0, np.int64), *(widened(x, n) for _, n, x in parts)])
             if len(held) != len(keys):
@@ -339,9 +360,15 @@ def wanted(grams: Grams, space: Keys) -> tuple[np.ndarray, list[np.ndarray]]:
     """Keys that a block needs, in order, and where the parts stand among them: those of the n-grams
     of the orders 1 to ORDER, of the languages' counts by order, and of what occurs four times by order."""
     stats = [space.stats(grams.langs, k) for k in (1, 2, 3)]
-    parts = [*(grams.keys[k] for k in (1, 2, 3)), *stats, *(x ^ 1 for x in stats)]
-    keys, at = numbered(np.concatenate(parts))
-    return keys, np.split(at, np.cumsum([len(x) for x in parts])[:-1])
+    stats = [*stats, *(x ^ 1 for x in stats)]
+    # Orders have ranges of their own, one behind the other, and the languages' counts come last.
+    keys, at, base = [], [], 0
+    for part in (*(grams.keys[k] for k in (1, 2, 3)), np.concatenate(stats)):
+        own, places = ranked(part)
+        keys.append(own)
+        at.append(places.astype(np.int64) + base)
+        base += len(own)
+    return np.concatenate(keys), [*at[:3], *np.split(at[3], np.cumsum([len(x) for x in stats])[:-1])]
 
 
 def log_probabilities(grams: Grams, sums: dict[str, np.ndarray], at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
