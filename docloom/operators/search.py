@@ -1,18 +1,30 @@
 """Vector search over points: exact cosine top-k, multi-vector scores, filters and storage.
 
 Points are a table with ``id`` and ``vector`` (any dimension) and payload columns. Queries
-are a table too; the smaller side is broadcast only while it is within BROADCAST_QUERIES,
-beyond it queries are worked through in blocks of that size. A top-k keeps k rows for
+are a table too. Both are put in rows of many vectors, which are multiplied as matrices; the
+queries are broadcast only while they are within BROADCAST_QUERIES. A top-k keeps k rows for
 each query and task before anything is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query vectors that are broadcast at once.
-BROADCAST_QUERIES = 2048
+BROADCAST_QUERIES = 16_384
+#: Points and queries of a row.
+CHUNK, BLOCK = 2048, 512
+#: Bytes that go to a Python worker at once.
+BATCH_BYTES = 1 << 24
+#: What scores of single precision may be wrong by.
+SLACK = 1e-5
 #: Pixels of a patch (fixed value).
 PATCH = 32
 REQUIRED_PAYLOAD = ["document_id", "page_number", "document_type", "processing_timestamp"]
@@ -56,26 +68,178 @@ def payload_filter(conditions: dict) -> Column:
     return out & (F.col("processing_timestamp") > after) if after is not None else out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most BATCH_BYTES, about, go to a Python worker at once: rows are whole chunks here. The setting stays, as plans run later."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    if not held.lstrip("-").isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def in_chunks(rows: DataFrame, entry: list[str], size: int, name: str, by: list[str] = ()) -> DataFrame:
+    """(by..., name, entries): about ``size`` rows of one group put in one row, dealt to tasks by a hash of the whole entry."""
+    spark = rows.sparkSession
+    if by:
+        n = rows.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_n", F.ceil(F.col("_n") / size))
+        total = n.agg(F.sum("_n")).first()[0] or 1
+        rows, parts = rows.join(F.broadcast(n), by), F.col("_n")
+    else:
+        total = -(-rows.count() // size) or 1
+        parts = F.lit(total)
+    dealt = rows.select(*by, F.struct(*entry).alias("_e"), F.pmod(F.xxhash64(*entry), parts).alias(name))
+    # A number of partitions that is asked for stays as it is: small tables, much work.
+    dealt = dealt.repartition(max(1, min(total, 4 * spark.sparkContext.defaultParallelism)), *by, name)
+    return dealt.groupBy(*by, name).agg(F.collect_list("_e").alias("entries"))
+
+
+def numbers(df: DataFrame, column: str) -> Column:
+    """A vector column as floats or doubles."""
+    kind = df.schema[column].dataType.elementType.simpleString()
+    return F.col(column) if kind in ("float", "double") else F.col(column).cast("array<double>")
+
+
+class Vectors:
+    """Vectors of one dimension that have a direction: their places in the row, doubles, norms as ``norm`` has them, and directions in single precision."""
+
+    def __init__(self, at: np.ndarray, x: np.ndarray) -> None:
+        with np.errstate(all="ignore"):
+            total = np.zeros(len(x))
+            for j in range(x.shape[1]):
+                total += x[:, j] * x[:, j]
+            kept = ~(np.sqrt(total) <= 0)
+            self.at, self.norm = at[kept], np.sqrt(total)[kept]
+            self.columns = np.ascontiguousarray(x[kept].T)
+            # What has no finite length is never ruled out, only scored.
+            self.unit = np.where(np.isfinite(self.norm)[:, None], x[kept] / self.norm[:, None], np.nan).astype(np.float32)
+
+    def taken(self, which: np.ndarray) -> Vectors:
+        out = object.__new__(Vectors)
+        out.at, out.norm, out.columns, out.unit = self.at[which], self.norm[which], np.ascontiguousarray(self.columns[:, which]), self.unit[which]
+        return out
+
+    def first_copies(self, k: int) -> Vectors:
+        """Without those that k equal ones come before."""
+        rows = np.ascontiguousarray(self.columns.T)
+        _, same = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+        order = np.argsort(same, kind="stable")
+        starts = np.r_[0, np.flatnonzero(np.diff(same[order])) + 1]
+        place = np.empty(len(same), np.int64)
+        place[order] = np.arange(len(same)) - np.repeat(starts, np.diff(np.r_[starts, len(same)]))
+        return self if (place < k).all() else self.taken(np.flatnonzero(place < k))
+
+    def cosines(self, which: np.ndarray, other: Vectors, others: np.ndarray) -> np.ndarray:
+        """Those of ``cosine``, added in its order; NaN where it is null, too."""
+        total = np.zeros(len(which))
+        with np.errstate(all="ignore"):
+            for a, b in zip(self.columns, other.columns):
+                total += a[which] * b[others]
+            return total / (self.norm[which] * other.norm[others])
+
+
+def vectors_of(column: pa.Array) -> dict[int, Vectors]:
+    """The vectors of a list column by dimension; those with a null in them are left out."""
+    flat, sizes = column.flatten(), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    x, ends, usable = flat.to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(sizes), sizes > 0
+    if flat.null_count:
+        usable &= ~np.isin(np.arange(len(sizes)), np.repeat(np.arange(len(sizes)), sizes)[flat.is_null().to_numpy(zero_copy_only=False)])
+    out = {}
+    for dim in np.unique(sizes[usable]).tolist():
+        at = np.flatnonzero(usable & (sizes == dim))
+        out[dim] = Vectors(at, x[(ends[at] - dim)[:, None] + np.arange(dim)])
+    return out
+
+
+class Best:
+    """Scores of the k best of each query of a block among the points that a task has met."""
+
+    def __init__(self, n: int, k: int, threshold: float) -> None:
+        self.k, self.top, self.least, self.new = k, np.full((n, k), -np.inf), np.full(n, threshold), True
+
+    def better(self, near: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) of those that may be among the k best, by rounded scores; NaN counts as the greatest, as in SQL."""
+        bound = np.maximum(self.least, self.top[:, 0]) - slack
+        if self.new and near.shape[1] > self.k:
+            bound = np.fmax(bound, np.partition(near, near.shape[1] - self.k, axis=1)[:, near.shape[1] - self.k] - 2 * slack)
+        self.new = False
+        return np.nonzero(~(near < bound[:, None].astype(np.float32)))
+
+    def put(self, query: np.ndarray, point: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Places of those that are among the k best now; of equal scores the first points."""
+        value = np.where(np.isnan(score), np.inf, score)
+        fit = np.flatnonzero(value >= np.maximum(self.least, self.top[:, 0])[query])
+        order = fit[np.lexsort((point[fit], -value[fit], query[fit]))]
+        of = query[order]
+        starts = np.searchsorted(of, of)
+        rank = np.arange(len(of)) - starts
+        order, of, rank = order[rank < self.k], of[rank < self.k], rank[rank < self.k]
+        some = np.full(self.top.shape, -np.inf)
+        some[of, rank] = value[order]
+        self.top = np.sort(np.concatenate([self.top, some], axis=1), axis=1)[:, -self.k :]
+        return order[value[order] >= self.top[of, 0]]
+
+
+def together(chunks: DataFrame, blocks: DataFrame, n_queries: int) -> DataFrame:
+    """Every chunk of points beside every block of queries; these are broadcast if they are few, else both are dealt."""
+    small_batches(chunks.sparkSession)
+    return chunks.crossJoin(F.broadcast(blocks) if n_queries <= BROADCAST_QUERIES else blocks)
+
+
 def top_k(points: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, where: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k most similar points of each query, ties by id.
 
-    ``queries`` is (query_id, query_vector). Every point meets every query, in blocks of
-    queries; only the best k of each query leave a task's partial sort.
+    ``queries`` is (query_id, query_vector). Every chunk of points meets every block of queries as a product of
+    matrices in single precision; what that doesn't rule out is scored in doubles, and only what is among the best k
+    of its query so far leaves a task.
     """
     if where is not None:
         points = points.where(where)
-    base = points.select("id", F.col("vector").alias("_v"), norm(F.col("vector")).alias("_n")).where("_n > 0")
-    asked = queries.select("query_id", F.col("query_vector").alias("_q"), norm(F.col("query_vector")).alias("_m")).where("_m > 0")
-    n = asked.count()
-    blocks = -(-n // BROADCAST_QUERIES) or 1
-    out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        met = base.join(F.broadcast(part.withColumn("_b", F.lit(1))), F.lit(True)) if blocks > 1 else base.join(F.broadcast(part), F.lit(True))
-        scored = met.select("query_id", "id", F.try_divide(dot(F.col("_v"), F.col("_q")), F.col("_n") * F.col("_m")).alias("score")).where(F.col("score") >= threshold)
-        best = ranked(scored, ["query_id"], k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    base = points.select("id", numbers(points, "vector").alias("vector")).where("vector IS NOT NULL")
+    asked = queries.select("query_id", numbers(queries, "query_vector").alias("query_vector")).where("query_vector IS NOT NULL")
+    blocks = in_chunks(asked, ["query_id", "query_vector"], BLOCK, "block").withColumnRenamed("entries", "asked")
+    met = together(in_chunks(base, ["id", "vector"], CHUNK, "chunk"), blocks, asked.count())
+    return ranked(best_pairs(met, k, threshold), ["query_id"], k)
+
+
+def best_pairs(met: DataFrame, k: int, threshold: float, extra=None) -> DataFrame:
+    """(query_id, id, score) of rows (chunk, entries, block, asked): those that are among a query's best k in their task.
+
+    ``extra(row, asked, queries)`` may give the least score for each query that is worth looking at, infinite where none is.
+    """
+    kinds = {"query_id": met.schema["asked"].dataType.elementType["query_id"].dataType, "id": met.schema["entries"].dataType.elementType["id"].dataType}
+    schema = T.StructType([T.StructField(c, kind) for c, kind in kinds.items()]).add("score", "double")
+    marks = [c for c in met.columns if c not in ("entries", "asked", "block")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Best] = {}
+        at = ids = points = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                mark = {c: batch.column(c)[row].as_py() for c in marks}
+                if mark != at:
+                    entries = batch.column("entries")[row].values
+                    order = pc.array_sort_indices(entries.field("id"), null_placement="at_start")
+                    at, ids = mark, entries.field("id").take(order)
+                    points = {d: v.first_copies(k) for d, v in vectors_of(entries.field("vector").take(order)).items()}
+                asked, block = batch.column("asked")[row].values, batch.column("block")[row].as_py()
+                for dim, q in vectors_of(asked.field("query_vector")).items():
+                    if dim not in points or not len(q.at) or not len(points[dim].at):
+                        continue
+                    p = points[dim]
+                    best = held.setdefault((block, dim), Best(len(q.at), k, threshold))
+                    near = q.unit @ p.unit.T
+                    if extra is not None:
+                        near[near < (extra(mark, asked, q) - SLACK)[:, None]] = -np.inf
+                    query, point = best.better(near, SLACK)
+                    score = p.cosines(point, q, query)
+                    with np.errstate(all="ignore"):  # a quotient by zero is null
+                        real = p.norm[point] * q.norm[query] != 0
+                    query, point, score = query[real], point[real], score[real]
+                    kept = best.put(query, point, score)
+                    if len(kept):
+                        names = asked.field("query_id").take(pa.array(q.at[query[kept]]))
+                        yield pa.RecordBatch.from_arrays([names, ids.take(pa.array(p.at[point[kept]])), pa.array(score[kept])], names=["query_id", "id", "score"])
+
+    return met.mapInArrow(run, schema)
 
 
 def ranked(scored: DataFrame, by: list[str], k: int) -> DataFrame:

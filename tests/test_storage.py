@@ -276,3 +276,29 @@ def test_a_batch_of_a_stream_is_published_once(tmp_path):
     w.abort([lost, None], 4)
     assert len(list((tmp_path / "data").iterdir())) == 1 and len(list((tmp_path / "_manifest").iterdir())) == 1
     assert w.write(iter([])).files == []
+
+
+def test_scan_in_blocks(spark, monkeypatch):
+    """Blocks of any size, broadcast or dealt, give what plain sums of doubles give; the scan is a product of matrices, not a loop in each row."""
+    points = points_of(spark, 700).unionByName(spark.createDataFrame([(5000, [1.0, None] * 6, "p", "a"), (5001, [1e-30] * 12, "p", "a")], POINTS))
+    asked = asked_of(points.where("id < 700 OR id > 4000").withColumn("id", F.when(F.col("id") > 4000, F.col("id") * 100).otherwise(F.col("id"))))
+    rows, wanted = [r for r in points.collect() if r.vector], []
+    for q in asked.collect():
+        scored = []
+        for p in rows:
+            if q.query_vector is None or None in q.query_vector + p.vector or len(p.vector) != len(q.query_vector) or not any(p.vector):
+                continue
+            dot = n = m = 0.0
+            for a, b in zip(p.vector, q.query_vector):
+                dot, n, m = dot + a * b, n + a * a, m + b * b
+            s = dot / (n**0.5 * m**0.5)
+            if not s < 0.5:
+                scored.append((-float("inf") if s != s else -s, p.id is not None, p.id or 0))
+        wanted += [(q.query_id, i if known else None) for _, known, i in sorted(scored)[:7]]
+    for broadcast, chunk, block in ((16_384, 2048, 512), (0, 100, 3)):
+        monkeypatch.setattr(search, "BROADCAST_QUERIES", broadcast)
+        monkeypatch.setattr(search, "CHUNK", chunk)
+        monkeypatch.setattr(search, "BLOCK", block)
+        found = search.top_k(points, asked, 7, 0.5)
+        assert "zip_with" not in found._jdf.queryExecution().toString()
+        assert sorted(((r.query_id, r.id) for r in found.collect()), key=str) == sorted(wanted, key=str)
