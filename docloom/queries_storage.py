@@ -194,7 +194,8 @@ def jn_contains_many(spark: SparkSession, sf: str) -> DataFrame:
     parts = t(spark, sf, "part").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(24)))).select(F.concat_ws(" ", "p_name", k).alias("part"), k)
     named = lambda n: parts.select(F.col("part").alias(f"part{n}"), F.col("k").alias(f"k{n}"))
     c = t(spark, sf, "customer").withColumns({"k1": F.col("c_custkey") * 37 % 2500, "k2": F.col("c_custkey") * 11 % 2500 + 100})
-    texts = c.join(named(1), "k1").join(named(2), "k2").select("c_custkey", F.concat(F.col("c_name"), F.lit(" wants "), F.col("part1"), F.lit(" and "), F.col("part2")).alias("text"))
+    # Spark takes the 25 names of each part for one row, and would broadcast them all.
+    texts = c.join(named(1).hint("merge"), "k1").join(named(2).hint("merge"), "k2").select("c_custkey", F.concat(F.col("c_name"), F.lit(" wants "), F.col("part1"), F.lit(" and "), F.col("part2")).alias("text"))
     return contains.contains_join(texts, parts, "text", "part").select("c_custkey", "part")
 
 
