@@ -203,7 +203,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, threshold: float =
 def best_pairs(met: DataFrame, k: int, threshold: float, extra=None) -> DataFrame:
     """(query_id, id, score) of rows (chunk, entries, block, asked): those that are among a query's best k in their task.
 
-    ``extra(row, asked, queries)`` may give the least score for each query that is worth looking at, infinite where none is.
+    ``extra(row, block, asked, queries)`` may give the least score for each query that is worth looking at, infinite where none is.
     """
     kinds = {"query_id": met.schema["asked"].dataType.elementType["query_id"].dataType, "id": met.schema["entries"].dataType.elementType["id"].dataType}
     schema = T.StructType([T.StructField(c, kind) for c, kind in kinds.items()]).add("score", "double")
@@ -228,8 +228,14 @@ def best_pairs(met: DataFrame, k: int, threshold: float, extra=None) -> DataFram
                     best = held.setdefault((block, dim), Best(len(q.at), k, threshold))
                     near = q.unit @ p.unit.T
                     if extra is not None:
-                        near[near < (extra(mark, asked, q) - SLACK)[:, None]] = -np.inf
+                        least = extra(mark, block, asked, q)
+                        near[near < (least - SLACK)[:, None]] = -np.inf
+                        if not (near > -np.inf).any():
+                            continue
                     query, point = best.better(near, SLACK)
+                    if extra is not None:
+                        inside = near[query, point] != -np.inf
+                        query, point = query[inside], point[inside]
                     score = p.cosines(point, q, query)
                     with np.errstate(all="ignore"):  # a quotient by zero is null
                         real = p.norm[point] * q.norm[query] != 0

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from docloom.operators import search
 from docloom.operators.search import cosine, norm, ranked
 from docloom.sinks import folders
 
@@ -46,6 +47,8 @@ SAMPLE, CODED = 20_000, 8192
 CELLS, CHUNK = 4096, 4096
 #: Queries that meet a row of the lists at once.
 BLOCK = 256
+#: Cells that give an exact search a score to beat.
+FIRST = 4
 #: Share of the ten nearest neighbours within the sample that the probed cells must hold.
 REACHED = 0.97
 #: What exact scores may differ by from those of single precision.
@@ -301,20 +304,48 @@ class Index:
         """The same among points whose payload fits: the filter and the cells reach the scan, what is left is scored exactly."""
         if self.model is None:
             return _nothing(queries)
-        fit = self.table("vectors").where(where).select("cell", "id", "vector")
-        met = fit.join(self.probes(queries, probes), "cell")
-        return ranked(met.select("query_id", "id", cosine(F.col("vector"), F.col("query_vector")).alias("score")).where(F.col("score") >= threshold), ["query_id"], k)
+        most, cells = min(probes or self.model.probes, len(self.model.centroids)), self.probes(queries, probes).select("cell").distinct()
+        fit = self.table("vectors").where(where).join(F.broadcast(cells), "cell", "left_semi")  # at most CELLS rows
+
+        def least(near: np.ndarray, radii: np.ndarray, cell: int, beat: np.ndarray) -> np.ndarray:
+            return np.where((near > near[:, [cell]]).sum(1) < most, -np.inf, np.inf)
+
+        return self._scanned(fit, self.asked(queries).withColumn("beat", F.lit(threshold)), k, threshold, least)
 
     def search_exact(self, queries: DataFrame, k: int = 10, where: Column | None = None, threshold: float = 0.0) -> DataFrame:
         """What a scan of all points gives: every cell that can hold one of the k nearest is scored."""
         if self.model is None:
             return _nothing(queries)
-        first = self.search(queries, k, threshold=threshold) if where is None else self.search_where(queries, where, k, threshold=threshold)
+        first = self.search_where(queries, F.lit(True) if where is None else where, k, FIRST, threshold)
         beat = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(threshold).alias("beat"))
-        open_cells = self.probes(queries.join(beat, "query_id", "left").withColumn("beat", F.coalesce("beat", F.lit(threshold))), beat="beat")
+        asked = self.asked(queries).join(beat, "query_id", "left").withColumn("beat", F.coalesce("beat", F.lit(threshold)).cast("double"))
         rows = self.table("vectors")
-        met = (rows if where is None else rows.where(where)).select("cell", "id", "vector").join(open_cells, "cell")
-        return ranked(met.select("query_id", "id", cosine(F.col("vector"), F.col("query_vector")).alias("score")).where(F.col("score") >= threshold), ["query_id"], k)
+
+        def least(near: np.ndarray, radii: np.ndarray, cell: int, beat: np.ndarray) -> np.ndarray:
+            bound = np.cos(np.maximum(0, np.arccos(np.clip(near[:, cell], -1, 1)) - radii[cell])) + SLACK
+            return np.where(bound >= beat, beat, np.inf)
+
+        return self._scanned(rows if where is None else rows.where(where), asked, k, threshold, least)
+
+    def _scanned(self, rows: DataFrame, asked: DataFrame, k: int, threshold: float, least) -> DataFrame:
+        """(query_id, id, score, rank): queries (query_id, query_vector, beat) against the cells' points, in chunks and blocks.
+
+        ``least`` gives the score that is worth looking at in a cell, infinite where the query leaves the cell out.
+        """
+        shared, held = self._shared, {}
+
+        def extra(mark: dict, block: int, entries: pa.StructArray, q: search.Vectors) -> np.ndarray:
+            if "model" not in held:
+                held["model"] = Model.unpacked(shared.value)
+            if held.get("block") != block:
+                held["block"], held["near"] = block, q.unit @ held["model"].centroids.T
+            return least(held["near"], held["model"].radii, mark["cell"], entries.field("beat").to_numpy(zero_copy_only=False)[q.at])
+
+        names = asked.select("query_id", search.numbers(asked, "query_vector").alias("query_vector"), "beat")
+        blocks = search.in_chunks(names, ["query_id", "query_vector", "beat"], search.BLOCK, "block").withColumnRenamed("entries", "asked")
+        points = rows.select("cell", "id", search.numbers(rows, "vector").alias("vector"))
+        met = search.together(search.in_chunks(points, ["id", "vector"], search.CHUNK, "chunk", ["cell"]), blocks, names.count())
+        return ranked(search.best_pairs(met, k, threshold, extra), ["query_id"], k)
 
     # Late interaction.
 

@@ -66,6 +66,12 @@ def test_index_with_a_filter(spark, tmp_path):
     assert len(pairs(index.search_where(asked_of(good(points)), where, 7)) & want) >= 0.9 * len(want)
 
 
+def test_exact_search_multiplies_matrices(spark, tmp_path):
+    index = vector_index.build(points_of(spark, 300), str(tmp_path / "i"))
+    for where in (None, F.col("kind") == "b"):
+        assert "zip_with" not in index.search_exact(asked_of(good(points_of(spark, 300))), 5, where)._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("chunk", [4096, 8])
 def test_late_search(spark, tmp_path, monkeypatch, chunk):
     """Pages in one row or in several; queries of one to four vectors."""
@@ -235,6 +241,14 @@ def test_contains_join(spark, monkeypatch, most):
     assert contains.contains_join(spark.createDataFrame(texts, "k long, t string"), none, "t", "p").count() == 0
 
 
+def test_no_names_are_broadcast(spark, monkeypatch):
+    """Spark takes the names made of a part for one row; they must be shuffled however small it thinks they are."""
+    from docloom.queries_storage import jn_contains_many
+
+    monkeypatch.setattr(contains, "BROADCAST_GRAMS", 0)
+    assert "BroadcastExchange" not in jn_contains_many(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_many_rules_are_the_same_rules(spark, monkeypatch):
     fields = spark.createDataFrame([(1, 0, "Invoice_Number_2", "string", "ab", None), (1, 1, "total_x", "int", None, -5.0)], "id long, pos int, path string, tag string, str_val string, num_val double")
     rules = spark.createDataFrame([("invoice", "invoice_number", 3, None, None, None), ("invoice", "total", None, None, 0.0, 9.0), ("other", "total", None, None, 0.0, 9.0)], "document_type string, part string, min_length int, pattern string, min_value double, max_value double")
