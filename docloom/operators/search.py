@@ -23,6 +23,8 @@ BROADCAST_QUERIES = 16_384
 CHUNK, BLOCK = 2048, 512
 #: Bytes that go to a Python worker at once.
 BATCH_BYTES = 1 << 24
+#: Pairs of rectangles of one slice of a bin, and most tasks for them.
+PAIRS, TASKS = 20_000_000, 4000
 #: What scores of single precision may be wrong by.
 SLACK = 1e-5
 #: Pixels of a patch (fixed value).
@@ -358,9 +360,17 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = 64, how: lis
     """Pairs of overlapping rectangles of two tables, columns ``a*`` and ``b*``, keys in ``how``.
 
     Both sides are cut into bins along x, so it is an equi-join; a pair is reported in the
-    bin where it begins only.
+    bin where it begins only. The left rows of a bin with many pairs are dealt to as many slices
+    as hold PAIRS each, about, beside which its right rows are repeated: no task has a bin of many pairs.
     """
     bins = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}x") / bin_size), F.floor((F.col(f"{c}x") + F.greatest(F.col(f"{c}w"), F.lit(1)) - 1) / bin_size)))
-    a, b = left.withColumn("_bin", bins("a")), right.withColumn("_bin", bins("b"))
+    a, b, keys = left.withColumn("_bin", bins("a")), right.withColumn("_bin", bins("b")), ["_bin", *how]
+    n = a.groupBy(*keys).agg(F.count("*").alias("_na")).join(b.groupBy(*keys).agg(F.count("*").alias("_nb")), keys)
+    n = n.select(*keys, F.ceil(F.col("_na").cast("double") * F.col("_nb") / PAIRS).alias("_n"))
+    tasks = min(n.agg(F.sum("_n")).first()[0] or 1, TASKS)
     first = F.floor(F.greatest(F.col("ax"), F.col("bx")) / bin_size)
-    return a.join(b, ["_bin", *how]).where(overlaps("a", "b") & (F.col("_bin") == first)).drop("_bin")
+    a = a.join(n, keys).withColumn("_slice", F.pmod(F.xxhash64(*[c for c in left.columns]), F.col("_n"))).drop("_n")
+    b = b.join(n, keys).withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+    if tasks > 1:  # a number that is asked for: the tables are small beside their pairs
+        a, b = a.repartition(tasks, *keys, "_slice").hint("merge"), b.repartition(tasks, *keys, "_slice")
+    return a.join(b, [*keys, "_slice"]).where(overlaps("a", "b") & (F.col("_bin") == first)).drop("_bin", "_slice")

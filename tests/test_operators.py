@@ -79,6 +79,16 @@ def test_touching_rectangles_do_not_overlap(spark):
     assert [r.bx for r in search.overlap_join(a, b).collect()] == [31]
 
 
+def test_a_bin_of_many_pairs_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search, "PAIRS", 100, raising=False)
+    a = spark.range(90).select("id", (F.col("id") % 50).cast("int").alias("ax"), F.lit(0).alias("ay"), F.lit(20).alias("aw"), F.lit(9).alias("ah"))
+    b = spark.range(80).select(F.col("id").alias("other"), (F.col("id") % 70).cast("int").alias("bx"), F.lit(5).alias("by"), F.lit(9).alias("bw"), F.lit(9).alias("bh"))
+    found = search.overlap_join(a, b)
+    want = sorted((i, j) for i in range(90) for j in range(80) if i % 50 < j % 70 + 9 and j % 70 < i % 50 + 20)
+    assert sorted((r.id, r.other) for r in found.collect()) == want
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 10
+
+
 def test_zero_vectors_have_no_score(spark):
     p = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0])], "id long, vector array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, query_vector array<float>")
