@@ -336,14 +336,25 @@ def similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return out
 
 
-def representatives(docs: DataFrame, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+def near_or_similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(doc_id, component_id): the least doc_id reachable over close fingerprints and resembling sets together.
+
+    Rows without a doc_id are grouped as by ``similar``.
+    """
+    near, like = written(near_duplicates(docs).select("doc_id", "component_id"), "near"), similar(docs, size, similarity)
+    links = near.unionByName(like).where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).distinct()
+    roots = written(components(written(links, "links")).select(F.col("node").alias("_node"), "root"), "groups")
+    return like.join(roots, F.col("doc_id") == F.col("_node"), "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE, similarity: float | None = None, linked: bool = False) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates: that of the least doc_id.
 
     With ``similarity`` near duplicates are those of ``similar`` with shingles of ``size``
-    words, without it those of ``near_duplicates``. Rows with equal ids count as one
+    words (``linked``: those of ``near_or_similar``), without it those of ``near_duplicates``. Rows with equal ids count as one
     document, of which the least row stays.
     """
-    groups = near_duplicates(docs) if similarity is None else similar(docs, size, similarity)
+    groups = near_duplicates(docs) if similarity is None else (near_or_similar if linked else similar)(docs, size, similarity)
     found = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Names that no table is likely to have: the rows keep their own columns.
     keep = written(found.groupBy(F.col("doc_id").alias("__simhash_id")).agg(F.count("*").alias("__simhash_n")), "kept")

@@ -230,3 +230,10 @@ def test_empty_table_and_clashing_columns(spark, folder, tmp_path):
         want = corpus_pipeline.run(spark, path)
         assert out.columns == want.columns
         assert out.count() == (want.count() if n is None else n)
+
+
+def test_near_dedup_groups_by_fingerprints(spark):
+    """Texts of one fingerprint are one group though they share no five words in a row."""
+    docs = spark.createDataFrame([(7, "w w w"), (3, "w w w w w w"), (5, "something else is written here")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [3, 5]
+    assert any("SimHash" in name for name, stage in corpus_pipeline.STAGES if stage is corpus_pipeline.near_dedup)
