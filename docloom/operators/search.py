@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Query vectors that are broadcast at once.
 BROADCAST_QUERIES = 16_384
+#: Query vectors of late interaction that are broadcast at once.
+LATE_QUERIES = 2048
 #: Points and queries of a row.
 CHUNK, BLOCK = 2048, 512
 #: Bytes that go to a Python worker at once.
@@ -260,7 +262,7 @@ def max_sim(pages: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Late interaction: for each page the sum, over the query's vectors, of the best match.
 
     ``pages`` is (id, vec_idx, vector), ``queries`` (query_id, q_idx, query_vector), both long.
-    A page's vectors are put in one row; queries are worked through in blocks as in top_k.
+    A page's vectors are put in one row; queries are worked through in blocks of LATE_QUERIES vectors.
     """
     with_norm = lambda c: F.struct(F.col(c).alias("v"), norm(F.col(c)).alias("n"))
     whole = pages.groupBy("id").agg(F.collect_list(with_norm("vector")).alias("_v"))
@@ -268,7 +270,7 @@ def max_sim(pages: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     # A page's vectors stay in its row: only k rows of each query and task are shuffled.
     best = lambda q, pages: F.array_max(F.transform(pages, lambda p: F.try_divide(dot(p["v"], q["v"]), p["n"] * q["n"])))
     score = F.aggregate("_q", F.lit(0.0), lambda s, x: s + F.coalesce(best(x["q"], F.col("_v")), F.lit(0.0)))
-    blocks = -(-(queries.count()) // BROADCAST_QUERIES) or 1
+    blocks = -(-(queries.count()) // LATE_QUERIES) or 1
     out = None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
