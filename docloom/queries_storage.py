@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from docloom.operators import contains, lineage, metrics, search, vector_index
 from docloom.queries import NORM, POINTS, SCORE, TOP, hundredth, parties, q, stored_points, t
-from docloom.sinks import export, folders, footer, keyed, skipping
+from docloom.sinks import blobs, export, folders, footer, keyed, skipping
 from docloom.sources import files
 
 #: Rows of a range where one group holds all: small, so that there are ranges in a small table too.
@@ -268,10 +268,10 @@ def snk_stream(spark: SparkSession, sf: str) -> DataFrame:
 def src_files(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as files, a folder of them read back with their formats."""
     path = folders.fresh(spark, "scan")
-    s = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("name"), F.concat(F.lit("<html>"), "s_name").alias("value"))
-    s.repartition("name").write.partitionBy("name").option("lineSep", "\u0000").text(path)
+    s = t(spark, sf, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("name"), F.concat(F.lit("<html>"), "s_name").alias("content"))
+    blobs.write_files(s, path)
     found = files.read_files(spark, path, "*.txt")
-    return found.select(F.regexp_extract("path", "name=([0-9]+)", 1).alias("name"), (F.octet_length("content") - 1).alias("n_bytes"), F.coalesce("format", F.lit("html")).alias("format"))
+    return found.select(F.regexp_extract("filename", "^(-?[0-9]+)", 1).alias("name"), F.octet_length("content").alias("n_bytes"), F.coalesce("format", F.lit("html")).alias("format"))
 
 
 @q("""SELECT 'O' || o_orderkey || '_' || stage || '_' || o_orderstatus AS node_id, kind AS node_type, round(CASE WHEN metric THEN o_totalprice / 1000 END, 6) AS seconds, round(CASE WHEN stage = 'storage' THEN 100 / (o_totalprice / 1000) END, 6) AS rate
