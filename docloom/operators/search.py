@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 #: Query vectors that are broadcast at once.
 BROADCAST_QUERIES = 16_384
-#: Query vectors of late interaction that are broadcast at once.
+#: Query vectors of a block of late interaction.
 LATE_QUERIES = 2048
 #: Points and queries of a row.
 CHUNK, BLOCK = 2048, 512
@@ -111,14 +111,14 @@ class Vectors:
             for j in range(x.shape[1]):
                 total += x[:, j] * x[:, j]
             kept = ~(np.sqrt(total) <= 0)
-            self.at, self.norm = at[kept], np.sqrt(total)[kept]
+            self.at, self.norm, self.zero = at[kept], np.sqrt(total)[kept], at[~kept]
             self.columns = np.ascontiguousarray(x[kept].T)
             # What has no finite length is never ruled out, only scored.
             self.unit = np.where(np.isfinite(self.norm)[:, None], x[kept] / self.norm[:, None], np.nan).astype(np.float32)
 
     def taken(self, which: np.ndarray) -> Vectors:
         out = object.__new__(Vectors)
-        out.at, out.norm, out.columns, out.unit = self.at[which], self.norm[which], np.ascontiguousarray(self.columns[:, which]), self.unit[which]
+        out.at, out.norm, out.columns, out.unit, out.zero = self.at[which], self.norm[which], np.ascontiguousarray(self.columns[:, which]), self.unit[which], self.zero
         return out
 
     def first_copies(self, k: int) -> Vectors:
@@ -258,26 +258,124 @@ def ranked(scored: DataFrame, by: list[str], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def kept_whole(rows: DataFrame, key: str, entry: list[str], size: int, name: str) -> DataFrame:
+    """(name, entries): about ``size`` rows put in one row, all rows of one key in the same."""
+    total = -(-rows.count() // size) or 1
+    dealt = rows.select(F.struct(*entry).alias("_e"), F.pmod(F.xxhash64(key), F.lit(total)).alias(name))
+    dealt = dealt.repartition(max(1, min(total, 4 * rows.sparkSession.sparkContext.defaultParallelism)), name)
+    return dealt.groupBy(name).agg(F.collect_list("_e").alias("entries"))
+
+
+class Groups:
+    """Vectors in the order of their groups (pages or queries): where each group begins, and its vectors by dimension."""
+
+    def __init__(self, entries: pa.Array, key: str, vector: str, within: str | None = None) -> None:
+        orders = [(key, "ascending")] + ([(within, "ascending")] if within else [])
+        names = entries.field(key)
+        columns = {key: names} | ({within: entries.field(within)} if within else {})
+        order = pc.sort_indices(pa.table(columns), sort_keys=orders, null_placement="at_start")
+        names = names.take(order)
+        changes = np.ones(len(names), bool)
+        if len(names) > 1:
+            a, b = names.slice(0, len(names) - 1), names.slice(1)
+            same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) & b.is_null().to_numpy(zero_copy_only=False))
+            changes[1:] = ~same
+        self.starts = np.flatnonzero(changes)
+        self.of = np.cumsum(changes) - 1
+        self.sizes = np.diff(np.r_[self.starts, len(names)])
+        self.names = names.take(pa.array(self.starts))
+        self.by_dim = vectors_of(entries.field(vector).take(order))
+
+    def ranges(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """Groups with vectors of a dimension, and where these begin among them."""
+        return np.unique(self.of[self.by_dim[dim].at], return_index=True)
+
+    def of_group(self, dim: int, group: int) -> Vectors:
+        v = self.by_dim[dim]
+        return v.taken(np.flatnonzero(self.of[v.at] == group))
+
+
+def undefined(asked: Groups, pages: Groups) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Queries and pages where a vector of length zero meets one without a finite length: NaN, as in SQL."""
+    out = []
+    for dim in set(asked.by_dim) & set(pages.by_dim):
+        q, p = asked.by_dim[dim], pages.by_dim[dim]
+        endless = lambda of, v: np.unique(of[v.at[~np.isfinite(v.norm)]])
+        out += [(np.unique(asked.of[q.zero]), endless(pages.of, p)), (endless(asked.of, q), np.unique(pages.of[p.zero]))]
+    return [(a, b) for a, b in out if len(a) and len(b)]
+
+
+def near_sums(asked: Groups, pages: Groups) -> np.ndarray:
+    """Of each query and page the sum of best matches in single precision, wrong by SLACK a vector at most."""
+    total = np.zeros((len(asked.sizes), len(pages.sizes)))
+    for dim, q in asked.by_dim.items():
+        if dim in pages.by_dim and len(q.at) and len(pages.by_dim[dim].at):
+            some, starts = pages.ranges(dim)
+            unit = pages.by_dim[dim].unit.T
+            if q.norm.min() * pages.by_dim[dim].norm.min() == 0:  # too short to divide by: these are scored only
+                total[:] = np.nan
+                return total
+            for low in range(0, len(q.at), BLOCK):
+                best = np.maximum.reduceat(q.unit[low : low + BLOCK] @ unit, starts, axis=1).astype(np.float64)
+                of, first = np.unique(asked.of[q.at[low : low + BLOCK]], return_index=True)
+                total[np.ix_(of, some)] += np.add.reduceat(best, first, axis=0)
+    for of, some in undefined(asked, pages):
+        total[np.ix_(of, some)] = np.nan
+    return total
+
+
+def exact_sum(asked: Groups, query: int, pages: Groups, page: int) -> float:
+    """The sum of best cosines, added in the order of the query's vectors; a vector without any counts as zero."""
+    if any(query in of and page in some for of, some in undefined(asked, pages)):
+        return float("nan")
+    best = np.zeros(asked.sizes[query])
+    for dim in asked.by_dim:
+        if dim not in pages.by_dim:
+            continue
+        q, p = asked.of_group(dim, query), pages.of_group(dim, page)
+        if not len(q.at) or not len(p.at):
+            continue
+        total = np.zeros((len(q.at), len(p.at)))
+        with np.errstate(all="ignore"):
+            for a, b in zip(q.columns, p.columns):
+                total += a[:, None] * b
+            length = q.norm[:, None] * p.norm
+            score = np.where(length == 0, -np.inf, total / length)  # a quotient by zero is null
+        most = score.max(1)  # NaN is the greatest, as in SQL
+        best[q.at - asked.starts[query]] = np.where(most == -np.inf, 0.0, most)
+    return float(np.cumsum(best)[-1])
+
+
 def max_sim(pages: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Late interaction: for each page the sum, over the query's vectors, of the best match.
 
-    ``pages`` is (id, vec_idx, vector), ``queries`` (query_id, q_idx, query_vector), both long.
-    A page's vectors are put in one row; queries are worked through in blocks of LATE_QUERIES vectors.
+    ``pages`` is (id, vec_idx, vector), ``queries`` (query_id, q_idx, query_vector), both long. A page stays in one chunk
+    and a query in one block, and these are multiplied as matrices in single precision; a page that may be among the
+    best k of its query in a task is scored in doubles.
     """
-    with_norm = lambda c: F.struct(F.col(c).alias("v"), norm(F.col(c)).alias("n"))
-    whole = pages.groupBy("id").agg(F.collect_list(with_norm("vector")).alias("_v"))
-    asked = queries.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("q_idx", with_norm("query_vector").alias("q")))).alias("_q"))
-    # A page's vectors stay in its row: only k rows of each query and task are shuffled.
-    best = lambda q, pages: F.array_max(F.transform(pages, lambda p: F.try_divide(dot(p["v"], q["v"]), p["n"] * q["n"])))
-    score = F.aggregate("_q", F.lit(0.0), lambda s, x: s + F.coalesce(best(x["q"], F.col("_v")), F.lit(0.0)))
-    blocks = -(-(queries.count()) // LATE_QUERIES) or 1
-    out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = whole.join(F.broadcast(part), F.lit(True)).select("query_id", "id", score.alias("score"))
-        found = ranked(scored, ["query_id"], k)
-        out = found if out is None else out.unionByName(found)
-    return out
+    points = pages.select("id", numbers(pages, "vector").alias("vector"))
+    asked = queries.select("query_id", "q_idx", numbers(queries, "query_vector").alias("query_vector"))
+    blocks = kept_whole(asked, "query_id", ["query_id", "q_idx", "query_vector"], LATE_QUERIES, "block").withColumnRenamed("entries", "asked")
+    met = together(kept_whole(points, "id", ["id", "vector"], CHUNK, "chunk"), blocks, queries.count())
+    schema = T.StructType([queries.schema["query_id"], pages.schema["id"]]).add("score", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Best] = {}
+        at = chunk = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                mark, block = batch.column("chunk")[row].as_py(), batch.column("block")[row].as_py()
+                if mark != at:
+                    at, chunk = mark, Groups(batch.column("entries")[row].values, "id", "vector")
+                one = Groups(batch.column("asked")[row].values, "query_id", "query_vector", "q_idx")
+                best = held.setdefault(block, Best(len(one.sizes), k, -np.inf))
+                query, page = best.better(near_sums(one, chunk), SLACK * one.sizes)
+                score = np.array([exact_sum(one, q, chunk, p) for q, p in zip(query.tolist(), page.tolist())], float)
+                kept = best.put(query, page, score)
+                if len(kept):
+                    yield pa.RecordBatch.from_arrays([one.names.take(pa.array(query[kept])), chunk.names.take(pa.array(page[kept])), pa.array(score[kept])], names=["query_id", "id", "score"])
+
+    return ranked(met.mapInArrow(run, schema), ["query_id"], k)
 
 
 def first_patches(points: DataFrame) -> DataFrame:
