@@ -269,7 +269,7 @@ def kept_whole(rows: DataFrame, key: str, entry: list[str], size: int, name: str
 class Groups:
     """Vectors in the order of their groups (pages or queries): where each group begins, and its vectors by dimension."""
 
-    def __init__(self, entries: pa.Array, key: str, vector: str, within: str | None = None) -> None:
+    def __init__(self, entries: pa.Array, key: str, vector: str, within: str | None = None, extra: tuple[str, ...] = ()) -> None:
         orders = [(key, "ascending")] + ([(within, "ascending")] if within else [])
         names = entries.field(key)
         columns = {key: names} | ({within: entries.field(within)} if within else {})
@@ -285,6 +285,16 @@ class Groups:
         self.sizes = np.diff(np.r_[self.starts, len(names)])
         self.names = names.take(pa.array(self.starts))
         self.by_dim = vectors_of(entries.field(vector).take(order))
+        self.extra = {c: entries.field(c).take(order) for c in extra}
+
+    def only(self, wanted: np.ndarray) -> Groups:
+        """Some of the groups, numbered anew; only what :func:`near_sums` needs."""
+        out, number = object.__new__(Groups), np.cumsum(wanted) - 1
+        out.sizes, out.of = self.sizes[wanted], np.where(wanted[self.of], number[self.of], -1)
+        out.by_dim = {d: v.taken(np.flatnonzero(wanted[self.of[v.at]])) for d, v in self.by_dim.items()}
+        for v in out.by_dim.values():
+            v.zero = v.zero[wanted[self.of[v.zero]]]
+        return out
 
     def ranges(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
         """Groups with vectors of a dimension, and where these begin among them."""

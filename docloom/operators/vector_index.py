@@ -15,9 +15,10 @@ on the sample when the index is built (REACHED of the ten nearest). ``search_exa
 whose best conceivable score is below the k-th score that ``search`` found can hold none of the
 k nearest, all others are scored; its result is that of the full scan.
 
-``late_search`` does the same for pages of many vectors: lists from cells to pages give candidates,
-whose exact scores give each query a score to beat; a page whose upper bound, first from its
-cells and then from its codes and their errors, is below that is dropped before any exact score.
+``late_search`` does the same for pages of many vectors, in chunks of whole pages: a page whose upper bound by its
+cells is below the k-th score that a task has found is dropped, the others are multiplied in single precision and what
+may be among the best is scored in doubles. ``late_candidates`` (by lists from cells to pages), ``late_survivors`` (by bounds of
+cells and codes) and ``late_scores`` give the same for single pairs, as rows: for few queries.
 
 Queries go to tasks in blocks of BLOCK, so neither queries nor lists are broadcast whole. Edge
 cases: points without id or vector, of length zero or of another dimension than most of the sample are not indexed, as they have no
@@ -349,18 +350,92 @@ class Index:
 
     # Late interaction.
 
-    def late_search(self, queries: DataFrame, k: int = 5, probes: int | None = None) -> DataFrame:
+    def late_search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """(query_id, id, score, rank): the k pages with the greatest sums of best matches, exactly.
 
         ``queries`` is (query_id, q_idx, query_vector), some vectors for each query.
         """
         if self.model is None:
             return _nothing(queries)
-        first = self.late_candidates(queries, k, probes)
-        scored = self.late_scores(first, queries)
-        beat = ranked(scored, ["query_id"], k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(float("-inf")).alias("beat"))
-        rest = self.late_survivors(queries, beat).join(first, ["query_id", "bucket", "page"], "left_anti")
-        return ranked(scored.unionByName(self.late_scores(rest, queries)), ["query_id"], k)
+        return ranked(self._late_whole(queries, k).unionByName(self._late_split(queries)), ["query_id"], k)
+
+    def _late_blocks(self, queries: DataFrame) -> DataFrame:
+        """(block, asked): about LATE_QUERIES vectors in a row, those of a query in the same."""
+        asked = self.asked(queries).select("query_id", "q_idx", search.numbers(queries, "query_vector").alias("query_vector"))
+        return search.kept_whole(asked, "query_id", ["query_id", "q_idx", "query_vector"], search.LATE_QUERIES, "block").withColumnRenamed("entries", "asked")
+
+    def _late_whole(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, score) of the pages in one row that are among the k best of a query in their task.
+
+        Chunks of pages meet blocks of queries. A page whose cells' bounds don't reach what the task has found goes; the
+        others are multiplied in single precision, and what may be among the best then is scored in doubles. Bounds by codes
+        would cost the same product.
+        """
+        shared, pages = self._shared, self.table("pages").where("segments = 1")
+        each = pages.select(F.col("page").alias("id"), F.explode(F.arrays_zip("cell", "vectors")).alias("_p"))
+        points = each.select("id", "_p.cell", F.col("_p.vectors").alias("vector"))
+        points = points.withColumn("vector", search.numbers(points, "vector"))
+        met = search.together(search.kept_whole(points, "id", ["id", "cell", "vector"], search.CHUNK, "chunk"), self._late_blocks(queries), queries.count())
+        schema = T.StructType([queries.schema["query_id"], points.schema["id"]]).add("score", "double")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = Model.unpacked(shared.value)
+            held: dict[int, search.Best] = {}
+            at = chunk = None
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    mark, block = batch.column("chunk")[row].as_py(), batch.column("block")[row].as_py()
+                    if mark != at:
+                        at, chunk = mark, search.Groups(batch.column("entries")[row].values, "id", "vector", "cell", ("cell",))
+                    one = search.Groups(batch.column("asked")[row].values, "query_id", "query_vector", "q_idx")
+                    best = held.setdefault(block, search.Best(len(one.sizes), k, -np.inf))
+                    least = best.top[:, 0]
+                    if (least > -np.inf).all():
+                        maybe = (late_bounds(model, one, chunk) >= least[:, None]).any(0)
+                        if not maybe.any():
+                            continue
+                        near = np.full((len(one.sizes), len(chunk.sizes)), -np.inf)
+                        near[:, maybe] = search.near_sums(one, chunk if maybe.all() else chunk.only(maybe))
+                    else:
+                        near = search.near_sums(one, chunk)
+                    query, page = best.better(near, search.SLACK * one.sizes)
+                    score = np.array([search.exact_sum(one, q, chunk, p) for q, p in zip(query.tolist(), page.tolist())], float)
+                    kept = best.put(query, page, score)
+                    if len(kept):
+                        yield pa.RecordBatch.from_arrays([one.names.take(pa.array(query[kept])), chunk.names.take(pa.array(page[kept])), pa.array(score[kept])], names=["query_id", "id", "score"])
+
+        return met.mapInArrow(run, schema)
+
+    def _late_split(self, queries: DataFrame) -> DataFrame:
+        """(query_id, id, score) of the pages in several rows: each row's best match of each vector, then their greatest."""
+        rows = self.table("pages").where("segments > 1").select(F.col("page").alias("id"), "vectors")
+        rows = rows.withColumn("vectors", rows["vectors"].cast("array<array<double>>"))
+        met = search.together(rows, self._late_blocks(queries), queries.count()).select("id", "vectors", "asked")
+        schema = T.StructType([queries.schema["query_id"], rows.schema["id"]]).add("q", "integer").add("best", "double")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    one = search.Groups(batch.column("asked")[row].values, "query_id", "query_vector", "q_idx")
+                    for dim, p in search.vectors_of(batch.column("vectors")[row].values).items():
+                        if dim not in one.by_dim:
+                            continue
+                        q = one.by_dim[dim]
+                        most, tiny = np.full(len(q.at), -np.inf), q.norm.min() * p.norm.min() == 0
+                        for low in range(0, len(q.at), search.BLOCK):
+                            near = q.unit[low : low + search.BLOCK] @ p.unit.T
+                            which, other = np.nonzero(~(near < (near.max(1) - 2 * search.SLACK)[:, None]) | tiny)
+                            real = q.norm[which + low] * p.norm[other] != 0  # a quotient by zero is null
+                            which, other = which[real] + low, other[real]
+                            np.maximum.at(most, which, q.cosines(which, p, other))
+                        some = ~(most == -np.inf)
+                        at, most = q.at[some], most[some]
+                        names = one.names.take(pa.array(one.of[at]))
+                        ids = batch.column("id").take(pa.array([row] * len(names)))
+                        yield pa.RecordBatch.from_arrays([names, ids, pa.array(at - one.starts[one.of[at]], pa.int32()), pa.array(most)], names=["query_id", "id", "q", "best"])
+
+        best = met.mapInArrow(run, schema).groupBy("query_id", "id", "q").agg(F.max("best").alias("best"))
+        return best.groupBy("query_id", "id").agg(F.sum("best").alias("score"))
 
     def late_candidates(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """(query_id, bucket, page): 4 k pages of the lists of the probed cells, by what their centroids promise."""
@@ -433,5 +508,23 @@ class Index:
         return best.groupBy("query_id", F.col("page").alias("id")).agg(F.sum("best").alias("score"))
 
 
+def late_bounds(model: Model, asked: search.Groups, pages: search.Groups) -> np.ndarray:
+    """Of each query and page the sum of the best bounds of its cells."""
+    (q,), (p,) = asked.by_dim.values(), pages.by_dim.values()
+    cell, at = np.unique(pages.extra["cell"].to_numpy(zero_copy_only=False)[p.at], return_inverse=True)
+    of = pages.of[p.at]
+    has = np.zeros((len(pages.sizes), len(cell)), bool)
+    has[of, at] = True
+    page, which = np.nonzero(has)
+    starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+    total = np.zeros((len(asked.sizes), len(pages.sizes)))
+    for low in range(0, len(q.at), search.BLOCK):
+        bound = model.bounds(q.unit[low : low + search.BLOCK])[:, cell]
+        best = np.maximum.reduceat(bound[:, which], starts, axis=1).astype(np.float64)
+        groups, first = np.unique(asked.of[q.at[low : low + search.BLOCK]], return_index=True)
+        total[groups] += np.add.reduceat(best, first, axis=0)
+    return total
+
+
 def _nothing(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).where(F.lit(False))
