@@ -76,7 +76,8 @@ def issues(df: DataFrame, key: list[str], kind: str, severity: Column | str, mes
 
 def missing_required(records: DataFrame, fields: DataFrame, required: DataFrame, key: list[str]) -> DataFrame:
     """Required fields that a record lacks. ``required`` is (field); the schema side is small and joined by name."""
-    names = fields.groupBy(*key).agg(F.collect_set("path").alias("_have"))
+    asked = required.select(F.col("field").alias("path")).distinct()
+    names = fields.select(*key, "path").join(asked, "path", "left_semi").groupBy(*key).agg(F.collect_set("path").alias("_have"))
     # One row, so this is no cross join.
     wanted = F.broadcast(required.agg(F.collect_set("field").alias("_want")))
     met = records.select(*key).join(names, key, "left").join(wanted, F.lit(True))

@@ -132,10 +132,14 @@ issues AS (
   UNION ALL SELECT id, 'business_rules', 'error', path, 'Value above maximum' FROM fields WHERE tag = 'float' AND contains(path, 'total') AND num_val > 1000000)"""
 
 
+def required_issues(spark: SparkSession, records: DataFrame, fields: DataFrame) -> DataFrame:
+    required = spark.createDataFrame([("a_invoice_number",), ("b_invoice_date",), ("c_total",)], "field string")
+    return validate.missing_required(records, fields, required, ["id"])
+
+
 def all_issues(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     records, fields = faulty(spark, sf)
-    required = spark.createDataFrame([("a_invoice_number",), ("b_invoice_date",), ("c_total",)], "field string")
-    found = validate.missing_required(records, fields, required, ["id"]).unionByName(
+    found = required_issues(spark, records, fields).unionByName(
         validate.quality_issues(fields, ["id"], validate.rules_table(spark), "invoice").drop("ord")
     )
     return records, fields, found
@@ -447,8 +451,7 @@ def jn_optional_context(spark: SparkSession, sf: str) -> DataFrame:
 
 @q(f"""WITH {ISSUES} SELECT id, field_path FROM issues WHERE issue_type = 'required_fields'""")
 def jn_missing_required(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, found = all_issues(spark, sf)
-    return found.where("issue_type = 'required_fields'").select("id", "field_path")
+    return required_issues(spark, *faulty(spark, sf)).select("id", "field_path")
 
 
 @q("""SELECT d.doc_id, coalesce(l.quality, 0.5)::DOUBLE AS text_confidence, coalesce(l.quality, 0.5)::DOUBLE AS lang_confidence FROM documents d LEFT JOIN labels l USING (doc_id)""")
