@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.blocks import Block, blocks, mixed, narrow, numbered, shards_of, tallied, widened
-from docloom.llm.common import BROADCAST_IDS, WORD, bounded_batches, tidy, trusted_ids, with_flag, written
+from docloom.llm.common import BROADCAST_IDS, WORD, bounded_batches, give_back, tidy, trusted_ids, with_flag, written
 
 #: Hash buckets of n-grams where the corpus has at most a quarter as many n-grams; a larger
 #: one has ROOM buckets for each of its n-grams at least.
@@ -186,19 +186,37 @@ def block_counts(dealt: DataFrame, count: int, edges: list[int]) -> DataFrame:
 
 
 def shard_sums(counts: DataFrame) -> DataFrame:
-    """The rows of ``block_counts`` with the counts of all other blocks in place of the block's."""
+    """The rows of ``block_counts`` with the counts of all other blocks in place of the block's.
 
-    def run(table: pa.Table) -> pa.Table:
+    A shard's keys are numbered range by range, and one block's counts are unpacked at a time: a task's memory is about
+    22 bytes for each key of a block.
+    """
+
+    def summed(table: pa.Table) -> pa.Table:
         size = table.column("size").to_pylist()
-        parts = {c: [widened(x, n) for x, n in zip(table.column(c).to_pylist(), size)] for c in ("keys", "raw", "target")}
-        _, at = np.unique(np.concatenate([x.cumsum() for x in parts["keys"]]), return_inverse=True)
-        ends, out = np.cumsum(size)[:-1], []
+        ends = np.cumsum([0, *size]).tolist()
+        spans = [slice(*x) for x in zip(ends[:-1], ends[1:])]
+        keys = np.empty(ends[-1], np.int64)
+        for x, span, n in zip(table.column("keys"), spans, size):
+            np.cumsum(widened(x.as_py(), n), out=keys[span])
+        found, at = numbered(keys)
+        distinct = len(found)
+        del keys, found
+        out = []
         for c in ("raw", "target"):
-            own = np.concatenate(parts[c])
-            total = np.bincount(at, weights=own).astype(np.int64)[at] - own  # mostly 0, which is short
-            out.append(pa.array([narrow(x) for x in np.split(total, ends)], pa.binary()))
+            total, packed = np.zeros(distinct, np.int64), []
+            for x, span, n in zip(table.column(c), spans, size):
+                total[at[span]] += widened(x.as_py(), n)  # a block's keys are distinct
+            for x, span, n in zip(table.column(c), spans, size):
+                packed.append(narrow(total[at[span]] - widened(x.as_py(), n)))  # mostly 0, which is short
+            out.append(pa.array(packed, pa.binary()))
         return pa.table([*(table.column(c) for c in ("block", "checksum", "shard", "size")), *out], names=["block", "checksum", "shard", "size", "raw", "target"])
 
+    def run(table: pa.Table) -> pa.Table:
+        out = summed(table)
+        give_back()
+        return out
+
     return counts.groupBy("shard").applyInArrow(run, "block long, checksum long, shard long, size long, raw binary, target binary")
 
 
@@ -222,7 +240,7 @@ def grades(docs: DataFrame, labels: DataFrame, block_words: int | None = None) -
     edges = [-(-count * k // shards) for k in range(shards)]
     dealt = blocks(flagged, base_counts, ("n_words", *COUNTS), block_words)
 
-    def run(packed: pa.Table, sums: pa.Table) -> pa.Table:
+    def graded_block(packed: pa.Table, sums: pa.Table) -> pa.Table:
         out = []
         for row in packed.to_pylist():
             block = Block(row)
@@ -258,6 +276,11 @@ def grades(docs: DataFrame, labels: DataFrame, block_words: int | None = None) -
             )
         return pa.concat_tables(out)
 
+    def run(packed: pa.Table, sums: pa.Table) -> pa.Table:
+        out = graded_block(packed, sums)
+        give_back()
+        return out
+
     sums = shard_sums(block_counts(dealt, count, edges))
     return written(dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, GRADES), "grades")
 

@@ -237,3 +237,37 @@ def test_near_dedup_groups_by_fingerprints(spark):
     docs = spark.createDataFrame([(7, "w w w"), (3, "w w w w w w"), (5, "something else is written here")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [3, 5]
     assert any("SimHash" in name for name, stage in corpus_pipeline.STAGES if stage is corpus_pipeline.near_dedup)
+
+
+def test_shard_sums_take_little_memory():
+    """A shard of the quality rules' counts is summed in a fraction of the memory that all its columns would take at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from docloom.llm import quality_rules
+    from docloom.llm.blocks import narrow, widened
+
+    class Caught:  # stands for the counts: takes the function that Spark would run
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(3)
+    each = [np.unique(rng.integers(0, 3_000_000, 500_000)) for _ in range(4)]
+    raw, target = ([rng.integers(0, most, len(x)) for x in each] for most in (9, 3))
+    columns = {"block": range(4), "checksum": range(4), "shard": [0] * 4, "size": map(len, each), "keys": (narrow(np.diff(x, prepend=0)) for x in each), "raw": map(narrow, raw), "target": map(narrow, target)}
+    table = pa.table({k: pa.array(list(v)) for k, v in columns.items()})
+    tracemalloc.start()
+    out = quality_rules.shard_sums(Caught())(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for name, own in (("raw", raw), ("target", target)):
+        total = np.zeros(3_000_000, np.int64)
+        for x, n in zip(each, own):
+            total[x] += n
+        for x, n, got in zip(each, own, out.column(name).to_pylist()):
+            assert np.array_equal(widened(got, len(x)), total[x] - n)
+    assert peak < 40 * sum(map(len, each))
