@@ -9,7 +9,7 @@ have a folder for each cell, so a query reads the cells that it probes and no ot
 points is many parts, dealt to many tasks. Where points belong to pages there are also ``inverted`` (cell, page) and
 ``pages`` (the cells, codes, errors and vectors of a page in rows of about CHUNK, in folders of pages).
 
-``search`` probes the cells nearest to each query, scores codes there, and holds the best
+``search`` probes the cells nearest to each query, scores codes there (blocks of queries beside parts of the lists), and holds the best
 ``rerank`` of each query against their vectors exactly. How many cells it probes is measured
 on the sample when the index is built (REACHED of the ten nearest). ``search_exact`` uses a cell's radius: a cell
 whose best conceivable score is below the k-th score that ``search`` found can hold none of the
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,6 +128,10 @@ class Model:
         angle = np.arccos(np.clip(q @ self.centroids.T, -1, 1))
         return np.cos(np.maximum(0, angle - self.radii)) + SLACK
 
+    def nearest(self, q: np.ndarray, most: int) -> np.ndarray:
+        """The ``most`` cells nearest to each unit query."""
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :most]
+
     def packed(self) -> bytes:
         out = io.BytesIO()
         np.savez_compressed(out, centroids=self.centroids, books=self.books, width=self.width, probes=self.probes, radii=self.radii)
@@ -138,6 +143,37 @@ class Model:
         return cls(z["centroids"], z["books"], int(z["width"]), int(z["probes"]), z["radii"])
 
 
+class Nearest:
+    """The ``most`` best (score, then lesser id) of each of ``n`` queries among what was put in; about 4 * n * most rows are held."""
+
+    def __init__(self, n: int, most: int) -> None:
+        self.n, self.most, self.least, self.parts, self.size = n, most, np.full(n, -np.inf, np.float32), [], 0
+
+    def put(self, queries: np.ndarray, cell: int, ids: pa.Array, score: np.ndarray) -> None:
+        """Scores of points of a cell, a row for each of ``queries``."""
+        row, point = np.nonzero(score >= self.least[queries][:, None])
+        self.parts.append(pa.table({"query": pa.array(queries[row]), "id": ids.take(pa.array(point)), "cell": pa.array(np.full(len(row), cell), pa.int32()), "score": pa.array(score[row, point], pa.float32())}))
+        self.size += len(row)
+        if self.size > 4 * self.n * self.most:
+            self.cut()
+
+    def cut(self) -> None:
+        held = pa.concat_tables(self.parts)
+        held = held.take(pc.sort_indices(held, sort_keys=[("query", "ascending"), ("score", "descending"), ("id", "ascending")])).combine_chunks()
+        query = held.column("query").to_numpy()
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = np.flatnonzero(place == self.most - 1)
+        self.least[query[last]] = held.column("score").to_numpy()[last]
+        held = held.filter(pa.array(place < self.most))
+        self.parts, self.size = [held], held.num_rows
+
+    def rows(self, names: pa.Array) -> pa.RecordBatch:
+        """(query_id, id, cell, score) of the best."""
+        self.cut()
+        query, *rest = (self.parts[0].column(c).combine_chunks() for c in ("query", "id", "cell", "score"))
+        return pa.RecordBatch.from_arrays([names.take(query), *rest], names=["query_id", "id", "cell", "score"])
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of an array column (all of one length, no nulls) as unit vectors."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -249,42 +285,74 @@ class Index:
 
     def work(self, queries: DataFrame, probes: int | None = None) -> DataFrame:
         """(query_id, n_codes): how many points a search of each query looks at."""
-        sizes = self.table("vectors").groupBy("cell").agg(F.count("*").alias("n"))
-        return self.probes(queries, probes).join(sizes, "cell").groupBy("query_id").agg(F.sum("n").alias("n_codes"))
+        sizes = self.table("vectors").groupBy("cell").agg(F.count("*").alias("n")).collect()  # a row for each cell, at most CELLS
+        shared, most, rows = self._shared, self._probed(probes), self.asked(queries).select("query_id", "query_vector")
+        points = np.zeros(len(self.model.centroids), np.int64)
+        for r in sizes:
+            points[r["cell"]] = r["n"]
 
-    def blocks(self, probed: DataFrame) -> DataFrame:
-        """(cell, asked): queries of a cell, up to about BLOCK in a row."""
-        n = probed.select("query_id").distinct().count()
-        block = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK) or 1))
-        one = F.struct("query_id", F.transform("query_vector", lambda x: x.cast("float")).alias("v"))
-        return probed.groupBy("cell", block.alias("_block")).agg(F.collect_list(one).alias("asked"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = Model.unpacked(shared.value)
+            for whole in batches:
+                for k in range(0, whole.num_rows, BLOCK):
+                    batch = whole.slice(k, BLOCK)
+                    n = points[model.nearest(matrix(batch.column("query_vector")), most)].sum(1)
+                    yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(n, pa.int64())], names=["query_id", "n_codes"])
+
+        return rows.mapInArrow(run, T.StructType([rows.schema["query_id"]]).add("n_codes", "long"))
+
+    def _cells(self, queries: DataFrame, probes: int | None) -> DataFrame:
+        """(cell): those that any query probes, at most CELLS rows."""
+        shared, most = self._shared, self._probed(probes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = Model.unpacked(shared.value)
+            for whole in batches:
+                for k in range(0, whole.num_rows, BLOCK):
+                    cells = np.unique(model.nearest(matrix(whole.slice(k, BLOCK).column("query_vector")), most))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32())], names=["cell"])
+
+        return self.asked(queries).select("query_vector").mapInArrow(run, "cell int").distinct()
+
+    def _probed(self, probes: int | None) -> int:
+        return min(probes or self.model.probes, len(self.model.centroids))
 
     def candidates(self, queries: DataFrame, k: int, probes: int | None = None, rerank: int | None = None) -> DataFrame:
-        """(query_id, id, cell, score): the best by their codes in the probed cells."""
-        rerank, shared = rerank or max(200, 20 * k), self._shared
+        """(query_id, id, cell, score): the best by their codes in the probed cells.
+
+        Blocks of queries meet parts of the lists; a task gives ``rerank`` rows for each of its queries, however many cells these probe.
+        """
+        rerank, shared, most, spark = rerank or max(200, 20 * k), self._shared, self._probed(probes), self.spark
         lists = self.table("lists").select("cell", "entries.id", "entries.code")
-        met = lists.join(self.blocks(self.probes(queries, probes)), "cell").drop("_block")
+        read = lists.join(F.broadcast(self._cells(queries, probes)), "cell", "left_semi")
+        asked = self.asked(queries).select("query_id", F.transform("query_vector", lambda x: x.cast("float")).alias("query_vector"))
+        blocks = search.in_chunks(asked, ["query_id", "query_vector"], BLOCK, "block").withColumnRenamed("entries", "asked")
+        n_blocks = -(-asked.count() // BLOCK) or 1
+        parts = max(-(-4 * spark.sparkContext.defaultParallelism // n_blocks), -(-lists.count() // CHUNK), 1)
+        search.small_batches(spark)
+        # Each partition of blocks beside each of lists: neither is broadcast, and a query is in as many tasks as lists have parts.
+        met = blocks.join(read.repartition(parts, "cell").hint("shuffle_replicate_nl"))
         kinds = {"query_id": queries.schema["query_id"].dataType, "id": lists.schema["id"].dataType.elementType}
         schema = T.StructType([T.StructField(c, kind) for c, kind in kinds.items()]).add("cell", "integer").add("score", "float")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = Model.unpacked(shared.value)
+            at = names = q = probed = held = None
             for batch in batches:
-                for cell, ids, codes, asked in zip(*(batch.column(c) for c in ("cell", "id", "code", "asked"))):
-                    ids, names = ids.values, asked.values.field("query_id")
-                    code = np.frombuffer(b"".join(codes.as_py()), np.uint8).reshape(len(ids), -1)
-                    score = matrix(asked.values.field("v")) @ model.decode(np.full(len(ids), cell.as_py()), code).T
-                    for j in range(len(names)):
-                        s = score[j]
-                        best = np.arange(len(s))
-                        if len(s) > rerank:  # ids are in order, so a tie goes to the lesser
-                            best = np.flatnonzero(s >= np.partition(s, len(s) - rerank)[len(s) - rerank])
-                            best = best[np.argsort(-s[best], kind="stable")[:rerank]]
-                        size = len(best)
-                        yield pa.RecordBatch.from_arrays(
-                            [names.take(pa.array([j] * size)), ids.take(pa.array(best)), pa.array([cell.as_py()] * size, pa.int32()), pa.array(s[best], pa.float32())],
-                            names=["query_id", "id", "cell", "score"],
-                        )
+                for block, cell, ids, codes, asked in zip(*(batch.column(c) for c in ("block", "cell", "id", "code", "asked"))):
+                    if block.as_py() != at:  # rows of a block stand together
+                        if held is not None and held.parts:
+                            yield held.rows(names)
+                        at, names, q = block.as_py(), asked.values.field("query_id"), matrix(asked.values.field("query_vector"))
+                        probed, held = np.zeros((len(q), len(model.centroids)), bool), Nearest(len(q), rerank)
+                        np.put_along_axis(probed, model.nearest(q, most), True, axis=1)
+                    cell, ids = cell.as_py(), ids.values
+                    some = np.flatnonzero(probed[:, cell])
+                    if len(some):
+                        code = np.frombuffer(b"".join(codes.as_py()), np.uint8).reshape(len(ids), -1)
+                        held.put(some, cell, ids, q[some] @ model.decode(np.full(len(ids), cell), code).T)
+            if held is not None and held.parts:
+                yield held.rows(names)
 
         return ranked(met.mapInArrow(run, schema), ["query_id"], rerank).drop("rank")
 

@@ -60,6 +60,26 @@ def test_index_search(spark, tmp_path, monkeypatch):
     assert "dynamicpruning" in found._jdf.queryExecution().toString().lower()
 
 
+def test_candidates_leave_tasks_without_a_row_for_each_cell(spark, tmp_path, monkeypatch):
+    """The best by codes of all cells that a query probes; what tasks give grows with queries, not with cells."""
+    monkeypatch.setattr(vector_index, "BLOCK", 2)
+    index = vector_index.build(points_of(spark), str(tmp_path / "i"))
+    asked, given, rank = asked_of(good(points_of(spark))), [], vector_index.ranked
+    monkeypatch.setattr(vector_index, "ranked", lambda df, *a: rank(given.append(df) or df, *a))
+    found = {(r.query_id, r.id): r.score for r in index.candidates(asked, 3, 20, 15).collect()}
+    assert given[0].count() <= 3 * 30 * 15  # before: up to 15 for each of a query's 20 cells
+    rows = index.table("vectors").select("id", "cell", F.col("_code").alias("code")).collect()
+    near = index.model.decode(np.array([r.cell for r in rows]), np.array([list(r.code) for r in rows], np.uint8))
+    for r in asked.collect():
+        q = np.array(r.query_vector, float)
+        q = (q / np.linalg.norm(q)).astype(np.float32)
+        probed = set(np.argsort(-(q @ index.model.centroids.T), kind="stable")[:20].tolist())
+        score = {x.id: float(s) for x, s in zip(rows, near @ q) if x.cell in probed}
+        mine = {i: s for (k, i), s in found.items() if k == r.query_id}
+        assert len(mine) == 15 and all(abs(score[i] - s) < 1e-5 for i, s in mine.items())
+        assert np.allclose(sorted(mine.values()), sorted(score.values())[-15:], atol=1e-5)
+
+
 def test_index_with_a_filter(spark, tmp_path):
     points = points_of(spark)
     index = vector_index.build(points, str(tmp_path / "i"))
