@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from docloom.sinks import folders
 
+#: Of the nodes with a single parent one in so many stands for those below it, when a closure is made.
+FOLD = 8
 NODE = (
     "node_id string, node_type string, timestamp timestamp_ntz, operation string, metadata map<string,string>, "
     "performance_metrics map<string,double>, parent_nodes array<string>, schema_version string, transformation_rules array<string>"
@@ -102,9 +104,18 @@ def closure(links: DataFrame, start: DataFrame | None = None, down: bool = True,
     near, far = ("parent_id", "child_id") if down else ("child_id", "parent_id")
     hop = links.select(F.col(near).alias("node_id"), F.col(far).alias("other_id")).distinct()
     if start is not None:
-        found = _reach(hop, start, False, max_depth).where("depth > 0").drop("path")
+        hop = _kept(hop)
+        if max_depth is None:
+            links, below = _folded(hop, start)
+            found = _reach(links, start, False, None).drop("path")
+            folded = found.join(below, F.col("other_id") == F.col("_to"))
+            found = found.unionByName(folded.select("node_id", F.col("_v").alias("other_id"), (F.col("depth") + F.col("_off")).alias("depth")))
+        else:
+            found = _reach(hop, start, False, max_depth).drop("path")
+        found = found.where("depth > 0")
         # A start that lies on a cycle reaches itself too.
-        rounds = found.withColumnRenamed("other_id", "_m").join(hop.select(F.col("node_id").alias("_m"), F.col("other_id").alias("_b")), "_m").where("_b = node_id")
+        back = hop.join(start.select(F.col("node_id").alias("other_id")).distinct(), "other_id").select(F.col("node_id").alias("_m"), F.col("other_id").alias("node_id"))
+        rounds = found.withColumnRenamed("other_id", "_m").join(back, ["node_id", "_m"])
         own = start.join(hop, "node_id").where("node_id = other_id").select("node_id", "other_id", F.lit(1).alias("depth"))
         loops = rounds.select("node_id", F.col("node_id").alias("other_id"), (F.col("depth") + 1).alias("depth")).unionByName(own).groupBy("node_id", "other_id").agg(F.min("depth").alias("depth"))
         return found.unionByName(loops if max_depth is None else loops.where(F.col("depth") <= max_depth))
@@ -122,31 +133,60 @@ def closure(links: DataFrame, start: DataFrame | None = None, down: bool = True,
     return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
+def _folded(hop: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node_id, other_id, weight) between some of the nodes, and (_v, _to, _off): the others, each ``_off`` steps below one of those.
+
+    A node with a single parent that is no start is reached through that parent only, so it needs no walks of its own: its depth is
+    that of the first node above it that stays, and the steps between. ``FOLD`` says how many stay; the way up doubles each round.
+    """
+    single = hop.where("other_id IS NOT NULL").groupBy(F.col("other_id").alias("_v")).agg(F.min("node_id").alias("_to"), F.count("*").alias("_n")).where("_n = 1")
+    goes = single.where(F.pmod(F.xxhash64("_v"), F.lit(FOLD)) != 0).join(start.select(F.col("node_id").alias("_v")), "_v", "left_anti")
+    parts, n, most = [_kept(goes.select("_v", "_to", F.lit(1).alias("_off"), F.lit(False).alias("_top")))], None, None
+    while (left := parts[-1].where("NOT _top").count()) != n and left * 50 > (most := most or left):
+        known = parts[-1]
+        for part in parts[:-1]:
+            known = known.unionByName(part.where("_top"))
+        above = known.select(F.col("_v").alias("_u"), F.col("_to").alias("_over"), F.col("_off").alias("_more"), F.col("_top").alias("_end"))
+        up = parts[-1].where("NOT _top").join(above, F.col("_to") == F.col("_u"), "left")
+        parts.append(_kept(up.select("_v", F.coalesce("_over", "_to").alias("_to"), (F.col("_off") + F.coalesce("_more", F.lit(0))).alias("_off"), F.coalesce("_end", F.lit(True)).alias("_top"))))
+        n = left
+    # The last few stay too, as a round for them reads all; so does what lies on or below a cycle without a start, of which a round settles none.
+    below = parts[0].where("_top")
+    for part in parts[1:]:
+        below = below.unionByName(part.where("_top"))
+    below = below.drop("_top")
+    rest = hop.join(below.select(F.col("_v").alias("other_id")), "other_id", "left_anti").join(below, F.col("node_id") == F.col("_v"), "left")
+    links = rest.select(F.coalesce("_to", "node_id").alias("node_id"), "other_id", (F.coalesce("_off", F.lit(0)) + 1).alias("weight"))
+    return links, below
+
+
 def _reach(hop: DataFrame, start: DataFrame, paths: bool, max_depth: int | None) -> DataFrame:
     """(node_id, other_id, depth, path) from each start to all it reaches, itself at depth 0; ``path`` without the start.
 
-    Walks of 2^k steps between nodes of the graph are put behind what was reached: after round k all of depth
-    below 2^(k + 1) is known. No node has more than its own descendants in a round, and one with a single parent (or child) has one.
+    Walks of 2^k hops between nodes of the graph are put behind what was reached: after round k all within fewer than
+    2^(k + 1) hops is known. A hop counts as one step, or as its ``weight``. No node has more than its own descendants in a round, and one with a single parent (or child) has one.
     """
     arrays = lambda *c: F.array(*c) if paths else F.array().cast("array<string>")
     kind = hop.schema["other_id"].dataType.simpleString()
     empty = F.array().cast(f"array<{kind}>" if paths else "array<string>")
     found = _kept(start.select("node_id").where("node_id IS NOT NULL").distinct().select("node_id", F.col("node_id").alias("other_id"), F.lit(0).alias("depth"), empty.alias("path")))
-    walk = _kept(hop.select(F.col("node_id").alias("_a"), F.col("other_id").alias("_b"), arrays(F.col("other_id")).alias("_p")))
-    steps, n = 1, found.count()
+    weight = F.col("weight") if "weight" in hop.columns else F.lit(1)
+    walk = _kept(hop.select(F.col("node_id").alias("_a"), F.col("other_id").alias("_b"), weight.alias("_w"), arrays(F.col("other_id")).alias("_p")))
+    size = lambda df: tuple(df.agg(F.count("*"), F.sum("depth")).first())
+    steps, n = 1, size(found)
     while max_depth is None or steps <= max_depth:
-        more = found.join(walk, F.col("other_id") == F.col("_a")).select("node_id", F.col("_b").alias("other_id"), (F.col("depth") + steps).alias("depth"), F.concat("path", "_p").alias("path"))
+        more = found.join(walk, F.col("other_id") == F.col("_a")).select("node_id", F.col("_b").alias("other_id"), (F.col("depth") + F.col("_w")).alias("depth"), F.concat("path", "_p").alias("path"))
         best = found.unionByName(more).groupBy("node_id", "other_id").agg(F.min(F.struct("depth", "path")).alias("r"))
         new = _kept(best.select("node_id", "other_id", "r.depth", "r.path"))
-        grown = new.count()
+        grown = size(new)
         _gone(found)
         found = new
         if grown == n:
             break
         n = grown
-        ahead = walk.select(F.col("_a").alias("_m"), F.col("_b").alias("_c"), F.col("_p").alias("_q"))
-        longer = walk.join(ahead, F.col("_b") == F.col("_m")).groupBy("_a", F.col("_c").alias("_b")).agg(F.min(F.concat("_p", "_q")).alias("_p"))
-        longer = _kept(longer)
+        ahead = walk.select(F.col("_a").alias("_m"), F.col("_b").alias("_c"), F.col("_w").alias("_x"), F.col("_p").alias("_q"))
+        longer = walk.join(ahead, F.col("_b") == F.col("_m")).groupBy("_a", F.col("_c").alias("_b")).agg(F.min(F.struct((F.col("_w") + F.col("_x")).alias("_w"), F.concat("_p", "_q").alias("_p"))).alias("r"))
+        longer = _kept(longer.select("_a", "_b", "r._w", "r._p"))
         _gone(walk)
         walk, steps = longer, steps * 2
     _gone(walk)

@@ -109,3 +109,15 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     found = lineage.closure(links, spark.range(1).select(F.col("id").alias("node_id")))
     assert {(r.other_id, r.depth) for r in found.collect()} == {(k, k) for k in range(1, n + 1)}
     assert len(kept) <= 2 * 15
+
+
+def test_a_closure_from_starts_writes_few_rows(spark, monkeypatch):
+    """Nodes with a single parent have no walks of their own: chains, trees and cycles beside them, all rounds together."""
+    n, sizes = 4000, []
+    real = lineage._kept
+    monkeypatch.setattr(lineage, "_kept", lambda df: sizes.append((kept := real(df)).count()) or kept)
+    edges = [(k, k + 1) for k in range(n)] + [(10_000, 10_001), (10_001, 10_000), (10_001, 10_002), (70, 20_000), (20_000, 20_001), (None, 30_000), (5, None)]
+    links = spark.createDataFrame(edges, "parent_id long, child_id long").repartition(4)
+    found = {(r.other_id, r.depth) for r in lineage.closure(links, spark.range(1).select(F.col("id").alias("node_id"))).collect()}
+    assert found == {(k, k) for k in range(1, n + 1)} | {(20_000, 71), (20_001, 72), (None, 6)}
+    assert sum(sizes) < 8 * n
